@@ -10,7 +10,7 @@ are 0 or 1; so both totals stay exact while the choice is made.
 The flight runs in blocks of a fixed number of documents of one source, and the
 few that each block leaves undecided go through the next round of blocks. The
 last two of a source are the landing problem: the choice that comes closest to
-the target in words. No block grows with a source, so a source with a third of
+the target in words, mended by exchanging decisions inside that last block. No block grows with a source, so a source with a third of
 all rows is spread over as many tasks as its size asks for.
 
 Nulls and edge cases: a null text has size 0 and is never taken by its rate
@@ -102,6 +102,12 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     best = min(picks, key=lambda m: (abs(sum(size[i] for j, i in enumerate(left) if m >> j & 1) - want), m), default=0)
     for j, i in enumerate(left):
         p[i] = float(best >> j & 1)
+    # the document total gives way: exchange decisions, long documents first, while that brings the words nearer
+    error = sum(p[i] * size[i] for i in left) - want
+    for i in np.argsort(-size, kind="stable"):
+        if 0 < size[i] <= abs(error) and p[i] == (error > 0):
+            error += size[i] * (1 if error < 0 else -1)
+            p[i] = 1 - p[i]
     return p
 
 
