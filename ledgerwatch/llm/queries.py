@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op7_bpe": bpe.op7_bpe,
 }
 
 ORACLES: dict[str, str] = {}
