@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, language, media, mixing
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_avi_mjpeg": media.op4_avi_mjpeg,
     "op7_bpe": bpe.op7_bpe,
+    "op9_language": language.op9_language,
 }
 
 ORACLES: dict[str, str] = {}
