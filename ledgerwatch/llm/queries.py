@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, language, media, mixing
+from . import bpe, chat, language, licences, media, mixing
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_avi_mjpeg": media.op4_avi_mjpeg,
+    "op5_chat": chat.op5_chat,
+    "op6_licences": licences.op6_licences,
     "op7_bpe": bpe.op7_bpe,
     "op9_language": language.op9_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_chat": chat.ORACLE,
+    "op6_licences": licences.ORACLE,
+}
