@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language, licences, media, mixing
+from . import bpe, chat, language, licences, lines, media, mixing
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -10,10 +10,12 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_licences": licences.op6_licences,
     "op7_bpe": bpe.op7_bpe,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_language": language.op9_language,
 }
 
 ORACLES = {
     "op5_chat": chat.ORACLE,
     "op6_licences": licences.ORACLE,
+    "op8_line_dedup": lines.ORACLE,
 }
