@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +84,50 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     return now.toDF("id", "component").union(now.select("b", "b").distinct())
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 4096) -> Iterator[pd.DataFrame]:
+    """Batches of sorted rows dealt anew, so that no group is cut in two; a group must fit in memory."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < rows:
+            continue
+        joined = pd.concat(held, ignore_index=True)
+        last = (joined[keys] != joined[keys].iloc[-1]).any(axis=1).to_numpy()
+        cut = int(last.nonzero()[0][-1]) + 1 if last.any() else 0
+        if cut:
+            yield joined.iloc[:cut].reset_index(drop=True)
+        held = [joined.iloc[cut:]]
+    if held and (joined := pd.concat(held, ignore_index=True)).size:
+        yield joined
+
+
+def in_blocks(rows: DataFrame, key: str, size: str, item: str, block: int) -> DataFrame:
+    """`rows` with (i, j, mine): a copy for each pair of blocks i <= j of its group that has the row's own block.
+
+    Blocks split a group of `size` rows by a hash of `item`, so the pairs of any
+    group are found by tasks that hold two blocks each, however large the group.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.col(size) / F.lit(block))).cast("int")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(item, F.lit(11)), n).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For items 0..n-1 and links a-b, the least item that each one reaches."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        now = root.copy()
+        np.minimum.at(now, root[a], low)
+        np.minimum.at(now, root[b], low)
+        now = np.minimum(now, now[now])
+        while not np.array_equal(now, now[now]):
+            now = now[now]
+        if np.array_equal(now, root):
+            break
+        root = now
+    return root

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language, licences, lines, media, mixing
+from . import bpe, chat, language, licences, lines, media, mixing, ngrams
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_language": language.op9_language,
+    "op10_ngram_join": ngrams.op10_ngram_join,
 }
 
 ORACLES = {
