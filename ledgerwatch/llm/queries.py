@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language, licences, lines, media, mixing, ngrams
+from . import bpe, chat, language, licences, lines, media, mixing, ngrams, vectors
 
 QUERIES = {
+    "op1_vector_dedup": vectors.op1_vector_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op4_avi_mjpeg": media.op4_avi_mjpeg,
     "op5_chat": chat.op5_chat,
