@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,10 +41,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with `value` evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_sums(values: Column) -> Column:
-    """[0, v0, v0+v1, ...]: one element more than `values`.
+    """[0, v0, v0+v1, ...]: one element more than `values`."""
+    return let(values, _running_sums)
+
 
-    Built from blocks of about the square root of the length, so that a very
+def _running_sums(values: Column) -> Column:
+    """Built from blocks of about the square root of the length, so that a very
     long array costs n**1.5 element copies and not n**2.
     """
 
@@ -56,10 +64,13 @@ def running_sums(values: Column) -> Column:
     width = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
     short = within(values, F.lit(0))
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), width), lambda i: F.slice(values, i + 1, width))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
-    starts = within(totals, F.lit(0))
-    inner = F.transform(blocks, lambda b, i: F.slice(within(b, F.element_at(starts, i + 1)), 2, F.greatest(F.size(b), F.lit(1))))
-    return F.when(size <= 64, short).otherwise(F.concat(F.array(F.lit(0).cast("long")), F.flatten(inner)))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
+        inner = lambda starts: F.transform(blocks, lambda b, i: F.slice(within(b, F.element_at(starts, i + 1)), 2, F.size(b)))
+        return F.concat(F.array(F.lit(0).cast("long")), F.flatten(let(within(totals, F.lit(0)), inner)))
+
+    return F.when(size <= 64, short).otherwise(let(blocks, joined))
 
 
 def components(edges: DataFrame) -> DataFrame:

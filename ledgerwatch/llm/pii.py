@@ -1,0 +1,256 @@
+"""Personal data by candidate spans and boosted trees, in DataFrame functions only.
+
+Base. Four patterns with checks (octets, Luhn, digit counts) give spans that are
+always reported: email, ip, card, phone.
+
+Candidates. Further generators of high recall propose spans, which may overlap
+with each other and with the base: addresses with spelt-out signs, groups of
+digits that look like phone numbers without a plus, runs of digits, and secrets
+assigned to a name. Each candidate is described by its format (digits, groups,
+length, checks) and by its context (the words before it).
+
+Boosting. Base spans that pass their checks, and matches that fail them, label a
+training set; candidates are counted by the (binned) features and label, so the
+whole corpus is summed into a table bounded by the bins. Trees of depth two are
+boosted on that table with logistic loss, scores are calibrated on it, and for
+each kind the threshold is the lowest calibrated score that keeps the precision
+asked for. The trees become one expression of `when`s; candidates at or above the
+threshold and not inside a base span are added.
+
+Nulls and edge cases: a null text is an empty one and gives a row with zero
+counts; texts are read whole, of any length (patterns take linear time and do not
+recurse); spans of one kind never overlap; repeated rows give repeated results;
+only `doc_id` and `text` are read; an empty table gives no rows, and a corpus
+without candidates trains no tree and adds none.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import let, read, running_sums
+
+#: The base patterns. Possessive repeats and looks behind keep them linear and do not change what they match.
+KINDS = ("email", "ip", "card", "phone")
+PATTERNS = {
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]+(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+#: What the method adds, in the order they are listed after the base.
+ADDED = {
+    "spelt_email": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}+ ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z]{2,24}+",
+    "local_phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "digits": r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "secret": r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_key|apikey|access_key|key) ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{16,256}+[\x22\x27]?",
+}
+#: Words that often stand before personal data.
+CUES = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|ssn|social|id|token|secret|password|key|account|card)[^A-Za-z0-9]*(?:[A-Za-z]+[^A-Za-z0-9]+)?$"
+ROUNDS, RATE, PRIOR = 20, 0.4, 1.0
+PRECISION = 0.9
+#: The features of a candidate and how many values each can take: the product bounds the training table.
+FEATURES = {"digit_share": 5, "length": 5, "groups": 5, "checked": 2, "signs": 3, "mixed": 2, "cue": 2}
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Spans (start, end, piece) of a pattern's matches, leftmost first, in code points; `piece` is the matched text."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,piece:string>>")
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, _spans(found, gaps)).otherwise(none))
+
+
+def _spans(found: Column, gaps: Column) -> Column:
+    ends = running_sums(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: g + F.length(m)))
+    span = lambda ends: F.transform(found, lambda m, i: F.struct((F.element_at(ends, i + 2) - F.length(m)).alias("start"), F.element_at(ends, i + 2).alias("end"), m.alias("piece")))
+    return let(ends, span)
+
+
+def digits(piece: Column) -> Column:
+    return F.regexp_replace(piece, "[^0-9]", "")
+
+
+def luhn(number: Column) -> Column:
+    """Whether the digits pass the Luhn check."""
+    each = F.transform(F.split(F.reverse(number), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.get(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), d.cast("int"))))
+    return F.aggregate(F.filter(each, lambda x: x.isNotNull()), F.lit(0), lambda a, x: a + x) % 10 == 0
+
+
+def passes(kind: str, piece: Column) -> Column:
+    """The check of a base kind."""
+    number = digits(piece)
+    if kind == "ip":
+        return F.forall(F.transform(F.split(piece, r"\."), lambda x: F.regexp_replace(x, "^0+", "")), lambda x: (x == "") | ((F.length(x) <= 3) & (x.cast("int") <= 255)))
+    if kind == "card":
+        return F.when(F.length(number).between(12, 19), luhn(number)).otherwise(False)
+    if kind == "phone":
+        return F.length(number).between(9, 15)
+    return F.lit(True)
+
+
+def features(piece: Column, before: Column, checked: Column) -> Column:
+    """Format and context of a candidate, in few values each."""
+    n, number = F.length(piece), F.length(digits(piece))
+    bin_of = lambda x, *cuts: sum(((x >= c).cast("int") for c in cuts), F.lit(0))
+    return F.struct(
+        bin_of(number / n, 0.25, 0.5, 0.75, 0.95).alias("digit_share"),
+        bin_of(n, 9, 12, 16, 24).alias("length"),
+        bin_of(F.size(F.split(piece, r"[^A-Za-z0-9]+")), 2, 3, 4, 6).alias("groups"),
+        checked.cast("int").alias("checked"),
+        F.when(piece.rlike(r"[@=:\[]"), 2).when(piece.rlike(r"^[+(]"), 1).otherwise(0).alias("signs"),
+        (piece.rlike("[0-9]") & piece.rlike("[A-Za-z]")).cast("int").alias("mixed"),
+        before.rlike(CUES).cast("int").alias("cue"),
+    )
+
+
+def _candidate(kind: str, rank: int) -> Callable[[Column], Column]:
+    """What turns a span of a kind into a candidate."""
+    base = kind in PATTERNS
+
+    def described(s: Column) -> Column:
+        start = F.greatest(s["start"] - 24, F.lit(0))
+        before = F.substring(F.col("text"), (start + 1).cast("int"), (s["start"] - start).cast("int"))
+        checked = passes(kind, s["piece"]) if base else F.length(digits(s["piece"])) >= 9
+        label = checked.cast("int") if base else F.lit(None).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), features(s["piece"], before, checked).alias("f"), label.alias("label"))
+
+    return described
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, candidates): every proposed span of each text with its kind, features and label.
+
+    A label is 1 for a base match that passes, 0 for one that fails, null for
+    what only the further generators propose.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"))
+    for kind, pattern in (PATTERNS | ADDED).items():
+        docs = docs.withColumn(kind, matches(F.col("text"), pattern))
+    candidates = [F.transform(kind, _candidate(kind, rank)) for rank, kind in enumerate([*PATTERNS, *ADDED])]
+    return docs.select("doc_id", F.concat(*candidates).alias("candidates"))
+
+
+@dataclass
+class Trees:
+    """Trees of depth two: (feature, cut, feature, cut, four leaves), their start, and a threshold on the calibrated score."""
+
+    start: float
+    trees: list[tuple[str, int, str, int, tuple[float, float, float, float]]]
+    slope: float
+    offset: float
+    threshold: float
+
+    def score(self, f: Column) -> Column:
+        total = F.lit(self.start)
+        for a, cut_a, b, cut_b, (low_low, low_high, high_low, high_high) in self.trees:
+            inner = lambda x, y: F.when(f[b] < cut_b, x).otherwise(y)  # noqa: E731, B023
+            total = total + F.when(f[a] < cut_a, inner(low_low, low_high)).otherwise(inner(high_low, high_high))
+        return 1 / (1 + F.exp(-(total * self.slope + self.offset)))
+
+
+def train(table: list[tuple[tuple[int, ...], float, float]]) -> Trees:
+    """Boost on (feature values, negatives, positives) with Newton steps, then calibrate on the same counts."""
+    names = list(FEATURES)
+    negative, positive = sum(r[1] for r in table), sum(r[2] for r in table)
+    if not table:
+        return Trees(0.0, [], 1.0, 0.0, 2.0)
+    start = math.log((positive + PRIOR) / (negative + PRIOR))
+    raw, trees = [start] * len(table), []
+    splits = [(k, cut) for k, name in enumerate(names) for cut in range(1, FEATURES[name])]
+    for _ in range(ROUNDS):
+        p = [1 / (1 + math.exp(-x)) for x in raw]
+        slope = [pos * (1 - q) - neg * q for (_, neg, pos), q in zip(table, p, strict=True)]
+        curve = [(neg + pos) * q * (1 - q) for (_, neg, pos), q in zip(table, p, strict=True)]
+
+        best = (0.0, None)
+        for i, (a, cut_a) in enumerate(splits):
+            for b, cut_b in splits[i + 1 :]:
+                g, h = [0.0] * 4, [PRIOR] * 4
+                for (values, _, _), s, c in zip(table, slope, curve, strict=True):
+                    leaf = 2 * (values[a] >= cut_a) + (values[b] >= cut_b)
+                    g[leaf] += s
+                    h[leaf] += c
+                gain = sum(x * x / y for x, y in zip(g, h, strict=True))
+                if gain > best[0] + 1e-9:
+                    best = (gain, (a, cut_a, b, cut_b, tuple(RATE * x / y for x, y in zip(g, h, strict=True))))
+        if not best[1]:
+            break
+        a, cut_a, b, cut_b, leaves = best[1]
+        trees.append((names[a], cut_a, names[b], cut_b, leaves))
+        raw = [x + leaves[2 * (values[a] >= cut_a) + (values[b] >= cut_b)] for x, (values, _, _) in zip(raw, table, strict=True)]
+    scale, shift = _calibrated(raw, table)
+    scored = sorted(((1 / (1 + math.exp(-(x * scale + shift))), neg, pos) for x, (_, neg, pos) in zip(raw, table, strict=True)), reverse=True)
+    threshold, wrong, right = 1.0, 0.0, 0.0
+    for p, neg, pos in scored:
+        wrong, right = wrong + neg, right + pos
+        if right >= PRECISION * (wrong + right):
+            threshold = p
+    return Trees(start, trees, scale, shift, max(threshold, 0.5))
+
+
+def _calibrated(raw: list[float], table: list[tuple[tuple[int, ...], float, float]]) -> tuple[float, float]:
+    """Slope and offset of a logistic fit of the labels on the raw scores."""
+    scale, shift = 1.0, 0.0
+    for _ in range(25):
+        g0 = g1 = 0.0
+        h00 = h11 = 1e-3
+        h01 = 0.0
+        for x, (_, neg, pos) in zip(raw, table, strict=True):
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, x * scale + shift))))
+            d, c = pos * (1 - p) - neg * p, (neg + pos) * p * (1 - p)
+            g0, g1, h00, h01, h11 = g0 + d, g1 + d * x, h00 + c, h01 + c * x, h11 + c * x * x
+        det = h00 * h11 - h01 * h01
+        shift += max(-1.0, min(1.0, (h11 * g0 - h01 * g1) / det))
+        scale = max(0.05, scale + max(-1.0, min(1.0, (h00 * g1 - h01 * g0) / det)))
+    return scale, shift
+
+
+def training_table(candidates: DataFrame) -> list[tuple[tuple[int, ...], float, float]]:
+    """Counts of the labelled candidates of the whole corpus by feature values: a row for each cell of the bins at most."""
+    each = candidates.select(F.explode_outer("candidates").alias("c")).where("c.label is not null")
+    counts = each.groupBy(*[F.col(f"c.f.{name}").alias(name) for name in FEATURES]).agg(F.sum(1 - F.col("c.label")).alias("neg"), F.sum("c.label").alias("pos"))
+    return sorted((tuple(r[name] for name in FEATURES), float(r["neg"]), float(r["pos"])) for r in counts.collect())
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, spans): arrays of (start, rank, kind, end), base spans alone and with those that the trees add."""
+    found = described(docs)
+    model = train(training_table(found))
+    inside = lambda s: F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    plain = lambda arr: F.array_sort(F.transform(arr, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"])))
+    found = found.withColumn("base", F.filter("candidates", lambda s: s["label"] == 1))
+    added = F.filter("candidates", lambda s: s["label"].isNull() & (model.score(s["f"]) >= model.threshold) & ~inside(s))
+    return found.select("doc_id", plain(F.col("base")).alias("base"), plain(F.concat("base", added)).alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts with the characters of every span replaced by its kind in brackets; overlapping spans are one."""
+    key = F.xxhash64("text")
+    spans = find(docs.select(F.struct("doc_id", key).alias("doc_id"), "text")).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__key"), "spans")
+    both = docs.select("doc_id", "text").join(spans, F.struct("doc_id", key).eqNullSafe(F.col("__key")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cut = lambda start, end: F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def step(done: Column, s: Column) -> Column:
+        fresh = F.concat(done["out"], cut(done["at"], s["start"]), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.when(s["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    length = F.length(text).cast("long")
+    return both.select("doc_id", F.aggregate("spans", start, step, lambda done: F.concat(done["out"], cut(done["at"], length))).alias("text"))
+
+
+def written(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(kind) for kind in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

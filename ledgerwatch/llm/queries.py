@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language, licences, lines, media, mixing, ngrams, vectors
+from . import bpe, chat, language, licences, lines, media, mixing, ngrams, pii, vectors
 
 QUERIES = {
     "op1_vector_dedup": vectors.op1_vector_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_pii": pii.op3_pii,
     "op4_avi_mjpeg": media.op4_avi_mjpeg,
     "op5_chat": chat.op5_chat,
     "op6_licences": licences.op6_licences,
