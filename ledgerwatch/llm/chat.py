@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, running_sums
+from .common import let, read, running_sums
 
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
 MARKS = ("<s>", "<s1>", "<s2>")
@@ -55,8 +55,7 @@ def render(turns: Column, level: int) -> Column:
 def pieces(formatted: Column) -> Column:
     """Still escaped turns (role, text) of a formatted text; null parts where it does not follow the grammar."""
     body = F.regexp_replace(formatted, r"^<s[12]?>", "")
-    parts = F.split(body, r"</s>", -1)
-    parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    parts = let(F.split(body, r"</s>", -1), lambda p: F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))))
 
     def turn(part: Column) -> Column:
         at = F.locate(CLOSE, part)
@@ -81,17 +80,19 @@ def clean(formatted: Column) -> Column:
 
 def loss_spans(formatted: Column) -> Column:
     """Spans [start, end) of the assistant texts in a formatted text, in code points."""
-    turns = pieces(formatted)
     fixed = len(OPEN) + len(CLOSE) + len(END)
-    starts = running_sums(F.transform(turns, lambda t: F.length(t["role"]) + F.length(t["text"]) + fixed))
     mark = F.locate(">", formatted)
 
-    def span(turn: Column, k: Column) -> Column:
-        start = mark + F.element_at(starts, k + 1) + len(OPEN) + F.length(turn["role"]) + len(CLOSE)
+    def span(turn: Column, before: Column) -> Column:
+        start = mark + before + len(OPEN) + F.length(turn["role"]) + len(CLOSE)
         return F.struct(turn["role"].alias("role"), start.cast("long").alias("start"), (start + F.length(turn["text"])).cast("long").alias("end"))
 
-    spans = F.filter(F.transform(turns, span), lambda s: s["role"] == "assistant")
-    return F.transform(spans, lambda s: F.struct(s["start"], s["end"]))
+    def spans(turns: Column) -> Column:
+        before = running_sums(F.transform(turns, lambda t: F.length(t["role"]) + F.length(t["text"]) + fixed))
+        return F.zip_with(turns, F.slice(before, 1, F.size(turns)), span)
+
+    found = F.filter(let(pieces(formatted), spans), lambda s: s["role"] == "assistant")
+    return F.transform(found, lambda s: F.struct(s["start"], s["end"]))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -113,15 +114,16 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     made = format_conversations(rows.union(added)).select("conv_id", "formatted", "level", "loss_spans")
-    turns = parse(F.col("formatted"))
+    made = made.withColumn("turns", parse(F.col("formatted")))
     under = F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
     loss = F.array_join(F.transform(under, lambda x: F.when(F.col("level") == 0, x).otherwise(_replaced(x, BACK))), "")
+    made = made.withColumn("loss", loss)
     return made.select(
         "conv_id",
-        F.size(turns).cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "level",
     )
