@@ -7,7 +7,7 @@ lies beyond them). So the merges compile into a non-deterministic transducer
 whose paths are walks through the trie of all tokens; a walk that ends a token
 may start the next one if the two are compatible. Exactly one path accepts a
 given string. Reading left to right, the transducer is determinised only as far
-as the input needs: a state is the set of (last token, trie node, tokens not yet
+as the input needs: a state is the list of (last token, trie node, tokens not yet
 emitted); tokens that all live paths agree on are emitted at once, the rest
 after a lookahead that the longest token bounds. Transitions and whole
 pre-tokens are memoised in dictionaries of bounded size.
@@ -37,7 +37,7 @@ from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries at most in the memos of pre-tokens and transitions of one Python worker.
-MEMO = 200_000
+MEMO = 300_000
 #: Tokens that the decoder takes at a time.
 CHUNK = 65_536
 #: Above every rank.
@@ -66,10 +66,12 @@ class Transducer:
 
     def reset(self) -> None:
         #: Determinised states by number; 0 is the start: nothing read, nothing pending.
-        self.states: list[frozenset] = [frozenset({(-1, 0, ())})]
+        self.states: list[tuple] = [((-1, 0, ()),)]
         self.numbers = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: list[tuple[int, ...] | None] = [()]
+        #: Which tokens may follow which.
+        self.pairs: dict[int, bool] = {}
 
     def edges(self, token: int) -> tuple[list, list] | None:
         """How the first and the last part of a token grow as its bytes merge by rank.
@@ -115,28 +117,45 @@ class Transducer:
                 j += 1
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one transition: the next state and the tokens that are now certain."""
-        after = set()
+        """Determinise one transition: the next state and the tokens that are now certain.
+
+        Live paths are kept in the order in which their last token began. Only one
+        of them can end a token here, since only one encoding of the bytes so far
+        exists; it goes to the end. Tokens are certain once the eldest path has them.
+        """
+        after, ended, children, token, pairs = [], None, self.children, self.token, self.pairs
         for last, node, pending in self.states[state]:
-            child = self.children[node].get(byte)
+            child = children[node].get(byte)
             if child is None:
                 continue
-            if self.children[child]:
-                after.add((last, child, pending))
-            token = self.token[child]
-            if token >= 0 and self.compatible(last, token):
-                after.add((token, 0, (*pending, token)))
-        every = [p for _, _, p in after]
-        sure = 0
-        while every and all(len(p) > sure and p[sure] == every[0][sure] for p in every):
-            sure += 1
-        emitted = every[0][:sure] if every else ()
-        key = frozenset((last, node, p[sure:]) for last, node, p in after)
-        if key not in self.numbers:
-            self.numbers[key] = len(self.states)
+            if children[child]:
+                after.append((last, child, pending))
+            found = token[child]
+            if found >= 0 and ended is None:
+                pair = (last + 1) << 32 | found
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) >= self.memo:
+                        pairs.clear()
+                    fits = pairs[pair] = self.compatible(last, found)
+                if fits:
+                    ended = (found, 0, (*pending, found))
+        if ended:
+            after.append(ended)
+        emitted = after[0][2] if after else ()
+        if emitted:
+            sure = 0
+            while sure < len(emitted) and all(len(p[2]) > sure and p[2][sure] == emitted[sure] for p in after):
+                sure += 1
+            emitted = emitted[:sure]
+            after = [(last, node, pending[sure:]) for last, node, pending in after] if sure else after
+        key = tuple(after)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.ends.append(next((p for _, node, p in key if node == 0), None))
-        found = self.moves[state << 8 | byte] = (self.numbers[key], emitted)
+            self.ends.append(key[-1][2] if key and key[-1][1] == 0 else None)
+        found = self.moves[state << 8 | byte] = (number, emitted)
         return found
 
     def encode(self, raw: bytes) -> list[int]:
@@ -186,17 +205,21 @@ class Codec:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.machine, self.split, self.memo = Transducer(ranks, memo), regex.compile(pattern), memo
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
-        seen, out = self.seen, []
+        out = []
         for pieces in self.pieces(text):
+            seen = self.seen
             new = set(pieces).difference(seen)
             if len(seen) + len(new) > self.memo:
-                seen.clear()
+                # what is still in use comes back from the older half
+                self.older, self.seen = seen, {}
+                seen = self.seen
                 new = set(pieces)
             for piece in new:
-                seen[piece] = self.machine.encode(piece.encode())
+                seen[piece] = self.older.get(piece) or tuple(self.machine.encode(piece.encode()))
             out.extend(chain.from_iterable(map(seen.__getitem__, pieces)))
         return out
 
