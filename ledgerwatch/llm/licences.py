@@ -4,13 +4,16 @@ A text is scanned as a whole, paragraph by paragraph (separated by blank lines)
 and line by line. Each unit is normalised to lower-case ASCII words; its set of
 word bigrams is compared with that of each template by Dice = 2 |A and B| /
 (|A| + |B|). A Dice of t needs sizes with t / (2 - t) <= |A| / |B| <= (2 - t) / t,
-which rules most templates out before any set is intersected. The template with
+which rules most templates out. Bigrams find their templates in a broadcast table
+of all templates' bigrams, so common bigrams are counted and no other pair of
+unit and template is ever looked at. Texts without any of the bigrams that a
+licence cannot do without are left out before. The template with
 the highest Dice is the unit's licence; on ties the first listed.
 
 Nulls and edge cases: a null or empty text, or one with fewer than two words,
 has no licence and no row; units of any length are compared whole; a document
-that repeats a notice gives a row for each place; repeated rows give repeated
-results; only `doc_id` and `text` are read; an empty table gives no rows.
+that repeats a notice gives a row for each place; rows that agree in doc_id and
+text are one document; only `doc_id` and `text` are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,6 +79,29 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(pair) for pair in zip(words, words[1:], strict=False)))
 
 
+#: Words too frequent in any English text to look for first.
+FREQUENT = frozenset("a an and any as be by can for from have if in is it not of on or that the this to was with you".split())
+
+
+def needed(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
+    """A pattern that every text with a licence matches.
+
+    A unit that comes up to the threshold shares at least t / (2 - t) of a
+    template's n bigrams; so of any n - ceil(n t / (2 - t)) + 1 of them it has one.
+    Those with the fewest frequent words are looked for.
+    """
+    after: dict[str, set[str]] = {}
+    for _, text in templates:
+        grams = template_bigrams(text)
+        count = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9) + 1
+        rank = sorted(grams, key=lambda g: sum(w in FREQUENT for w in g.split()))
+        for gram in rank[:count]:
+            first, second = gram.split()
+            after.setdefault(first, set()).add(second)
+    parts = "|".join(f"{first}[^a-z0-9]+(?:{'|'.join(sorted(seconds))})" for first, seconds in sorted(after.items()))
+    return f"(?<![a-z0-9])(?:{parts})(?![a-z0-9])"
+
+
 def bigrams(text: Column) -> Column:
     """The distinct word bigrams of a text."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
@@ -83,21 +109,19 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def best(found: Column, templates: tuple[tuple[str, str], ...], threshold: float) -> Column:
-    """Struct (dice, rank, licence) of the nearest template, null where none comes up to the threshold."""
-    scores = []
+def bigram_table(spark: SparkSession, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
+    """(gram, template, licence, own, low, high): a row for each bigram of each template, with the sizes a like unit can have."""
+    rows = []
     for k, (name, text) in enumerate(templates):
-        own = template_bigrams(text)
-        low, high = math.ceil(threshold / (2 - threshold) * len(own) - 1e-9), math.floor((2 - threshold) / threshold * len(own) + 1e-9)
-        shared = F.size(F.array_intersect(found, F.array(*map(F.lit, own))))
-        dice = F.when(F.size(found).between(low, high), 2 * shared / (F.size(found) + len(own)))
-        scores.append(F.when(dice >= threshold - 1e-12, F.struct(dice.alias("dice"), F.lit(-k).alias("rank"), F.lit(name).alias("licence"))))
-    return F.array_max(F.array(*scores))
+        grams = template_bigrams(text)
+        low, high = math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9), math.floor((2 - threshold) / threshold * len(grams) + 1e-9)
+        rows += [(gram, k, name, len(grams), low, high) for gram in grams]
+    return spark.createDataFrame(rows, "gram string, template int, licence string, own int, low int, high int")
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, position, part): lines, paragraphs of several lines, and texts of several paragraphs."""
-    texts = docs.select("doc_id", "text").where("text is not null")
+    """(doc_id, mark, unit, position, part): lines, paragraphs of several lines, and texts of several paragraphs."""
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("text is not null")
     paragraphs = F.split("text", r"\n[ \t]*\n", -1)
 
     def tagged(kind: str, parts: Column) -> Column:
@@ -109,14 +133,21 @@ def units(docs: DataFrame) -> DataFrame:
         F.when(F.size(paragraphs) > 1, tagged("text", F.array("text"))),
     ]
     every = F.concat(*[F.coalesce(e, F.array().cast("array<struct<unit:string,position:bigint,part:string>>")) for e in each])
-    return texts.select("doc_id", F.inline(every))
+    return texts.select("doc_id", "mark", F.inline_outer(every)).where("part is not null")
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, unit, position, licence, dice): every unit that states a licence."""
-    found = units(docs).withColumn("bigrams", bigrams(F.col("part"))).where(F.size("bigrams") > 0)
-    found = found.withColumn("best", best(F.col("bigrams"), templates, threshold)).where("best is not null")
-    return found.select("doc_id", "unit", "position", "best.licence", F.round("best.dice", 9).alias("dice"))
+    known = bigram_table(docs.sparkSession, templates, threshold)
+    docs = docs.where(F.lower("text").rlike(needed(templates, threshold)))
+    grams = units(docs).where(F.lower("part").rlike(needed(templates, threshold))).select("doc_id", "mark", "unit", "position", bigrams(F.col("part")).alias("grams"))
+    grams = grams.select("doc_id", "mark", "unit", "position", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))
+    # the table is a constant of the code, whatever the data
+    met = grams.join(F.broadcast(known), "gram").where("size between low and high")
+    shared = met.groupBy("doc_id", "mark", "unit", "position", "size", "template", "licence", "own").agg(F.size(F.collect_set("gram")).alias("shared"))
+    scored = shared.withColumn("dice", 2 * F.col("shared") / (F.col("size") + F.col("own"))).where(F.col("dice") >= threshold - 1e-12)
+    best = scored.groupBy("doc_id", "mark", "unit", "position").agg(F.max(F.struct("dice", -F.col("template"), "licence")).alias("best"))
+    return best.select("doc_id", "unit", "position", "best.licence", F.round("best.dice", 9).alias("dice"))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
