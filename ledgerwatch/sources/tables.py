@@ -57,12 +57,17 @@ def account_count(spark: SparkSession, sf_dir: str) -> int:
     return _read(spark, sf_dir, "events").agg(F.max("user_id") + 1).first()[0] or 0
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files (a glob, so that one file will do as well as a folder)."""
+    return spark.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def ledger(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """(txn_id, src, dst, amount, ts, type, flagged): each event pays from its user to another account."""
     n = account_count(spark, sf_dir)
     to = (F.col("user_id") * 7 + 1 + F.get_json_object("props", "$.k").cast("long")) % n
     return (
-        _read(spark, sf_dir, "events")
+        (_read(spark, sf_dir, "events") if events is None else events)
         .withColumn("to", to)
         .where("to != user_id")
         .select(
@@ -134,9 +139,9 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """(account_id, seq, ts, risk_score): risk of an account over time, from its views."""
-    return _read(spark, sf_dir, "events").where("event_type = 'view'").select(F.concat(F.lit("A"), F.col("user_id")).alias("account_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.least(F.lit(1.0), F.col("value") / 100).alias("risk_score"))
+    return (_read(spark, sf_dir, "events") if events is None else events).where("event_type = 'view'").select(F.concat(F.lit("A"), F.col("user_id")).alias("account_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.least(F.lit(1.0), F.col("value") / 100).alias("risk_score"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
