@@ -241,9 +241,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     described = checkpoint(described)
     classes = described.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("signs").alias("signs"), F.first("bands").alias("bands"))
     classes = checkpoint(classes)
-    banded = classes.select("node", "signs", F.explode("bands").alias("band"))
+    banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    near = in_blocks(banded.join(shared, "band"), "band", "size", "node", BAND_BLOCK)
+    # MinHash values follow only to the bands that several classes share
+    near = in_blocks(banded.join(shared, "band").join(classes.select("node", "signs"), "node"), "band", "size", "node", BAND_BLOCK)
     edges = near.select("band", "i", "j", "mine", "node", "signs").mapInPandas(_candidates, schema="a long, b long")
     groups = components(edges).withColumnRenamed("id", "node")
     groups = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component").join(classes.select("node", "least", "copies"), "node")
