@@ -44,6 +44,7 @@ def tree_ensemble_score(model: str, columns: list[str]) -> Column:
     @pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for values in batches:
+            values = (values,) if isinstance(values, pd.Series) else values  # a single column comes bare
             rows = pd.DataFrame(dict(zip(columns, values, strict=True)))
             total = np.zeros(len(rows))
             for tree in trees:
