@@ -154,11 +154,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Documents without words are kept once, as they count for nothing. Rows that
     agree in doc_id, source and size share the copies given to all of them evenly.
     """
-    key = ["doc_id", "source", "size"]
-    chosen = mix(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    both = sized.join(chosen, sized["doc_id"].eqNullSafe(chosen["doc_id"]) & sized["source"].eqNullSafe(chosen["source"]) & (sized["__size"] == chosen["size"]))
-    each = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.round(F.col("copies") / F.col("rows")).cast("int"))
+    chosen = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies"), F.count("*")).toDF("__doc", "__source", "__words", "__copies", "__rows")
+    words = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0))
+    both = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__doc")) & docs["source"].eqNullSafe(F.col("__source")) & (words == F.col("__words")))
+    each = F.when(F.col("__words") == 0, F.lit(1)).otherwise(F.round(F.col("__copies") / F.col("__rows")).cast("int"))
     both = both.select(*[docs[c] for c in docs.columns], each.alias("__n")).where("__n > 0")
     return both.withColumn("__n", F.explode(F.sequence(F.lit(1), "__n"))).drop("__n")
 

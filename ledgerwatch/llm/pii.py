@@ -187,10 +187,10 @@ def train(table: list[tuple[tuple[int, ...], float, float]]) -> Trees:
     scale, shift = _calibrated(raw, table)
     scored = sorted(((1 / (1 + math.exp(-(x * scale + shift))), neg, pos) for x, (_, neg, pos) in zip(raw, table, strict=True)), reverse=True)
     threshold, wrong, right = 1.0, 0.0, 0.0
-    for p, neg, pos in scored:
+    for (p, neg, pos), (below, _, _) in zip(scored, [*scored[1:], (0.0, 0, 0)], strict=True):
         wrong, right = wrong + neg, right + pos
         if right >= PRECISION * (wrong + right):
-            threshold = p
+            threshold = (p + below) / 2  # halfway to the first cell that is left out
     return Trees(start, trees, scale, shift, max(threshold, 0.5))
 
 
