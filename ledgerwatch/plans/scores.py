@@ -16,7 +16,8 @@ from ..operators import scoring as S
 from ..operators import trees as X
 from ..sources import tables as T
 from ..streaming import jobs as J
-from .monitoring import _FEW, _PROFILE
+from . import feature_sql
+from .monitoring import _PROFILE
 from .prelude import oracle
 from .prelude import rounded as r
 
@@ -195,3 +196,4 @@ GROUP BY account, run HAVING count(*) >= 5 AND max(ms) + 21600000 <= {_END}"""),
     "stream_rapid": oracle("SELECT i.dst AS account, i.txn_id AS in_txn, o.txn_id AS out_txn FROM ledger i JOIN ledger o ON i.dst = o.src AND abs(epoch_us(o.ts) - epoch_us(i.ts)) <= 1800000000 AND i.src <> o.dst AND i.txn_id <> o.txn_id"),
     "stream_markov": oracle(f"SELECT account_id, seq, b AS before, state, CASE WHEN b IS NULL THEN 0.0 ELSE {r('1 - ' + _P, 3)} END AS anomaly FROM (SELECT *, lag(state) OVER (PARTITION BY account_id ORDER BY k) AS b FROM st)", _LATEST),
 }
+ORACLES |= feature_sql.ORACLES
