@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_vector_dedup": vectors.ORACLE,
     "op5_chat": chat.ORACLE,
     "op6_licences": licences.ORACLE,
     "op8_line_dedup": lines.ORACLE,
+    "op10_ngram_join": ngrams.ORACLE,
 }

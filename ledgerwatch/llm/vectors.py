@@ -308,3 +308,13 @@ def audit(vectors: DataFrame, found: DataFrame, every: int = 50) -> float:
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT x.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, x.vec_id = c.component_id AS kept FROM embeddings x
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = x.vec_id LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = x.vec_id
+"""
