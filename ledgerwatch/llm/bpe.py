@@ -37,7 +37,7 @@ from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries at most in the memos of pre-tokens and transitions of one Python worker.
-MEMO = 300_000
+MEMO = 200_000
 #: Tokens that the decoder takes at a time.
 CHUNK = 65_536
 #: Above every rank.
@@ -223,6 +223,11 @@ class Codec:
             out.extend(chain.from_iterable(map(seen.__getitem__, pieces)))
         return out
 
+    def forget(self) -> None:
+        """Free the memos: Python workers outlive a task, and others need the memory then."""
+        self.seen, self.older = {}, {}
+        self.machine.reset()
+
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The matches of the pattern, in lists of bounded length."""
         if len(text) <= CHUNK:
@@ -255,6 +260,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         for batch in batches:
             for rows in slices(batch):
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": [made.encode(x or "") for x in rows["text"]]})
+        made.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, schema=f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -291,6 +297,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                     read_back.update(part.encode())
                 rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), read_back.hexdigest()))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
+        made.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, schema=f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
