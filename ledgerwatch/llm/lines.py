@@ -6,7 +6,8 @@ run of that length are certain to share its fingerprint. Fingerprints that occur
 once are dropped; the positions of the others are joined and extended both ways
 to every run of `run` lines that holds them. A run whose lines occurred before, in
 the order of doc_id and place, is deleted; neighbouring runs together make up the
-whole of a longer repeat. Blank lines belong to no run and stay.
+whole of a longer repeat. Blank lines belong to no run and stay. With `long`, a
+line of more words than that is a run of its own too, whatever stands around it.
 
 Only hashes travel until the end, when the places to delete meet their texts. No
 pairs are formed: each run looks up its first place.
@@ -23,13 +24,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, words
 
 #: The least number of lines that counts as a repeat.
 RUN = 2
+#: A line of more words than this is a passage, which is a repeat on its own (in the pipeline; the SQL of op8_line_dedup knows runs only).
+PASSAGE = 50
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def passages(docs: DataFrame, long: int) -> DataFrame:
+    """(doc_id, mark, at, key, check, places): each line of more than `long` words, as a run of one."""
+    filled = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.trim(s["x"]) != "")
+    numbered = F.transform(filled, lambda s, at: F.struct(at.alias("at"), F.xxhash64(s["x"]).alias("key"), F.hash(s["x"]).alias("check"), F.array(s["i"]).alias("places"), s["x"].alias("x")))
+    # so many words take twice as many characters at least
+    found = F.filter(numbered, lambda s: F.when(F.length(s["x"]) > 2 * long, F.size(words(s["x"])) > long).otherwise(False))
+    return docs.where(F.length("text") > 2 * long).select("doc_id", F.xxhash64("text").alias("mark"), F.inline(found)).drop("x")
+
+
+def repeated_lines(docs: DataFrame, run: int = RUN, long: int | None = None) -> DataFrame:
     """(doc_id, mark, gone array<int>): the lines to delete of each document that has any; `mark` is a hash of the text."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.when(F.trim(x) != "", F.xxhash64(x)).alias("h"))), lambda s: s["h"].isNotNull())
     hashed = docs.select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("lines")).where(F.size("lines") >= run).dropDuplicates(["doc_id", "mark"])
@@ -52,17 +64,20 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
         return F.struct((F.col("start") + k).alias("at"), F.xxhash64(hashes).alias("key"), F.hash(hashes).alias("check"), F.transform(window, lambda x: x["i"]).alias("places"))
 
     runs = near.where(F.size("near") >= run).select("doc_id", "mark", F.inline(F.transform(F.sequence(F.lit(0), F.size("near") - run), piece)))
-    runs = runs.dropDuplicates(["doc_id", "mark", "at"])
+    runs = runs.withColumn("width", F.lit(run))
+    if long is not None:
+        runs = runs.union(passages(docs, long).withColumn("width", F.lit(1)))
+    runs = runs.dropDuplicates(["doc_id", "mark", "at", "width"])
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "at")
-    first = runs.groupBy("key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = runs.join(first, ["key", "check"]).where(place != F.col("first"))
+    first = runs.groupBy("width", "key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = runs.join(first, ["width", "key", "check"]).where(place != F.col("first"))
     return again.select("doc_id", "mark", F.explode("places").alias("line")).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))
 
 
-def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """`docs` with later repeats deleted from `text`, and n_lines, n_deleted (in place of columns so named)."""
+def without_repeats(docs: DataFrame, run: int = RUN, long: int | None = None) -> DataFrame:
+    """`docs` with later repeats deleted from `text`, and n_lines, n_deleted (in place of columns so named); with `long`, also single lines of more words."""
     docs = docs.drop("n_lines", "n_deleted")
-    gone = repeated_lines(docs, run).toDF("__doc", "__mark", "__gone")
+    gone = repeated_lines(docs, run, long).toDF("__doc", "__mark", "__gone")
     both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__mark"]), "left")
     lines = F.split(docs["text"], "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))

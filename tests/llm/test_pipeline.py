@@ -26,3 +26,10 @@ def test_run(spark):
     rows = P.run(spark, SF)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
     assert [name for name, _ in P.STAGES][0] == "language ID" and len(P.STAGES) == 5
+
+
+def test_single_long_lines_go(spark, docs):
+    said = lambda n: " ".join(f"w{k}" for k in range(n))
+    rows = docs((1, f"a\n{said(51)}\nb"), (2, f"c\n\n{said(51)}\nd"), (3, said(51)), (4, said(50)), (5, said(50)), (None, f"{said(51)}\ne"))
+    found = {r["doc_id"]: r["text"] for r in P.drop_repeated_lines(spark, rows, SF).collect()}
+    assert found == {1: f"a\n{said(51)}\nb", 2: "c\n\nd", 4: said(50), 5: said(50), None: "e"}
