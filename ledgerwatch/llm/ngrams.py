@@ -108,8 +108,8 @@ def fewest_matches(n: int, tolerance: float = TOLERANCE) -> int:
 FEWEST = [fewest_matches(n) for n in range(STEP, HASHES + 1, STEP)]
 
 
-def hashed_words(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+def hashed_words(docs: DataFrame, *also: str) -> DataFrame:
+    return docs.select("doc_id", *also, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
 
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +122,7 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             signs = signature(found)
             rows.append((*identity(found), len(found), signs.tobytes(), bands_of(signs)))
-        yield pd.concat([batch[["doc_id"]], pd.DataFrame(rows, columns=["node", "check", "n", "signs", "bands"], index=batch.index)], axis=1)
+        yield pd.concat([batch.drop(columns="hashes"), pd.DataFrame(rows, columns=["node", "check", "n", "signs", "bands"], index=batch.index)], axis=1)
 
 
 def surviving(signs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,8 +236,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     n_links counts the other documents linked with it, class_id is the least
     doc_id that links lead to.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    described = hashed_words(docs).mapInPandas(_described, schema=f"doc_id {kind}, node long, check long, n int, signs binary, bands array<long>")
+    return grouped_documents(docs).drop("group")
+
+
+def grouped_documents(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, `also`, n_links, class_id, n_shingles, group): `similar_documents` with further columns of `docs`.
+
+    `group` is the same for all that links lead to, whatever their doc_ids, and
+    null for a text without words.
+    """
+    carried = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *also))
+    described = hashed_words(docs, *also).mapInPandas(_described, schema=f"{carried}, node long, check long, n int, signs binary, bands array<long>")
     described = checkpoint(described)
     classes = described.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("signs").alias("signs"), F.first("bands").alias("bands"))
     classes = checkpoint(classes)
@@ -258,9 +267,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     per = classes.select("node", "least", "copies").join(counts, "node", "left").join(final, "node", "left")
     per = per.withColumn("component", F.coalesce("component", "node"))
     least = per.groupBy("component").agg(F.min("least").alias("class_id"))
-    per = per.join(least, "component").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id")
-    out = described.select("doc_id", "node", "n").join(per, "node", "left")
-    return out.select("doc_id", F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.col("n").cast("long").alias("n_shingles"))
+    per = per.join(least, "component").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", F.col("component").alias("group"))
+    out = described.select("doc_id", *also, "node", "n").join(per, "node", "left")
+    return out.select("doc_id", *also, F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.col("n").cast("long").alias("n_shingles"), "group")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

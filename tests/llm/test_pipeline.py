@@ -33,3 +33,12 @@ def test_single_long_lines_go(spark, docs):
     rows = docs((1, f"a\n{said(51)}\nb"), (2, f"c\n\n{said(51)}\nd"), (3, said(51)), (4, said(50)), (5, said(50)), (None, f"{said(51)}\ne"))
     found = {r["doc_id"]: r["text"] for r in P.drop_repeated_lines(spark, rows, SF).collect()}
     assert found == {1: f"a\n{said(51)}\nb", 2: "c\n\nd", 4: said(50), 5: said(50), None: "e"}
+
+
+def test_one_of_each_group_whatever_its_doc_ids(spark, docs):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = docs((None, text("a")), (None, text("a")), (None, text("b")), (None, text("c") + " tail"), (1, text("c")), (2, text("d")), (2, text("e")), (3, text("e") + " tail"), (4, None), (4, None), (None, text("f")), (None, text("f") + " tail"))
+    found = [(r["doc_id"], r["text"]) for r in P.keep_one_of_similar(spark, rows, SF).collect()]
+    assert len([x for x in found if x[1] and x[1].startswith("f")]) == 1
+    rest = [x for x in found if not (x[1] and x[1].startswith("f"))]
+    assert sorted(rest, key=str) == sorted([(None, text("a")), (None, text("b")), (1, text("c")), (2, text("d")), (2, text("e")), (4, None), (4, None)], key=str)
