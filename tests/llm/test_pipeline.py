@@ -1,6 +1,12 @@
+import random
+import string
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from ledgerwatch.llm import language
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +48,25 @@ def test_one_of_each_group_whatever_its_doc_ids(spark, docs):
     assert len([x for x in found if x[1] and x[1].startswith("f")]) == 1
     rest = [x for x in found if not (x[1] and x[1].startswith("f"))]
     assert sorted(rest, key=str) == sorted([(None, text("a")), (None, text("b")), (1, text("c")), (2, text("d")), (2, text("e")), (4, None), (4, None)], key=str)
+
+
+def test_unlearned_languages_and_noise_go(spark, docs):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9)))
+    planted = [" ".join(word() for _ in range(80)) for _ in range(5)] + ["это текст на русском языке " * 9, "これは日本語の文章です" * 10, "ฉันรักภาษาไทย " * 10, "Ελληνικά κείμενο για δοκιμή " * 9]
+    known = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = known.union(docs(*[(5 * 10**6 + k, x, None) for k, x in enumerate(planted)]).select(known.columns))
+    kept = {r["doc_id"] for r in P.keep_known_languages(spark, rows, SF).collect()}
+    assert not [k for k in kept if k >= 5 * 10**6]
+    held = {r["doc_id"] for r in known.where(language.held_out()).where("text is not null").collect()}
+    assert len(held - kept) <= language.LOST * len(held)
+
+
+def test_low_quantiles_of_few_and_many():
+    rng = np.random.default_rng(2)
+    score = lambda n: 1 / (1 + np.exp(-(2 + rng.exponential(1, n) * 0.5)))
+    many = language.low_quantile(score(100_000), 0.001)
+    assert many == pytest.approx(1 / (1 + np.exp(-2)), abs=0.01)
+    tail = [language.low_quantile(1 / (1 + np.exp(rng.exponential(0.5, 200) - 4)), 0.001) for _ in range(50)]
+    assert np.mean(1 / (1 + np.exp(np.log(1000) * 0.5 - 4)) - tail) == pytest.approx(0, abs=0.1)
+    assert language.low_quantile(np.zeros(0), 0.001) == 0
