@@ -7,7 +7,7 @@ Candidates. Further generators of high recall propose spans, which may overlap
 with each other and with the base: addresses with spelt-out signs, groups of
 digits that look like phone numbers without a plus, runs of digits, and secrets
 assigned to a name. Each candidate is described by its format (digits, groups,
-length, checks) and by its context (the words before it).
+length) and by its context (the words before it).
 
 Boosting. Base spans that pass their checks, and matches that fail them, label a
 training set; candidates are counted by the (binned) features and label, so the
@@ -15,7 +15,7 @@ whole corpus is summed into a table bounded by the bins. Trees of depth two are
 boosted on that table with logistic loss, scores are calibrated on it, and for
 each kind the threshold is the lowest calibrated score that keeps the precision
 asked for. The trees become one expression of `when`s; candidates at or above the
-threshold and not inside a base span are added.
+threshold, or of nine digits or more, and not inside a base span are added.
 
 Nulls and edge cases: a null text is an empty one and gives a row with zero
 counts; texts are read whole, of any length (patterns take linear time and do not
@@ -48,14 +48,14 @@ ADDED = {
     "spelt_email": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}+ ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z]{2,24}+",
     "local_phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
     "digits": r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "secret": r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_key|apikey|access_key|key) ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{16,256}+[\x22\x27]?",
+    "secret": r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_key|apikey|access_key|key) ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{16,}+[\x22\x27]?",
 }
 #: Words that often stand before personal data.
 CUES = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|ssn|social|id|token|secret|password|key|account|card)[^A-Za-z0-9]*(?:[A-Za-z]+[^A-Za-z0-9]+)?$"
 ROUNDS, RATE, PRIOR = 20, 0.4, 1.0
 PRECISION = 0.9
 #: The features of a candidate and how many values each can take: the product bounds the training table.
-FEATURES = {"digit_share": 5, "length": 5, "groups": 5, "checked": 2, "signs": 3, "mixed": 2, "cue": 2}
+FEATURES = {"digit_share": 5, "length": 5, "groups": 5, "signs": 3, "mixed": 2, "cue": 2}
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -93,15 +93,14 @@ def passes(kind: str, piece: Column) -> Column:
     return F.lit(True)
 
 
-def features(piece: Column, before: Column, checked: Column) -> Column:
-    """Format and context of a candidate, in few values each."""
+def features(piece: Column, before: Column) -> Column:
+    """Format and context of a candidate, in few values each; the checks are the labels and so no feature."""
     n, number = F.length(piece), F.length(digits(piece))
     bin_of = lambda x, *cuts: sum(((x >= c).cast("int") for c in cuts), F.lit(0))
     return F.struct(
         bin_of(number / n, 0.25, 0.5, 0.75, 0.95).alias("digit_share"),
         bin_of(n, 9, 12, 16, 24).alias("length"),
         bin_of(F.size(F.split(piece, r"[^A-Za-z0-9]+")), 2, 3, 4, 6).alias("groups"),
-        checked.cast("int").alias("checked"),
         F.when(piece.rlike(r"[@=:\[]"), 2).when(piece.rlike(r"^[+(]"), 1).otherwise(0).alias("signs"),
         (piece.rlike("[0-9]") & piece.rlike("[A-Za-z]")).cast("int").alias("mixed"),
         before.rlike(CUES).cast("int").alias("cue"),
@@ -115,9 +114,10 @@ def _candidate(kind: str, rank: int) -> Callable[[Column], Column]:
     def described(s: Column) -> Column:
         start = F.greatest(s["start"] - 24, F.lit(0))
         before = F.substring(F.col("text"), (start + 1).cast("int"), (s["start"] - start).cast("int"))
-        checked = passes(kind, s["piece"]) if base else F.length(digits(s["piece"])) >= 9
-        label = checked.cast("int") if base else F.lit(None).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), features(s["piece"], before, checked).alias("f"), label.alias("label"))
+        # a further number of as many digits as a base phone is as sure as that; the trees judge the rest
+        sure = F.lit(False) if base else F.length(digits(s["piece"])) >= 9
+        label = (passes(kind, s["piece"]) if base else F.lit(None)).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), features(s["piece"], before).alias("f"), sure.alias("sure"), label.alias("label"))
 
     return described
 
@@ -212,8 +212,15 @@ def _calibrated(raw: list[float], table: list[tuple[tuple[int, ...], float, floa
 
 
 def training_table(candidates: DataFrame) -> list[tuple[tuple[int, ...], float, float]]:
-    """Counts of the labelled candidates of the whole corpus by feature values: a row for each cell of the bins at most."""
-    each = candidates.select(F.explode_outer("candidates").alias("c")).where("c.label is not null")
+    """Counts of the labelled candidates of the whole corpus by feature values: a row for each cell of the bins at most.
+
+    A failed match that shares characters with a span of another kind (a social
+    number is no card) says nothing of that span's features and is left out.
+    """
+    known = F.filter("candidates", lambda s: s["label"].isNull() | (s["label"] == 1))
+    parts = candidates.select("candidates", known.alias("known"))
+    other = lambda s: F.exists("known", lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+    each = parts.select(F.explode(F.filter("candidates", lambda s: (s["label"] == 1) | ((s["label"] == 0) & ~other(s)))).alias("c"))
     counts = each.groupBy(*[F.col(f"c.f.{name}").alias(name) for name in FEATURES]).agg(F.sum(1 - F.col("c.label")).alias("neg"), F.sum("c.label").alias("pos"))
     return sorted((tuple(r[name] for name in FEATURES), float(r["neg"]), float(r["pos"])) for r in counts.collect())
 
@@ -225,7 +232,7 @@ def find(docs: DataFrame) -> DataFrame:
     inside = lambda s: F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     plain = lambda arr: F.array_sort(F.transform(arr, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"])))
     found = found.withColumn("base", F.filter("candidates", lambda s: s["label"] == 1))
-    added = F.filter("candidates", lambda s: s["label"].isNull() & (model.score(s["f"]) >= model.threshold) & ~inside(s))
+    added = F.filter("candidates", lambda s: s["label"].isNull() & (s["sure"] | (model.score(s["f"]) >= model.threshold)) & ~inside(s))
     return found.select("doc_id", plain(F.col("base")).alias("base"), plain(F.concat("base", added)).alias("spans"))
 
 

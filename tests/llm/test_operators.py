@@ -103,6 +103,16 @@ def test_trees_separate_checked_from_failed():
     assert pii.train([]).threshold > 1
 
 
+def test_added_spans_come_from_format_and_context(docs, documents):
+    said = ["write to john.doe [at] mail [dot] com today", "jane(AT)corp.org", "token=abcdefghijklmnopqrstuvwx ok", "secret: 'qwertyuiopasdfghjklz'", "password=" + "aZ" * 400, "ssn 123-45-6789", "call 555-123-4567 now"]
+    want = ["spelt_email:9:37", "spelt_email:0:16", "secret:0:30", "secret:0:30", "secret:0:809", "digits:4:15", "local_phone:5:17"]
+    alike = ["token=short", "we meet [at] noon", "4111-1111-1111-1112", "300.400.500.600", "12-34-5678", "2024-01-15 10:00"]
+    rows = documents.select("doc_id", "text").union(docs(*[(-1 - k, x) for k, x in enumerate(said + alike)]).select("doc_id", "text"))
+    found = {r["doc_id"]: r["spans"] for r in pii.find(rows).where("doc_id < 0").select("doc_id", pii.written(F.col("spans")).alias("spans")).collect()}
+    assert [found[-1 - k] for k in range(len(found))] == want + [""] * len(alike)
+    assert "checked" not in pii.FEATURES
+
+
 def test_redaction(docs):
     row = pii.redact(docs((1, "mail a@b.cd or 1.2.3.4"), (2, "clean words"))).orderBy("doc_id").collect()
     assert [r["text"] for r in row] == ["mail [email] or [ip]", "clean words"]
