@@ -31,6 +31,12 @@ def _features(s, d):
     return S.account_features(T.ledger(s, d), T.accounts(s, d), T.AS_OF)
 
 
+def _scored(s, d):
+    """Features with graph scores, as in `S.detect`; the SQL of the other score queries holds them at 0."""
+    ledger, accounts = T.ledger(s, d), T.accounts(s, d)
+    return S.score_accounts(S.account_features(ledger, accounts, T.AS_OF, S.graph_scores(ledger, accounts)))
+
+
 def _bools(df):
     return df.select(*[F.col(n).cast("int").alias(n) if t == "boolean" else F.col(n) for n, t in df.dtypes])
 
@@ -89,9 +95,9 @@ QUERIES = {
     "calibrate": lambda s, d: T.accounts(s, d).select("id", S.calibrate(F.col("risk") / 100).alias("calibrated")),
     "ensemble_score": lambda s, d: S.score_accounts(_features(s, d)).select("id", "final_score"),
     "classify_accounts": lambda s, d: S.classify_accounts(S.score_accounts(_features(s, d))).select("id", F.col("is_mule").cast("int").alias("is_mule"), "risk_level", "mule_type", F.array_join("flags", ",").alias("flags")),
-    "explain": lambda s, d: S.explain(_features(s, d)).select("id", "summary", F.size("factors").alias("n_factors")),
+    "explain": lambda s, d: S.explain(_scored(s, d)).select("id", "summary", F.size("factors").alias("n_factors")),
     "alerts": lambda s, d: S.make_alerts(P.fan_in(T.high_value(s, d)).withColumn("pattern", F.lit("fan_in"))),
-    "analyst_report": lambda s, d: S.analyst_report(S.classify_accounts(S.score_accounts(_features(s, d)))),
+    "analyst_report": lambda s, d: S.analyst_report(S.classify_accounts(_scored(s, d))),
     "tree_ensemble_score": lambda s, d: T.accounts(s, d).select("id", F.round(X.tree_ensemble_score(MODEL, ["risk", "age_days", "balance"]), 6).alias("score")),
     "train_tree_model": _train,
     "feedback_by_account": lambda s, d: B.feedback_by_account(T.feedback(s, d)),

@@ -187,3 +187,13 @@ def test_import_window_resumes(spark):
 def test_score_of_one_is_in_no_bin(spark):
     rows = spark.createDataFrame([(1.0, 1), (0.05, 1)], "score double, label int")
     assert A.ece(rows).first()["ece"] == pytest.approx(0.475)
+
+
+def test_reports_and_explanations_know_the_graph(spark):
+    from ledgerwatch.plans import scores
+
+    sf = "/root/testdata/sf0.001"
+    scored = {r["id"]: r["final_score"] for r in scores.QUERIES["detection_run"](spark, sf).collect()}
+    reports = scores.QUERIES["analyst_report"](spark, sf).select("id", F.get_json_object("report", "$.score").cast("double").alias("score"), F.get_json_object("report", "$.network.pagerank_score").cast("double").alias("rank")).collect()
+    assert {r["id"]: r["score"] for r in reports} == scored and max(r["rank"] for r in reports) == 1
+    assert scores.QUERIES["explain"](spark, sf).where("summary like '%pagerank_score%'").count() > 0
