@@ -80,8 +80,8 @@ def _verdicts(s, d):
 QUERIES = {
     "components": lambda s, d: G.components(P.edges(T.high_value(s, d))),
     "communities": lambda s, d: G.communities(T.high_value(s, d), P.edges(T.high_value(s, d))),
-    "modularity_communities": lambda s, d: G.modularity_communities(P.edges(T.high_value(s, d))),
-    "betweenness": lambda s, d: G.betweenness(P.edges(T.high_value(s, d))),
+    "modularity_communities": lambda s, d: G.modularity_communities(P.edges(T.ledger(s, d))),
+    "betweenness": lambda s, d: G.betweenness(P.edges(T.ledger(s, d))),
     "pagerank_risk": lambda s, d: G.pagerank_risk(P.edges(T.ledger(s, d)), T.accounts(s, d)),
     "degree_centrality": lambda s, d: G.degree_centrality(P.edges(T.ledger(s, d)), T.accounts(s, d)),
     "clustering": lambda s, d: G.neighbourhoods(P.edges(T.high_value(s, d))).drop("ego_density"),

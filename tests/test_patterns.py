@@ -197,3 +197,13 @@ def test_reports_and_explanations_know_the_graph(spark):
     reports = scores.QUERIES["analyst_report"](spark, sf).select("id", F.get_json_object("report", "$.score").cast("double").alias("score"), F.get_json_object("report", "$.network.pagerank_score").cast("double").alias("rank")).collect()
     assert {r["id"]: r["score"] for r in reports} == scored and max(r["rank"] for r in reports) == 1
     assert scores.QUERIES["explain"](spark, sf).where("summary like '%pagerank_score%'").count() > 0
+
+
+def test_modularity_and_betweenness_see_the_whole_ledger(spark):
+    from ledgerwatch.plans import scores
+
+    sf = "/root/testdata/sf0.001"
+    pays = T.ledger(spark, sf)
+    ids = {r[0] for r in pays.select("src").union(pays.select("dst")).distinct().collect()}
+    assert {r["id"] for r in scores.QUERIES["modularity_communities"](spark, sf).collect()} == ids
+    assert {r["id"] for r in scores.QUERIES["betweenness"](spark, sf).collect()} == ids
