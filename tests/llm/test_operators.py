@@ -175,7 +175,7 @@ def test_bpe_as_tiktoken(texts):
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng, made = random.Random(4), bpe.codec()
     pick = lambda: chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0x800), rng.randrange(0x4E00, 0x9FFF), rng.randrange(0x1F300, 0x1F700), 32, 10]))
-    for text in [*texts.values(), "", "a" * 500, "=-" * 300, *("".join(pick() for _ in range(rng.randrange(1, 60))) for _ in range(500))]:
+    for text in [*texts.values(), "", "a" * 500, "a" * 9001, "=-" * 300, "anotherwise" * 3000, *("".join(pick() for _ in range(rng.randrange(1, 60))) for _ in range(500))]:
         ids = made.encode(text)
         assert ids == known.encode_ordinary(text) and "".join(made.decode(ids)) == text
 
