@@ -1,18 +1,22 @@
 """Embedding near-dedup over robust-pruned flat graphs.
 
 Vectors of one label are compared with each other. Centres, drawn from a bounded
-sample of each label, cut a label into cells; a vector is at home in its nearest
-cell and a guest in every other whose centre is within `MARGIN` of it in cosine,
-so cells overlap. A cell of more than `SHARD` members is dealt out by a hash into
-shards of that size, whatever their likeness; those at home in the cell search
-each of its shards.
+sample of each label and thinned until none lies close to another, cut a label into
+cells; a vector is at home with its nearest centre and a guest of every other whose
+border with the home it is near. Linked vectors are at most d = sqrt(2 - 2 COSINE)
+apart, so one of the two lies within d / 2 of the border between their homes: no
+link is lost between cells. A cell is dealt out by a hash into shards of about
+`SHARD` members and blocks of as many vectors at home, whatever their likeness;
+each task has one shard and one block that searches it, so none holds a whole cell.
 
 In a shard, overlapping clusters of `CLUSTER` vectors each get a graph: every
 vector keeps its nearest neighbours of the cluster and, further out, those that
-robust pruning leaves. The adjacency lists of the clusters are united, with links
-both ways. A search starts at the medoids, follows the graph greedily with a beam,
-and widens over everything in range: each hit is expanded too. What it finds is
-verified by cosine in double precision.
+robust pruning leaves of its near ones and of a spread over the cluster. The
+adjacency lists of the clusters are united, with links both ways. A search enters
+at the medoids, and at one vector of each group of near ones and of whatever could
+not be reached from there; it follows the graph greedily with a beam, and widens
+over everything in range: each hit is expanded too. What it finds is verified by
+cosine in double precision.
 
 Only counts of links and one link to a root for each vector leave a task, so the
 rows do not grow with the square of a group. `audit` measures the recall of a
@@ -22,8 +26,9 @@ Nulls and edge cases: vectors that are null, empty, zero or hold a null or
 non-finite component, and vectors without a label, link with nothing; vectors of
 different lengths are never compared; a null vec_id links with nothing; rows
 that repeat a vec_id are one vector if their label and components agree, and
-otherwise are told apart by them; other columns are not read; an empty table
-gives no rows.
+otherwise are told apart by them; ties of cosine do not matter, as all in range
+are links; other columns, whatever their names, are not read; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -40,12 +45,18 @@ from .common import checkpoint, components, local_roots, read, whole_groups
 COSINE = 0.98
 #: Vectors at home in a cell, about, and centres of a label at most.
 CELL, CENTRES = 256, 4096
-#: How far below its nearest centre's cosine a vector's guest cells may be, and vectors in a slice of a label.
-MARGIN, SLICE = 0.12, 4096
+#: Half of the distance of the furthest linked vectors: how near a border makes a guest.
+BORDER = float(np.sqrt(2 - 2 * COSINE)) / 2 + 1e-6
+#: Cosine of the nearest two centres of a label, and vectors in a slice of a label.
+APART, SLICE = 0.9, 4096
 SHARD, CLUSTER = 2048, 512
+#: Candidates for a vector's list: its nearest, and a spread over its cluster.
+NEAR, SPREAD = 40, 16
 #: Neighbours kept without pruning, degree at most after pruning, and pruning's slack.
 NEAREST, DEGREE, ALPHA = 6, 24, 1.2
-BEAM, ENTRIES = 24, 8
+BEAM = 24
+#: Rows of cell sizes that may be broadcast.
+FEW = 200_000
 #: Links of a node at most once the lists are united, and queries that move together.
 WIDEST, QUERIES = 64, 256
 
@@ -87,17 +98,22 @@ def cluster_graph(points: np.ndarray) -> np.ndarray:
         return np.full((1, DEGREE), -1, np.int64)
     sims = points @ points.T
     np.fill_diagonal(sims, -2)
-    k = min(n - 1, 48)
+    k = min(n - 1, NEAR)
     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
     near = np.take_along_axis(near, order, 1)
+    if n > NEAR + SPREAD:
+        # a tight group fills the nearest with itself; the spread leads out of it (its own row, at cosine -2, comes last)
+        spread = np.tile(np.linspace(0, n - 1, SPREAD).astype(int), (n, 1))
+        order = np.argsort(-np.take_along_axis(sims, spread, 1), axis=1, kind="stable")
+        near = np.concatenate([near, np.take_along_axis(spread, order, 1)[:, : SPREAD - 1]], axis=1)
     if k < NEAREST:
         return np.pad(near, ((0, 0), (0, DEGREE - k)), constant_values=-1)
     return pruned(near, np.take_along_axis(sims, near, 1), points)
 
 
 def shard_graph(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """United adjacency lists (n, width) of a shard's overlapping clusters, and their medoids."""
+    """United adjacency lists (n, width) of a shard's overlapping clusters, and where searches enter."""
     n = len(points)
     count = -(-2 * n // CLUSTER) if n > CLUSTER else 1
     if count == 1:
@@ -129,7 +145,30 @@ def shard_graph(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b, slot = a[slot < WIDEST], b[slot < WIDEST], slot[slot < WIDEST]
     table = np.full((n, int(slot.max()) + 1), -1, np.int64)
     table[a, slot] = b
-    return table, np.unique(medoids)
+    return table, entries(table, np.unique(medoids), points)
+
+
+def entries(table: np.ndarray, medoids: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The medoids, a vector of each group that is linked in range, and as many more as it takes to reach all others."""
+    n = len(table)
+    a, slot = np.nonzero(table >= 0)
+    b = table[a, slot]
+    close = cosines(points, a, points, b) >= COSINE - 1e-4
+    roots = local_roots(n, a[close], b[close])
+    begin = np.union1d(medoids, roots[roots != np.arange(n)])
+    reached = np.zeros(n, bool)
+    front = begin
+    while True:
+        reached[front] = True
+        near = table[front]
+        near = np.unique(near[near >= 0])
+        front = near[~reached[near]]
+        if not len(front):
+            left = np.flatnonzero(~reached)
+            if not len(left):
+                return begin
+            front = left[:1]
+            begin = np.union1d(begin, front)
 
 
 def cosines(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, at_once: int = 65_536) -> np.ndarray:
@@ -141,8 +180,8 @@ def cosines(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, at_once:
     return out
 
 
-def search(points: np.ndarray, graph: np.ndarray, medoids: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) found in range: beams from the medoids, then every hit is expanded until no new one comes up.
+def search(points: np.ndarray, graph: np.ndarray, begin: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) found in range: beams from the entries, then every hit is expanded until no new one comes up.
 
     All queries of a block move together, one node each a step; a query is done
     when all of its beam and all of its hits have been expanded.
@@ -150,9 +189,7 @@ def search(points: np.ndarray, graph: np.ndarray, medoids: np.ndarray, queries:
     n, q = len(points), len(queries)
     sims = np.full((q, n), -2, np.float32)  # cosines of the nodes seen so far
     expanded = np.zeros((q, n), bool)
-    entries = medoids[np.argsort(-(queries @ points[medoids].T), axis=1, kind="stable")[:, :ENTRIES]] if len(medoids) > ENTRIES else np.tile(medoids, (q, 1))
-    rows = np.arange(q)[:, None]
-    sims[rows, entries] = np.einsum("qd,qed->qe", queries, points[entries])
+    sims[:, begin] = queries @ points[begin].T
     active, beams = np.arange(q), min(BEAM, n)
     while len(active):
         own = sims[active]
@@ -178,75 +215,112 @@ def search(points: np.ndarray, graph: np.ndarray, medoids: np.ndarray, queries:
     return np.nonzero(sims >= least)
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each vector of a shard: links found by and for it, and the root of those links."""
-    for rows in whole_groups(batches, ["label", "cell", "shard"], 1024):
-        out = []
-        for (_, cell, shard), group in rows.groupby(["label", "cell", "shard"], sort=False):
-            vectors = unit(np.frombuffer(b"".join(group["v"]), np.float64).reshape(len(group), -1))
-            member, queries = np.flatnonzero(group["shard_of"] == shard), np.flatnonzero(group["home"] == cell)
-            if not len(member) or not len(queries):
-                continue
-            points = vectors[member].astype(np.float32)
-            graph, medoids = shard_graph(points)
-            found = [[], []]
-            for at in range(0, len(queries), QUERIES):
-                part = queries[at : at + QUERIES]
-                a, b = search(points, graph, medoids, vectors[part].astype(np.float32), COSINE - 1e-4)
-                found[0].append(part[a])
-                found[1].append(member[b])
-            a, b = np.concatenate(found[0]), np.concatenate(found[1])
-            right = (cosines(vectors, a, vectors, b) >= COSINE) & (a != b)
-            a, b = a[right], b[right]
-            # what b's own search will not meet, as a is no guest of b's cell, is counted for b here
-            homes, cells = group["home"].to_numpy(), [set(np.frombuffer(x, np.int64).tolist()) for x in group["guest"]]
-            alone = np.array([homes[y] != cell and homes[y] not in cells[x] for x, y in zip(a, b, strict=True)], bool)
-            copies = group["copies"].to_numpy()
-            links = np.bincount(a, copies[b], len(group)) + np.bincount(b[alone], copies[a[alone]], len(group))
-            nodes = group["node"].to_numpy()
-            order = np.argsort(nodes, kind="stable")
-            rank = np.argsort(order, kind="stable")
-            roots = nodes[order][local_roots(len(nodes), rank[a], rank[b])[rank]]
-            out.append(pd.DataFrame({"node": nodes, "links": links.astype(np.int64), "root": roots})[(links > 0) | (roots != nodes)])
-        if out:
-            yield pd.concat(out)
+def _linked(kind: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each vector of a shard and a block: links found by and for it, and the root of those links."""
+        key = ["label", "cell", "shard", "block"]
+        for rows in whole_groups(batches, key, 1024):
+            out = []
+            for (_, cell, shard, block), group in rows.groupby(key, sort=False):
+                vectors = unit(np.frombuffer(b"".join(group["v"]), kind).astype(np.float64).reshape(len(group), -1))
+                member = np.flatnonzero(group["shard_of"] == shard)
+                queries = np.flatnonzero((group["home"] == cell) & (group["block_of"] == block))
+                if not len(member) or not len(queries):
+                    continue
+                points = vectors[member].astype(np.float32)
+                graph, begin = shard_graph(points)
+                found = [[], []]
+                for at in range(0, len(queries), QUERIES):
+                    part = queries[at : at + QUERIES]
+                    a, b = search(points, graph, begin, vectors[part].astype(np.float32), COSINE - 1e-4)
+                    found[0].append(part[a])
+                    found[1].append(member[b])
+                a, b = np.concatenate(found[0]), np.concatenate(found[1])
+                right = (cosines(vectors, a, vectors, b) >= COSINE) & (a != b)
+                a, b = a[right], b[right]
+                # what b's own search will not meet, as a is no guest of b's cell, is counted for b here
+                homes, cells = group["home"].to_numpy(), [set(np.frombuffer(x, np.int64).tolist()) for x in group["guest"]]
+                alone = np.array([homes[y] != cell and homes[y] not in cells[x] for x, y in zip(a, b, strict=True)], bool)
+                copies = group["copies"].to_numpy()
+                links = np.bincount(a, copies[b], len(group)) + np.bincount(b[alone], copies[a[alone]], len(group))
+                nodes = group["node"].to_numpy()
+                order = np.argsort(nodes, kind="stable")
+                rank = np.argsort(order, kind="stable")
+                roots = nodes[order][local_roots(len(nodes), rank[a], rank[b])[rank]]
+                out.append(pd.DataFrame({"node": nodes, "links": links.astype(np.int64), "root": roots})[(links > 0) | (roots != nodes)])
+            if out:
+                yield pd.concat(out)
+
+    return run
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """The vectors that can link: finite, not zero, with label and vec_id."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding")
+    if "float" not in vectors.schema["embedding"].dataType.simpleString():
+        v = v.cast("array<double>")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.select("vec_id", "label", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & whole).where(F.size("v") > 0)
 
 
-def _celled(part: pd.DataFrame) -> pd.DataFrame:
-    """Home and guest cells of the vectors of one slice of a label, which comes with the label's centres."""
-    centre = part["is_centre"].to_numpy()
-    middle, part = part[centre].sort_values("node"), part[~centre]
-    out = []
-    ids = middle["node"].to_numpy()
-    to = unit(np.stack(middle["v"].to_numpy())).T if len(ids) else None
-    for start in range(0, len(part), 1024):
-        some = part.iloc[start : start + 1024]
-        if to is None:
-            home, cells = np.zeros(len(some), np.int64), [np.zeros(1, np.int64)] * len(some)
-        else:
-            near = unit(np.stack(some["v"].to_numpy())) @ to
-            home, cells = ids[near.argmax(axis=1)], [ids[row >= row.max() - MARGIN] for row in near]
-        packed = {"v": [np.asarray(v, np.float64).tobytes() for v in some["v"]], "guest": [c.tobytes() for c in cells]}
-        out.append(pd.DataFrame({"node": some["node"], "label": some["label"], "copies": some["copies"], "home": home, "cells": cells, **packed}))
-    none = {"node": "int64", "label": "int64", "copies": "int64", "home": "int64", "cells": object, "v": object, "guest": object}
-    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in none.items()})
+def thinned(centres: np.ndarray) -> np.ndarray:
+    """Which of the centres stay, in their order: those not closer than APART to one that stays."""
+    stay: list[int] = []
+    for k in range(len(centres)):
+        if not stay or (centres[stay] @ centres[k]).max() < APART:
+            stay.append(k)
+    return np.array(stay, int)
+
+
+def _celled(kind: str):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        """Home and guest cells of the vectors of one slice of a label, which comes with the label's centres."""
+        centre = part["is_centre"].to_numpy()
+        middle, part = part[centre].sort_values("node"), part[~centre]
+        out = []
+        if len(middle):
+            to = unit(np.stack(middle["v"].to_numpy()).astype(np.float64))
+            stay = thinned(to)
+            ids, to = middle["node"].to_numpy()[stay], to[stay]
+        for start in range(0, len(part), 1024):
+            some = part.iloc[start : start + 1024]
+            if not len(middle):
+                home, cells = np.zeros(len(some), np.int64), [np.zeros(1, np.int64)] * len(some)
+            else:
+                near = unit(np.stack(some["v"].to_numpy()).astype(np.float64)) @ to.T
+                best = near.argmax(axis=1)
+                # |home - centre|, by which the difference of the cosines is the distance from the border
+                wide = np.sqrt(np.maximum(2 - 2 * (to[best] @ to.T), 0))
+                guest = near.max(axis=1)[:, None] - near <= BORDER * wide
+                guest[np.arange(len(some)), best] = True
+                home, cells = ids[best], [ids[row] for row in guest]
+            packed = {"v": [np.asarray(v, kind).tobytes() for v in some["v"]], "guest": [c.tobytes() for c in cells]}
+            out.append(pd.DataFrame({"node": some["node"], "label": some["label"], "copies": some["copies"], "home": home, "cells": cells, **packed}))
+        none = {"node": "int64", "label": "int64", "copies": "int64", "home": "int64", "cells": object, "v": object, "guest": object}
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in none.items()})
+
+    return run
+
+
+def small(sizes: DataFrame) -> DataFrame:
+    """Counts to join with: broadcast if they are few, else shuffled as any other table."""
+    sizes = checkpoint(sizes)
+    return F.broadcast(sizes) if sizes.count() <= FEW else sizes
+
+
+def packed_as(member: DataFrame) -> str:
+    """The numpy type that keeps the components as they are."""
+    return "<f4" if "float" in member.schema["v"].dataType.simpleString() else "<f8"
 
 
 def celled(member: DataFrame) -> DataFrame:
     """Vectors with their home and guest cells.
 
     About one vector in CELL of a label, CENTRES at most, is drawn by hash as a
-    centre. Each label is cut into slices by its size, and every slice gets the
+    centre; every slice thins them alike. Each label is cut into slices by its size, and every slice gets the
     centres, so that no task holds more than a bounded part of a label.
     """
-    sizes = member.groupBy("label").agg(F.count("*").alias("size"))
+    sizes = small(member.groupBy("label").agg(F.count("*").alias("size")))
     slices = F.greatest(F.lit(1), F.ceil(F.col("size") / SLICE)).cast("int")
     sized = member.join(sizes, "label")
     rate = F.least(F.ceil(F.col("size") / CELL), F.lit(CENTRES)) / F.col("size")
@@ -255,7 +329,7 @@ def celled(member: DataFrame) -> DataFrame:
     cut = sized.withColumn("slice", F.pmod(F.xxhash64("node"), slices).cast("int"))
     both = cut.withColumn("is_centre", F.lit(False)).union(middle.withColumn("is_centre", F.lit(True))).drop("size")
     schema = "node long, label long, copies long, home long, cells array<long>, v binary, guest binary"
-    return both.groupBy("label", "slice").applyInPandas(_celled, schema=schema)
+    return both.groupBy("label", "slice").applyInPandas(_celled(packed_as(member)), schema=schema)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -268,24 +342,28 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = checkpoint(nodes.withColumn("node", F.xxhash64(*key)))
     member = nodes.select("node", F.xxhash64("label", "size").alias("label"), "v", "copies")
     spread = checkpoint(celled(member))
-    cell = F.explode("cells").alias("cell")
-    placed = spread.select("*", cell).drop("cells")
-    sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("size"))
-    placed = placed.join(sizes, ["label", "cell"])
-    shards = F.greatest(F.lit(1), F.ceil(F.col("size") / SHARD)).cast("int")
-    placed = placed.withColumn("shard_of", F.pmod(F.xxhash64("node", F.lit(3)), shards).cast("int"))
-    # the home vectors of a cell are queries to each of its shards, its guests are members of one
-    reach = F.when(F.col("home") == F.col("cell"), F.sequence(F.lit(0), shards - 1)).otherwise(F.array("shard_of"))
-    placed = placed.withColumn("shard", F.explode(reach))
-    placed = placed.select("label", "cell", "shard", "shard_of", "home", "guest", "node", "copies", "v").repartition("label", "cell", "shard").sortWithinPartitions("label", "cell", "shard")
-    links = checkpoint(placed.mapInPandas(_linked, schema="node long, links long, root long"))
+    at_home = F.col("home") == F.col("cell")
+    placed = spread.select("*", F.explode("cells").alias("cell")).drop("cells")
+    placed = placed.join(small(placed.groupBy("label", "cell").agg(F.count("*").alias("size"), F.count_if(at_home).alias("homes"))), ["label", "cell"])
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / SHARD)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), parts(n)).cast("int")
+    placed = placed.withColumns({"shard_of": own("size"), "block_of": F.when(at_home, own("homes"))})
+    # every shard meets every block; a vector at home goes to all shards as a query and to all blocks as a member, a guest is a member alone
+    pair = lambda shard, block: F.struct(shard.alias("shard"), block.alias("block"))
+    as_member = F.transform(F.sequence(F.lit(0), parts("homes") - 1), lambda j: pair(F.col("shard_of"), j))
+    as_query = F.transform(F.sequence(F.lit(0), parts("size") - 1), lambda i: pair(i, F.col("block_of")))
+    placed = placed.select("*", F.inline(F.when(at_home, F.array_union(as_member, as_query)).otherwise(as_member)))
+    task = ["label", "cell", "shard", "block"]
+    placed = placed.select(*task, "shard_of", "block_of", "home", "guest", "node", "copies", "v").repartition(*task).sortWithinPartitions(*task)
+    links = checkpoint(placed.mapInPandas(_linked(packed_as(member)), schema="node long, links long, root long"))
     final = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     per = nodes.select(*key, "node", "least", "copies").join(counts, "node", "left").join(final, "node", "left")
     per = per.withColumn("component", F.coalesce("component", "node"))
     per = per.join(per.groupBy("component").agg(F.min("least").alias("component_id")), "component")
     per = per.select(*key, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id")
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    v = F.col("embedding").cast(good.schema["v"].dataType)
+    rows = vectors.select("vec_id", "label", v.alias("v"))
     rows = rows.select("vec_id", "label", F.size("v").alias("size"), F.xxhash64("v").alias("one"), F.hash("v").alias("two"))
     out = rows.join(per, key, "left")
     n = F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long")

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -45,6 +46,56 @@ def test_vectors_against_brute_force(spark):
     assert vectors.audit(table, found, 7) == 1.0
 
 
+def tight_groups(rng, sizes, dim=16, noise=0.02):
+    return np.concatenate([rng.normal(size=dim) + rng.normal(size=(n, dim)) * noise for n in sizes]).astype(np.float32)
+
+
+def brute_links(every, labels):
+    unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(linked, False)
+    roots = common.local_roots(len(every), *np.nonzero(linked))
+    return {k: (int(linked[k].sum()), int(roots[k])) for k in range(len(every))}
+
+
+@pytest.mark.parametrize("sizes", [[65, 65, 65], [50, 120, 500, 80, 3, 1, 1], [900, 700]])
+def test_vectors_in_tight_groups(spark, monkeypatch, sizes):
+    monkeypatch.setattr(vectors, "SHARD", 400)  # the blocks of a cell too
+    every = tight_groups(np.random.default_rng(len(sizes)), sizes)
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(every)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(table).collect()}
+    assert got == brute_links(every, np.ones(len(every)))
+
+
+def test_near_copies_share_one_cell(spark):
+    rows = []
+    for n in (1000, 4000):
+        every = tight_groups(np.random.default_rng(n), [n])
+        member = spark.createDataFrame([(k, 1, v.tolist(), 1) for k, v in enumerate(every)], "node long, label long, v array<float>, copies long")
+        rows.append(vectors.celled(member).select(F.sum(F.size("cells"))).first()[0] / n)
+    assert rows == [1, 1]
+
+
+def test_every_close_pair_meets_in_a_cell():
+    rng = np.random.default_rng(8)
+    x = vectors.unit(rng.normal(size=(3000, 24)))
+    x = np.concatenate([x, vectors.unit(x + rng.normal(size=x.shape) * 0.03)])
+    part = pd.DataFrame({"node": range(len(x)), "label": 1, "copies": 1, "v": list(x), "is_centre": False})
+    centres = part.sample(40, random_state=1).assign(is_centre=True)
+    out = vectors._celled("<f8")(pd.concat([part, centres])).set_index("node")
+    cells = [set(c.tolist()) for c in out["cells"].loc[range(len(x))]]
+    homes = out["home"].loc[range(len(x))].tolist()
+    close = [k for k in range(3000) if x[k] @ x[k + 3000] >= vectors.COSINE]
+    assert len(close) > 500 and all(homes[k] in cells[k + 3000] or homes[k + 3000] in cells[k] for k in close)
+
+
+def test_repeated_vec_ids_and_ties(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 3.0], 1), (3, [0.0, 3.0], 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(table).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 1, 1)]
+
+
 def test_mix_comes_near_its_targets(documents):
     rows = mixing.mix(documents, block=64).toPandas()
     rows["taken"] = rows["copies"] * rows["size"]
