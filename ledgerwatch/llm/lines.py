@@ -3,14 +3,19 @@
 A document is a sequence of lines that are not blank. Of every `run` neighbouring
 lines the one with the least hash is a fingerprint, so two documents that share a
 run of that length are certain to share its fingerprint. Fingerprints that occur
-once are dropped; the positions of the others are joined and extended both ways
-to every run of `run` lines that holds them. A run whose lines occurred before, in
-the order of doc_id and place, is deleted; neighbouring runs together make up the
-whole of a longer repeat. Blank lines belong to no run and stay. With `long`, a
-line of more words than that is a run of its own too, whatever stands around it.
-
-Only hashes travel until the end, when the places to delete meet their texts. No
-pairs are formed: each run looks up its first place.
+once are dropped. The positions of the others are joined with the first place, in
+the order of doc_id and place, of each run of `run` lines that holds them; matches
+that go on along the same places of the same two documents are extended both ways
+to one repeat. Repeats are deleted where they come later. Blank lines belong to no
+run and stay. With `long`, a line of more words than that is a run of its own too,
+whatever stands around it.
+
+A line of a run that occurred before is thereby deleted, wherever the first places
+of the runs it belongs to are: the longest repeats of all its documents together.
+Only hashes travel until the end, when the places to delete meet their texts: lines
+are told apart by 96 bits each, and runs by 96 bits made of those. No pairs are
+formed: each run looks up its first place. Runs that are everywhere are dealt out
+by their documents to `SALTS` tasks each.
 
 Nulls and edge cases: a null text stays null; an empty text has one (blank) line;
 a null doc_id comes last in order; rows that agree in doc_id and text are one
@@ -21,13 +26,15 @@ over keeps one); other columns are kept as they are; an empty table gives no row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, words
 
 #: The least number of lines that counts as a repeat.
 RUN = 2
+#: Tasks that share the places of one run.
+SALTS = 16
 #: A line of more words than this is a passage, which is a repeat on its own (in the pipeline; the SQL of op8_line_dedup knows runs only).
 PASSAGE = 50
 
@@ -41,9 +48,28 @@ def passages(docs: DataFrame, long: int) -> DataFrame:
     return docs.where(F.length("text") > 2 * long).select("doc_id", F.xxhash64("text").alias("mark"), F.inline(found)).drop("x")
 
 
+def repeats(docs: DataFrame, run: int = RUN, long: int | None = None) -> DataFrame:
+    """(doc_id, mark, first_doc_id, first_mark, start, first_start, n_lines, places array<int>): each later repeat, extended as far as it goes.
+
+    `mark` is a hash of the text; starts count lines that are not blank, `places` all lines.
+    """
+    met = _matched(docs, run, long)
+    along = Window.partitionBy("doc_id", "mark", "first", "shift").orderBy("at", "width")
+    # places of one repeat follow on each other: its runs overlap, or a line of its own lies next to them
+    begins = F.coalesce(F.col("at") > F.max(F.col("at") + F.col("width")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    met = met.withColumn("repeat", F.sum(begins.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = met.groupBy("doc_id", "mark", "first", "shift", "repeat").agg(F.min("at").alias("start"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    return whole.select("doc_id", "mark", F.col("first.doc_id").alias("first_doc_id"), F.col("first.mark").alias("first_mark"), "start", (F.col("start") - F.col("shift")).alias("first_start"), F.size("places").alias("n_lines"), "places")
+
+
 def repeated_lines(docs: DataFrame, run: int = RUN, long: int | None = None) -> DataFrame:
     """(doc_id, mark, gone array<int>): the lines to delete of each document that has any; `mark` is a hash of the text."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.when(F.trim(x) != "", F.xxhash64(x)).alias("h"))), lambda s: s["h"].isNotNull())
+    return repeats(docs, run, long).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("gone"))
+
+
+def _matched(docs: DataFrame, run: int, long: int | None) -> DataFrame:
+    """(doc_id, mark, at, width, places, first struct, shift): every run that has an earlier place, with its first one."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.when(F.trim(x) != "", F.xxhash64(x)).alias("h"), F.hash(x).alias("c"))), lambda s: s["h"].isNotNull())
     hashed = docs.select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("lines")).where(F.size("lines") >= run).dropDuplicates(["doc_id", "mark"])
     last = F.size("lines") - run
 
@@ -61,7 +87,7 @@ def repeated_lines(docs: DataFrame, run: int = RUN, long: int | None = None) ->
     def piece(k):
         window = F.slice("near", k + 1, run)
         hashes = F.transform(window, lambda x: x["h"])
-        return F.struct((F.col("start") + k).alias("at"), F.xxhash64(hashes).alias("key"), F.hash(hashes).alias("check"), F.transform(window, lambda x: x["i"]).alias("places"))
+        return F.struct((F.col("start") + k).alias("at"), F.xxhash64(hashes).alias("key"), F.hash(F.transform(window, lambda x: x["c"])).alias("check"), F.transform(window, lambda x: x["i"]).alias("places"))
 
     runs = near.where(F.size("near") >= run).select("doc_id", "mark", F.inline(F.transform(F.sequence(F.lit(0), F.size("near") - run), piece)))
     runs = runs.withColumn("width", F.lit(run))
@@ -69,9 +95,13 @@ def repeated_lines(docs: DataFrame, run: int = RUN, long: int | None = None) ->
         runs = runs.union(passages(docs, long).withColumn("width", F.lit(1)))
     runs = runs.dropDuplicates(["doc_id", "mark", "at", "width"])
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "at")
-    first = runs.groupBy("width", "key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = runs.join(first, ["width", "key", "check"]).where(place != F.col("first"))
-    return again.select("doc_id", "mark", F.explode("places").alias("line")).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))
+    # a run that is everywhere is counted and looked up in parts
+    runs = runs.withColumn("salt", F.pmod(F.hash("doc_id", "mark"), F.lit(SALTS)))
+    parts = runs.groupBy("width", "key", "check", "salt").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    first = parts.groupBy("width", "key", "check").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
+    again = runs.join(first.select("width", "key", "check", "first", F.explode("salts").alias("salt")), ["width", "key", "check", "salt"]).where(place != F.col("first"))
+    again = again.select("doc_id", "mark", "at", "width", "places", F.struct("first.last", "first.doc_id", "first.mark").alias("first"), (F.col("at") - F.col("first.at")).alias("shift"))
+    return again.repartition("doc_id", "mark")
 
 
 def without_repeats(docs: DataFrame, run: int = RUN, long: int | None = None) -> DataFrame:
