@@ -111,10 +111,53 @@ def test_targets_stop_at_three_times_the_source(docs):
     assert goal["a"] == pytest.approx(30) and goal["b"] == pytest.approx(180 * 2 / 3) and goal[None] == pytest.approx(180 / 3)
 
 
+def brute_targets(sizes):
+    """Shares by weight with the excess over three times a source reshared, by bisection of the level."""
+    order = sorted(sizes, key=lambda k: (k is None, k or ""))
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
+    low, high = 0.0, 3.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * sizes[k], level * weight[k]) for k in order) < sum(sizes.values()) else (low, level)
+    return {k: min(3 * sizes[k], high * weight[k]) for k in order}
+
+
+def test_targets_and_sizes_against_brute_force(documents):
+    rows = documents.select("doc_id", "source", "text").collect()
+    size = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in rows}
+    source = {r["doc_id"]: r["source"] for r in rows}
+    total = {s: sum(size[k] for k in size if source[k] == s) for s in set(source.values())}
+    goal = brute_targets(total)
+    found = mixing.mix(documents).collect()
+    assert {r["doc_id"]: r["size"] for r in found} == size and all(r["source_size"] == total[r["source"]] for r in found)
+    assert all(r["target"] == pytest.approx(goal[r["source"]], rel=1e-9) for r in found)
+
+
+def test_targets_of_many_sources(docs):
+    rng = random.Random(5)
+    sizes = {f"s{k:03d}": rng.choice([1, 5, 40, 300, 2000]) for k in range(60)} | {None: 77}
+    rows = docs(*[(k, "a " * n, "en", s) for k, (s, n) in enumerate(sizes.items())])
+    goal, want = {r["source"]: r["target"] for r in mixing.targets(mixing.sizes(rows)).collect()}, brute_targets(sizes)
+    assert goal == {k: pytest.approx(want[k], rel=1e-9) for k in want}
+
+
+def test_rows_alike_share_their_copies(docs):
+    rows = docs(*[(1, "a b c", "en", "a")] * 3000, *[(k, "x y z w", "en", "b") for k in range(500)])
+    found = mixing.mix(rows, block=64).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert {r["source"]: r["n"] for r in found} == {"a": 3000, "b": 500} and all(abs(r["taken"] - r["target"]) <= 8 and r["most"] <= 3 for r in found)
+
+
+def test_flight_is_fair():
+    rng = np.random.default_rng(3)
+    p, size = rng.random(40), rng.integers(1, 60, 40).astype(float)
+    mean = np.mean([mixing.flight(p, size, seed) for seed in range(4000)], axis=0)
+    assert abs(mean - p).max() < 0.05
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(1)
     p, size = rng.random(500), rng.integers(1, 3000, 500).astype(float)
-    after = mixing.flight(p, size)
+    after = mixing.flight(p, size, 0)
     assert after.sum() == pytest.approx(p.sum(), abs=1e-5) and (after * size).sum() == pytest.approx((p * size).sum(), abs=1e-2)
     assert ((after > 0) & (after < 1)).sum() <= 2
 
@@ -246,6 +289,36 @@ def test_repeated_runs_go_and_single_lines_stay(docs):
     assert [r["text"] for r in lines.without_repeats(rows).orderBy("doc_id").collect()] == ["a\nb\nc\nd", "x\ny", "q\nb\nz", "r\n\n"]
 
 
+def test_repeats_are_extended_both_ways(docs):
+    rows = docs((1, "a\nb\nc\nd\ne"), (2, "x\nb\n\nc\nd\ny\na\nb"), (3, "c\nd\ne\nx\nb\nc"), (None, "q\nx\nb"))
+    found = [(r["doc_id"], r["first_doc_id"], r["start"], r["first_start"], r["places"]) for r in lines.repeats(rows).collect()]
+    want = [(2, 1, 1, 1, [1, 3, 4]), (2, 1, 5, 0, [6, 7]), (3, 1, 0, 2, [0, 1, 2]), (3, 2, 3, 0, [3, 4]), (3, 1, 4, 1, [4, 5]), (None, 2, 1, 0, [1, 2])]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def brute_repeats(texts, run):
+    """Every line of a run that stands at an earlier place."""
+    held, out = {}, {}
+    for doc_id in sorted(texts):
+        every = texts[doc_id].split("\n")
+        filled = [k for k, x in enumerate(every) if x.strip(" ")]
+        gone = set()
+        for at in range(len(filled) - run + 1):
+            window = tuple(every[k] for k in filled[at : at + run])
+            if held.setdefault(window, (doc_id, at)) != (doc_id, at):
+                gone.update(filled[at : at + run])
+        out[doc_id] = "\n".join(x for k, x in enumerate(every) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("run", [2, 3])
+def test_repeats_against_brute_force(docs, run):
+    rng = random.Random(run)
+    texts = {k: "\n".join(rng.choice(["a", "b", "c", "d", "", "long line"]) for _ in range(rng.randrange(12))) for k in range(60)}
+    found = lines.without_repeats(docs(*texts.items()), run)
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == brute_repeats(texts, run)
+
+
 def test_running_sums(spark):
     values = list(range(1, 1000))
     row = spark.createDataFrame([(values,), ([],)], "v array<int>").select(common.running_sums(F.col("v")).alias("s")).collect()
