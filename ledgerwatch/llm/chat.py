@@ -15,9 +15,9 @@ Tokens to learn from are those of assistant texts. They are given as spans of
 code points in the formatted text, and read back from there.
 
 Nulls and edge cases: a null role or text is empty; rows without a turn number
-come first, ties of turn are ordered by role, then text; rows without a
-conv_id form one conversation; repeated rows are repeated turns; an empty table
-gives no rows; other columns are not read. A conversation is one text, so one
+come first, ties of turn are ordered by role, then text; each row without a
+conv_id is a conversation of its own; repeated rows are repeated turns; an empty
+table gives no rows; other columns, whatever their names, are not read. A conversation is one text, so one
 row: it is as long as its turns.
 """
 
@@ -98,7 +98,8 @@ def loss_spans(formatted: Column) -> Column:
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns, formatted, level, loss_spans): a row for each conversation."""
     turn = F.struct("turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")])
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = rows.select("conv_id", "turn", "role", "text", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own"))
+    convs = rows.groupBy("conv_id", "own").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     convs = convs.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     good = lambda text: (parse(text) == F.col("turns")) & clean(text)
     convs = convs.withColumn("formatted", render(F.col("turns"), 0)).withColumn("level", F.lit(0))
@@ -132,15 +133,15 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: turns and losses straight from the source; only the length of the formatted text needs the escaping rules.
 ORACLE = """
 WITH src AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, NULL, 0, 'user', '</s>[INST] ok [/INST]'), (-7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), flagged AS (
   SELECT *, replace(role, '</s>', '') || replace(text, '</s>', '') AS both,
     contains(role || chr(10) || text, '</s>') OR contains(role || chr(10) || text, '<s>') OR contains(role || chr(10) || text, '<s1>')
       OR contains(role || chr(10) || text, '<s2>') OR contains(role || chr(10) || text, '[INST]') OR contains(role || chr(10) || text, '[/INST]') AS conflict
   FROM src
 ), levelled AS (
-  SELECT *, CASE WHEN bool_or(conflict) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS level FROM flagged
+  SELECT *, CASE WHEN bool_or(conflict) OVER (PARTITION BY conv_id, own) THEN 1 ELSE 0 END AS level FROM flagged
 ), written AS (
   SELECT *, CASE WHEN level = 0 THEN role || text ELSE
     replace(replace(replace(replace(replace(replace(replace(role || chr(10) || text, '&', '&amp;'), '</s>', '&lt;/s>'), '<s>', '&lt;s>'),
@@ -153,5 +154,5 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(17 + length(escaped) - level) + 3 + max(level) AS BIGINT) AS formatted_chars,
   max(level) AS level
-FROM written GROUP BY conv_id
+FROM written GROUP BY conv_id, own
 """
