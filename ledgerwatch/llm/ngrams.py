@@ -264,11 +264,12 @@ def grouped_documents(docs: DataFrame, *also: str) -> DataFrame:
     links = checkpoint(blocks.mapInPandas(_verified, schema="node long, links long, root long"))
     final = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    per = classes.select("node", "least", "copies").join(counts, "node", "left").join(final, "node", "left")
+    per = classes.select("node", "check", "least", "copies").join(counts, "node", "left").join(final, "node", "left")
     per = per.withColumn("component", F.coalesce("component", "node"))
     least = per.groupBy("component").agg(F.min("least").alias("class_id"))
-    per = per.join(least, "component").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", F.col("component").alias("group"))
-    out = described.select("doc_id", *also, "node", "n").join(per, "node", "left")
+    per = per.join(least, "component").select("node", "check", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", F.col("component").alias("group"))
+    # by both hashes: sets that share one are still two classes
+    out = described.select("doc_id", *also, "node", "check", "n").join(per, ["node", "check"], "left")
     return out.select("doc_id", *also, F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.col("n").cast("long").alias("n_shingles"), "group")
 
 
