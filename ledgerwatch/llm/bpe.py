@@ -38,6 +38,7 @@ from contextlib import contextmanager
 from functools import cache
 from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -377,23 +378,27 @@ def slices(batch: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame
         yield rows
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, and decoded again from its ids."""
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, and decoded again from its ids; `with_ids` adds ids array<int>."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with at_work(path, pattern) as made:
             for batch in batches:
-                rows = []
-                for text in batch["text"]:
-                    ids = made.encode(text or "")
-                    read_back = hashlib.sha256()
-                    for part in made.decode(ids):
-                        read_back.update(part.encode())
-                    rows.append((len(ids), hashlib.sha256(",".join(map(made.names.__getitem__, ids)).encode()).hexdigest(), read_back.hexdigest()))
-                yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
+                for part in slices(batch):
+                    rows = []
+                    for text in part["text"]:
+                        ids = made.encode(text or "")
+                        read_back = hashlib.sha256()
+                        for piece in made.decode(ids):
+                            read_back.update(piece.encode())
+                        row = (len(ids), hashlib.sha256(",".join(map(made.names.__getitem__, ids)).encode()).hexdigest(), read_back.hexdigest())
+                        rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
+                    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+                    yield pd.concat([part[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names if with_ids else names[:3])], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, schema=f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInPandas(run, schema=schema + (", ids array<int>" if with_ids else ""))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,6 +259,11 @@ def test_chat_conflicts_come_back(spark):
     assert found[2]["formatted"][span["start"] : span["end"]] == "a & b < c [x]"
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = spark.createDataFrame([(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (4, 0, "user", "z")], "conv_id long, turn long, role string, text string")
+    assert sorted(len(r["turns"]) for r in chat.format_conversations(rows).collect()) == [1, 1, 1, 1]
+
+
 def test_licences_near_the_threshold(docs):
     rows = licences.scan(docs((1, "x\nReleased  under the MIT license!"), (2, "mit der license"), (3, "\n".join(licences.TEMPLATES[3][1].split(", "))), (4, "Licensed under CC BY-NC 4.0."))).collect()
     assert {(r["doc_id"], r["unit"], r["licence"]) for r in rows} == {(1, "line", "MIT"), (1, "paragraph", "MIT"), (3, "paragraph", "MIT"), (4, "line", "CC-BY-NC-4.0")}
@@ -325,6 +330,25 @@ def test_running_sums(spark):
     assert row[0]["s"] == [0, *np.cumsum(values).tolist()] and row[1]["s"] == [0]
 
 
+def test_ngrams_of_long_texts_do_not_depend_on_the_pieces(monkeypatch):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdé 1.") for _ in range(3 * language.PIECE // 2))
+    whole = np.zeros(language.BUCKETS, int)
+    for rows in language.ngram_rows(text):
+        whole += np.bincount(rows, minlength=language.BUCKETS)
+    for piece in (1000, 10**7):
+        monkeypatch.setattr(language, "PIECE", piece)
+        again = np.zeros(language.BUCKETS, int)
+        for rows in language.ngram_rows(text):
+            again += np.bincount(rows, minlength=language.BUCKETS)
+        assert (again == whole).all()
+
+
+def test_bpe_ids_beside_the_digests(docs):
+    row = bpe.digests(docs((1, "hello there, hello")), with_ids=True).first()
+    assert len(row["ids"]) == row["n_tokens"] and hashlib.sha256(",".join(map(str, row["ids"])).encode()).hexdigest() == row["ids_sha256"]
+
+
 def test_language_held_out_accuracy(documents):
     model = language.train(language.sample(documents.where(~language.held_out())))
     rows = language.predict(documents.where(language.held_out() & F.col("lang").isNotNull()), model).select("lang", "lang_pred", "rejected").collect()
