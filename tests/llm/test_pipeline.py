@@ -30,7 +30,7 @@ def test_stages_in_order(spark):
 
 def test_run(spark):
     rows = P.run(spark, SF)
-    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
+    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and rows.where("size(ids) != n_tokens").count() == 0 and rows.count() > 0
     assert [name for name, _ in P.STAGES][0] == "language ID" and len(P.STAGES) == 5
 
 
@@ -70,3 +70,19 @@ def test_low_quantiles_of_few_and_many():
     tail = [language.low_quantile(1 / (1 + np.exp(rng.exponential(0.5, 200) - 4)), 0.001) for _ in range(50)]
     assert np.mean(1 / (1 + np.exp(np.log(1000) * 0.5 - 4)) - tail) == pytest.approx(0, abs=0.1)
     assert language.low_quantile(np.zeros(0), 0.001) == 0
+
+
+def test_odd_rows_in_every_stage(spark, docs):
+    long = "many words of one text follow on each other here " * 6000
+    rows = [(None, "plain words of a text that no one else has written so far", "en", None), (1, None), (2, ""), (3, "a"), (3, "a"), (4, "\n\n"), (5, long), (6, "é😀\t\x0b ok"), (7, "some text here\nand there", None, None)]
+    odd = docs(*rows).withColumns({c: F.lit(7) for c in ("node", "bands", "gone", "key", "copies", "target", "lang_pred", "__n")})
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    found = {name: stage(spark, odd, SF) for name, stage in P.STAGES}
+    assert all(df.columns == columns for df in list(found.values())[:-1])
+    ids = {name: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str) for name, df in found.items()}
+    # no letter, no language; the one repeated row is a copy; a document without words counts for nothing and is kept
+    assert not {1, 2, 4} & set(ids["language ID"])
+    assert ids["line dedup"] == sorted([None, 1, 2, 3, 3, 4, 5, 6, 7], key=str) and ids["n-gram Jaccard join"] == sorted([None, 1, 2, 3, 4, 5, 6, 7], key=str)
+    assert {1, 2, 4} <= set(ids["mixing sources to target weights"]) and ids["byte-level BPE encoding and decoding"] == ids["line dedup"]
+    assert {r["n_tokens"] for r in found["byte-level BPE encoding and decoding"].where("doc_id in (1, 2)").collect()} == {0}
+    assert [df.count() for df in (stage(spark, odd.limit(0), SF) for _, stage in P.STAGES)] == [0] * 5
