@@ -1,7 +1,10 @@
 """Licence scans by Dice coefficient over word bigrams, in DataFrame functions only.
 
-A text is scanned as a whole, paragraph by paragraph (separated by blank lines)
-and line by line. Each unit is normalised to lower-case ASCII words; its set of
+A text is scanned as a whole, paragraph by paragraph (separated by blank lines),
+line by line and, where a sentence is no line or paragraph of its own, sentence by
+sentence.
+Templates are whole licences, the headers of source files, and the sentences of
+both that say which licence it is. Each unit is normalised to lower-case ASCII words; its set of
 word bigrams is compared with that of each template by Dice = 2 |A and B| /
 (|A| + |B|). A Dice of t needs sizes with t / (2 - t) <= |A| / |B| <= (2 - t) / t,
 which rules most templates out. Bigrams find their templates in a broadcast table
@@ -29,7 +32,7 @@ from .common import read
 THRESHOLD = 0.8
 
 #: Names and notices by which licences are declared. A constant list: it does not grow with the data.
-TEMPLATES = (
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -58,8 +61,20 @@ TEMPLATES = (
         "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
@@ -71,7 +86,96 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    (
+        "Apache-2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, "
+        "royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and "
+        "distribute the Work and such Derivative Works in Source or Object form.",
+    ),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+
+#: The bodies of whole licences, without title and copyright line, and the headers that follow a notice.
+MIT_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+    "IN THE SOFTWARE."
+)
+ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies.",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 )
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_BINARY = (
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+BSD_REST = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+    "DAMAGE."
+)
+APACHE_REST = (
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+    "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under "
+    "the License."
+)
+GNU_REST = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} Public License for more details. You should have received a copy of the GNU {0} Public License along "
+    "with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+UNLICENSE_REST = (
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
+    "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the "
+    "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to "
+    "this software under copyright law."
+)
+ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+    "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you "
+    "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+    "required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be "
+    "removed or altered from any source distribution."
+)
+
+
+def _whole() -> tuple[tuple[str, str], ...]:
+    """Whole licences and headers, put together from their parts."""
+    by_name = {name: text for name, text in NOTICES if len(text) > 150 and name != "MIT"}
+    apache = next(text for name, text in NOTICES if name == "Apache-2.0" and "may obtain" in text)
+    return (
+        ("MIT", MIT_GRANT), ("MIT", f"{MIT_GRANT} {MIT_REST}"), ("ISC", ISC[0]), ("ISC", " ".join(ISC)),
+        ("BSD", BSD_GRANT), ("BSD", BSD_SOURCE), ("BSD", BSD_BINARY), ("BSD-3-Clause", BSD_NAMES),
+        ("BSD-2-Clause", " ".join((BSD_GRANT, "1.", BSD_SOURCE, "2.", BSD_BINARY))), ("BSD-2-Clause", " ".join((BSD_GRANT, "1.", BSD_SOURCE, "2.", BSD_BINARY, BSD_REST))),
+        ("BSD-3-Clause", " ".join((BSD_GRANT, "1.", BSD_SOURCE, "2.", BSD_BINARY, "3.", BSD_NAMES))), ("BSD-3-Clause", " ".join((BSD_GRANT, "1.", BSD_SOURCE, "2.", BSD_BINARY, "3.", BSD_NAMES, BSD_REST))),
+        ("Apache-2.0", f"{apache} {APACHE_REST}"), ("Unlicense", UNLICENSE_REST), ("Unlicense", f"This is free and unencumbered software released into the public domain. {UNLICENSE_REST}"), ("Zlib", ZLIB),
+        *((name, f"{by_name[name]} {GNU_REST.format(kind)}") for name, kind in (("GPL-3.0-or-later", "General"), ("GPL-2.0-or-later", "General"), ("LGPL-2.1-or-later", "Lesser General"), ("AGPL-3.0-or-later", "Affero General"))),
+    )
+
+
+TEMPLATES = NOTICES + _whole()
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -120,15 +224,18 @@ def bigram_table(spark: SparkSession, templates: tuple[tuple[str, str], ...], th
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, unit, position, part): lines, paragraphs of several lines, and texts of several paragraphs."""
+    """(doc_id, mark, unit, position, part): lines, sentences that are neither lines nor paragraphs, paragraphs of several lines, and texts of several paragraphs."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("text is not null")
     paragraphs = F.split("text", r"\n[ \t]*\n", -1)
 
     def tagged(kind: str, parts: Column) -> Column:
         return F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("position"), p.alias("part")))
 
+    lines = F.split("text", "\n", -1)
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, r"([.!?])[ \t\n]+", "$1\x01"), "\x01", -1)))
     each = [
-        tagged("line", F.split("text", "\n", -1)),
+        tagged("line", lines),
+        F.filter(tagged("sentence", sentences), lambda s: ~F.array_contains(F.concat(lines, paragraphs), s["part"])),
         F.filter(tagged("paragraph", paragraphs), lambda s: F.contains(s["part"], F.lit("\n"))),
         F.when(F.size(paragraphs) > 1, tagged("text", F.array("text"))),
     ]
@@ -162,8 +269,10 @@ def _oracle() -> str:
     return f"""
 WITH templates AS (SELECT k, licence, {grams} AS own FROM (SELECT k, licence, {normal} AS w FROM (VALUES {rows}) t(k, licence, part))),
 lines AS (SELECT doc_id, string_split(text, chr(10)) AS parts, regexp_split_to_array(text, '\\n[ \\t]*\\n') AS paragraphs, text FROM documents WHERE text IS NOT NULL),
+said AS (SELECT doc_id, list_concat(parts, paragraphs) AS parts, flatten(list_transform(paragraphs, lambda p: string_split(regexp_replace(p, '([.!?])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)))) AS sentences FROM lines),
 units AS (
   SELECT doc_id, 'line' AS unit, unnest(range(len(parts))) AS position, unnest(parts) AS part FROM lines
+  UNION ALL SELECT doc_id, unit, position, part FROM (SELECT doc_id, 'sentence' AS unit, unnest(range(len(sentences))) AS position, unnest(sentences) AS part, parts FROM said) WHERE NOT list_contains(parts, part)
   UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(paragraphs))), unnest(paragraphs) AS part FROM lines) WHERE contains(part, chr(10))
   UNION ALL SELECT doc_id, 'text', 0, text FROM lines WHERE len(paragraphs) > 1),
 grams AS (SELECT doc_id, unit, position, {grams} AS b FROM (SELECT *, {normal} AS w FROM units)),

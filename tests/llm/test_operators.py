@@ -269,6 +269,21 @@ def test_licences_near_the_threshold(docs):
     assert {(r["doc_id"], r["unit"], r["licence"]) for r in rows} == {(1, "line", "MIT"), (1, "paragraph", "MIT"), (3, "paragraph", "MIT"), (4, "line", "CC-BY-NC-4.0")}
 
 
+def test_licences_whole_and_within_prose(docs):
+    mit = "MIT License\nCopyright (c) 2020 Some One\n" + licences.MIT_GRANT + "\n" + licences.MIT_REST
+    rows = [
+        (1, mit), (2, mit.replace("\n", "\n\n")), (3, "We made this. Licensed under the Apache License, Version 2.0. Have fun with it!"), (4, "Read on.\n" + licences.BSD_SOURCE + "\nMore follows here"),
+        (5, "\n".join(["Redistribution"] + licences.BSD_GRANT.split()[1:]) + "\n\n1. " + licences.BSD_SOURCE + "\n\n2. " + licences.BSD_BINARY + "\n\n3. " + licences.BSD_NAMES + "\n\n" + licences.BSD_REST),
+        (6, "Copyright 2001 X\n" + licences.ISC[0] + "\n" + licences.ISC[1]), (7, "We permit redistribution of nothing. The license is somewhere else, under the stairs."), (8, licences.UNLICENSE_REST),
+        (9, "A tool. " + dict(licences.NOTICES)["AGPL-3.0-or-later"] + " " + licences.GNU_REST.format("Affero General") + " Call us."),
+    ]
+    found = {}
+    for r in licences.scan(docs(*rows)).collect():
+        found.setdefault(r["doc_id"], set()).add((r["unit"], r["licence"]))
+    assert ("paragraph", "MIT") in found[1] and ("text", "MIT") in found[2] and found[3] == {("sentence", "Apache-2.0")} and ("line", "BSD") in found[4]
+    assert ("text", "BSD-3-Clause") in found[5] and ("paragraph", "ISC") in found[6] and 7 not in found and ("line", "Unlicense") in found[8] and ("line", "AGPL-3.0-or-later") in found[9]
+
+
 def test_bpe_as_tiktoken(texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.VOCABULARY), "rb"))}
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
