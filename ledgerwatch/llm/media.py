@@ -7,8 +7,12 @@ each byte exactly. Frames carry their own (short) Huffman tables: each is a
 complete baseline JPEG. They lie in the `movi` list of a RIFF file, one chunk a
 frame, with an `idx1` index.
 
-Reading. The RIFF chunks are walked to the index, the index gives the frames;
-all frames of a batch are entropy-decoded side by side, one block at a time.
+Reading. The RIFF chunks are walked to the index, the index gives the frames (by
+offsets from the `movi` list or the file's start; without an index the list is
+walked). Frames whose headers are those written here are entropy-decoded side by
+side, one block at a time. Any other baseline JPEG is decoded by the tables that
+its own markers give, to the grey level of each pixel; what is not baseline, or
+lacks a table, is an error.
 
 Shots. Each frame has a histogram of 16 levels; the difference between
 neighbours is compared with a threshold that adapts to the differences around
@@ -17,8 +21,9 @@ it. Clips run from one cut to the next and are timed by the frame rate.
 Nulls and edge cases: a null text is an empty one; an empty text is one frame of
 zeros; long texts are coded and decoded a bounded number of frames at a time;
 one RIFF file holds 2**31 bytes, which is more than a Spark string can fill;
-repeated rows give repeated results; only `doc_id` and `text` are read; an empty
-table gives no rows.
+a null medium has no clips; repeated rows give repeated results; a change that
+only equals its threshold is no cut; only `doc_id` and `text` (or `media`) are
+read, so further columns of any name do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -164,19 +170,34 @@ def frames_of(media: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """Parse a RIFF file: where each frame's JPEG starts, its size, and microseconds a frame."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index, micros = 12, -1, b"", 0
+    at, movi, end, index, micros = 12, -1, 0, b"", 0
     while at + 8 <= len(media):
         kind, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if kind == b"LIST" and media[at + 8 : at + 12] == b"movi":
-            movi = at + 8
+            movi, end = at + 8, at + 8 + size
         elif kind == b"LIST" and media[at + 8 : at + 12] == b"hdrl":
             micros = struct.unpack_from("<I", media, at + 20)[0]
         elif kind == b"idx1":
             index = media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
+    if movi < 0:
+        raise ValueError("no movi list")
     entries = np.frombuffer(index, [("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
-    entries = entries[entries["id"] == b"00dc"]
-    return movi + entries["at"].astype(np.int64) + 8, entries["size"].astype(np.int64), micros
+    # pictures of any stream: compressed or not, JPEG all the same
+    entries = entries[np.char.endswith(entries["id"], b"dc") | np.char.endswith(entries["id"], b"db")]
+    if not index:
+        starts, sizes, at = [], [], movi + 4
+        while at + 8 <= end:
+            kind, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+            if kind[2:] in (b"dc", b"db"):
+                starts.append(at + 8)
+                sizes.append(size)
+            at += 12 if kind == b"LIST" else 8 + size + (size & 1)  # a rec list is entered
+        return np.array(starts, np.int64), np.array(sizes, np.int64), micros
+    starts = entries["at"].astype(np.int64) + 8
+    if not len(starts) or media[movi + starts[0] - 8 : movi + starts[0] - 4] == entries["id"][0]:
+        starts += movi
+    return starts, entries["size"].astype(np.int64), micros
 
 
 def decode_frames(media: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -195,18 +216,161 @@ def decode_frames(media: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> n
     for k in range(UNIT):
         bits = (word[at >> 3] >> (9 - (at & 7)).astype(np.uint32)) & 0x7FFF
         level = level + BACK[bits]
-        at += TAKEN[bits]
+        taken = TAKEN[bits]
+        if not taken.all() or level.min(initial=0) < 0 or level.max(initial=0) > 255:
+            raise ValueError("broken frame")
+        at += taken
         out[:, k] = level
     return out.astype(np.uint8)
 
 
+def _zigzag() -> np.ndarray:
+    """Where the coefficients of a block lie, row by row, in the order they are stored."""
+    cells = [(i, j) for i in range(8) for j in range(8)]
+    cells.sort(key=lambda c: (c[0] + c[1], c[0] if (c[0] + c[1]) % 2 else -c[0]))
+    return np.array([8 * i + j for i, j in cells])
+
+
+ZIGZAG = _zigzag()
+_K = np.arange(8)
+#: The cosine transform of eight samples.
+COSINES = np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16) * np.where(_K == 0, np.sqrt(1 / 8), 0.5)[:, None]
+
+
+def _huffman(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Length and symbol of the code that each 16 bits begin with; length 0 where none does."""
+    length, symbol, at, k = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8), 0, 0
+    for bits, n in enumerate(counts, 1):
+        for _ in range(n):
+            span = 1 << (16 - bits)
+            length[at : at + span], symbol[at : at + span] = bits, symbols[k]
+            at, k = at + span, k + 1
+    return length, symbol
+
+
+@dataclass
+class Header:
+    """What the markers of a baseline JPEG say."""
+
+    height: int
+    width: int
+    parts: list[tuple[int, int, int, int]]  # component, sampling across and down, quantiser
+    quantisers: dict[int, np.ndarray]
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]
+    chosen: dict[int, tuple[int, int]]  # tables of a component: mean, others
+    interval: int
+    scan: int  # where the coded data start
+
+
+def header_of(jpeg: bytes) -> Header:
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
+    found, at = Header(0, 0, [], {}, {}, {}, 0, 0), 2
+    while at + 4 <= len(jpeg):
+        if jpeg[at] != 0xFF:
+            raise ValueError("marker expected")
+        marker, size = jpeg[at + 1], int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        if marker == 0xFF:  # a fill byte
+            at += 1
+            continue
+        body, at = jpeg[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xDB:
+            while body:
+                wide = 1 + (body[0] >> 4)
+                found.quantisers[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else ">u1").astype(np.int64)
+                body = body[1 + 64 * wide :]
+        elif marker == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                found.tables[body[0]] = _huffman(body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError(f"{body[0]} bits a sample are not supported")
+            found.height, found.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            found.parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ValueError("only baseline JPEG is supported")
+        elif marker == 0xDD:
+            found.interval = int.from_bytes(body[:2], "big")
+        elif marker == 0xDA:
+            found.chosen = {body[k]: (body[k + 1] >> 4, 0x10 | (body[k + 1] & 15)) for k in range(1, 1 + 2 * body[0], 2)}
+            found.scan = at
+            break
+    missing = [p for p in found.parts if p[3] not in found.quantisers or any(t not in found.tables for t in found.chosen.get(p[0], (-1, -1)))]
+    if not found.scan or not found.parts or missing:
+        raise ValueError("a frame, a scan or a table is missing")
+    return found
+
+
+def decode_jpeg(jpeg: bytes) -> np.ndarray:
+    """Grey levels (height, width) of a baseline JPEG: its first component, at full sampling."""
+    head = header_of(jpeg)
+    most_h, most_v = max(p[1] for p in head.parts), max(p[2] for p in head.parts)
+    if (head.parts[0][1], head.parts[0][2]) != (most_h, most_v):
+        raise ValueError("a first component of lower sampling is not supported")
+    if len(head.parts) == 1:
+        most_h = most_v = 1  # a scan of one component goes block by block
+    across, down = -(-head.width // (8 * most_h)), -(-head.height // (8 * most_v))
+    end = jpeg.rfind(b"\xff\xd9")
+    coded, runs, at = jpeg[head.scan : end if end >= 0 else len(jpeg)], [], 0
+    for k in range(len(coded) - 1):
+        if coded[k] == 0xFF and 0xD0 <= coded[k + 1] <= 0xD7:
+            runs.append(coded[at:k])
+            at = k + 2
+    runs.append(coded[at:])
+    grid = np.zeros((down * most_v, across * most_h, 64), np.int64)
+    unit = 0
+    for run in runs:
+        data, bit = run.replace(b"\xff\x00", b"\xff") + b"\0" * 8, 0
+        room, before = 8 * (len(data) - 8), dict.fromkeys((p[0] for p in head.parts), 0)
+
+        def peek(n: int, bit: int, data: bytes = data) -> int:
+            return int.from_bytes(data[bit >> 3 : (bit >> 3) + 4], "big") >> (32 - n - (bit & 7)) & ((1 << n) - 1)
+
+        for _ in range(min(head.interval or across * down, across * down - unit)):
+            for part, h, v, _q in head.parts:
+                means, others = (head.tables[t] for t in head.chosen[part])
+                single = len(head.parts) == 1
+                for y in range(1 if single else v):
+                    for x in range(1 if single else h):
+                        block, k = np.zeros(64, np.int64), 0
+                        while k < 64:
+                            length, symbol = others if k else means
+                            code = peek(16, bit)
+                            if not length[code] or bit > room:
+                                raise ValueError("broken frame")
+                            bit += int(length[code])
+                            skip, size = int(symbol[code]) >> 4, int(symbol[code]) & 15
+                            if k and not size and skip < 15:
+                                break
+                            k += skip
+                            extra = peek(size, bit) if size else 0
+                            bit += size
+                            if size and k < 64:
+                                block[k] = extra if extra >> (size - 1) else extra - (1 << size) + 1
+                            k += 1
+                        before[part] += int(block[0])
+                        block[0] = before[part]
+                        if part == head.parts[0][0]:
+                            grid[unit // across * most_v + y, unit % across * most_h + x] = block
+            unit += 1
+    if unit < across * down:
+        raise ValueError("frame ends early")
+    plain = np.zeros(grid.shape)
+    plain[..., ZIGZAG] = grid * head.quantisers[head.parts[0][3]]
+    squares = COSINES.T @ plain.reshape(*grid.shape[:2], 8, 8) @ COSINES
+    pixels = squares.transpose(0, 2, 1, 3).reshape(8 * grid.shape[0], 8 * grid.shape[1])[: head.height, : head.width]
+    return np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8)
+
+
 def clips(levels: np.ndarray) -> list[tuple[int, int]]:
     """Frames [start, end) of each shot."""
     n = len(levels)
-    if n == 1:
-        return [(0, 1)]
+    if n < 2:
+        return [(0, 1)] * n
     bins = np.bincount((np.arange(n)[:, None] * LEVELS + (levels >> 4)).ravel(), minlength=n * LEVELS).reshape(n, LEVELS)
-    change = np.abs(np.diff(bins, axis=0)).sum(axis=1) / (2 * UNIT)
+    change = np.abs(np.diff(bins, axis=0)).sum(axis=1) / (2 * levels.shape[1])
     total, square = (np.concatenate([[0], np.cumsum(x)]) for x in (change, change * change))
     low, high = np.maximum(np.arange(n - 1) - AROUND, 0), np.minimum(np.arange(n - 1) + AROUND + 1, n - 1)
     mean = (total[high] - total[low]) / (high - low)
@@ -236,8 +400,12 @@ def store(payloads: list[bytes]) -> list[bytes]:
 
 
 def load(media: list[bytes]) -> list[np.ndarray]:
-    """The frames (n, 64) of media, all decoded together."""
+    """The frames (n, cells) of media: 64 blocks of those written here, all decoded together, or else the pixels."""
     parsed, base = [frames_of(m) for m in media], 0
+    foreign = [k for k, (m, p) in enumerate(zip(media, parsed, strict=True)) if not _written_here(m, p[0], p[1])]
+    if foreign:
+        known = iter(load([m for k, m in enumerate(media) if k not in foreign]) if len(foreign) < len(media) else [])
+        return [_pixels(m, p[0], p[1]) if k in foreign else next(known) for k, (m, p) in enumerate(zip(media, parsed, strict=True))]
     starts, sizes = [], np.concatenate([p[1] for p in parsed])
     for m, p in zip(media, parsed, strict=True):
         starts.append(p[0] + base)
@@ -247,6 +415,21 @@ def load(media: list[bytes]) -> list[np.ndarray]:
     return np.split(levels, np.cumsum([len(p[0]) for p in parsed])[:-1])
 
 
+def _written_here(media: bytes, starts: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether all frames have the header that `encode_frames` writes."""
+    if not len(starts) or (sizes < len(HEAD) + len(TAIL)).any() or int((starts + sizes).max()) > len(media):
+        return False
+    whole, head, wide = np.frombuffer(media, np.uint8), np.arange(len(HEAD)), 4096
+    return all((whole[starts[k : k + wide, None] + head] == HEAD).all() for k in range(0, len(starts), wide))
+
+
+def _pixels(media: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    frames = [decode_jpeg(media[a : a + n]).ravel() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    if len({len(f) for f in frames}) > 1:
+        raise ValueError("frames of different sizes")
+    return np.stack(frames) if frames else np.zeros((0, UNIT), np.uint8)
+
+
 def media_column(docs: DataFrame) -> DataFrame:
     """(doc_id, media binary): each text as a motion-JPEG file."""
 
@@ -264,6 +447,8 @@ def clip_rows(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, one in zip(batch["doc_id"], batch["media"], strict=True):
+                if one is None:
+                    continue
                 levels, micros = load([one])[0], frames_of(one)[2]
                 cut = clips(levels)
                 yield pd.DataFrame(

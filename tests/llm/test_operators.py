@@ -239,6 +239,121 @@ def test_media_keep_every_byte(texts):
     assert stored[0][:4] == b"RIFF" and stored[0][8:12] == b"AVI "
 
 
+def plain_jpeg(pixels, step=2, interval=0, colour=False):
+    """A slow writer of baseline JPEGs with codes of 4 and 8 bits, AC coefficients and restarts; with `colour`, two flat components at half sampling."""
+    part = lambda marker, body: b"\xff" + bytes([marker]) + (len(body) + 2).to_bytes(2, "big") + body
+    acs = [0, 0xF0] + [run << 4 | size for run in range(16) for size in range(1, 11)]
+    bits, out, unit, before = [], [], 0, {}
+    h, w = pixels.shape
+    side = 16 if colour else 8
+    padded = np.pad(pixels, ((0, -h % side), (0, -w % side)), mode="edge").astype(float) - 128
+
+    def put(value, n):
+        bits.extend(value >> k & 1 for k in range(n - 1, -1, -1))
+
+    def number(d, code, n):
+        size = abs(d).bit_length()
+        put(code(size), n)
+        put(d if d > 0 else d + (1 << size) - 1, size) if size else None
+
+    def block(cells, part):
+        c = np.rint(media.COSINES @ cells @ media.COSINES.T / step).astype(int).ravel()[media.ZIGZAG].tolist()
+        number(c[0] - before.get(part, 0), lambda size: size, 4)
+        before[part], run = c[0], 0
+        for d in c[1:]:
+            if d == 0:
+                run += 1
+                continue
+            while run > 15:
+                put(1, 8)
+                run -= 16
+            number(d, lambda size, run=run: acs.index(run << 4 | size), 8)
+            run = 0
+        put(0, 8) if run else None
+
+    def flush():
+        bits.extend([1] * (-len(bits) % 8))
+        raw = bytes(int("".join(map(str, bits[k : k + 8])), 2) for k in range(0, len(bits), 8))
+        bits.clear()
+        before.clear()
+        return raw.replace(b"\xff", b"\xff\x00")
+
+    for y in range(0, padded.shape[0], side):
+        for x in range(0, padded.shape[1], side):
+            if interval and unit and unit % interval == 0:
+                out.append(flush() + b"\xff" + bytes([0xD0 + (unit // interval - 1) % 8]))
+            for dy in range(0, side, 8):
+                for dx in range(0, side, 8):
+                    block(padded[y + dy : y + dy + 8, x + dx : x + dx + 8], 1)
+            for other in (2, 3) if colour else ():
+                block(np.full((8, 8), 30.0 * other), other)
+            unit += 1
+    out.append(flush())
+    parts = [(1, 0x22), (2, 0x11), (3, 0x11)] if colour else [(1, 0x11)]
+    frame = b"".join(bytes([c, s, 0]) for c, s in parts)
+    return b"".join([
+        b"\xff\xd8", part(0xFE, b"made for a test"), part(0xDB, bytes([0] + [step] * 64)), part(0xC0, b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(parts)]) + frame),
+        part(0xC4, bytes([0x00, 0, 0, 0, 12] + [0] * 12) + bytes(range(12))), part(0xC4, bytes([0x10] + [0] * 7 + [162] + [0] * 8) + bytes(acs)),
+        part(0xDD, interval.to_bytes(2, "big")) if interval else b"", part(0xDA, bytes([len(parts)]) + b"".join(bytes([c, 0]) for c, _ in parts) + b"\0\x3f\0"), *out, b"\xff\xd9",
+    ])
+
+
+@pytest.mark.parametrize(("shape", "interval", "colour"), [((24, 40), 0, False), ((19, 33), 3, False), ((32, 48), 0, True), ((21, 35), 2, True)])
+def test_any_baseline_jpeg_is_decoded_by_its_own_tables(shape, interval, colour):
+    rng = np.random.default_rng(sum(shape))
+    pixels = np.clip(rng.normal(128, 40, shape) + np.linspace(-60, 60, shape[1]), 0, 255).astype(np.uint8)
+    found = media.decode_jpeg(plain_jpeg(pixels, interval=interval, colour=colour))
+    assert found.shape == shape and abs(found.astype(int) - pixels).max() <= 4
+
+
+def test_frames_written_here_are_plain_jpegs():
+    rng = np.random.default_rng(1)
+    payload = rng.integers(0, 256, 640).astype(np.uint8).tobytes()
+    stored = media.store([payload])[0]
+    starts, sizes, _ = media.frames_of(stored)
+    frames = [media.decode_jpeg(stored[a : a + n]) for a, n in zip(starts, sizes, strict=True)]
+    assert b"".join(f[::8, ::8].tobytes() for f in frames) == payload and all((f == np.kron(f[::8, ::8], np.ones((8, 8), int))).all() for f in frames)
+
+
+def test_what_is_no_baseline_jpeg_is_an_error():
+    good = plain_jpeg(np.full((16, 16), 90, np.uint8))
+    cut = good.index(b"\xff\xc4")
+    for bad in (b"GIF89a", good.replace(b"\xff\xc0", b"\xff\xc2"), good[:cut] + good[cut + 2 + int.from_bytes(good[cut + 2 : cut + 4], "big") :], good[:-6] + b"\xff\xd9", good[: good.index(b"\xff\xda")]):
+        with pytest.raises(ValueError):
+            media.decode_jpeg(bad)
+    stored = bytearray(media.store([b"abc" * 64])[0])
+    start = int(media.frames_of(bytes(stored))[0][0])
+    stored[start + len(media.HEAD) : start + len(media.HEAD) + 12] = b"\xfe" * 12
+    with pytest.raises(ValueError):
+        media.load([bytes(stored)])
+    with pytest.raises(ValueError):
+        media.load([b"RIFF\0\0\0\0WAVE"])
+
+
+@pytest.mark.parametrize("index", ["relative", "absolute", "none"])
+def test_foreign_files_are_cut_into_clips(spark, index):
+    rng = np.random.default_rng(4)
+    frames = [plain_jpeg(np.clip(rng.normal(level, 3, (16, 24)), 0, 255).astype(np.uint8)) for level in [40] * 8 + [200] * 7]
+    chunks, entries = b"", []
+    for f in frames:
+        entries.append((b"00db", 0x10, 4 + len(chunks), len(f)))
+        chunks += b"00db" + len(f).to_bytes(4, "little") + f + b"\0" * (len(f) & 1)
+    body = b"AVI " + media._list(b"hdrl", media._chunk(b"avih", (50_000).to_bytes(4, "little") + b"\0" * 52))
+    base = 8 + len(body) + 8 if index == "absolute" else 0
+    rows = np.array([(a, b, c + base, d) for a, b, c, d in entries], [("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
+    body += media._list(b"movi", chunks) + (media._chunk(b"idx1", rows.tobytes()) if index != "none" else b"")
+    table = spark.createDataFrame([(1, bytearray(b"RIFF" + len(body).to_bytes(4, "little") + body)), (2, None)], "doc_id long, media binary")
+    found = [(r["doc_id"], r["start_ms"], r["end_ms"], round(r["mean_level"])) for r in media.clip_rows(table).orderBy("clip").collect()]
+    assert [x[:3] for x in found] == [(1, 0.0, 400.0), (1, 400.0, 750.0)] and abs(found[0][3] - 40) <= 1 and abs(found[1][3] - 200) <= 1
+
+
+def test_media_of_long_texts(docs):
+    text = "".join(chr(97 + k % 26) for k in range(media.FRAMES * media.UNIT + 1000))
+    row = media.digests(docs((1, text))).first()
+    want = media.padded(text)
+    assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"]) == (len(text), len(want), hashlib.sha256(want).hexdigest())
+
+
 def test_shots_are_cut_where_the_picture_changes():
     levels = np.concatenate([np.full((20, 64), 10), np.full((20, 64), 200), np.full((5, 64), 90)]).astype(np.uint8)
     assert media.clips(levels) == [(0, 20), (20, 40), (40, 45)]
