@@ -22,8 +22,34 @@ def whitelisted(value: Column, allowed: tuple[str, ...], default: Column) -> Col
     return F.when(clean.isin(*allowed), clean).otherwise(default)
 
 
+#: The names under which imports and documents hold the columns of an account.
+SPELLINGS = {
+    "id": ("id", "account_id"),
+    "name": ("name",),
+    "bank": ("bank",),
+    "turnover": ("turnover", "total_turnover", "totalAmount"),
+    "total_in": ("total_in", "total_in_amount"),
+    "total_out": ("total_out", "total_out_amount"),
+    "risk_level": ("riskLevel", "risk_level"),
+    "status": ("status",),
+    "is_mule": ("isMule", "is_mule"),
+    "age_days": ("age_days", "account_age_days"),
+}
+KINDS = {"turnover": "double", "total_in": "double", "total_out": "double", "is_mule": "boolean", "age_days": "double"}
+
+
+def spelt(raw: DataFrame) -> DataFrame:
+    """`raw` with one column of each name: the first spelling that holds a value, null if none does."""
+    found = {name: [F.col(c).cast(KINDS.get(name, "string")) for c in names if c in raw.columns] for name, names in SPELLINGS.items()}
+    return raw.select(*[(F.coalesce(*cols) if cols else F.lit(None).cast(KINDS.get(name, "string"))).alias(name) for name, cols in found.items()])
+
+
 def normalize_accounts(raw: DataFrame, as_of: str) -> DataFrame:
-    """Accounts from (id, name, bank, turnover, total_in, total_out, risk_level, status, is_mule, age_days) as they come."""
+    """Accounts from (id, name, bank, turnover, total_in, total_out, risk_level, status, is_mule, age_days) as they come.
+
+    Columns may have any of their further names; the first that holds a value counts.
+    """
+    raw = spelt(raw)
     count = lambda c: F.greatest(F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0)), F.lit(0.0))
     named = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("Unknown"))
     status = F.when(F.col("is_mule"), "under_review").otherwise("active")
@@ -31,7 +57,7 @@ def normalize_accounts(raw: DataFrame, as_of: str) -> DataFrame:
         F.trim("id").alias("id"),
         named("name").alias("name"),
         named("bank").alias("bank"),
-        F.coalesce(F.col("turnover"), count("total_in") + count("total_out")).alias("turnover"),
+        F.coalesce(F.when(F.col("turnover").isNotNull() & ~F.isnan("turnover"), F.greatest(F.col("turnover"), F.lit(0.0))), count("total_in") + count("total_out")).alias("turnover"),
         whitelisted(F.col("risk_level"), LEVELS, F.lit("low")).alias("risk_level"),
         whitelisted(F.col("status"), STATUSES, status).alias("status"),
         F.date_sub(F.to_date(F.lit(as_of)), F.greatest(F.coalesce("age_days", F.lit(0)), F.lit(0)).cast("int")).alias("first_seen"),
@@ -142,6 +168,23 @@ def graph_edges_view(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     return both.select("src", "dst", "f.txn_id", F.col("f.amount").cast("double").alias("amount"), (F.col("f.flagged") | F.col("src_mule") | F.col("dst_mule")).alias("flagged"))
 
 
+def graph_nodes_view(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The nodes of the payment graph that are known: label, risk, degrees, centrality and what colour their risk has."""
+    n = accounts.agg(F.count("*").alias("n_accounts"))
+    both = accounts.join(degrees(ledger).withColumnRenamed("account", "id"), "id").crossJoin(F.broadcast(n))  # one row
+    label = F.when(F.length("id") > 8, F.right("id", F.lit(6))).otherwise(F.col("id"))
+    centrality = F.when(F.col("n_accounts") > 1, F.least(F.lit(1.0), (F.col("in_degree") + F.col("out_degree")) / (F.col("n_accounts") * 0.5))).otherwise(0.0)
+    kind = F.when(F.col("is_mule") | (F.col("risk") >= 60), "mule").when(F.col("risk") >= 40, "uncertain").otherwise("safe")
+    return both.select("id", label.alias("label"), "risk", "in_degree", "out_degree", half_up(centrality, 4).alias("centrality"), kind.alias("risk_class"))
+
+
+def graph_statistics(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(nodes, edges, flagged): the size of the graph that the views show."""
+    nodes = graph_nodes_view(ledger, accounts).agg(F.count("*").alias("nodes"))
+    both = graph_edges_view(ledger, accounts).agg(F.count("*").alias("edges"), F.count_if("flagged").alias("flagged"))
+    return nodes.crossJoin(F.broadcast(both))  # a row each
+
+
 def ego_network(ledger: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, src, dst): the edges at each seed account of `seeds(id)`."""
     pairs = edges(ledger).select("src", "dst")
@@ -218,7 +261,7 @@ def risk_distribution(accounts: DataFrame) -> DataFrame:
     levels = spark.createDataFrame([(x,) for x in LEVELS], "risk_level string")
     counts = levels.join(accounts.groupBy("risk_level").agg(F.count("*").alias("n")), "risk_level", "left").fillna(0)
     total = accounts.agg(F.count("*").alias("total"))
-    return counts.crossJoin(total).select("risk_level", "n", half_up(ratio(F.col("n"), F.col("total")) * 100, 1).alias("percent"))
+    return counts.crossJoin(F.broadcast(total)).select("risk_level", "n", half_up(ratio(F.col("n"), F.col("total")) * 100, 1).alias("percent"))
 
 
 def mule_vs_normal(accounts: DataFrame) -> DataFrame:
@@ -243,11 +286,14 @@ def alerts_by_hour(alerts: DataFrame) -> DataFrame:
     return hours.join(alerts.groupBy(F.hour("ts").cast("long").alias("hour")).agg(F.count("*").alias("n")), "hour", "left").fillna(0)
 
 
-def pattern_by_month(alerts: DataFrame) -> DataFrame:
-    """Alerts of four families in each month from January to June."""
+def pattern_by_month(alerts: DataFrame, year: int | None = None) -> DataFrame:
+    """Alerts of four families in each month from January to June, months without any included; of one year, or of each month in all years."""
     family = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in FAMILIES.items()])
-    rows = alerts.where(F.month("ts") <= 6).select(F.date_format("ts", "MMM").alias("month"), family.alias("family"))
-    return rows.groupBy("month").pivot("family", list(FAMILIES.values())).agg(F.count(F.lit(1))).fillna(0)
+    rows = alerts.where(F.year("ts") == year) if year else alerts
+    rows = rows.where(F.month("ts") <= len(MONTHS)).select(F.month("ts").alias("number"), family.alias("family"))
+    counts = rows.groupBy("number").pivot("family", list(FAMILIES.values())).agg(F.count(F.lit(1)))
+    months = alerts.sparkSession.createDataFrame(list(enumerate(MONTHS, 1)), "number int, month string")
+    return months.join(counts, "number", "left").fillna(0).drop("number")
 
 
 def active_alert_count(alerts: DataFrame) -> DataFrame:
@@ -259,21 +305,17 @@ def portfolio_stats(accounts: DataFrame, ledger: DataFrame, alerts: DataFrame) -
     t = ledger.agg(F.count("*").alias("transactions"))
     kinds = [F.count_if(F.col("type") == k).alias(f"{k}_alerts") for k in FAMILIES]
     b = alerts.agg(F.count_if(F.col("status").isin(*ACTIVE)).alias("active_alerts"), F.count_if(F.col("status") == "resolved").alias("resolved_alerts"), *kinds)
-    both = a.crossJoin(t).crossJoin(b)  # a row each
+    both = a.crossJoin(F.broadcast(t)).crossJoin(F.broadcast(b))  # a row each
     return both.withColumn("flagged_percent", half_up(ratio(F.col("flagged"), F.col("accounts")) * 100, 1))
 
 
-def detection_summary(patterns: DataFrame) -> DataFrame:
-    return patterns.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("account").alias("accounts"))
-
-
 def ece(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Expected calibration error of (score, label) over equal bins; a score of exactly 1 is in no bin but counts in the total."""
     edge = scored.sparkSession.createDataFrame([(k, k * (1 / bins), (k + 1) * (1 / bins)) for k in range(bins)], "bin int, low double, high double")
     total = scored.agg(F.count("*").alias("total"))
     binned = scored.join(F.broadcast(edge), (F.col("score") >= F.col("low")) & (F.col("score") < F.col("high")))
     per = binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("score").alias("s"), F.avg("label").alias("y"))
-    return per.crossJoin(total).agg(half_up(F.sum(F.abs(F.col("s") - F.col("y")) * F.col("n")) / F.first("total"), 6).alias("ece"))
+    return per.crossJoin(F.broadcast(total)).agg(half_up(F.sum(F.abs(F.col("s") - F.col("y")) * F.col("n")) / F.first("total"), 6).alias("ece"))
 
 
 def graph_risk_legacy(ledger: DataFrame, accounts: DataFrame) -> DataFrame:

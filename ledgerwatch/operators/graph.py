@@ -6,7 +6,7 @@ driver sees a count or a checksum a round and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
@@ -34,17 +34,24 @@ def components(pairs: DataFrame) -> DataFrame:
             return now
 
 
-def communities(ledger: DataFrame, pairs: DataFrame, least: float = 0.3) -> DataFrame:
-    """(component, size, density, score, members) of components of three or more, kept above a score of `least`."""
-    member = components(pairs)
-    sizes = member.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
+def communities(ledger: DataFrame, pairs: DataFrame, least: float = 0.3, member: DataFrame | None = None, digits: int | None = 4) -> DataFrame:
+    """(component, size, density, score) of components of three or more, kept above a score of `least`; `member` is what `components` gives.
+
+    The members of each are the rows of `member`: a giant component is never listed in one place.
+    """
+    member = components(pairs) if member is None else member
+    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
     inner = pairs.where("src != dst").join(member.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.count("*").alias("links"))
-    paid = ledger.join(member.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.count("*").alias("txns"))
+    paid = ledger.groupBy("src").agg(F.count("*").alias("n")).join(member.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.sum("n").alias("txns"))
     fast = fast_flow_pairs(ledger).join(member.withColumnRenamed("id", "account"), "account").groupBy("component").agg(F.sum("pairs").alias("fast"))
     both = sizes.where("size >= 3").join(inner, "component").join(paid, "component").join(fast, "component", "left").fillna(0, ["fast"])
     both = both.withColumn("density", F.col("links") / (F.col("size") * (F.col("size") - 1)))
     both = both.withColumn("score", F.least(F.lit(1.0), 2 * F.col("density") + F.col("fast") / F.col("txns"))).where(F.col("score") > least)
-    return both.select("component", "size", half_up(F.col("density"), 4).alias("density"), half_up(F.col("score"), 4).alias("score"), "members")
+    return both.select("component", "size", _digits(F.col("density"), digits).alias("density"), _digits(F.col("score"), digits).alias("score"))
+
+
+def _digits(x: Column, digits: int | None) -> Column:
+    return x if digits is None else half_up(x, digits)
 
 
 def modularity_communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
@@ -62,21 +69,21 @@ def modularity_communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     ends = links.join(now.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(now.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
     inside = ends.where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("inside"))
     total = links.agg(F.count("*").alias("m"))
-    parts = degree.groupBy("community").agg(F.sum("d").alias("d")).join(inside, "community", "left").fillna(0).crossJoin(total)  # one row
+    parts = degree.groupBy("community").agg(F.sum("d").alias("d")).join(inside, "community", "left").fillna(0).crossJoin(F.broadcast(total))  # one row
     score = parts.agg(half_up(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), F.lit(2))), 4).alias("modularity"))
     return now.crossJoin(F.broadcast(score))  # one row
 
 
-def betweenness(pairs: DataFrame, sources: int | None = 30) -> DataFrame:
+def betweenness(pairs: DataFrame, sources: int | None = 30, digits: int | None = 4) -> DataFrame:
     """(id, betweenness): shortest paths through each node from the sources, over the largest value or 1.
 
-    Sources are those with the least hashes (all if None). A state row is (source,
+    Sources are those with the least MD5 sums of their ids (all if None). A state row is (source,
     node, distance, paths); levels grow by joins, and what each node carries is
     summed back level by level.
     """
     e = checkpoint(pairs.where("src != dst").select("src", "dst").distinct())
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    start = nodes if sources is None else nodes.orderBy(F.xxhash64("id"), "id").limit(sources)
+    start = nodes if sources is None else nodes.orderBy(F.md5("id"), "id").limit(sources)
     level = checkpoint(start.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths")))
     seen, levels = level.select("source", "node"), [level]
     while True:
@@ -99,10 +106,10 @@ def betweenness(pairs: DataFrame, sources: int | None = 30) -> DataFrame:
     per = every.where("source != node").groupBy(F.col("node").alias("id")).agg(F.sum("carried").alias("b"))
     per = nodes.join(per, "id", "left").fillna(0.0)
     most = per.agg(F.greatest(F.max("b"), F.lit(1.0)).alias("most"))
-    return per.crossJoin(F.broadcast(most)).select("id", half_up(F.col("b") / F.col("most"), 4).alias("betweenness"))  # one row
+    return per.crossJoin(F.broadcast(most)).select("id", _digits(F.col("b") / F.col("most"), digits).alias("betweenness"))  # one row
 
 
-def pagerank_risk(pairs: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def pagerank_risk(pairs: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, digits: int | None = 4) -> DataFrame:
     """(id, pagerank): risk passed along payments, heavier from flagged payers, scaled to 0..1.
 
     A fixed number of rounds of DAMPING * sum(predecessor * weight) + 0.15 / n +
@@ -129,7 +136,7 @@ def pagerank_risk(pairs: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> D
             now = checkpoint(now)
     span = now.agg(F.min("score").alias("low"), F.max("score").alias("high"))
     scaled = F.when(F.col("high") > F.col("low"), (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
-    return now.crossJoin(F.broadcast(span)).select("id", half_up(scaled, 4).alias("pagerank"))  # one row
+    return now.crossJoin(F.broadcast(span)).select("id", _digits(scaled, digits).alias("pagerank"))  # one row
 
 
 def neighbourhoods(pairs: DataFrame) -> DataFrame:

@@ -34,19 +34,27 @@ def edges(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("src", "dst").agg(F.count("*").alias("n_txn"), F.sum("amount").alias("amount_sum"), F.count_if("flagged").alias("n_flagged"), first.alias("first_amount"))
 
 
-def _fan(ledger: DataFrame, at: str, other: str, least: int, critical: int) -> DataFrame:
+def _fan(ledger: DataFrame, at: str, other: str, least: int, critical: int, list_cap: int | None) -> DataFrame:
     # distinct pairs first, so a busy account is summed from as many parts as it has partners
     pairs = ledger.groupBy(at, other).agg(F.sum("amount").alias("amount"))
-    found = pairs.groupBy(F.col(at).alias("account")).agg(F.count("*").alias("partners"), F.sum("amount").cast("double").alias("total"), F.array_join(F.sort_array(F.collect_list(other)), ",").alias("accounts"))
+    total = [F.count("*").alias("partners"), F.sum("amount").cast("double").alias("total")]
+    named = lambda rows: F.array_join(F.sort_array(F.collect_list(rows)), ",").alias("accounts")
+    if list_cap is None:
+        found = pairs.groupBy(F.col(at).alias("account")).agg(*total, named(other))
+    else:
+        # the first partners by name alone are listed, which Spark cuts off before the shuffle; the counts are of all
+        few = pairs.withColumn("k", F.row_number().over(Window.partitionBy(at).orderBy(other))).where(F.col("k") <= list_cap)
+        found = pairs.groupBy(F.col(at).alias("account")).agg(*total).join(few.groupBy(F.col(at).alias("account")).agg(named(other)), "account")
     return found.where(F.col("partners") >= least).withColumn("severity", F.when(F.col("partners") >= critical, "critical").otherwise("high"))
 
 
-def fan_in(ledger: DataFrame, least: int = 3, critical: int = 7) -> DataFrame:
-    return _fan(ledger, "dst", "src", least, critical)
+def fan_in(ledger: DataFrame, least: int = 3, critical: int = 7, list_cap: int | None = None) -> DataFrame:
+    """Receivers of payments from several senders; with `list_cap` only so many of these are listed, for receivers that all the world pays."""
+    return _fan(ledger, "dst", "src", least, critical, list_cap)
 
 
-def fan_out(ledger: DataFrame, least: int = 3, critical: int = 8) -> DataFrame:
-    return _fan(ledger, "src", "dst", least, critical)
+def fan_out(ledger: DataFrame, least: int = 3, critical: int = 8, list_cap: int | None = None) -> DataFrame:
+    return _fan(ledger, "src", "dst", least, critical, list_cap)
 
 
 def degrees(ledger: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def pass_through(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     flows = degrees(ledger).where("n_in >= 2 and n_out >= 2").join(accounts.select(F.col("id").alias("account"), "balance"), "account")
     flows = flows.withColumn("ratio", ratio(F.col("amount_out"), F.col("amount_in")))
     flows = flows.where((F.col("ratio") > 0.8) & (F.col("ratio") < 1.2) & (F.col("balance") < 0.1 * F.col("amount_in")))
-    return flows.select("account", half_up(F.col("ratio"), 3).alias("ratio"), F.col("in_degree").alias("sources"), F.col("out_degree").alias("targets"), F.when(F.col("ratio") > 0.95, "critical").otherwise("high").alias("severity"))
+    return flows.select("account", half_up(F.col("ratio"), 3).alias("ratio"), F.col("in_degree").alias("sources"), F.col("out_degree").alias("targets"), "amount_in", "amount_out", F.when(F.col("ratio") > 0.95, "critical").otherwise("high").alias("severity"))
 
 
 def night_owl(ledger: DataFrame, share: float = 0.4, critical: float = 0.7) -> DataFrame:
@@ -145,22 +153,49 @@ def fast_flow_pairs(ledger: DataFrame, window_ms: int = 3_600_000) -> DataFrame:
     return each.groupBy("account").agg(F.sum("pairs").alias("pairs"))
 
 
-def all_patterns(ledger: DataFrame, accounts: DataFrame, **loose: float) -> DataFrame:
-    """Findings of the detectors in one table: (pattern, account, severity, amount)."""
+#: The detectors, in the order in which their findings are listed.
+ORDER = ("rapid_movement", "fan_in", "fan_out", "circular_transfer", "layering_chain", "structuring", "night_owl", "burst_activity", "automated_timing", "pass_through", "community_cluster", "bridge_account")
+
+
+def findings(ledger: DataFrame, accounts: DataFrame, paths: DataFrame | None = None, graph: DataFrame | None = None, list_cap: int | None = None, **loose: float) -> DataFrame:
+    """Findings of all detectors: (pattern, account, severity, amount, accounts array, measures map).
+
+    Cycles and chains are looked for in the edges `paths` (all of the ledger's
+    unless given: paths multiply with the degree, so a dense ledger is thinned
+    first). `graph(id, community, bridge)`, if given, adds the accounts of close
+    communities and the bridges between them.
+    """
+    paths = edges(ledger) if paths is None else paths
+    split = lambda c, by: F.split(c, by)
+    none = F.lit(None).cast("array<string>")
+    burst = loose.get("burst_minutes", 5)
+    first = lambda df: df.withColumn("account", F.substring_index("path", ">", 1))
     found = {
-        "fan_in": fan_in(ledger).withColumn("amount", F.col("total")),
-        "fan_out": fan_out(ledger).withColumn("amount", F.col("total")),
-        "structuring": structuring(ledger).withColumn("amount", F.col("total")),
-        "pass_through": pass_through(ledger, accounts).withColumn("amount", F.lit(0.0)),
-        "night_owl": night_owl(ledger, loose.get("night", 0.4)).withColumn("amount", F.lit(0.0)),
-        "burst_activity": burst_activity(ledger, loose.get("burst_minutes", 5)),
-        "automated_timing": automated_timing(ledger, loose.get("cv", 0.2)).withColumn("amount", F.lit(0.0)),
-        "rapid_movement": rapid_movement(ledger, loose.get("rapid_minutes", 30)).withColumn("amount", F.col("in_amount")),
+        "rapid_movement": (rapid_movement(ledger, loose.get("rapid_minutes", 30)), F.col("in_amount"), none, ["minutes", "in_amount", "out_amount"]),
+        "fan_in": (fan_in(ledger, list_cap=list_cap), F.col("total"), split("accounts", ","), ["partners", "total"]),
+        "fan_out": (fan_out(ledger, list_cap=list_cap), F.col("total"), split("accounts", ","), ["partners", "total"]),
+        "circular_transfer": (first(cycles(paths)), F.col("total"), split("path", ">"), ["size", "total"]),
+        "layering_chain": (first(layering_chains(paths, deviation=loose.get("deviation", 0.3))), F.col("mean"), split("path", ">"), ["size", "mean", "deviation"]),
+        "structuring": (structuring(ledger), F.col("total"), none, ["threshold", "n", "total", "mean"]),
+        "night_owl": (night_owl(ledger, loose.get("night", 0.4)), F.lit(0.0), none, ["n", "night", "percent"]),
+        "burst_activity": (burst_activity(ledger, burst).withColumn("window", F.lit(burst)), F.col("amount"), none, ["size", "amount", "window"]),
+        "automated_timing": (automated_timing(ledger, loose.get("cv", 0.2)), F.lit(0.0), none, ["n", "cv", "regularity"]),
+        "pass_through": (pass_through(ledger, accounts), F.lit(0.0), none, ["ratio", "amount_in", "amount_out", "sources", "targets"]),
     }
-    parts = [df.select(F.lit(name).alias("pattern"), "account", "severity", "amount") for name, df in found.items()]
+    if graph is not None:
+        level = lambda c: F.when(F.col(c) > 0.75, "critical").otherwise("high").alias("severity")
+        found["community_cluster"] = (graph.where("community > 0.5").select(F.col("id").alias("account"), "community", level("community")), F.lit(0.0), none, ["community"])
+        found["bridge_account"] = (graph.where("bridge > 0.3").select(F.col("id").alias("account"), "bridge", level("bridge")), F.lit(0.0), none, ["bridge"])
+    measures = lambda names: F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))]).alias("measures")
+    parts = [df.select(F.lit(name).alias("pattern"), "account", "severity", amount.cast("double").alias("amount"), listed.alias("accounts"), measures(names)) for name, (df, amount, listed, names) in found.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def all_patterns(ledger: DataFrame, accounts: DataFrame, paths: DataFrame | None = None, **loose: float) -> DataFrame:
+    """Findings of the detectors in one table: (pattern, account, severity, amount)."""
+    return findings(ledger, accounts, paths, **loose).select("pattern", "account", "severity", "amount")
+
+
 def top_n(patterns: DataFrame, n: int) -> DataFrame:
     """The first n findings by severity, pattern and account."""
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))

@@ -1,19 +1,24 @@
-"""Features of accounts and the scores, classes, explanations and alerts made of them."""
+"""Features of accounts and the scores and classes made of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DETECTION_CUTS, alert_id, any_flags, clamp, half_up, ratio, risk_bucket
+from ..functions.lineage import checkpoint
+from ..functions.scalars import DETECTION_CUTS, any_flags, clamp, half_up, ratio, risk_bucket
 from . import analytics as A
 from . import graph as G
 from . import patterns as P
 
 
+#: The age of an account that does not say.
+DEFAULT_AGE = 365
+
+
 def account_features(ledger: DataFrame, accounts: DataFrame, as_of: str, graph: DataFrame | None = None) -> DataFrame:
-    """The features of every account; `graph(id, pagerank, community, bridge)` adds graph scores, 0 without it."""
-    pairs = P.edges(ledger)
+    """The features of every account, with `pagerank` unrounded besides; `graph(id, pagerank, community, bridge)` holds graph scores, 0 without it."""
+    ledger, pairs = checkpoint(ledger), checkpoint(P.edges(ledger))
     by = lambda df: df.withColumnRenamed("account", "id")
     f = accounts.select("id", "balance", "turnover", "age_days")
     for part in (
@@ -22,7 +27,7 @@ def account_features(ledger: DataFrame, accounts: DataFrame, as_of: str, graph:
     ):
         f = f.join(part, "id", "left")
     f = f.join(graph, "id", "left") if graph is not None else f.withColumns({c: F.lit(0.0) for c in ("pagerank", "community", "bridge")})
-    f = f.fillna(1.0, ["count_ratio", "amount_ratio"]).fillna(0)
+    f = f.fillna(1.0, ["count_ratio", "amount_ratio"]).fillna(DEFAULT_AGE, ["age_days"]).fillna(0)
     total, near_zero = F.col("in_degree") + F.col("out_degree"), (F.col("balance") < 1000) & (F.col("turnover") > 50000)
     flow = ratio(F.col("amount_out"), F.col("amount_in"))
     in_out = F.when(F.col("amount_out") > 0, F.col("amount_in") / F.col("amount_out")).when(F.col("amount_in") > 0, 999.0).otherwise(1.0)
@@ -37,17 +42,18 @@ def account_features(ledger: DataFrame, accounts: DataFrame, as_of: str, graph:
         F.col("business").alias("business_hours_ratio"), half_up(F.when(F.col("age_days") > 0, total / F.col("age_days")).otherwise(total), 2).alias("txns_per_day"), F.col("volatility").alias("amount_volatility"),
         F.col("max_burst").alias("max_burst_size"), total.alias("unique_counterparties"), F.col("max_share").alias("repeat_counterparty_ratio"), F.col("hhi").alias("counterparty_concentration"),
         half_up(ratio(F.col("balance"), F.col("turnover")), 3).alias("balance_utilization"), F.col("ego_density").alias("ego_network_density"), half_up(F.col("pagerank"), 4).alias("pagerank_score"),
-        half_up(F.col("community"), 3).alias("community_score"), half_up(F.col("bridge"), 3).alias("bridge_score"), F.col("age_days").alias("account_age_days"),
+        half_up(F.col("community"), 3).alias("community_score"), half_up(F.col("bridge"), 3).alias("bridge_score"), F.col("age_days").alias("account_age_days"), "pagerank",
     )
 
 
 def graph_scores(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(id, pagerank, community, bridge)."""
-    pairs = P.edges(ledger)
-    found = G.communities(ledger, pairs).select("component", F.col("score").alias("community"))
-    member = G.components(pairs).join(found, "component").select("id", "community")
-    scored = G.pagerank_risk(pairs, accounts).join(member, "id", "left").join(G.betweenness(pairs).withColumnRenamed("betweenness", "bridge"), "id", "left")
-    return scored.fillna(0.0)
+    """(id, pagerank, community, bridge, cluster_size), unrounded; an account outside of all close communities has a cluster of 1."""
+    pairs = checkpoint(P.edges(ledger))
+    member = G.components(pairs)
+    close = G.communities(ledger, pairs, member=member, digits=None).select("component", F.col("score").alias("community"), F.col("size").alias("cluster_size"))
+    member = member.join(close, "component").select("id", "community", "cluster_size")
+    scored = G.pagerank_risk(pairs, accounts, digits=None).join(member, "id", "left").join(G.betweenness(pairs, digits=None).withColumnRenamed("betweenness", "bridge"), "id", "left")
+    return checkpoint(scored.fillna(0.0, ["pagerank", "community", "bridge"]).fillna(1, ["cluster_size"]))
 
 
 def mean_of_fired(signals: list[tuple[Column, Column | float]]) -> Column:
@@ -64,6 +70,7 @@ def _c(name: str) -> Column:
 
 def component_scores(f: DataFrame) -> DataFrame:
     """Features with behavioral, graph, temporal and community scores."""
+    # fixed values: the signals and their weights
     behavioral = [
         (_c("is_fan_in"), 0.6), (_c("is_fan_out"), 0.6), (_c("is_transit"), 0.8), (_c("is_pass_through") == 1, 0.9), (_c("near_zero_balance_ratio") > 0.5, 0.7), (_c("money_in_out_velocity") > 50000, 0.5),
         (_c("in_out_ratio") > 10, 0.6), (_c("repeat_counterparty_ratio") > 0.7, 0.5), (_c("balance_utilization") < 0.05, 0.6), (_c("credit_to_debit_amount_ratio") > 3, 0.5), (_c("beneficiary_concentration") > 0.5, 0.4),
@@ -104,8 +111,9 @@ def ml_ingest_score(columns: dict[str, Column]) -> Column:
 
 
 def label_boosted_score(account: Column, is_mule: Column, score: Column) -> Column:
-    """A demo score that looks at the label; never use it to judge a model."""
-    jitter = F.pmod(F.crc32(account.cast("string")), F.lit(100)) / 1000
+    """A demo score that looks at the label; never use it to judge a model. It jitters by the first two hex digits of the id's MD5 sum."""
+    digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(account.cast("string")), k, 1)) - 1
+    jitter = F.pmod(16 * digit(1) + digit(2), F.lit(100)) / 1000
     return F.when(is_mule, F.least(F.lit(1.0), 0.55 + score * 0.45 + jitter)).otherwise(F.least(F.lit(0.49), 0.05 + score * 0.4 + jitter))
 
 
@@ -160,64 +168,44 @@ def score_accounts(features: DataFrame) -> DataFrame:
     return f.withColumn("final_score", calibrate(_c("ensemble")))
 
 
+#: What raises a flag, and what is given as a reason, in order.
 FLAG_RULES = {
-    "fan_in": lambda: _c("is_fan_in"), "fan_out": lambda: _c("is_fan_out"), "transit": lambda: _c("is_transit"), "pass_through": lambda: _c("is_pass_through") == 1, "night_activity": lambda: _c("night_txn_ratio") > 0.3,
-    "burst": lambda: _c("max_burst_size") >= 8, "high_pagerank": lambda: _c("pagerank_score") > 0.2, "bridge": lambda: _c("bridge_score") > 0.3, "community": lambda: _c("community_score") > 0.5,
+    "fan_in": lambda: _c("is_fan_in"), "fan_out": lambda: _c("is_fan_out"), "transit": lambda: _c("is_transit"), "pass_through": lambda: _c("is_pass_through") == 1, "near_zero_balance": lambda: _c("near_zero_balance_ratio") > 0.8,
+    "high_velocity": lambda: _c("money_in_out_velocity") > 50000, "bridge_account": lambda: _c("bridge_score") > 0.3, "community_cluster": lambda: _c("community_score") > 0.5, "confirmed_mule": lambda: _c("is_mule"),
 }
+REASON_RULES = {
+    "Fan-in pattern detected": lambda: _c("is_fan_in"),
+    "Fan-out pattern detected": lambda: _c("is_fan_out"),
+    "Transit account behavior": lambda: _c("is_transit"),
+    "Pass-through account (funds flow in and out)": lambda: _c("is_pass_through") == 1,
+    "Near-zero balance despite high turnover": lambda: _c("near_zero_balance_ratio") > 0.8,
+    "High transaction velocity": lambda: _c("money_in_out_velocity") > 50000,
+    "High network centrality (hub account)": lambda: _c("betweenness_centrality") > 0.1,
+    "High PageRank risk propagation": lambda: _c("pagerank") > 0.2,
+    "Significant night-time activity": lambda: _c("night_txn_ratio") > 0.3,
+    "High repeat counterparty ratio": lambda: _c("repeat_counterparty_ratio") > 0.7,
+    "Suspiciously concentrated transaction times": lambda: _c("hour_distribution_entropy") < 0.5,
+    "Abnormal credit-to-debit ratio": lambda: _c("credit_to_debit_amount_ratio") > 3,
+    "Sudden 7-day activity spike": lambda: _c("velocity_ratio_7d_180d") > 3,
+    "Bridge account between clusters": lambda: _c("bridge_score") > 0.3,
+    "Part of suspicious community cluster": lambda: _c("community_score") > 0.5,
+    "High ensemble risk score": lambda: _c("ensemble") >= 0.55,
+    "Calibrated probability exceeds threshold": lambda: _c("final_score") >= 0.55,
+}
 
 
 def classify_accounts(scored: DataFrame, pass_through_counts: bool = False) -> DataFrame:
-    """Scored accounts with is_mule, risk_level, mule_type and flags."""
+    """Scored accounts with is_mule, risk_level, mule_type, flags and reasons."""
     passes = (_c("is_pass_through") == 1) if pass_through_counts else F.lit(False)
     suspect = _c("is_fan_in") | _c("is_fan_out") | _c("is_transit") | passes
     f = scored.withColumn("is_mule", (_c("final_score") >= 0.55) & suspect).withColumn("risk_level", risk_bucket(_c("final_score"), DETECTION_CUTS))
-    kind = F.when(~_c("is_mule"), "").when(_c("is_fan_out"), "distributor").when(_c("is_fan_in"), "aggregator").when(_c("is_pass_through") == 1, "pass_through").when(_c("pagerank_score") > 0.2, "network_mule").otherwise("pass_through")
-    f = f.withColumn("mule_type", kind).withColumn("flags", any_flags({name: rule() for name, rule in FLAG_RULES.items()}))
-    return f.withColumn("reasons", F.transform("flags", lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
-
-
-#: Factors of an explanation and their weights.
-FACTORS = {
-    "near_zero_balance_ratio": 0.7, "is_pass_through": 0.9, "repeat_counterparty_ratio": 0.5, "beneficiary_concentration": 0.4, "night_txn_ratio": 0.7, "weekend_ratio": 0.4, "pagerank_score": 0.6, "bridge_score": 0.5,
-    "community_score": 0.6, "ego_network_density": 0.5, "counterparty_concentration": 0.3, "clustering_coefficient": 0.2, "hour_distribution_entropy": 0.6,
-}
-
-
-def explain(scored: DataFrame) -> DataFrame:
-    """(id, factors, summary): contributions by size, and the three largest in words."""
-    made = []
-    for name, weight in FACTORS.items():
-        value = _c(name).cast("double")
-        gain = F.when(value < 0.5, (1 - value) * weight).otherwise(0.0) if name == "hour_distribution_entropy" else value * weight
-        made.append(F.struct((-half_up(gain, 4)).alias("order"), F.lit(name).alias("feature"), half_up(value, 4).alias("value"), F.lit(weight).alias("weight"), half_up(gain, 4).alias("contribution")))
-    top = F.array_sort(F.filter(F.array(*made), lambda x: x["contribution"] > 0))
-    factors = F.transform(top, lambda x: F.struct(x["feature"], x["value"], x["weight"], x["contribution"]))
-    said = scored.select("id", factors.alias("factors"))
-    return said.withColumn("summary", F.array_join(F.transform(F.slice("factors", 1, 3), lambda x: x["feature"]), ", "))
-
-
-TITLES = {
-    "fan_in": "Many senders pay one account", "fan_out": "One account pays many receivers", "structuring": "Amounts just below a threshold", "pass_through": "Money passes through", "night_owl": "Active at night",
-    "burst_activity": "Burst of payments", "automated_timing": "Payments at regular intervals", "rapid_movement": "Money moved on within minutes",
-}
-
-
-def make_alerts(patterns: DataFrame) -> DataFrame:
-    """(id, type, title, severity, account, status): one alert for each finding; equal findings have equal ids."""
-    title = F.coalesce(*[F.when(F.col("pattern") == k, v) for k, v in TITLES.items()], F.col("pattern"))
-    key = F.concat_ws(":", "pattern", "account", F.coalesce("accounts", F.lit("")), "severity")
-    return patterns.select(alert_id(key).alias("id"), F.col("pattern").alias("type"), title.alias("title"), "severity", "account", F.lit("new").alias("status")).dropDuplicates(["id", "account"])
-
-
-def analyst_report(classified: DataFrame) -> DataFrame:
-    """(id, case_id, recommendation, report): the report is a JSON document."""
-    advice = F.when(_c("is_mule") & (_c("final_score") >= 0.75), "freeze").when(_c("is_mule"), "escalate").when(_c("final_score") >= 0.35, "investigate").otherwise("monitor")
-    advice = F.when((advice == "monitor") & (_c("is_pass_through") == 1), "investigate").otherwise(advice)
-    body = F.struct(F.col("final_score").alias("score"), "risk_level", "mule_type", "flags", "reasons", F.struct("in_degree", "out_degree", "pagerank_score", "community_score").alias("network"))
-    case = F.concat(F.lit("CASE-"), F.upper(F.substring(F.sha2(_c("id"), 256), 1, 8)))
-    return classified.select("id", case.alias("case_id"), advice.alias("recommendation"), F.to_json(body).alias("report"))
+    kind = F.when(~_c("is_mule"), "").when(_c("is_fan_out"), "distributor").when(_c("is_fan_in"), "aggregator").when(_c("is_pass_through") == 1, "pass_through").when(_c("pagerank") > 0.2, "network_mule").otherwise("pass_through")
+    f = f.withColumn("mule_type", kind)
+    return f.withColumns({"flags": any_flags({name: rule() for name, rule in FLAG_RULES.items()}), "reasons": any_flags({said: rule() for said, rule in REASON_RULES.items()})})
 
 
-def detect(ledger: DataFrame, accounts: DataFrame, as_of: str) -> DataFrame:
+def detect(ledger: DataFrame, accounts: DataFrame, as_of: str, graph: DataFrame | None = None) -> DataFrame:
     """The whole detection: features with graph scores, fused, calibrated and classified."""
-    return classify_accounts(score_accounts(account_features(ledger, accounts, as_of, graph_scores(ledger, accounts))))
+    graph = graph_scores(ledger, accounts) if graph is None else graph
+    f = account_features(ledger, accounts, as_of, graph.drop("cluster_size")).join(graph.select("id", "cluster_size"), "id", "left").fillna(1, ["cluster_size"])
+    return classify_accounts(score_accounts(f))

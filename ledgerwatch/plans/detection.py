@@ -51,14 +51,9 @@ SELECT account, threshold, n, total, {r('total / n')} AS mean, CASE WHEN n >= 5
   SELECT src AS account, threshold, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total
   FROM ledger, (SELECT unnest([10000, 50000, 100000, 200000])::BIGINT AS threshold) WHERE amount >= threshold * 0.85 AND amount < threshold GROUP BY 1, 2) WHERE n >= 3"""
 
-_PURCH_DEG = """pd AS (
-  SELECT account, i.d AS in_degree, o.d AS out_degree, CAST(i.a AS DOUBLE) AS amount_in, CAST(o.a AS DOUBLE) AS amount_out, i.t AS n_in, o.t AS n_out
-  FROM (SELECT dst AS account, count(DISTINCT src) AS d, count(*) AS t, sum(amount) AS a FROM purch GROUP BY 1) i
-  JOIN (SELECT src AS account, count(DISTINCT dst) AS d, count(*) AS t, sum(amount) AS a FROM purch GROUP BY 1) o USING (account))"""
-
 _PASS = f"""
-SELECT account, {r('ratio', 3)} AS ratio, in_degree AS sources, out_degree AS targets, CASE WHEN ratio > 0.95 THEN 'critical' ELSE 'high' END AS severity
-FROM (SELECT pd.*, amount_out / amount_in AS ratio, balance FROM pd JOIN accounts ON id = account WHERE n_in >= 2 AND n_out >= 2 AND amount_in > 0)
+SELECT account, {r('ratio', 3)} AS ratio, in_degree AS sources, out_degree AS targets, amount_in, amount_out, CASE WHEN ratio > 0.95 THEN 'critical' ELSE 'high' END AS severity
+FROM (SELECT deg.*, amount_out / amount_in AS ratio, balance FROM deg JOIN accounts ON id = account WHERE n_in >= 2 AND n_out >= 2 AND amount_in > 0)
 WHERE ratio > 0.8 AND ratio < 1.2 AND balance < 0.1 * amount_in"""
 
 _NIGHT = f"""
@@ -95,22 +90,48 @@ _DEGREES = "SELECT * FROM deg"
 _TRIANGLES = """
 SELECT members, arg_min(path, path) AS path, arg_min(amount, path) AS amount FROM (
   SELECT array_to_string(list_sort([a.src, a.dst, b.dst]), ',') AS members, a.src || '>' || a.dst || '>' || b.dst AS path, CAST(a.first_amount AS DOUBLE) AS amount
-  FROM hv_edges a JOIN hv_edges b ON a.dst = b.src JOIN hv_edges c ON b.dst = c.src AND c.dst = a.src
+  FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src AND c.dst = a.src
   WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst) GROUP BY members"""
 
-_PATTERNS = " UNION ALL ".join(
-    f"SELECT '{name}' AS pattern, account, severity, {amount} AS amount FROM ({sql})"
-    for name, sql, amount in (
-        ("fan_in", _FAN.format(at="dst", other="src", rows="ledger", critical=7), "total"),
-        ("fan_out", _FAN.format(at="src", other="dst", rows="ledger", critical=8), "total"),
-        ("structuring", _STRUCTURING, "total"),
-        ("pass_through", _PASS.replace("FROM pd ", "FROM deg pd "), "0.0"),
-        ("night_owl", _NIGHT, "0.0"),
-        ("burst_activity", _BURST, "amount"),
-        ("automated_timing", _TIMING, "0.0"),
-        ("rapid_movement", _RAPID, "in_amount"),
-    )
+_STARTS = "starts AS (SELECT DISTINCT src FROM hv_edges WHERE src NOT IN (SELECT dst FROM hv_edges GROUP BY dst HAVING count(*) > 1))"
+
+
+def _whole(x: str) -> str:
+    return f"CAST(CAST({x} AS BIGINT) AS VARCHAR)"
+
+
+def _lakhs(x: str) -> str:
+    return f"'₹' || format('{{:.1f}}', {r(f'{x} / 100000', 1)}) || 'L'"
+
+
+_FAN_IN, _FAN_OUT = _FAN.format(at="dst", other="src", rows="ledger", critical=7), _FAN.format(at="src", other="dst", rows="ledger", critical=8)
+_HEAD = "split_part(path, '>', 1)"
+_CHAIN = "replace(path, '>', ' → ')"
+#: (pattern, rows, account, amount, listed accounts, description)
+_PARTS = (
+    ("rapid_movement", _RAPID, "account", "in_amount", "[account]", "'Account ' || account || ' received and forwarded funds within ' || format('{:.1f}', minutes) || ' minutes.'"),
+    ("fan_in", _FAN_IN, "account", "total", "string_split(accounts, ',')", f"{_whole('partners')} || ' distinct accounts transferred funds to ' || account || ', totaling ' || {_lakhs('total')} || '.'"),
+    ("fan_out", _FAN_OUT, "account", "total", "string_split(accounts, ',')", f"account || ' distributed funds to ' || {_whole('partners')} || ' accounts.'"),
+    ("circular_transfer", _cycles(), _HEAD, "total", "string_split(path, '>')", f"'Funds traced through ' || {_CHAIN} || ' loop totaling ' || {_lakhs('total')} || '.'"),
+    ("layering_chain", _chains(), _HEAD, "mean", "string_split(path, '>')", f"'Money passed through ' || {_whole('size')} || ' intermediate accounts in chain: ' || {_CHAIN} || '.'"),
+    ("structuring", _STRUCTURING, "account", "total", "[account]", f"'Account ' || account || ' made ' || {_whole('n')} || ' transactions just below ₹' || {_whole('threshold // 1000')} || 'K threshold.'"),
+    ("night_owl", _NIGHT, "account", "0.0", "[account]", f"'Account ' || account || ' conducted ' || {_whole('night')} || ' transactions between 00:00-05:00 (' || {_whole('percent')} || '% of total).'"),
+    ("burst_activity", _BURST, "account", "amount", "[account]", f"'Account ' || account || ' made ' || {_whole('size')} || ' transactions within 360 minutes.'"),
+    ("automated_timing", _TIMING, "account", "0.0", "[account]", f"'Account ' || account || ' shows ' || {_whole('regularity')} || '% regularity in transaction timing (CV: ' || format('{{:.3f}}', {r('cv', 3)}) || ').'"),
+    ("pass_through", _PASS, "account", "0.0", "[account]", f"'Account ' || account || ' passes ' || {_whole(r('ratio * 100'))} || '% of inbound funds directly outbound (' || {_lakhs('amount_in')} || ' in → ' || {_lakhs('amount_out')} || ' out).'"),
 )
+#: The findings of all detectors: (pattern, account, severity, amount, listed, description).
+FOUND = f"""{_STARTS},
+found AS MATERIALIZED ({" UNION ALL ".join(f"SELECT '{name}' AS pattern, {account} AS account, severity, CAST({amount} AS DOUBLE) AS amount, {listed} AS listed, {text} AS description FROM ({sql})" for name, sql, account, amount, listed, text in _PARTS)})"""
+
+#: Looser than by default, as events at random hold few patterns.
+LOOSE = {"night": 0.25, "burst_minutes": 360, "cv": 0.9, "deviation": 0.5}
+
+
+def found(s, d, ledger=None, accounts=None):
+    """All findings; paths multiply with the degree, so cycles and chains are looked for among the large purchases."""
+    ledger, accounts = ledger if ledger is not None else T.ledger(s, d), accounts if accounts is not None else T.accounts(s, d)
+    return P.findings(ledger, accounts, P.edges(T.high_value(s, d)), **LOOSE)
 
 
 def _raw(spark, d):
@@ -128,19 +149,19 @@ def _raw(spark, d):
 QUERIES = {
     "canonical_ledger": lambda s, d: P.canonical_ledger(_raw(s, d), T.accounts(s, d).where("risk < 90")).select("txn_id", "src", "dst", "amount"),
     "degrees": lambda s, d: P.degrees(T.ledger(s, d)),
-    "fan_in": lambda s, d: P.fan_in(T.high_value(s, d)),
-    "fan_out": lambda s, d: P.fan_out(T.high_value(s, d)),
+    "fan_in": lambda s, d: P.fan_in(T.ledger(s, d)),
+    "fan_out": lambda s, d: P.fan_out(T.ledger(s, d)),
     "structuring": lambda s, d: P.structuring(T.ledger(s, d)),
-    "pass_through": lambda s, d: P.pass_through(T.purchases(s, d), T.accounts(s, d)),
+    "pass_through": lambda s, d: P.pass_through(T.ledger(s, d), T.accounts(s, d)),
     "night_owl": lambda s, d: P.night_owl(T.ledger(s, d), share=0.25),
     "burst_activity": lambda s, d: P.burst_activity(T.ledger(s, d), gap_minutes=360),
     "max_burst": lambda s, d: P.max_burst(T.ledger(s, d), gap_minutes=360),
     "automated_timing": lambda s, d: P.automated_timing(T.ledger(s, d), cv=0.9),
     "rapid_movement": lambda s, d: P.rapid_movement(T.ledger(s, d)),
     "fast_flow_pairs": lambda s, d: P.fast_flow_pairs(T.ledger(s, d)),
-    "all_patterns": lambda s, d: P.all_patterns(T.ledger(s, d), T.accounts(s, d), night=0.25, burst_minutes=360, cv=0.9),
+    "all_patterns": lambda s, d: found(s, d).select("pattern", "account", "severity", "amount"),
     "circular_transfer": lambda s, d: P.cycles(P.edges(T.high_value(s, d))),
-    "triangles3": lambda s, d: P.triangles(T.high_value(s, d)),
+    "triangles3": lambda s, d: P.triangles(T.ledger(s, d)),
     "layering_chain": lambda s, d: P.layering_chains(P.edges(T.high_value(s, d)), deviation=0.5),
 }
 
@@ -149,18 +170,18 @@ ORACLES = {
 SELECT txn_id, src, dst, CAST(amount AS DOUBLE) AS amount FROM (SELECT *, CAST(substr(txn_id, 2) AS BIGINT) AS k FROM ledger)
 WHERE k % 4 <> 3 AND k % 8 <> 2 AND src IN (SELECT id FROM accounts WHERE risk < 90) AND dst IN (SELECT id FROM accounts WHERE risk < 90)"""),
     "degrees": oracle(_DEGREES),
-    "fan_in": oracle(_FAN.format(at="dst", other="src", rows="hv", critical=7)),
-    "fan_out": oracle(_FAN.format(at="src", other="dst", rows="hv", critical=8)),
+    "fan_in": oracle(_FAN_IN),
+    "fan_out": oracle(_FAN_OUT),
     "structuring": oracle(_STRUCTURING),
-    "pass_through": oracle(_PASS, _PURCH_DEG),
+    "pass_through": oracle(_PASS),
     "night_owl": oracle(_NIGHT),
     "burst_activity": oracle(_BURST),
     "max_burst": oracle(_MAX_BURST),
     "automated_timing": oracle(_TIMING),
     "rapid_movement": oracle(_RAPID),
     "fast_flow_pairs": oracle(_FAST),
-    "all_patterns": oracle(_PATTERNS),
+    "all_patterns": oracle("SELECT pattern, account, severity, amount FROM found", FOUND),
     "circular_transfer": oracle(_cycles()),
     "triangles3": oracle(_TRIANGLES),
-    "layering_chain": oracle(_chains(), "starts AS (SELECT DISTINCT src FROM hv_edges WHERE src NOT IN (SELECT dst FROM hv_edges GROUP BY dst HAVING count(*) > 1))"),
+    "layering_chain": oracle(_chains(), _STARTS),
 }

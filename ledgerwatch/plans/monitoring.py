@@ -8,6 +8,7 @@ from ..functions.scalars import INGEST_CUTS, alert_id, document_id, risk_bucket
 from ..operators import analytics as A
 from ..operators import patterns as P
 from ..sources import tables as T
+from . import detection
 from .prelude import oracle
 from .prelude import rounded as r
 
@@ -35,11 +36,6 @@ def _raw_alerts(s, d):
     return a.select("id", F.when(F.col("severity") == "low", F.lit("INFO")).otherwise(F.col("severity")).alias("severity"), F.when(F.col("status") == "dismissed", F.lit("odd")).otherwise(F.col("status")).alias("status"), F.array("account", F.lit(" "), F.lit("A0"), F.lit("ghost")).alias("accounts"))
 
 
-def _few_patterns(s, d):
-    hv = T.high_value(s, d)
-    return P.fan_in(hv).select(F.lit("fan_in").alias("pattern"), "account").union(P.fan_out(hv).select(F.lit("fan_out"), "account"))
-
-
 def _joined(df, column):
     return df.withColumn(column, F.array_join(column, ","))
 
@@ -59,10 +55,12 @@ QUERIES = {
     "money_flow_matrix": lambda s, d: A.money_flow_matrix(T.ledger(s, d), T.accounts(s, d)),
     "amount_by_pattern": lambda s, d: A.amount_by_pattern(T.ledger(s, d), _flagged(s, d)),
     "graph_edges_view": lambda s, d: A.graph_edges_view(T.ledger(s, d), T.accounts(s, d)),
+    "graph_nodes_view": lambda s, d: A.graph_nodes_view(T.ledger(s, d), T.accounts(s, d)),
+    "graph_statistics": lambda s, d: A.graph_statistics(T.ledger(s, d), T.accounts(s, d)),
     "ego_network": lambda s, d: A.ego_network(T.ledger(s, d), _seeds(s, d)),
     "account_history": lambda s, d: A.account_history(T.ledger(s, d), _seeds(s, d)),
     "alert_accounts": lambda s, d: _joined(A.alert_accounts(_raw_alerts(s, d), T.accounts(s, d)), "accounts"),
-    "label_attach": lambda s, d: _joined(A.label_attach(T.accounts(s, d), _few_patterns(s, d)), "patterns"),
+    "label_attach": lambda s, d: _joined(A.label_attach(T.accounts(s, d), detection.found(s, d)), "patterns"),
     "hour_entropy": lambda s, d: A.hour_entropy(T.ledger(s, d)),
     "counterparty_mix": lambda s, d: A.counterparty_mix(T.ledger(s, d)),
     "credit_debit": lambda s, d: A.credit_debit(T.ledger(s, d)),
@@ -78,13 +76,12 @@ QUERIES = {
     "pattern_by_month": lambda s, d: A.pattern_by_month(T.alerts(s, d)),
     "portfolio_stats": lambda s, d: A.portfolio_stats(T.accounts(s, d), T.ledger(s, d), T.alerts(s, d)),
     "active_alert_count": lambda s, d: A.active_alert_count(T.alerts(s, d)),
-    "detection_summary": lambda s, d: A.detection_summary(_few_patterns(s, d)),
     "ece": lambda s, d: A.ece(T.scored(s, d)),
     "graph_risk_legacy": lambda s, d: A.graph_risk_legacy(T.ledger(s, d), T.accounts(s, d)),
     "top_risk": lambda s, d: T.accounts(s, d).orderBy(F.desc("risk"), "id").limit(5).select("id", "risk"),
     "recent_alerts": lambda s, d: T.alerts(s, d).orderBy(F.desc("ts"), "id").limit(5).select("id", "type"),
-    "top_n_patterns": lambda s, d: P.top_n(P.fan_in(T.high_value(s, d)).select(F.lit("fan_in").alias("pattern"), "account", "severity", F.col("total").alias("amount")), 10),
-    "node_index": lambda s, d: A.node_index(T.high_value(s, d)),
+    "top_n_patterns": lambda s, d: P.top_n(detection.found(s, d).select("pattern", "account", "severity", "amount"), 10),
+    "node_index": lambda s, d: A.node_index(T.ledger(s, d)),
     "alert_id": lambda s, d: T.alerts(s, d).select("id", alert_id(F.concat_ws(":", "type", "account", "severity")).alias("alert_id")),
 }
 
@@ -97,13 +94,12 @@ flagged AS (
     CASE WHEN out_degree > 30 THEN 'fan_out_suspect' END, CASE WHEN amount_in > 100000 THEN 'high_value' END], lambda x: x IS NOT NULL) AS flags
   FROM (SELECT *, CASE WHEN amount_in <> 0 THEN amount_out / amount_in ELSE 0 END AS p FROM profile))"""
 
-_FEW = """few AS (
-  SELECT 'fan_in' AS pattern, dst AS account, count(DISTINCT src) AS k, CAST(sum(amount) AS DOUBLE) AS amount FROM hv GROUP BY dst HAVING count(DISTINCT src) >= 3
-  UNION ALL SELECT 'fan_out', src, count(DISTINCT dst), CAST(sum(amount) AS DOUBLE) FROM hv GROUP BY src HAVING count(DISTINCT dst) >= 3)"""
-
-_CRC = """crc(txn_id)"""
-
 ORACLES = {
+    "import_window": oracle("SELECT txn_id FROM ledger WHERE CAST(substr(txn_id, 2) AS BIGINT) >= 100 AND CAST(substr(txn_id, 2) AS BIGINT) < 5100 AND md5(txn_id) < '80000000'"),
+    "graph_nodes_view": oracle(f"""SELECT id, CASE WHEN length(id) > 8 THEN right(id, 6) ELSE id END AS label, risk, in_degree, out_degree, {r('CASE WHEN size > 1 THEN least(1.0::DOUBLE, (in_degree + out_degree) / (size * 0.5::DOUBLE)) ELSE 0 END', 4)} AS centrality,
+  CASE WHEN is_mule OR risk >= 60 THEN 'mule' WHEN risk >= 40 THEN 'uncertain' ELSE 'safe' END AS risk_class FROM profile WHERE in_degree + out_degree > 0""", _PROFILE),
+    "graph_statistics": oracle("""SELECT (SELECT count(*) FROM accounts JOIN deg ON account = id) AS nodes, count(*) AS edges, count(*) FILTER (flagged OR s.is_mule OR t.is_mule) AS flagged FROM (
+  SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ts, txn_id) AS k FROM ledger) JOIN accounts s ON s.id = src JOIN accounts t ON t.id = dst WHERE k = 1"""),
     "sanitize_doc_id": oracle("SELECT id, regexp_replace(name || '-' || bank, '[^a-zA-Z0-9]', '_', 'g') AS doc_key FROM accounts"),
     "normalize_accounts": oracle("""
 SELECT id, CASE WHEN risk % 5 = 0 THEN 'Unknown' ELSE name END AS name, bank, CASE WHEN risk % 3 > 0 THEN turnover ELSE greatest(balance, 0) + 10 END AS turnover,
@@ -134,7 +130,7 @@ WHERE family IS NOT NULL GROUP BY family""", _PROFILE),
     "account_history": oracle("""SELECT account, txn_id, other, incoming, CAST(amount AS DOUBLE) AS amount, row_number() OVER (PARTITION BY account ORDER BY ts DESC, txn_id) AS rank
 FROM view_at WHERE account IN (SELECT id FROM accounts WHERE risk >= 95)"""),
     "alert_accounts": oracle("SELECT x.id, array_to_string(list_sort(list(DISTINCT account)), ',') AS accounts FROM (SELECT id, account FROM alerts UNION ALL SELECT id, 'A0' FROM alerts) x JOIN accounts a ON a.id = x.account GROUP BY x.id"),
-    "label_attach": oracle("SELECT id, array_to_string(list_sort(list(pattern) FILTER (pattern IS NOT NULL)), ',') AS patterns FROM accounts LEFT JOIN few ON account = id GROUP BY id", _FEW),
+    "label_attach": oracle("SELECT id, array_to_string(list_sort(list(DISTINCT pattern) FILTER (pattern IS NOT NULL)), ',') AS patterns FROM accounts LEFT JOIN found ON account = id GROUP BY id", detection.FOUND),
     "hour_entropy": oracle(f"""SELECT account, {r('-sum(p * log2(p)) / log2(24.0)', 3)} AS entropy FROM (
   SELECT account, n / CAST(sum(n) OVER (PARTITION BY account) AS DOUBLE) AS p FROM (SELECT account, hour(ts) AS h, count(*) AS n FROM view_at GROUP BY 1, 2)) GROUP BY account"""),
     "counterparty_mix": oracle(f"""SELECT account, {r('max(n) / CAST(sum(n) AS DOUBLE)', 3)} AS max_share, {r('CAST(sum(n * n) AS DOUBLE) / CAST(sum(n) * sum(n) AS DOUBLE)', 3)} AS hhi
@@ -153,14 +149,13 @@ FROM (SELECT account, other, count(*) AS n FROM view_at GROUP BY 1, 2) GROUP BY
     "bank_frequency": oracle("SELECT bank, count(*) AS n FROM accounts GROUP BY bank ORDER BY n DESC, bank LIMIT 10"),
     "volume_by_day": oracle("SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(amount) AS DOUBLE) / 100000 AS lakhs, count(*) AS n FROM ledger GROUP BY 1"),
     "alerts_by_hour": oracle("SELECT h AS hour, count(id) AS n FROM range(24) t(h) LEFT JOIN alerts ON hour(ts) = h GROUP BY h"),
-    "pattern_by_month": oracle("""SELECT strftime(ts, '%b') AS month, count(*) FILTER (type = 'fan_in') AS "FANIN", count(*) FILTER (type = 'pass_through') AS "PASSTHROUGH", count(*) FILTER (type = 'circular_transfer') AS "CIRCULAR", count(*) FILTER (type = 'fan_out') AS "FANOUT"
-FROM alerts WHERE month(ts) <= 6 GROUP BY 1"""),
+    "pattern_by_month": oracle("""SELECT month, count(*) FILTER (type = 'fan_in') AS "FANIN", count(*) FILTER (type = 'pass_through') AS "PASSTHROUGH", count(*) FILTER (type = 'circular_transfer') AS "CIRCULAR", count(*) FILTER (type = 'fan_out') AS "FANOUT"
+FROM (SELECT unnest(['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun']) AS month) LEFT JOIN alerts ON strftime(ts, '%b') = month GROUP BY 1"""),
     "portfolio_stats": oracle(f"""SELECT a.*, (SELECT count(*) FROM ledger) AS transactions, b.*, {r('flagged * 100.0 / accounts', 1)} AS flagged_percent FROM (
   SELECT count(*) AS accounts, count(*) FILTER (risk >= 60) AS flagged, sum(turnover) AS turnover, {r('avg(risk)', 1)} AS mean_risk FROM accounts) a, (
   SELECT count(*) FILTER (status IN ('new', 'investigating')) AS active_alerts, count(*) FILTER (status = 'resolved') AS resolved_alerts, count(*) FILTER (type = 'fan_in') AS fan_in_alerts,
     count(*) FILTER (type = 'pass_through') AS pass_through_alerts, count(*) FILTER (type = 'circular_transfer') AS circular_transfer_alerts, count(*) FILTER (type = 'fan_out') AS fan_out_alerts FROM alerts) b"""),
     "active_alert_count": oracle("SELECT count(*) FILTER (status IN ('new', 'investigating')) AS active FROM alerts"),
-    "detection_summary": oracle("SELECT pattern, count(*) AS n, count(DISTINCT account) AS accounts FROM few GROUP BY pattern", _FEW),
     "ece": f"""WITH scored AS (SELECT doc_id % 101 / 100.0::DOUBLE AS score, quality AS label FROM labels),
 bins AS (SELECT k, k * 0.1::DOUBLE AS low, (k + 1) * 0.1::DOUBLE AS high FROM range(10) t(k)),
 per AS (SELECT k, count(*) AS n, avg(score) AS s, avg(label) AS y FROM scored JOIN bins ON score >= low AND score < high GROUP BY k)
@@ -171,9 +166,9 @@ SELECT {r('sum(abs(s - y) * n) / (SELECT count(*) FROM scored)', 6)} AS ece FROM
     LEFT JOIN (SELECT dst, sum(n_flagged) AS n FROM edges GROUP BY 1) f ON f.dst = id LEFT JOIN (SELECT src, sum(n_flagged) AS n FROM edges GROUP BY 1) g ON g.src = id))""", _PROFILE),
     "top_risk": oracle("SELECT id, risk FROM accounts ORDER BY risk DESC, id LIMIT 5"),
     "recent_alerts": oracle("SELECT id, type FROM alerts ORDER BY ts DESC, id LIMIT 5"),
-    "top_n_patterns": oracle("SELECT pattern, account, CASE WHEN k >= 7 THEN 'critical' ELSE 'high' END AS severity, amount FROM few WHERE pattern = 'fan_in' ORDER BY severity, account LIMIT 10", _FEW),
-    "node_index": oracle("""SELECT s.k - 1 AS source_idx, t.k - 1 AS target_idx, CAST(sum(amount) AS DOUBLE) AS amount FROM hv JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst GROUP BY 1, 2""",
-        "nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT src AS id FROM hv UNION SELECT dst FROM hv))"),
+    "top_n_patterns": oracle("SELECT pattern, account, severity, amount FROM found ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), pattern, account, amount DESC LIMIT 10", detection.FOUND),
+    "node_index": oracle("""SELECT s.k - 1 AS source_idx, t.k - 1 AS target_idx, CAST(sum(amount) AS DOUBLE) AS amount FROM ledger JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst GROUP BY 1, 2""",
+        "nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT src AS id FROM ledger UNION SELECT dst FROM ledger))"),
     "alert_id": oracle("""SELECT id, 'ALT-' || lpad(lower(to_hex(abs(list_reduce(list_concat([0::BIGINT], list_transform(string_split(type || ':' || account || ':' || severity, ''), lambda c: CAST(ascii(c) AS BIGINT))),
   lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)))), 8, '0') AS alert_id FROM alerts"""),
 }

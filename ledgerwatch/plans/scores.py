@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import casework as C
 from ..operators import feedback as B
 from ..operators import graph as G
 from ..operators import markov as M
@@ -16,7 +17,8 @@ from ..operators import scoring as S
 from ..operators import trees as X
 from ..sources import tables as T
 from ..streaming import jobs as J
-from . import feature_sql
+from . import detection, feature_sql
+from . import graph_sql as Q
 from .monitoring import _PROFILE
 from .prelude import oracle
 from .prelude import rounded as r
@@ -28,13 +30,67 @@ def _shared(s) -> str:
 
 
 def _features(s, d):
-    return S.account_features(T.ledger(s, d), T.accounts(s, d), T.AS_OF)
+    ledger, accounts = T.ledger(s, d), T.accounts(s, d)
+    return S.account_features(ledger, accounts, T.AS_OF, S.graph_scores(ledger, accounts).drop("cluster_size"))
+
+
+def _explained(s, d):
+    """What the detection says of each account, and why."""
+    ledger, accounts = T.ledger(s, d), T.accounts(s, d)
+    return C.explain(S.detect(ledger, accounts, T.AS_OF), detection.found(s, d, ledger, accounts))
+
+
+def _report(s, d):
+    rows = C.analyst_report(_explained(s, d))
+    return rows.select("id", "case_id", "risk_score", *[f"{k}_summary" for k in ("behavioral", "network", "temporal", "community")], F.array_join(F.transform("recommendations", lambda x: x["action"]), ",").alias("actions"), F.size("evidence_chain").alias("n_evidence"))
 
 
-def _scored(s, d):
-    """Features with graph scores, as in `S.detect`; the SQL of the other score queries holds them at 0."""
+def _summary(s, d):
     ledger, accounts = T.ledger(s, d), T.accounts(s, d)
-    return S.score_accounts(S.account_features(ledger, accounts, T.AS_OF, S.graph_scores(ledger, accounts)))
+    return C.detection_summary(S.detect(ledger, accounts, T.AS_OF), ledger, detection.found(s, d, ledger, accounts))
+
+
+def _alerts(s, d):
+    accounts = T.accounts(s, d)
+    return C.make_alerts(detection.found(s, d, accounts=accounts), accounts)
+
+
+def _written_alerts(s, d):
+    """Alerts of a run merged by id into those that are there: verdicts on old ones and columns that the run lacks survive."""
+    new = _alerts(s, d).select("id", "type", "severity", "account")
+    old = new.where("severity = 'critical'").select("id", "account", F.lit("confirmed").alias("status")).union(T.alerts(s, d).select("id", "account", "status"))
+    path = B.write_version(B.upsert(old.dropDuplicates(["id"]), new.dropDuplicates(["id"])), _shared(s), 1)
+    return s.read.parquet(path).groupBy("type", "severity", "status").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+def _sunk(s, d):
+    """Alerts of a stream, appended once each."""
+    folder = _shared(s)
+    stream = T.alerts(s, d, T.event_stream(s, d)).select("id", "type", "severity", "account", "ts")
+    J.stream_sink(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return s.read.parquet(f"{folder}/out").select("id", "type", "severity", "account")
+
+
+def _csv_accounts(s, d):
+    """Accounts written as an import file and read back; some numbers are no numbers."""
+    path, a = _shared(s), T.accounts(s, d)
+    text = {"account_id": F.col("id"), "account_age_days": F.when(F.col("risk") % 10 == 0, "n/a").otherwise(F.col("age_days").cast("string")), "kyc_status": F.when(F.col("risk") % 2 == 0, "FULL").otherwise("MIN"), "account_type": F.lit("SAVINGS, JOINT"), "total_in_amount": F.col("balance").cast("string"), "is_mule": F.when(F.col("is_mule"), "True").otherwise("False")}
+    columns = [c.split()[0] for c in T.ACCOUNT_CSV.split(", ")]
+    a.select(*[text.get(c, F.lit("")).alias(c) for c in columns]).write.option("header", True).csv(path)
+    return T.read_feature_csv(s, path).select(F.col("account_id").alias("id"), "account_type", "kyc_full", "account_age_days", "total_in_amount", "in_txn_count", "is_mule")
+
+
+def _csv_ledger(s, d):
+    path, pays = _shared(s), T.ledger(s, d)
+    rows = pays.select("txn_id", F.col("src").alias("sender_id"), F.col("dst").alias("receiver_id"), F.col("amount").cast("string").alias("amount"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("type").alias("mode"), F.when(F.col("flagged"), "FAN_IN").otherwise("NONE").alias("is_fraud_pattern"))
+    rows.write.option("header", True).csv(path)
+    return T.read_ledger_csv(s, path).select("txn_id", "src", "dst", F.col("amount").cast("double").alias("amount"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "type", "flagged")
+
+
+def _json_accounts(s, d):
+    path = _shared(s)
+    T.accounts(s, d).select("id", "name", "risk", "is_mule").write.json(path)
+    return T.read_dataset_json(s, path, "id string, name string, risk long, is_mule boolean", multi_line=False)
 
 
 def _bools(df):
@@ -69,24 +125,26 @@ def _upsert(s, d):
 
 def _train(s, d):
     rows = T.accounts(s, d).select("balance", "age_days", "turnover", (F.col("risk") >= 60).cast("int").alias("label"))
-    model, area = X.train_tree_model(rows, ["balance", "age_days", "turnover"], rounds=5, depth=3)
-    return s.createDataFrame([(model.getNumTrees, float(area))], "trees int, area_under_curve double")
+    names = ["balance", "age_days", "turnover"]
+    model, area = X.train_tree_model(rows, names, rounds=20)
+    own = [r[0] for r in rows.select(X.tree_ensemble_score(X.exported(model, names), names)).collect()[:1]]
+    return s.createDataFrame([(model.getNumTrees, float(area), own[0] if own else None)], "trees int, area_under_curve double, first_score double")
 
 
 def _verdicts(s, d):
-    return T.alerts(s, d).where("severity = 'critical'").select(F.col("id").alias("alert_id"), (F.crc32("id") % 2 == 0).alias("confirmed"), "ts")
+    return T.alerts(s, d).where("severity = 'critical'").select(F.col("id").alias("alert_id"), (F.substring("id", 3, 20).cast("long") % 2 == 0).alias("confirmed"), "ts")
 
 
 QUERIES = {
-    "components": lambda s, d: G.components(P.edges(T.high_value(s, d))),
-    "communities": lambda s, d: G.communities(T.high_value(s, d), P.edges(T.high_value(s, d))),
+    "components": lambda s, d: G.components(P.edges(T.ledger(s, d))),
+    "communities": lambda s, d: G.communities(T.ledger(s, d), P.edges(T.ledger(s, d))),
     "modularity_communities": lambda s, d: G.modularity_communities(P.edges(T.ledger(s, d))),
     "betweenness": lambda s, d: G.betweenness(P.edges(T.ledger(s, d))),
     "pagerank_risk": lambda s, d: G.pagerank_risk(P.edges(T.ledger(s, d)), T.accounts(s, d)),
     "degree_centrality": lambda s, d: G.degree_centrality(P.edges(T.ledger(s, d)), T.accounts(s, d)),
-    "clustering": lambda s, d: G.neighbourhoods(P.edges(T.high_value(s, d))).drop("ego_density"),
-    "ego_density": lambda s, d: G.neighbourhoods(P.edges(T.high_value(s, d))).select("id", "ego_density"),
-    "account_features": lambda s, d: _bools(_features(s, d)),
+    "clustering": lambda s, d: G.neighbourhoods(P.edges(T.ledger(s, d))).drop("ego_density"),
+    "ego_density": lambda s, d: G.neighbourhoods(P.edges(T.ledger(s, d))).select("id", "ego_density"),
+    "account_features": lambda s, d: _bools(_features(s, d).drop("pagerank").withColumn("betweenness_centrality", F.round("betweenness_centrality", 6))),
     "component_scores": lambda s, d: S.component_scores(_features(s, d)).select("id", *[F.round(f"{k}_score_part", 6).alias(k) for k in ("behavioral", "graph", "temporal", "community")]),
     "ml_scores": _ml,
     "label_boosted_score": lambda s, d: T.accounts(s, d).select("id", S.label_boosted_score(F.col("id"), F.col("is_mule"), F.col("risk") / 100).alias("score")),
@@ -94,17 +152,22 @@ QUERIES = {
     "interaction_score": lambda s, d: _features(s, d).select("id", F.round(S.interaction_score(), 6).alias("score")),
     "calibrate": lambda s, d: T.accounts(s, d).select("id", S.calibrate(F.col("risk") / 100).alias("calibrated")),
     "ensemble_score": lambda s, d: S.score_accounts(_features(s, d)).select("id", "final_score"),
-    "classify_accounts": lambda s, d: S.classify_accounts(S.score_accounts(_features(s, d))).select("id", F.col("is_mule").cast("int").alias("is_mule"), "risk_level", "mule_type", F.array_join("flags", ",").alias("flags")),
-    "explain": lambda s, d: S.explain(_scored(s, d)).select("id", "summary", F.size("factors").alias("n_factors")),
-    "alerts": lambda s, d: S.make_alerts(P.fan_in(T.high_value(s, d)).withColumn("pattern", F.lit("fan_in"))),
-    "analyst_report": lambda s, d: S.analyst_report(S.classify_accounts(_scored(s, d))),
+    "classify_accounts": lambda s, d: S.classify_accounts(S.score_accounts(_features(s, d))).select("id", F.col("is_mule").cast("int").alias("is_mule"), "risk_level", "mule_type", F.array_join("flags", ",").alias("flags"), F.array_join("reasons", ";").alias("reasons")),
+    "explain": lambda s, d: _explained(s, d).select("id", "summary", F.size("factors").alias("n_factors"), F.array_join(F.filter("evidence", lambda x: x.startswith("Pattern")), ";").alias("evidence"), F.array_join(F.transform("red_flags", lambda x: x["potential_pattern"]), ";").alias("red_flags")),
+    "alerts": lambda s, d: _alerts(s, d).withColumn("accounts", F.array_join("accounts", ",")),
+    "write_alerts": _written_alerts,
+    "analyst_report": _report,
+    "detection_summary": _summary,
+    "read_feature_csv": _csv_accounts,
+    "read_ledger_csv": _csv_ledger,
+    "read_dataset_json": _json_accounts,
     "tree_ensemble_score": lambda s, d: T.accounts(s, d).select("id", F.round(X.tree_ensemble_score(MODEL, ["risk", "age_days", "balance"]), 6).alias("score")),
     "train_tree_model": _train,
     "feedback_by_account": lambda s, d: B.feedback_by_account(T.feedback(s, d)),
     "feedback_global": lambda s, d: B.feedback_global(T.feedback(s, d)),
     "feedback_history": lambda s, d: B.feedback_history(T.feedback(s, d), latest=5).select("account_id", "analyst_id", "rank"),
     "apply_feedback": lambda s, d: B.apply_feedback(T.accounts(s, d), T.feedback(s, d)).select("id", "feedback_count", "feedback_confirmed", "feedback_outcome"),
-    "apply_verdicts": lambda s, d: B.apply_verdicts(T.alerts(s, d), _verdicts(s, d)).groupBy("status").agg(F.count("*").alias("n")),
+    "apply_verdicts": lambda s, d: B.apply_verdicts(T.alerts(s, d), _verdicts(s, d)).select("id", "status"),
     "write_scored": _upsert,
     "markov_states": lambda s, d: M.markov_states(T.history(s, d)),
     "risk_trend": lambda s, d: M.risk_trend(T.history(s, d)),
@@ -114,30 +177,10 @@ QUERIES = {
     "stream_burst": lambda s, d: J.finished(J.stream_burst(T.ledger(s, d, T.event_stream(s, d)), gap="360 minutes"), _shared(s)),
     "stream_rapid": lambda s, d: J.finished(J.stream_rapid(T.ledger(s, d, T.event_stream(s, d)), T.ledger(s, d, T.event_stream(s, d))), _shared(s)),
     "stream_markov": lambda s, d: J.finished(J.stream_markov(T.history(s, d, T.event_stream(s, d))), _shared(s)),
+    "stream_sink": _sunk,
     "detection_run": lambda s, d: S.detect(T.ledger(s, d), T.accounts(s, d), T.AS_OF).select("id", "final_score", "risk_level", "mule_type", F.col("is_mule").cast("int").alias("is_mule"), F.array_join("flags", ",").alias("flags")),
 }
 
-_REACH = """links AS (SELECT DISTINCT src AS a, dst AS b FROM hv_edges UNION SELECT dst, src FROM hv_edges),
-reach AS (SELECT a AS id, a AS other FROM links UNION SELECT reach.id, b FROM reach JOIN links ON a = reach.other),
-comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
-
-_TRI = f"""u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM hv_edges WHERE src <> dst), nb AS (SELECT a AS id, b AS x FROM u UNION ALL SELECT b, a FROM u),
-tri AS (SELECT p.id, count(*) AS t, sum((SELECT count(*) FROM hv_edges e WHERE (e.src = p.x AND e.dst = q.x) OR (e.src = q.x AND e.dst = p.x))) AS directed FROM nb p JOIN nb q ON p.id = q.id AND p.x < q.x JOIN u ON u.a = p.x AND u.b = q.x GROUP BY p.id),
-hood AS (SELECT k.id, k, {r('CASE WHEN k >= 2 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END', 2)} AS clustering, {r('CASE WHEN k >= 2 THEN CAST(coalesce(directed, 0) AS DOUBLE) / (k * (k - 1)) ELSE 0 END', 3)} AS ego_density
-  FROM (SELECT id, count(*) AS k FROM nb GROUP BY id) k LEFT JOIN tri ON tri.id = k.id)"""
-
-_PR_BASE = """w AS (SELECT id, coalesce(o, 0) AS o, CASE WHEN o > 0 THEN (1.0::DOUBLE / o) * (1 + 2 * share) END AS weight, least(1.0::DOUBLE, (coalesce(i, 0) + coalesce(o, 0) + 100 * c) / 20) AS seed FROM (
-  SELECT a.id, o, i, share, CASE WHEN n > 1 THEN least(1.0::DOUBLE, (coalesce(i, 0) + coalesce(o, 0)) / (n * 0.5::DOUBLE)) ELSE 0 END AS c, n FROM accounts a
-  LEFT JOIN (SELECT src AS id, count(*) AS o, CAST(sum(n_flagged) AS DOUBLE) / sum(n_txn) AS share FROM edges GROUP BY 1) x ON x.id = a.id
-  LEFT JOIN (SELECT dst AS id, count(*) AS i FROM edges GROUP BY 1) y ON y.id = a.id, (SELECT count(*) AS n FROM accounts) z)),
-p0 AS (SELECT id, seed / (SELECT sum(seed) FROM w) AS score FROM w)"""
-_PR = _PR_BASE + "".join(
-    f""",
-p{k} AS MATERIALIZED (SELECT w.id, 0.85 * coalesce(s, 0) + (1 - 0.85::DOUBLE) / (SELECT count(*) FROM accounts) + 0.3 * seed AS score FROM w LEFT JOIN (
-  SELECT dst AS id, sum(score * weight) AS s FROM edges JOIN p{k - 1} p ON p.id = src JOIN w ON w.id = src GROUP BY 1) x ON x.id = w.id)"""
-    for k in range(1, 21)
-)
-
 _LATEST = """st AS (SELECT account_id, seq, ts, risk_score, CASE WHEN risk_score >= 0.55 THEN 'confirmed_mule' WHEN risk_score >= 0.35 THEN 'suspicious' ELSE 'legitimate' END AS state,
   row_number() OVER (PARTITION BY account_id ORDER BY ts, seq) AS k, count(*) OVER (PARTITION BY account_id) AS n FROM history)"""
 _P = "CASE b || '>' || state " + " ".join(f"WHEN '{a}>{b}' THEN {M.MATRIX[i][j]}" for i, a in enumerate(M.STATES) for j, b in enumerate(M.STATES)) + " END"
@@ -155,27 +198,41 @@ _END = "(SELECT max(ms) FROM ledger) - 3600000"
 _FB = "SELECT account_id, count(*) AS n, count(*) FILTER (confirmed) AS confirmed, {rate} AS rate, arg_max(CASE WHEN confirmed THEN 'confirmed_mule' ELSE 'false_positive' END, seq) AS last_outcome FROM feedback GROUP BY 1"
 _FB = _FB.format(rate=r("count(*) FILTER (confirmed) / CAST(count(*) AS DOUBLE)", 3))
 
+_TITLES = {
+    "rapid_movement": "Rapid Fund Movement Detected", "fan_in": "Multiple Inbound Transfers to Single Account", "fan_out": "Single Account Dispersing to Multiple Recipients", "circular_transfer": "Circular Transfer Pattern Identified",
+    "layering_chain": "Layering Chain Detected", "structuring": "Suspicious Structuring Pattern", "night_owl": "Unusual Night-Time Activity", "burst_activity": "Transaction Burst Detected",
+    "automated_timing": "Suspiciously Regular Transaction Timing", "pass_through": "Pass-Through Account Detected",
+}
+_ALERTS = f"""SELECT 'ALT-' || lpad(lower(to_hex(abs(list_reduce(list_concat([0::BIGINT], list_transform(string_split(pattern || ':' || account || ':' || array_to_string(listed, ',') || ':' || severity, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)))), 8, '0') AS id, pattern AS type,
+  CASE pattern {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TITLES.items())} END AS title, description, severity, account,
+  array_to_string(list_sort(list_intersect(listed, (SELECT list(id) FROM accounts))), ',') AS accounts, 'new' AS status
+FROM (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY pattern, account, listed, severity ORDER BY description) = 1)"""
+
 ORACLES = {
-    "components": oracle("SELECT * FROM comp", _REACH, recursive=True),
-    "communities": oracle(f"""SELECT component, size, {r('density', 4)} AS density, {r('score', 4)} AS score, members FROM (
-  SELECT *, least(1.0::DOUBLE, 2 * density + coalesce(fast, 0) / CAST(txns AS DOUBLE)) AS score FROM (
-    SELECT c.component, size, members, links / CAST(size * (size - 1) AS DOUBLE) AS density, txns, CAST(fast AS DOUBLE) AS fast
-    FROM (SELECT component, count(*) AS size, array_to_string(list_sort(list(id)), ',') AS members FROM comp GROUP BY 1) c
-    JOIN (SELECT component, count(*) AS links FROM hv_edges JOIN comp ON id = src WHERE src <> dst GROUP BY 1) l USING (component)
-    JOIN (SELECT component, count(*) AS txns FROM hv JOIN comp ON id = src GROUP BY 1) t USING (component)
-    LEFT JOIN (SELECT component, count(*) AS fast FROM hv a JOIN hv b ON b.dst = a.src AND abs(a.ms - b.ms) < 3600000 JOIN comp ON id = a.src GROUP BY 1) f USING (component) WHERE size >= 3)) WHERE score > 0.3""", _REACH, recursive=True),
-    "pagerank_risk": oracle(f"SELECT id, {r('CASE WHEN high > low THEN (score - low) / (high - low) ELSE 0 END', 4)} AS pagerank FROM p20, (SELECT min(score) AS low, max(score) AS high FROM p20)", _PR),
+    "components": oracle("SELECT * FROM comp", Q.COMPONENTS, recursive=True),
+    "communities": oracle(f"SELECT component, size, {r('density', 4)} AS density, {r('score', 4)} AS score FROM close", f"{Q.COMPONENTS}, {Q.COMMUNITIES}", recursive=True),
+    "betweenness": oracle(f"SELECT id, {r('bridge', 4)} AS betweenness FROM between_", Q.BETWEENNESS),
+    "pagerank_risk": oracle(f"SELECT id, {r('pagerank', 4)} AS pagerank FROM rank", Q.RANK),
     "degree_centrality": oracle(f"SELECT id, {r('CASE WHEN size > 1 THEN least(1.0::DOUBLE, (in_degree + out_degree) / (size * 0.5::DOUBLE)) ELSE 0 END', 4)} AS centrality FROM profile", _PROFILE),
-    "clustering": oracle("SELECT id, k AS neighbours, clustering FROM hood", _TRI),
-    "ego_density": oracle("SELECT id, ego_density FROM hood", _TRI),
+    "clustering": oracle("SELECT id, k AS neighbours, clustering FROM hood", Q.HOOD),
+    "ego_density": oracle("SELECT id, ego AS ego_density FROM hood", Q.HOOD),
     "ml_scores": oracle("""SELECT id, round(least(1.0, greatest(0.0, h * 0.35 + a * 0.10 + t * 0.15 + g * 0.10 + o * 0.10 + v * 0.10 + q * 0.10)), 6) AS weighted,
   round(least(1.0, greatest(0.0, (h * 0.882 + a * 0.00012 + t * 9e-6 + g * 6e-6 + o * 4e-6 + v * 4e-6 + q * 2e-6) * 3)), 6) AS ingest FROM (
   SELECT id, least(1.0::DOUBLE, (in_degree + out_degree) / (size * 1000.0::DOUBLE) / 0.001::DOUBLE) AS h, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - age_days / 3000.0::DOUBLE)) AS a, least(1.0::DOUBLE, amount_in / 500000) AS t,
     least(1.0::DOUBLE, CASE WHEN in_degree > 0 THEN amount_in / in_degree ELSE 0 END / 50000) AS g, least(1.0::DOUBLE, n_out / 100.0::DOUBLE) AS o, least(1.0::DOUBLE, (n_in + n_out) / CAST(age_days AS DOUBLE)) AS v, least(1.0::DOUBLE, out_degree / 100.0::DOUBLE) AS q FROM profile)""", _PROFILE),
     "calibrate": oracle(f"SELECT id, {r('least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1.2::DOUBLE * (risk / 100.0::DOUBLE) - 0.1::DOUBLE))', 3)} AS calibrated FROM accounts"),
-    "alerts": oracle("""SELECT 'ALT-' || lpad(lower(to_hex(abs(list_reduce(list_concat([0::BIGINT], list_transform(string_split('fan_in:' || account || ':' || accounts || ':' || severity, ''), lambda c: CAST(ascii(c) AS BIGINT))),
-  lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)))), 8, '0') AS id, 'fan_in' AS type, 'Many senders pay one account' AS title, severity, account, 'new' AS status
-FROM (SELECT dst AS account, array_to_string(list_sort(list(DISTINCT src)), ',') AS accounts, CASE WHEN count(DISTINCT src) >= 7 THEN 'critical' ELSE 'high' END AS severity FROM hv GROUP BY 1 HAVING count(DISTINCT src) >= 3)"""),
+    "label_boosted_score": oracle(f"""SELECT id, CASE WHEN is_mule THEN least(1.0::DOUBLE, 0.55::DOUBLE + risk / 100.0::DOUBLE * 0.45::DOUBLE + jitter) ELSE least(0.49::DOUBLE, 0.05::DOUBLE + risk / 100.0::DOUBLE * 0.4::DOUBLE + jitter) END AS score FROM (
+  SELECT *, ((16 * (instr('0123456789abcdef', substr(md5(id), 1, 1)) - 1) + instr('0123456789abcdef', substr(md5(id), 2, 1)) - 1) % 100) / 1000.0::DOUBLE AS jitter FROM accounts)"""),
+    "alerts": oracle(_ALERTS, detection.FOUND),
+    "write_alerts": oracle(f"""SELECT type, severity, status, count(*) AS n, count(DISTINCT id) AS ids FROM (
+  SELECT coalesce(n.id, o.id) AS id, n.type, n.severity, CASE WHEN n.id IS NULL THEN o.status WHEN n.severity = 'critical' THEN 'confirmed' END AS status
+  FROM (SELECT DISTINCT id, type, severity FROM ({_ALERTS})) n FULL JOIN alerts o ON o.id = n.id) GROUP BY 1, 2, 3""", detection.FOUND),
+    "read_feature_csv": oracle("SELECT id, 'SAVINGS, JOINT' AS account_type, risk % 2 = 0 AS kyc_full, CASE WHEN risk % 10 = 0 THEN 0.0 ELSE CAST(age_days AS DOUBLE) END AS account_age_days, balance AS total_in_amount, 0.0::DOUBLE AS in_txn_count, is_mule FROM accounts"),
+    "read_ledger_csv": oracle("SELECT txn_id, src, dst, CAST(amount AS DOUBLE) AS amount, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, type, flagged FROM ledger"),
+    "read_dataset_json": oracle("SELECT id, name, risk, is_mule FROM accounts"),
+    "stream_sink": oracle("SELECT id, type, severity, account FROM alerts"),
+    "apply_verdicts": oracle("SELECT id, CASE WHEN severity <> 'critical' THEN status WHEN CAST(substr(id, 3) AS BIGINT) % 2 = 0 THEN 'confirmed' ELSE 'dismissed' END AS status FROM alerts"),
     "tree_ensemble_score": oracle("""SELECT id, round(1 / (1 + exp(-(-1.0::DOUBLE + 0.5::DOUBLE * (CASE WHEN risk <= 50 THEN -1.0 WHEN age_days <= 300 THEN 2.0 ELSE 1.0 END + CASE WHEN balance <= 0 THEN 0.5 ELSE -0.25 END)))), 6) AS score FROM accounts"""),
     "feedback_by_account": oracle(_FB),
     "feedback_global": oracle(f"""SELECT coalesce(analyst_id, 'all') AS analyst_id, count(*) AS n, count(*) FILTER (confirmed) AS confirmed, {r('count(*) FILTER (confirmed) / CAST(count(*) AS DOUBLE)', 3)} AS confirmation_rate,

@@ -32,10 +32,10 @@ def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("txn_id", F.col("sender_id").alias("src"), F.col("receiver_id").alias("dst"), F.coalesce(F.col("amount").try_cast("decimal(18,2)"), F.lit(0)).alias("amount"), F.col("timestamp").try_cast("timestamp").alias("ts"), F.col("mode").alias("type"), (F.coalesce("is_fraud_pattern", F.lit("NONE")) != "NONE").alias("flagged"))
 
 
-def read_dataset_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A JSON array of accounts."""
+def read_dataset_json(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Accounts from a JSON array, which one task reads whole, or, without `multi_line`, from a document a line, which many share."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("multiLine", True).json(path)
+    return reader.option("multiLine", multi_line).json(path)
 
 
 def import_window(rows: DataFrame, key: str, start: int = 0, limit: int | None = None, share: float | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def import_window(rows: DataFrame, key: str, start: int = 0, limit: int | None =
     if limit is not None:
         rows = rows.where(number < start + limit)
     if share is not None:
-        rows = rows.where(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(1_000_000)) < share * 1_000_000)
+        rows = rows.where(F.md5(F.col(key).cast("string")) < F.lit(f"{int(share * 16**8):08x}"))
     return rows
 
 
@@ -110,12 +110,12 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return who.join(moved, "id", "left").fillna(0.0, ["turnover"])
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alerts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """(id, type, severity, status, account, ts): each error event raises one."""
     k = F.get_json_object("props", "$.k").cast("int")
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
     return (
-        _read(spark, sf_dir, "events")
+        (_read(spark, sf_dir, "events") if events is None else events)
         .where("event_type = 'error'")
         .select(
             F.concat(F.lit("AL"), F.col("event_id")).alias("id"),

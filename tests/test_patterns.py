@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators import analytics as A
+from ledgerwatch.operators import casework as C
 from ledgerwatch.operators import feedback as B
 from ledgerwatch.operators import graph as G
 from ledgerwatch.operators import markov as M
 from ledgerwatch.operators import patterns as P
 from ledgerwatch.operators import scoring as S
 from ledgerwatch.operators import trees as X
+from ledgerwatch.plans.detection import LOOSE
 from ledgerwatch.sources import tables as T
 
 START = datetime(2026, 8, 1, 14)
@@ -189,14 +191,100 @@ def test_score_of_one_is_in_no_bin(spark):
     assert A.ece(rows).first()["ece"] == pytest.approx(0.475)
 
 
-def test_reports_and_explanations_know_the_graph(spark):
-    from ledgerwatch.plans import scores
-
+@pytest.fixture(scope="module")
+def detected(spark):
     sf = "/root/testdata/sf0.001"
-    scored = {r["id"]: r["final_score"] for r in scores.QUERIES["detection_run"](spark, sf).collect()}
-    reports = scores.QUERIES["analyst_report"](spark, sf).select("id", F.get_json_object("report", "$.score").cast("double").alias("score"), F.get_json_object("report", "$.network.pagerank_score").cast("double").alias("rank")).collect()
-    assert {r["id"]: r["score"] for r in reports} == scored and max(r["rank"] for r in reports) == 1
-    assert scores.QUERIES["explain"](spark, sf).where("summary like '%pagerank_score%'").count() > 0
+    ledger, accounts = T.ledger(spark, sf), T.accounts(spark, sf)
+    found = P.findings(ledger, accounts, P.edges(T.high_value(spark, sf)), **LOOSE).cache()
+    return S.detect(ledger, accounts, T.AS_OF).cache(), found, accounts, ledger
+
+
+def test_reports_and_explanations_know_the_graph(spark, detected):
+    classified, found, _, _ = detected
+    explained = C.explain(classified, found)
+    scored = {r["id"]: round(r["final_score"] * 100, 1) for r in classified.collect()}
+    report = F.get_json_object
+    rows = C.analyst_report(explained).select("id", "risk_score", report("report", "$.network_context.cluster_size").cast("int").alias("size"), report("report", "$.score_breakdown.graph").cast("double").alias("graph")).collect()
+    assert {r["id"]: r["risk_score"] for r in rows} == scored and max(r["size"] for r in rows) > 1 and max(r["graph"] for r in rows) > 0
+    assert explained.where(F.exists("factors", lambda x: x["feature"] == "pagerank_score")).count() > 0
+    one = explained.first()
+    gains = [x["contribution"] for x in one["factors"]]
+    assert gains == sorted(gains, reverse=True) and one["summary"].startswith("Primary risk drivers: " + one["factors"][0]["label"])
+    assert sum(x.startswith("Pattern detected: ") for x in one["evidence"]) <= 3
+
+
+def test_reports_with_trends(detected):
+    classified, found, _, _ = detected
+    trends = classified.select(F.col("id").alias("account_id"), F.lit("escalating").alias("trend"), F.lit(3).cast("long").alias("days_to_suspicious"), F.lit("Risk up 20%").alias("trajectory"))
+    row = C.analyst_report(C.explain(classified, found), trends).select(F.get_json_object("report", "$.temporal_evolution.risk_trend").alias("t"), "recommendations", "evidence_chain").first()
+    assert row["t"] == "escalating" and row["recommendations"][0]["action"] in ("freeze", "escalate", "investigate", "monitor") and all(0.5 <= x["confidence"] <= 0.95 for x in row["evidence_chain"])
+
+
+def test_advice_freezes_every_mule(spark, detected):
+    classified, found, _, _ = detected
+    made = classified.withColumns({"is_mule": F.lit(True), "risk_level": F.lit("high")})
+    assert {r["recommendations"][0]["action"] for r in C.analyst_report(C.explain(made, found)).collect()} == {"freeze"}
+    plain = classified.withColumns({"is_mule": F.lit(False), "risk_level": F.lit("low")})
+    rows = C.analyst_report(C.explain(plain)).collect()
+    assert {tuple(x["action"] for x in r["recommendations"]) for r in rows} == {("monitor",)}
+
+
+def test_alerts_of_every_kind(spark):
+    kinds = {
+        "rapid_movement": {"minutes": 4.0}, "fan_in": {"partners": 3.0, "total": 810000.0}, "fan_out": {"partners": 8.0, "total": 1.0}, "circular_transfer": {"size": 3.0, "total": 1370000.0}, "layering_chain": {"size": 4.0, "mean": 5.0, "deviation": 1.0},
+        "structuring": {"threshold": 100000.0, "n": 3.0}, "night_owl": {"night": 4.0, "percent": 80.0}, "burst_activity": {"size": 6.0, "window": 5.0}, "automated_timing": {"regularity": 95.0, "cv": 0.05}, "pass_through": {"ratio": 0.977, "amount_in": 100000.0, "amount_out": 97700.0},
+        "community_cluster": {"community": 0.6}, "bridge_account": {"bridge": 0.4},
+    }
+    listed = {"fan_in": ["s", "ghost", "t"], "circular_transfer": ["a", "b", "c"], "layering_chain": ["a", "b", "c", "d"]}
+    rows = [(k, "a", "high", 1.0, listed.get(k), m) for k, m in kinds.items()]
+    found = spark.createDataFrame(rows + rows[:1], "pattern string, account string, severity string, amount double, accounts array<string>, measures map<string,double>")
+    known = spark.createDataFrame([(x,) for x in "abcdst"], "id string")
+    made = {r["type"]: r for r in C.make_alerts(found, known).collect()}
+    assert set(made) == set(kinds) and made["fan_in"]["accounts"] == ["s", "t"] and made["night_owl"]["accounts"] == ["a"]
+    assert made["fan_in"]["description"] == "3 distinct accounts transferred funds to a, totaling ₹8.1L."
+    assert made["circular_transfer"]["description"] == "Funds traced through a → b → c loop totaling ₹13.7L."
+    assert made["pass_through"]["description"] == "Account a passes 98% of inbound funds directly outbound (₹1.0L in → ₹1.0L out)."
+    assert made["structuring"]["description"] == "Account a made 3 transactions just below ₹100K threshold."
+    assert made["automated_timing"]["description"].endswith("(CV: 0.050).") and all(r["title"] and r["id"].startswith("ALT-") for r in made.values())
+
+
+def test_close_communities_and_bridges_are_found_if_asked_for(spark, ledger):
+    graph = spark.createDataFrame([("a", 0.9, 0.1), ("b", 0.1, 0.5), ("c", 0.5, 0.3)], "id string, community double, bridge double")
+    accounts = spark.createDataFrame([("a", 1.0)], "id string, balance double")
+    found = P.findings(ledger(("a", "b", 1, 0)), accounts, graph=graph)
+    assert got(found, "pattern", "account", "severity") == [("bridge_account", "b", "high"), ("community_cluster", "a", "critical")]
+
+
+def test_listed_partners_can_be_bounded(ledger):
+    rows = ledger(*[(f"s{k:02}", "hub", 10, k) for k in range(30)])
+    assert got(P.fan_in(rows, list_cap=3), "account", "partners", "total", "accounts") == [("hub", 30, 300.0, "s00,s01,s02")]
+
+
+def test_summary_counts_what_was_found(detected):
+    classified, found, _, ledger = detected
+    row = C.detection_summary(classified, ledger, found).first()
+    assert row["total_accounts"] == classified.count() and row["total_transactions"] == ledger.count() and row["patterns_found"] == found.count() == sum(row[k] for k in P.ORDER)
+
+
+def test_age_that_is_not_said_is_a_year(spark, ledger):
+    accounts = spark.createDataFrame([("a", 10.0, 7300.0, None), ("b", 1.0, 0.0, 0)], "id string, balance double, turnover double, age_days long")
+    found = {r["id"]: r for r in S.account_features(ledger(("a", "b", 100, 0)), accounts, "2026-09-01 00:00:00").collect()}
+    assert (found["a"]["account_age_days"], found["a"]["money_in_out_velocity"], found["b"]["account_age_days"]) == (365, 20.0, 0)
+
+
+def test_normalised_accounts_of_other_spellings(spark):
+    raw = spark.createDataFrame([(" x ", -5.0, "HIGH", True, 10), ("y", float("nan"), "odd", None, None)], "account_id string, totalAmount double, riskLevel string, isMule boolean, account_age_days int")
+    assert got(A.normalize_accounts(raw, "2024-01-31"), "id", "name", "turnover", "risk_level", "status") == [("x", "Unknown", 0.0, "high", "under_review"), ("y", "Unknown", 0.0, "low", "active")]
+
+
+def test_exported_trees_score_as_the_model(spark):
+    rows = spark.createDataFrame([(float(k % 17), float(k % 5), int(k % 17 > 8 or k % 5 == 0)) for k in range(200)], "x double, y double, label int")
+    model, area = X.train_tree_model(rows, ["x", "y"], rounds=5, depth=3)
+    from pyspark.ml.feature import VectorAssembler
+
+    want = [r["probability"][1] for r in model.transform(VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows)).collect()]
+    own = [r[0] for r in rows.select(X.tree_ensemble_score(X.exported(model, ["x", "y"]), ["x", "y"])).collect()]
+    assert own == pytest.approx(want, abs=1e-9) and area > 0.9
 
 
 def test_modularity_and_betweenness_see_the_whole_ledger(spark):
