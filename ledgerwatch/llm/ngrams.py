@@ -12,13 +12,17 @@ is 0.8 or more.
    equal, and any similarity as likely as another before, the similarity is at
    least 0.8 with probability P(Bin(n + 1, 0.8) <= m); a pair is dropped when that
    falls below `TOLERANCE`.
-4. What remains connects the classes to candidate groups. Within a group all
-   pairs are verified exactly, by counting common shingles.
+4. What remains is verified exactly, by counting common shingles. The surviving
+   pairs connect the classes to candidate groups. In a small or dense group blocks
+   of classes are compared as a whole, which ships each set once for every block of
+   the group; in a group where the surviving pairs are fewer than that, a chain of
+   many loosely alike texts, the pairs are listed and compared one by one. A pair
+   is counted and listed in the first band that it shares.
 
 A band or group of any size is split into blocks, and each task compares two
 blocks: nothing is capped. Tasks return counts of links and one link to a root
-for each class, never the pairs, so the rows do not grow with the square of a
-group.
+for each class, and list pairs only where they are fewer than the rows of blocks,
+so the rows do not grow with the square of a group.
 
 Nulls and edge cases: a text that is null or has no words is linked with nothing;
 a null doc_id is a document like any other, whose class takes the least doc_id
@@ -155,24 +159,52 @@ def _sizes(keys: pd.DataFrame) -> np.ndarray:
     return np.diff(np.append(np.flatnonzero(new), len(keys)))
 
 
+def _survivors(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The surviving pairs (row, row) of the blocks in `rows` that share no earlier band."""
+    signs = np.frombuffer(b"".join(rows["signs"]), np.uint16).reshape(len(rows), HASHES)
+    mine, across, band = rows["mine"].to_numpy(), (rows["i"] != rows["j"]).to_numpy(), rows["k"].to_numpy()
+    for a, b in pairs_of(_sizes(rows[["band", "i", "j"]])):
+        fresh = ~across[a] | (mine[a] != mine[b])
+        a, b = a[fresh], b[fresh]
+        left = surviving(signs, a, b)
+        a, b = a[left], b[left]
+        first = (signs[a] == signs[b]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        yield a[first == band[a]], b[first == band[a]]
+
+
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A link to a root for each class that a surviving pair connects."""
+    """A link to a root for each class that a surviving pair connects, and the number of these pairs."""
     for rows in whole_groups(batches, ["band", "i", "j"]):
-        signs = np.frombuffer(b"".join(rows["signs"]), np.uint16).reshape(len(rows), HASHES)
-        mine, across = rows["mine"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
         nodes, inverse = np.unique(rows["node"].to_numpy(), return_inverse=True)
         ends: list[list[np.ndarray]] = [[], []]
-        for a, b in pairs_of(_sizes(rows[["band", "i", "j"]])):
-            fresh = ~across[a] | (mine[a] != mine[b])
-            a, b = a[fresh], b[fresh]
-            left = surviving(signs, a, b)
-            ends[0].append(inverse[a[left]])
-            ends[1].append(inverse[b[left]])
+        for a, b in _survivors(rows):
+            ends[0].append(inverse[a])
+            ends[1].append(inverse[b])
         if not ends[0]:
             continue
-        roots = local_roots(len(nodes), np.concatenate(ends[0]), np.concatenate(ends[1]))
-        moved = roots != np.arange(len(nodes))
-        yield pd.DataFrame({"a": nodes[moved], "b": nodes[roots[moved]]})
+        a, b = np.concatenate(ends[0]), np.concatenate(ends[1])
+        roots, pairs = local_roots(len(nodes), a, b), np.bincount(a, minlength=len(nodes))
+        told = (roots != np.arange(len(nodes))) | (pairs > 0)
+        yield pd.DataFrame({"a": nodes[told], "b": nodes[roots[told]], "pairs": pairs[told]})
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The surviving pairs of classes themselves."""
+    for rows in whole_groups(batches, ["band", "i", "j"]):
+        nodes = rows["node"].to_numpy()
+        for a, b in _survivors(rows):
+            yield pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of pairs whose sets lie side by side: for either end the documents of the other, and the root."""
+    for batch in batches:
+        sets = [[np.frombuffer(x, np.uint64) for x in batch[c]] for c in ("found_a", "found_b")]
+        both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
+        sizes = [np.array([len(x) for x in side], np.int64) for side in sets]
+        kept = batch[SIMILAR[1] * both >= SIMILAR[0] * (sizes[0] + sizes[1] - both)]
+        root = kept[["a", "b"]].min(axis=1)
+        yield pd.concat([pd.DataFrame({"node": kept[x], "links": kept[f"copies_{y}"], "root": root}) for x, y in ("ab", "ba")])
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -250,18 +282,33 @@ def grouped_documents(docs: DataFrame, *also: str) -> DataFrame:
     described = checkpoint(described)
     classes = described.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("signs").alias("signs"), F.first("bands").alias("bands"))
     classes = checkpoint(classes)
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    banded = classes.select("node", F.posexplode("bands").alias("k", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     # MinHash values follow only to the bands that several classes share
     near = in_blocks(banded.join(shared, "band").join(classes.select("node", "signs"), "node"), "band", "size", "node", BAND_BLOCK)
-    edges = near.select("band", "i", "j", "mine", "node", "signs").mapInPandas(_candidates, schema="a long, b long")
-    groups = components(edges).withColumnRenamed("id", "node")
-    groups = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component").join(classes.select("node", "least", "copies"), "node")
-    wanted = groups.select("component", "size", "node", "copies", "least")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "size", "node", "copies", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    sets = texts.mapInPandas(_sets, schema="component long, size long, node long, copies long, found binary")
-    blocks = in_blocks(sets, "component", "size", "node", GROUP_BLOCK).select("component", "i", "j", "mine", "node", "copies", "found")
-    links = checkpoint(blocks.mapInPandas(_verified, schema="node long, links long, root long"))
+    near = near.select("band", "k", "i", "j", "mine", "node", "signs")
+    edges = checkpoint(near.mapInPandas(_candidates, schema="a long, b long, pairs long"))
+    groups = components(edges.select("a", "b")).withColumnRenamed("id", "node")
+    pairs = edges.groupBy(F.col("a").alias("node")).agg(F.sum("pairs").alias("pairs"))
+    groups = checkpoint(groups.join(pairs, "node", "left").join(classes.select("node", "least", "copies"), "node"))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"), F.sum(F.coalesce("pairs", F.lit(0))).alias("pairs"))
+    # a listed pair ships two sets, a group in blocks each set once a block
+    sizes = checkpoint(sizes.withColumn("sparse", 2 * F.col("pairs") < F.col("size") * F.ceil(F.col("size") / F.lit(GROUP_BLOCK))))
+    wanted = groups.join(sizes, "component").select("component", "size", "sparse", "node", "copies", "least")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "size", "sparse", "node", "copies", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    sets = texts.mapInPandas(_sets, schema="component long, size long, sparse boolean, node long, copies long, found binary")
+    loose = sizes.where("sparse").limit(1).count() > 0
+    if loose:
+        sets = checkpoint(sets)
+    blocks = in_blocks(sets.where("not sparse"), "component", "size", "node", GROUP_BLOCK).select("component", "i", "j", "mine", "node", "copies", "found")
+    links = blocks.mapInPandas(_verified, schema="node long, links long, root long")
+    if loose:
+        each = sets.where("sparse").dropDuplicates(["node"])
+        side = lambda x: each.select(F.col("node").alias(x), F.col("copies").alias(f"copies_{x}"), F.col("found").alias(f"found_{x}"))
+        listed = near.join(each.select("node"), "node", "left_semi").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        listed = listed.mapInPandas(_listed, schema="a long, b long").join(side("a"), "a").join(side("b"), "b")
+        links = links.union(listed.mapInPandas(_compared, schema="node long, links long, root long"))
+    links = checkpoint(links)
     final = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     per = classes.select("node", "check", "least", "copies").join(counts, "node", "left").join(final, "node", "left")

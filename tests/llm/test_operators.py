@@ -506,6 +506,20 @@ def test_similar_documents_against_brute_force(docs, documents, texts):
     assert got == {k: (degree[k], ids[roots[place[k]]]) for k in ids}
 
 
+def test_chains_are_compared_pair_by_pair(docs, monkeypatch):
+    monkeypatch.setattr(ngrams, "GROUP_BLOCK", 4)
+    words = [f"w{k}" for k in range(2000)]
+    every = {k: words[12 * k : 12 * k + 160] for k in range(100)} | {200 + k: [f"x{j}" for j in range(60)] + [f"own{k}"] for k in range(10)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in every.items()}
+    links = {k: sum(1 for j in sets if j != k and 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j])) for k in sets}
+    rows, compared = docs(*[(k, " ".join(w)) for k, w in every.items()]), []
+    plain = type(rows).mapInPandas
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda self, f, *a, **b: (compared.append(f is ngrams._compared), plain(self, f, *a, **b))[1])
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngrams.similar_documents(rows).collect()}
+    assert any(compared) and max(links.values()) == 9 and 0 < links[1] < 9
+    assert got == {k: (links[k], 0 if k < 200 else 200) for k in every}
+
+
 def test_blocks_give_the_same_links(spark, docs, monkeypatch):
     monkeypatch.setattr(ngrams, "BAND_BLOCK", 8)
     monkeypatch.setattr(ngrams, "GROUP_BLOCK", 8)
