@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.components import components as stars
 from ..functions.lineage import checkpoint
 from ..functions.scalars import half_up
 from .patterns import fast_flow_pairs
@@ -18,20 +19,11 @@ DAMPING, SEED_WEIGHT, ROUNDS = 0.85, 0.3, 20
 
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component): weakly connected components, named by their least id."""
-    links = pairs.select("src", "dst").union(pairs.select("dst", "src")).where("src != dst").distinct()
-    links = checkpoint(links)
+    pairs = checkpoint(pairs.select("src", "dst").distinct())
+    joined = stars(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    # nodes that only pay themselves are components of their own
     nodes = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    now = checkpoint(nodes.withColumn("component", F.col("id")))
-    while True:
-        near = links.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("least"))
-        moved = now.join(near, "id", "left").select("id", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
-        # a component's own component is a shortcut over many hops
-        jump = moved.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
-        after = checkpoint(moved.join(jump, "component", "left").select("id", F.least("component", F.coalesce("beyond", "component")).alias("component"), "was"))
-        changed = after.where("component != was").limit(1).count()
-        now = after.drop("was")
-        if not changed:
-            return now
+    return nodes.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def communities(ledger: DataFrame, pairs: DataFrame, least: float = 0.3, member: DataFrame | None = None, digits: int | None = 4) -> DataFrame:

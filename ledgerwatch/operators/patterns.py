@@ -86,13 +86,35 @@ def night_owl(ledger: DataFrame, share: float = 0.4, critical: float = 0.7) -> D
     return found.select("account", "n", "night", half_up(F.col("share") * 100).alias("percent"), F.when(F.col("share") > critical, "critical").otherwise("high").alias("severity"))
 
 
+#: The payments of an account within so many ms are ordered by one task; a busy account is cut into such slices.
+SLICE = 6 * 3_600_000
+
+
+def _gaps(rows: DataFrame) -> DataFrame:
+    """(account, txn_id, amount, ms, slice, since): payments with the ms since the one before of the same account, null for its first.
+
+    Slices are ordered on their own; only the last payment of each is handed on to
+    the next, in a table of a row a slice.
+    """
+    rows = rows.where("ms is not null").withColumn("slice", F.floor(F.col("ms") / SLICE))
+    ends = rows.groupBy("account", "slice").agg(F.max("ms").alias("last"))
+    before = ends.select("account", "slice", F.lag("last").over(Window.partitionBy("account").orderBy("slice")).alias("before"))
+    within = Window.partitionBy("account", "slice").orderBy("ms", "txn_id")
+    rows = rows.withColumn("previous", F.lag("ms").over(within)).join(before, ["account", "slice"])
+    return rows.withColumn("since", F.col("ms") - F.coalesce("previous", "before")).drop("previous", "before")
+
+
 def _runs(rows: DataFrame, account: str, gap: int, strict: bool) -> DataFrame:
     """(account, start, size, amount) of runs whose neighbours are at most `gap` ms apart."""
-    order = Window.partitionBy("account").orderBy("ms", "txn_id")
-    rows = rows.select(F.col(account).alias("account"), "txn_id", "amount", millis(F.col("ts")).alias("ms")).where("ms is not null")
-    since = F.col("ms") - F.lag("ms").over(order)
-    new = since.isNull() | (since >= gap if strict else since > gap)
-    rows = rows.withColumn("run", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _gaps(rows.select(F.col(account).alias("account"), "txn_id", "amount", millis(F.col("ts")).alias("ms")))
+    new = F.col("since").isNull() | (F.col("since") >= gap if strict else F.col("since") > gap)
+    rows = rows.withColumn("new", new.cast("int"))
+    # runs are numbered within a slice, and go on from the number that the slices before have reached
+    numbers = rows.groupBy("account", "slice").agg(F.sum("new").alias("news"))
+    reached = F.sum("news").over(Window.partitionBy("account").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    numbers = numbers.select("account", "slice", F.coalesce(reached, F.lit(0)).alias("reached"))
+    within = Window.partitionBy("account", "slice").orderBy("ms", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("run", F.sum("new").over(within)).join(numbers, ["account", "slice"]).withColumn("run", F.col("run") + F.col("reached"))
     return rows.groupBy("account", "run").agg(F.min("ms").alias("start"), F.count("*").alias("size"), F.sum("amount").cast("double").alias("amount"))
 
 
@@ -118,9 +140,8 @@ def max_burst(ledger: DataFrame, gap_minutes: float = 5) -> DataFrame:
 
 def automated_timing(ledger: DataFrame, cv: float = 0.2, critical: float = 0.1) -> DataFrame:
     """Senders whose gaps between payments hardly vary."""
-    order = Window.partitionBy("src").orderBy("ms", "txn_id")
-    rows = ledger.select("src", "txn_id", millis(F.col("ts")).alias("ms")).withColumn("gap", F.col("ms") - F.lag("ms").over(order))
-    found = rows.groupBy(F.col("src").alias("account")).agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("spread")).where("n >= 10")
+    rows = _gaps(ledger.select(F.col("src").alias("account"), "txn_id", "amount", millis(F.col("ts")).alias("ms")))
+    found = rows.groupBy("account").agg(F.count("*").alias("n"), F.avg("since").alias("mean"), F.stddev_pop("since").alias("spread")).where("n >= 10")
     found = found.withColumn("cv", F.when(F.col("mean") == 0, 0.0).otherwise(F.col("spread") / F.col("mean"))).where(F.col("cv") < cv)
     return found.select("account", "n", half_up(F.col("cv"), 4).alias("cv"), half_up((1 - F.col("cv")) * 100).alias("regularity"), F.when(F.col("cv") < critical, "critical").otherwise("high").alias("severity"))
 

@@ -58,6 +58,21 @@ def test_burst_includes_five_minutes(ledger):
     assert got(P.max_burst(rows).where("account = 'a'"), "max_burst") == [(0,)]
 
 
+def test_runs_go_on_over_slices(ledger, monkeypatch):
+    monkeypatch.setattr(P, "SLICE", 7 * P.MINUTE)
+    rows = ledger(*[("a", f"r{k}", 10, 5 * k) for k in range(9)], ("a", "x", 1, 200), *[("b", "y", 1, 6 * k) for k in range(12)])
+    assert got(P.burst_activity(rows), "account", "size", "amount") == [("a", 9, 90.0)]
+    assert got(P.max_burst(rows, gap_minutes=5.5).where("account in ('a', 'b')"), "account", "max_burst") == [("a", 9), ("b", 0)]
+    assert got(P.automated_timing(rows), "account", "n", "cv") == [("b", 12, 0.0)]
+
+
+def test_components_of_loops_and_stars(ledger):
+    rows = ledger(("a", "b", 1, 0), ("c", "b", 1, 1), ("z", "z", 1, 2), *[("hub", f"h{k:03}", 1, 3) for k in range(60)], ("h001", "q", 1, 4))
+    found = {r["id"]: r["component"] for r in G.components(P.edges(rows)).collect()}
+    assert {k: v for k, v in found.items() if k in "abcz"} == {"a": "a", "b": "a", "c": "a", "z": "z"}
+    assert {v for k, v in found.items() if k not in "abcz"} == {"h000"} and len(found) == 66
+
+
 def test_rapid_movement_bounds(ledger):
     rows = ledger(("a", "m", 10, 0), ("m", "b", 10, 30), ("m", "a", 10, 4), ("m", "c", 10, 31))
     assert got(P.rapid_movement(rows), "in_txn", "out_txn", "minutes", "severity") == [("T000", "T001", 30.0, "high")]
