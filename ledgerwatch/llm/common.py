@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.components import components
+from ..functions.lineage import checkpoint
+
+__all__ = ["GAP", "WORD", "checkpoint", "components", "in_blocks", "let", "local_roots", "read", "running_sums", "whole_groups", "words"]
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space between words.
@@ -20,22 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with files in the cluster's shared checkpoint folder.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset
-    (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder, now = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
-    if folder and not (now or "").removeprefix("file:").startswith(folder.removeprefix("file://")):
-        context.setCheckpointDir(folder)
-    elif not folder and now is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def words(text: Column) -> Column:
     """The words of a text, in order; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
@@ -73,30 +61,6 @@ def _running_sums(values: Column) -> Column:
     return F.when(size <= 64, short).otherwise(let(blocks, joined))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of `edges(a, b)` (long): rows (id, component), component the smallest id.
-
-    Alternates large-star and small-star steps until the edges no longer change;
-    they then form one star around each smallest id. Only the edges are ever
-    shuffled, nothing is gathered in one place but a count and a checksum a round.
-    """
-    now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = checkpoint(now), None
-    while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").where("a != b").distinct()
-        now = checkpoint(small)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
-    return now.toDF("id", "component").union(now.select("b", "b").distinct())
-
-
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 4096) -> Iterator[pd.DataFrame]:
     """Batches of sorted rows dealt anew, so that no group is cut in two; a group must fit in memory."""
     held: list[pd.DataFrame] = []

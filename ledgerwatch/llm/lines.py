@@ -33,7 +33,7 @@ from .common import read, words
 
 #: The least number of lines that counts as a repeat.
 RUN = 2
-#: Tasks that share the places of one run.
+#: Tasks that share the places of one fingerprint or run.
 SALTS = 16
 #: A line of more words than this is a passage, which is a repeat on its own (in the pipeline; the SQL of op8_line_dedup knows runs only).
 PASSAGE = 50
@@ -72,6 +72,7 @@ def _matched(docs: DataFrame, run: int, long: int | None) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.when(F.trim(x) != "", F.xxhash64(x)).alias("h"), F.hash(x).alias("c"))), lambda s: s["h"].isNotNull())
     hashed = docs.select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("lines")).where(F.size("lines") >= run).dropDuplicates(["doc_id", "mark"])
     last = F.size("lines") - run
+    salt = F.pmod(F.hash("doc_id", "mark"), F.lit(SALTS))
 
     def least(s):
         window = F.slice("lines", s + 1, run)
@@ -81,8 +82,11 @@ def _matched(docs: DataFrame, run: int, long: int | None) -> DataFrame:
     start = F.greatest(F.col("at") - run + 1, F.lit(0))
     # what a run that holds the fingerprint can reach
     prints = prints.select("doc_id", "mark", F.element_at("lines", F.col("at") + 1)["h"].alias("print"), start.alias("start"), F.slice("lines", start + 1, F.col("at") + run - start).alias("near"))
-    shared = prints.groupBy("print").count().where("count > 1").select("print")
-    near = prints.join(shared, "print")
+    # a fingerprint that is everywhere is counted and looked up in parts
+    prints = prints.withColumn("salt", salt)
+    parts = prints.groupBy("print", "salt").count()
+    shared = parts.groupBy("print").agg(F.sum("count").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1").select("print", F.explode("salts").alias("salt"))
+    near = prints.join(shared, ["print", "salt"])
 
     def piece(k):
         window = F.slice("near", k + 1, run)
@@ -96,7 +100,7 @@ def _matched(docs: DataFrame, run: int, long: int | None) -> DataFrame:
     runs = runs.dropDuplicates(["doc_id", "mark", "at", "width"])
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "at")
     # a run that is everywhere is counted and looked up in parts
-    runs = runs.withColumn("salt", F.pmod(F.hash("doc_id", "mark"), F.lit(SALTS)))
+    runs = runs.withColumn("salt", salt)
     parts = runs.groupBy("width", "key", "check", "salt").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = parts.groupBy("width", "key", "check").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
     again = runs.join(first.select("width", "key", "check", "first", F.explode("salts").alias("salt")), ["width", "key", "check", "salt"]).where(place != F.col("first"))
