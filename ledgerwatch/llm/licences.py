@@ -9,8 +9,8 @@ word bigrams is compared with that of each template by Dice = 2 |A and B| /
 (|A| + |B|). A Dice of t needs sizes with t / (2 - t) <= |A| / |B| <= (2 - t) / t,
 which rules most templates out. Bigrams find their templates in a broadcast table
 of all templates' bigrams, so common bigrams are counted and no other pair of
-unit and template is ever looked at. Texts without any of the bigrams that a
-licence cannot do without are left out before. The template with
+unit and template is ever looked at. Texts without any of the words, and units
+without any of the bigrams, that a licence cannot do without are left out before. The template with
 the highest Dice is the unit's licence; on ties the first listed.
 
 Nulls and edge cases: a null or empty text, or one with fewer than two words,
@@ -187,6 +187,10 @@ def template_bigrams(text: str) -> list[str]:
 FREQUENT = frozenset("a an and any as be by can for from have if in is it not of on or that the this to was with you".split())
 
 
+#: Short words that hardly stand anywhere but in licences.
+NAMES = frozenset("apache bsd cc gnu isc lgpl mit mpl".split())
+
+
 def needed(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
     """A pattern that every text with a licence matches.
 
@@ -206,6 +210,25 @@ def needed(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
     return f"(?<![a-z0-9])(?:{parts})(?![a-z0-9])"
 
 
+def telling(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
+    """A pattern of few words one of which every text with a licence has.
+
+    A unit that comes up to the threshold shares at least t / (2 - t) of a
+    template's bigrams. Once fewer than that are free of the words picked, it has
+    one of them. Words already picked come first, then long ones of the most bigrams,
+    which other texts seldom have.
+    """
+    picked: list[str] = []
+    for _, text in templates:
+        grams = [g.split() for g in template_bigrams(text)]
+        need = math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
+        while sum(not set(g) & set(picked) for g in grams) >= need:
+            left = [w for g in grams if not set(g) & set(picked) for w in dict.fromkeys(g)]
+            rare = [w for w in left if len(w) > 6 or w in NAMES]
+            picked.append(max(dict.fromkeys(rare or [w for w in left if w not in FREQUENT] or left), key=left.count))
+    return f"(?<![a-z0-9])(?:{'|'.join(sorted(picked))})(?![a-z0-9])"
+
+
 def bigrams(text: Column) -> Column:
     """The distinct word bigrams of a text."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
@@ -246,7 +269,7 @@ def units(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, unit, position, licence, dice): every unit that states a licence."""
     known = bigram_table(docs.sparkSession, templates, threshold)
-    docs = docs.where(F.lower("text").rlike(needed(templates, threshold)))
+    docs = docs.where(F.lower("text").rlike(telling(templates, threshold)))
     grams = units(docs).where(F.lower("part").rlike(needed(templates, threshold))).select("doc_id", "mark", "unit", "position", bigrams(F.col("part")).alias("grams"))
     grams = grams.select("doc_id", "mark", "unit", "position", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))
     # the table is a constant of the code, whatever the data

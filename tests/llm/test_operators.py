@@ -399,6 +399,18 @@ def test_licences_whole_and_within_prose(docs):
     assert ("text", "BSD-3-Clause") in found[5] and ("paragraph", "ISC") in found[6] and 7 not in found and ("line", "Unlicense") in found[8] and ("line", "AGPL-3.0-or-later") in found[9]
 
 
+def test_telling_words_leave_no_licence_out():
+    rng, pattern = random.Random(2), re.compile(licences.telling(licences.TEMPLATES, 0.8))
+    for _, text in licences.TEMPLATES:
+        grams, every = set(licences.template_bigrams(text)), text.split()
+        for _ in range(200):
+            cut = list(every)
+            for _ in range(rng.randrange(1 + len(every) // 3)):
+                del cut[rng.randrange(len(cut))]
+            own = set(licences.template_bigrams(" ".join(cut)))
+            assert 2 * len(own & grams) < 0.8 * (len(own) + len(grams)) or pattern.search(" ".join(cut).lower())
+
+
 def test_bpe_as_tiktoken(texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.VOCABULARY), "rb"))}
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
