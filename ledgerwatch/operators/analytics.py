@@ -229,31 +229,49 @@ def counterparty_mix(ledger: DataFrame) -> DataFrame:
     return per.select("account", half_up(F.col("most") / F.col("total"), 3).alias("max_share"), half_up(F.col("squares") / (F.col("total") * F.col("total")), 3).alias("hhi"))
 
 
+def _measures(as_of: str) -> dict[str, tuple[list[Column], list[Column]]]:
+    """Sums over the payments of an account, and what is made of them, by name."""
+    day, now = 86_400_000, F.unix_millis(F.lit(as_of).cast("timestamp"))
+    sent, amount = ~F.col("incoming"), F.col("amount").cast("double")
+    total = lambda on, name: F.sum(F.when(on, F.col("amount")).otherwise(0)).cast("double").alias(name)
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).when(F.col(a) > 0, 999.0).otherwise(1.0)
+    share = lambda name: half_up(F.col(f"n_{name}") / F.col("n_all"), 3).alias(name)
+    within = lambda days: F.count_if(now - F.col("ms") < days * day).alias(f"in_{days}")
+    speed = lambda days, spans, name: half_up(F.when(F.col("in_180") > 0, F.col(f"in_{days}") / (F.col("in_180") / spans)).otherwise(0.0), 3).alias(name)
+    return {
+        "credit_debit": ([F.count_if("incoming").alias("c"), F.count_if(sent).alias("d"), total(F.col("incoming"), "ca"), total(sent, "da")], [half_up(part("c", "d"), 3).alias("count_ratio"), half_up(part("ca", "da"), 3).alias("amount_ratio")]),
+        "time_mix": (
+            [F.count("*").alias("n_all"), F.count_if(F.dayofweek("ts").isin(1, 7)).alias("n_weekend"), F.count_if(F.col("hour") < 5).alias("n_night"), F.count_if(F.col("hour").between(9, 17)).alias("n_business")],
+            [share("weekend"), share("night"), share("business")],
+        ),
+        "velocity_ratios": ([within(7), within(30), within(180)], [speed(7, 25, "v7"), speed(30, 6, "v30")]),
+        "amount_volatility": ([F.stddev_samp(amount).alias("spread"), F.avg(amount).alias("mean")], [half_up(F.coalesce(F.when(F.col("mean") > 0, F.col("spread") / F.col("mean")), F.lit(0.0)), 3).alias("volatility")]),
+    }
+
+
+def account_measures(ledger: DataFrame, as_of: str, *names: str) -> DataFrame:
+    """The named measures of every account (all without names), in one pass over its payments."""
+    chosen = [m for name, m in _measures(as_of).items() if not names or name in names]
+    view = account_view(ledger).withColumns({"hour": F.hour("ts"), "ms": millis(F.col("ts"))})
+    per = view.groupBy("account").agg(*[x for sums, _ in chosen for x in sums])
+    return per.select("account", *[x for _, made in chosen for x in made])
+
+
 def credit_debit(ledger: DataFrame) -> DataFrame:
-    view = account_view(ledger)
-    per = view.groupBy("account").agg(F.count_if("incoming").alias("c"), F.count_if(~F.col("incoming")).alias("d"), F.sum(F.when(F.col("incoming"), F.col("amount")).otherwise(0)).cast("double").alias("ca"), F.sum(F.when(~F.col("incoming"), F.col("amount")).otherwise(0)).cast("double").alias("da"))
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).when(F.col(a) > 0, 999.0).otherwise(1.0)
-    return per.select("account", half_up(share("c", "d"), 3).alias("count_ratio"), half_up(share("ca", "da"), 3).alias("amount_ratio"))
+    return account_measures(ledger, "1970-01-01 00:00:00", "credit_debit")
 
 
 def time_mix(ledger: DataFrame) -> DataFrame:
-    view = account_view(ledger).withColumn("hour", F.hour("ts"))
-    share = lambda on, name: half_up(F.count_if(on) / F.count("*"), 3).alias(name)
-    return view.groupBy("account").agg(share(F.dayofweek("ts").isin(1, 7), "weekend"), share(F.col("hour") < 5, "night"), share(F.col("hour").between(9, 17), "business"))
+    return account_measures(ledger, "1970-01-01 00:00:00", "time_mix")
 
 
 def velocity_ratios(ledger: DataFrame, as_of: str) -> DataFrame:
     """Payments of the last 7 and 30 days against the average of such spans in the last 180."""
-    day, now = 86_400_000, F.unix_millis(F.lit(as_of).cast("timestamp"))
-    within = lambda days: F.count_if(now - F.col("ms") < days * day)
-    per = account_view(ledger).withColumn("ms", millis(F.col("ts"))).groupBy("account").agg(within(7).alias("a"), within(30).alias("b"), within(180).alias("c"))
-    return per.select("account", half_up(F.when(F.col("c") > 0, F.col("a") / (F.col("c") / 25)).otherwise(0.0), 3).alias("v7"), half_up(F.when(F.col("c") > 0, F.col("b") / (F.col("c") / 6)).otherwise(0.0), 3).alias("v30"))
+    return account_measures(ledger, as_of, "velocity_ratios")
 
 
 def amount_volatility(ledger: DataFrame) -> DataFrame:
-    x = F.col("amount").cast("double")
-    per = account_view(ledger).groupBy("account").agg(F.stddev_samp(x).alias("s"), F.avg(x).alias("m"))
-    return per.select("account", half_up(F.coalesce(F.when(F.col("m") > 0, F.col("s") / F.col("m")), F.lit(0.0)), 3).alias("volatility"))
+    return account_measures(ledger, "1970-01-01 00:00:00", "amount_volatility")
 
 
 def risk_distribution(accounts: DataFrame) -> DataFrame:
@@ -318,11 +336,11 @@ def ece(scored: DataFrame, bins: int = 10) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).agg(half_up(F.sum(F.abs(F.col("s") - F.col("y")) * F.col("n")) / F.first("total"), 6).alias("ece"))
 
 
-def graph_risk_legacy(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
+def graph_risk_legacy(ledger: DataFrame, accounts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """A risk out of 100 from degrees and flagged payments."""
-    pairs = edges(ledger)
+    pairs = edges(ledger) if pairs is None else pairs
     flagged = lambda at, name: pairs.groupBy(F.col(at).alias("id")).agg(F.sum("n_flagged").alias(name))
-    both = accounts.select("id").join(degrees(ledger).withColumnRenamed("account", "id"), "id", "left").join(flagged("dst", "f_in"), "id", "left").join(flagged("src", "f_out"), "id", "left").fillna(0)
+    both = accounts.select("id").join(degrees(ledger, pairs).withColumnRenamed("account", "id"), "id", "left").join(flagged("dst", "f_in"), "id", "left").join(flagged("src", "f_out"), "id", "left").fillna(0)
     both = both.crossJoin(F.broadcast(accounts.agg(F.count("*").alias("size"))))  # one row
     i, o = F.col("in_degree"), F.col("out_degree")
     c = F.when(F.col("size") > 1, F.least(F.lit(1.0), (i + o) / (F.col("size") * 0.5))).otherwise(0.0)

@@ -57,9 +57,9 @@ def fan_out(ledger: DataFrame, least: int = 3, critical: int = 8, list_cap: int
     return _fan(ledger, "src", "dst", least, critical, list_cap)
 
 
-def degrees(ledger: DataFrame) -> DataFrame:
-    """(account, in_degree, out_degree, n_in, n_out, amount_in, amount_out)."""
-    pairs = edges(ledger)
+def degrees(ledger: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(account, in_degree, out_degree, n_in, n_out, amount_in, amount_out); `pairs` are the edges, if they are there already."""
+    pairs = edges(ledger) if pairs is None else pairs
     side = lambda at, d: pairs.groupBy(F.col(at).alias("account")).agg(F.count("*").alias(f"{d}_degree"), F.sum("n_txn").alias(f"n_{d}"), F.sum("amount_sum").cast("double").alias(f"amount_{d}"))
     return side("dst", "in").join(side("src", "out"), "account", "full").fillna(0)
 

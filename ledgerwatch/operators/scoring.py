@@ -22,8 +22,8 @@ def account_features(ledger: DataFrame, accounts: DataFrame, as_of: str, graph:
     by = lambda df: df.withColumnRenamed("account", "id")
     f = accounts.select("id", "balance", "turnover", "age_days")
     for part in (
-        by(P.degrees(ledger)), by(A.hour_entropy(ledger)), by(A.counterparty_mix(ledger)), by(A.credit_debit(ledger)), by(A.time_mix(ledger)), by(A.velocity_ratios(ledger, as_of)),
-        by(A.amount_volatility(ledger)), by(P.max_burst(ledger)), G.neighbourhoods(pairs).drop("neighbours"), A.graph_risk_legacy(ledger, accounts).select("id", F.col("risk").alias("risk_score_graph")),
+        by(P.degrees(ledger, pairs)), by(A.hour_entropy(ledger)), by(A.counterparty_mix(ledger)), by(A.account_measures(ledger, as_of)),
+        by(P.max_burst(ledger)), G.neighbourhoods(pairs).drop("neighbours"), A.graph_risk_legacy(ledger, accounts, pairs).select("id", F.col("risk").alias("risk_score_graph")),
     ):
         f = f.join(part, "id", "left")
     f = f.join(graph, "id", "left") if graph is not None else f.withColumns({c: F.lit(0.0) for c in ("pagerank", "community", "bridge")})
