@@ -20,7 +20,8 @@ threshold, or of nine digits or more, and not inside a base span are added.
 Nulls and edge cases: a null text is an empty one and gives a row with zero
 counts; texts are read whole, of any length (patterns take linear time and do not
 recurse); spans of one kind never overlap; repeated rows give repeated results;
-only `doc_id` and `text` are read; an empty table gives no rows, and a corpus
+ties of start are ordered by kind; only `doc_id` and `text` are read, so further
+columns of any name do not matter; an empty table gives no rows, and a corpus
 without candidates trains no tree and adds none.
 """
 
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read, running_sums
+from .common import checkpoint, let, read, running_sums
 
 #: The base patterns. Possessive repeats and looks behind keep them linear and do not change what they match.
 KINDS = ("email", "ip", "card", "phone")
@@ -227,7 +228,8 @@ def training_table(candidates: DataFrame) -> list[tuple[tuple[int, ...], float,
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, rank, kind, end), base spans alone and with those that the trees add."""
-    found = described(docs)
+    # the patterns go over the texts once; what they propose is small, and read again for the table and the result
+    found = checkpoint(described(docs))
     model = train(training_table(found))
     inside = lambda s: F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     plain = lambda arr: F.array_sort(F.transform(arr, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"])))
