@@ -47,3 +47,24 @@ def test_odd_vectors(spark):
     assert found[1] == (2, 1, True) and found[2] == (2, 1, False) and found[11] == (2, 1, False)
     assert all(found[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10))
     assert vectors.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_odd_values(docs):
+    rows = docs(*ODD)
+    by = lambda df, *columns: sorted({(r["doc_id"], *[r[c] for c in columns]) for r in df.collect()}, key=str)
+    assert [x for x in by(mixing.mix(rows), "size") if x[0] in (1, 2, 3, 4)] == [(1, 0), (2, 0), (3, 1), (4, 0)]
+    assert [x for x in by(bpe.digests(rows), "n_tokens") if x[0] in (1, 2, 3)] == [(1, 0), (2, 0), (3, 1)]
+    assert [x for x in by(lines.without_repeats(rows), "text", "n_lines", "n_deleted") if x[0] in (1, 2, 4, None)] == [(1, None, 0, 0), (2, "", 1, 0), (4, "\n\n", 3, 0), (None, "hello there\nworld", 2, 0)]
+    assert [x for x in by(media.digests(rows), "n_bytes", "payload_bytes") if x[0] in (1, 2, 3)] == [(1, 0, 64), (2, 0, 64), (3, 1, 64)]
+    similar = by(ngrams.similar_documents(rows), "n_links", "class_id", "n_shingles")
+    assert [x for x in similar if x[0] in (1, 2, 3, 5)] == [(1, 0, 1, 0), (2, 0, 2, 0), (3, 1, 3, 1), (5, 0, 5, 1)]
+    told = by(language.predict(rows, language.train(language.sample(rows))), "lang_pred", "rejected")
+    assert [x for x in told if x[0] in (1, 2, 4, 7)] == [(k, "und", True) for k in (1, 2, 4, 7)]
+    assert [x for x in by(pii.redact(rows), "text") if x[0] in (1, 2, 3)] == [(1, ""), (2, ""), (3, "a")]
+
+
+def test_partitions_and_order_do_not_matter(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dealt = rows.repartition(7).orderBy(F.desc("doc_id"))
+    for run in (lambda d: mixing.mix(d, block=64).select("doc_id", "copies"), lambda d: lines.without_repeats(d).select("doc_id", "text"), lambda d: ngrams.similar_documents(d), lambda d: pii.find(d).select("doc_id", pii.written(F.col("spans")))):
+        assert sorted(map(str, run(rows).collect())) == sorted(map(str, run(dealt).collect()))
