@@ -27,7 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import let, read
 
 THRESHOLD = 0.8
 
@@ -191,6 +191,17 @@ FREQUENT = frozenset("a an and any as be by can for from have if in is it not of
 NAMES = frozenset("apache bsd cc gnu isc lgpl mit mpl".split())
 
 
+def one_of(words: dict[str, str]) -> str:
+    """A pattern of the words, each followed by its own rest, that branches letter by letter: a position tries few branches, however many words there are."""
+    branches: dict[str, dict[str, str]] = {}
+    for word, rest in sorted(words.items()):
+        branches.setdefault(word[:1], {})[word[1:]] = rest
+    ends = branches.pop("", {}).get("")
+    parts = [(first if len(after) > 1 else first + next(iter(after))) + (one_of(after) if len(after) > 1 else next(iter(after.values()))) for first, after in branches.items()]
+    parts += [ends] if ends is not None else []
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def needed(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
     """A pattern that every text with a licence matches.
 
@@ -206,8 +217,8 @@ def needed(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
         for gram in rank[:count]:
             first, second = gram.split()
             after.setdefault(first, set()).add(second)
-    parts = "|".join(f"{first}[^a-z0-9]+(?:{'|'.join(sorted(seconds))})" for first, seconds in sorted(after.items()))
-    return f"(?<![a-z0-9])(?:{parts})(?![a-z0-9])"
+    rest = {first: f"[^a-z0-9]++{one_of(dict.fromkeys(seconds, '(?![a-z0-9])'))}" for first, seconds in after.items()}
+    return f"(?<![a-z0-9]){one_of(rest)}"
 
 
 def telling(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
@@ -226,7 +237,7 @@ def telling(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
             left = [w for g in grams if not set(g) & set(picked) for w in dict.fromkeys(g)]
             rare = [w for w in left if len(w) > 6 or w in NAMES]
             picked.append(max(dict.fromkeys(rare or [w for w in left if w not in FREQUENT] or left), key=left.count))
-    return f"(?<![a-z0-9])(?:{'|'.join(sorted(picked))})(?![a-z0-9])"
+    return f"(?<![a-z0-9]){one_of(dict.fromkeys(picked, '(?![a-z0-9])'))}"
 
 
 def bigrams(text: Column) -> Column:
@@ -246,19 +257,20 @@ def bigram_table(spark: SparkSession, templates: tuple[tuple[str, str], ...], th
     return spark.createDataFrame(rows, "gram string, template int, licence string, own int, low int, high int")
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, unit, position, part): lines, sentences that are neither lines nor paragraphs, paragraphs of several lines, and texts of several paragraphs."""
+def units(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, mark, unit, position, part) of the units that the pattern matches: lines, sentences that are neither lines nor paragraphs, paragraphs of several lines, and texts of several paragraphs."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("text is not null")
     paragraphs = F.split("text", r"\n[ \t]*\n", -1)
 
     def tagged(kind: str, parts: Column) -> Column:
-        return F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("position"), p.alias("part")))
+        every = F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("position"), p.alias("part")))
+        return F.filter(every, lambda s: F.lower(s["part"]).rlike(pattern))
 
     lines = F.split("text", "\n", -1)
     sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, r"([.!?])[ \t\n]+", "$1\x01"), "\x01", -1)))
     each = [
         tagged("line", lines),
-        F.filter(tagged("sentence", sentences), lambda s: ~F.array_contains(F.concat(lines, paragraphs), s["part"])),
+        let(F.concat(lines, paragraphs), lambda whole: F.filter(tagged("sentence", sentences), lambda s: ~F.array_contains(whole, s["part"]))),
         F.filter(tagged("paragraph", paragraphs), lambda s: F.contains(s["part"], F.lit("\n"))),
         F.when(F.size(paragraphs) > 1, tagged("text", F.array("text"))),
     ]
@@ -269,8 +281,10 @@ def units(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, unit, position, licence, dice): every unit that states a licence."""
     known = bigram_table(docs.sparkSession, templates, threshold)
-    docs = docs.where(F.lower("text").rlike(telling(templates, threshold)))
-    grams = units(docs).where(F.lower("part").rlike(needed(templates, threshold))).select("doc_id", "mark", "unit", "position", bigrams(F.col("part")).alias("grams"))
+    # in two steps, as the second pattern is slow on the many texts that the first rules out
+    lower = F.lower("text")
+    docs = docs.where(F.when(lower.rlike(telling(templates, threshold)), lower.rlike(needed(templates, threshold))).otherwise(False))
+    grams = units(docs, needed(templates, threshold)).select("doc_id", "mark", "unit", "position", bigrams(F.col("part")).alias("grams"))
     grams = grams.select("doc_id", "mark", "unit", "position", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))
     # the table is a constant of the code, whatever the data
     met = grams.join(F.broadcast(known), "gram").where("size between low and high")
