@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language, licences, lines, media, mixing, ngrams, pii, vectors
+from . import bpe, chat, filters, infill, language, licences, lines, media, mixing, ngrams, pii, vectors
 
 QUERIES = {
     "op1_vector_dedup": vectors.op1_vector_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_language": language.op9_language,
     "op10_ngram_join": ngrams.op10_ngram_join,
+    "op11_filter_audit": filters.op11_filter_audit,
+    "op13_infill": infill.op13_infill,
 }
 
 ORACLES = {
@@ -23,4 +25,6 @@ ORACLES = {
     "op6_licences": licences.ORACLE,
     "op8_line_dedup": lines.ORACLE,
     "op10_ngram_join": ngrams.ORACLE,
+    "op11_filter_audit": filters.ORACLE,
+    "op13_infill": infill.ORACLE,
 }
