@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.components import components
 from ..functions.lineage import checkpoint
 
-__all__ = ["GAP", "WORD", "checkpoint", "components", "in_blocks", "let", "local_roots", "read", "running_sums", "whole_groups", "words"]
+__all__ = ["GAP", "WORD", "checkpoint", "components", "in_blocks", "let", "local_roots", "read", "running_sums", "stored", "whole_groups", "words"]
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +26,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` from a Parquet table in the shared folder that the session names in spark.checkpoint.dir, in a temporary one where that is unset.
+
+    Smaller than a checkpoint; goes with the folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stored-")
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, filters, infill, language, licences, lines, media, mixing, ngrams, pii, vectors
+from . import bpe, chat, filters, infill, language, licences, lines, media, mixing, ngrams, pii, suffixes, vectors
 
 QUERIES = {
     "op1_vector_dedup": vectors.op1_vector_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_ngram_join": ngrams.op10_ngram_join,
     "op11_filter_audit": filters.op11_filter_audit,
+    "op12_suffix_dedup": suffixes.op12_suffix_dedup,
     "op13_infill": infill.op13_infill,
 }
 
