@@ -27,5 +27,6 @@ ORACLES = {
     "op8_line_dedup": lines.ORACLE,
     "op10_ngram_join": ngrams.ORACLE,
     "op11_filter_audit": filters.ORACLE,
+    "op12_suffix_dedup": suffixes.ORACLE,
     "op13_infill": infill.ORACLE,
 }

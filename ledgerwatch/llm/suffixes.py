@@ -364,3 +364,18 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+blocks AS (SELECT k, start, least(64, n - {WINDOW - 1} - start) AS m, substr(h, 2 * start + 1, {2 * (WINDOW + 63)}) AS piece FROM texts, unnest(range(0, n - {WINDOW - 1}, 64)) AS u(start)),
+starts AS (SELECT k, start + o AS p, hash(substr(piece, 2 * o + 1, {2 * WINDOW})) AS w FROM blocks, unnest(range(m)) AS u(o)),
+again AS (SELECT k, p FROM starts QUALIFY count(*) OVER (PARTITION BY w) > 1),
+runs AS (SELECT k, p, sum(new) OVER (PARTITION BY k ORDER BY p) AS r FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= {WINDOW} THEN 0 ELSE 1 END AS new FROM again)),
+spans AS (SELECT k, min(p) AS a, max(p) + {WINDOW} AS b FROM runs GROUP BY k, r),
+gaps AS (SELECT k, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT k, max(b), NULL FROM spans GROUP BY k),
+kept AS (SELECT g.k, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS h FROM gaps g JOIN texts USING (k) GROUP BY g.k),
+gone AS (SELECT k, count(*) AS n_spans, sum(b - a) AS n_removed FROM spans GROUP BY k)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, texts.h))) AS kept_sha256
+FROM texts LEFT JOIN gone USING (k) LEFT JOIN kept ON kept.k = texts.k
+"""
