@@ -11,7 +11,8 @@ least hash, the leftmost of equal ones, is its anchor, so equal windows have equ
 anchors at the same place, wherever they stand. Neighbouring windows with one anchor
 are a run. Runs whose anchor occurs nowhere else hold no repeat and are dropped, which
 is all of them but a few; of the others each distinct string is sorted once, with the
-number of its places, together with all strings of the same anchor. An anchor with
+number of its places, together with all strings of the same anchor (a string at
+several places without any such company is repeated as a whole). An anchor with
 more than `GROUP` distinct strings (a passage that is everywhere, in ever other
 surroundings) has its runs cut at fixed distances from the anchor, first into `FINER`
 windows and in the end into single ones, and the pieces are dealt out by the hash of
@@ -54,7 +55,6 @@ SALTS = 16
 PLACE = 20
 RESULTS = ("n_bytes", "removed", "kept")
 ODD = 0x9E3779B97F4A7C15
-STRINGS = "key long, ctx long, n long, anchor int, part binary"
 
 
 # --- anchors ---------------------------------------------------------------------------
@@ -208,28 +208,24 @@ def common_prefixes(text: bytes, a: np.ndarray, b: np.ndarray, most: int) -> np.
 
 
 def repeated_starts(parts: list[bytes], counts: list[int], window: int) -> list[np.ndarray]:
-    """For each string, which of its windows occur in another one, elsewhere in it, or at another of its own places (`counts`)."""
-    # a string with several places is repeated as a whole, so it is entered twice
-    twice = [part for part, n in zip(parts, counts, strict=True) for _ in range(2 if n > 1 else 1)]
-    text = b"".join(twice)
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in twice])])
-    inside = np.zeros(len(text), bool)
-    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+    """For each string, which of its windows occur in another one or elsewhere in it, which is all of them if it has several places (`counts`)."""
+    text = b"".join(parts)
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).tolist()
+    inside, repeated = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    for s, e, n in zip(starts[:-1], starts[1:], counts, strict=True):
         inside[s : max(s, e - window + 1)] = True
+        repeated[s:e] = n > 1
     order = suffix_array(text, window)
     order = order[inside[order]]
     same = common_prefixes(text, order[:-1], order[1:], window) >= window
-    repeated = np.zeros(len(text), bool)
     repeated[order[:-1][same]] = True
     repeated[order[1:][same]] = True
-    firsts = np.cumsum([0] + [2 if n > 1 else 1 for n in counts])[:-1]
-    return [repeated[starts[k] : starts[k] + len(p) - window + 1] for k, p in zip(firsts, parts, strict=True)]
+    return [repeated[s : max(s, e - window + 1)] for s, e in zip(starts[:-1], starts[1:], strict=True)]
 
 
 def _sorted(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_groups(batches, ["key"], 1024):
-            rows = rows.drop_duplicates(["key", "ctx"])
             ends = rows["part"].map(len).cumsum()
             # whole groups, with about CHUNK bytes at a time
             chunk = ends.groupby(rows["key"]).transform("min") // CHUNK
@@ -268,33 +264,44 @@ def _finer(width: int, window: int):
                 found = []
                 for key, ctx, n, anchor, part in batch.iloc[at : at + 256][["key", "ctx", "n", "anchor", "part"]].itertuples(index=False):
                     for first, tile, shared, piece in pieces_of(bytes(part), anchor, width, window):
-                        found.append((key, ctx, first, signed(shared, (key + tile) % 2**64), signed(piece, tile), n, anchor - first, piece if width > 1 else b""))
-                yield pd.DataFrame(found, columns=["of_key", "of_ctx", "start", "key", "ctx", "n", "anchor", "part"])
+                        found.append((key, ctx, first, signed(shared, (key + tile) % 2**64), signed(piece, tile), n, anchor - first, len(piece) - window + 1, piece if width > 1 else b""))
+                yield pd.DataFrame(found, columns=["of_key", "of_ctx", "start", "key", "ctx", "n", "anchor", "size", "part"])
 
     return run
 
 
 def _totals(rows: DataFrame) -> DataFrame:
-    """(key, salt, strings, total): how many distinct strings each key has and at how many places, if at several; a key that is everywhere is counted and looked up in parts."""
+    """(key, salt, strings): how many rows each key has whose `n` are several places together; a key that is everywhere is counted and looked up in parts."""
     parts = rows.groupBy("key", "salt").agg(F.count("*").alias("strings"), F.sum("n").alias("total"))
     whole = parts.groupBy("key").agg(F.sum("strings").alias("strings"), F.sum("total").alias("total"), F.collect_set("salt").alias("salts")).where("total > 1")
-    return whole.select("key", "strings", "total", F.explode("salts").alias("salt"))
+    return whole.select("key", "strings", F.explode("salts").alias("salt"))
 
 
-def _marks(strings: DataFrame, window: int, widths: tuple[int, ...]) -> DataFrame:
-    """(key, ctx, first, many): the repeated windows of distinct strings (key, ctx, n, anchor, part)."""
+def _sized(strings: DataFrame) -> DataFrame:
+    """Distinct strings (key, ctx, n, ...) with `strings`, how many share their key; those that are alone at one place are dropped."""
     strings = strings.withColumn("salt", F.pmod("ctx", F.lit(SALTS)))
-    sized = strings.join(_totals(strings), ["key", "salt"]).drop("salt", "total")
+    return strings.join(_totals(strings), ["key", "salt"]).drop("salt")
+
+
+def _alone(sized: DataFrame) -> DataFrame:
+    """(key, ctx, first, many) of strings at several places that no other shares an anchor with: there is nothing to sort them with."""
+    return sized.where("strings = 1").select("key", "ctx", F.lit(0).alias("first"), F.col("size").alias("many"))
+
+
+def _marks(sized: DataFrame, window: int, widths: tuple[int, ...]) -> DataFrame:
+    """(key, ctx, first, many): the repeated windows of distinct strings (key, ctx, n, anchor, size, strings, part) that share their key with others."""
     few = sized.where(F.col("strings") <= GROUP).select("key", "ctx", "n", "part")
     found = few.repartition("key").sortWithinPartitions("key").mapInPandas(_sorted(window), schema="key long, ctx long, first int, many int")
     many = sized.where(F.col("strings") > GROUP)
     if not many.limit(1).count():
         return found
     width = widths[0]
-    finer = stored(many.select("key", "ctx", "n", "anchor", "part").mapInPandas(_finer(width, window), schema=f"of_key long, of_ctx long, start int, {STRINGS}"))
+    schema = "of_key long, of_ctx long, start int, key long, ctx long, n long, anchor int, size int, part binary"
+    finer = stored(many.select("key", "ctx", "n", "anchor", "part").mapInPandas(_finer(width, window), schema=schema))
     if width > 1:
-        distinct = finer.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.first("part").alias("part"))
-        inner = _marks(stored(distinct), window, widths[1:])
+        distinct = finer.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.first("size").alias("size"), F.first("part").alias("part"))
+        distinct = stored(_sized(distinct))
+        inner = _alone(distinct).union(_marks(distinct.where("strings > 1"), window, widths[1:]))
     else:
         # a single window needs no sorting
         inner = finer.groupBy("key", "ctx").agg(F.sum("n").alias("n")).where("n > 1").select("key", "ctx", F.lit(0).alias("first"), F.lit(1).alias("many"))
@@ -320,14 +327,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     place = F.min(F.struct("node", "mark", "lo", "size", "anchor")).alias("at")
     parts = shared.groupBy("key", "ctx", "salt").agg(F.count("*").alias("n"), place)
     strings = parts.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.collect_set("salt").alias("salts")).select("key", "ctx", "n", "salts", "at.*")
-    fetched = strings.join(named.select("node", "mark", F.col("text").cast("binary").alias("raw")), ["node", "mark"])
-    strings = stored(fetched.select("key", "ctx", "n", "anchor", "salts", F.substring("raw", F.col("lo") + 1, F.col("size") + (window - 1)).alias("part")))
-    marks = _marks(strings.drop("salts"), window, FINER)
+    sized = stored(_sized(strings))
+    part = F.substring("raw", F.col("lo") + 1, F.col("size") + (window - 1)).alias("part")
+    fetched = sized.where("strings > 1").join(named.select("node", "mark", F.col("text").cast("binary").alias("raw")), ["node", "mark"])
     # rows of one text and id fetch a string more than once
-    dealt = strings.select("key", "ctx", F.explode("salts").alias("salt")).distinct()
-    placed = marks.distinct().join(dealt, ["key", "ctx"]).join(shared, ["key", "ctx", "salt"])
-    start = F.col("lo") + F.col("first")
-    spans = placed.groupBy("node", "mark").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("many") + (window - 1)).alias("end"))).alias("spans"))
+    fetched = stored(fetched.select("key", "ctx", "n", "anchor", "size", "strings", part).dropDuplicates(["key", "ctx"]))
+    marks = _alone(sized).union(_marks(fetched, window, FINER))
+    # a row for each string before places are looked up, however many pieces it was cut into
+    marks = marks.groupBy("key", "ctx").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("many") + (window - 1)).alias("end"))).alias("found"))
+    marks = marks.select("key", "ctx", _joined(F.array_sort("found")).alias("found"))
+    dealt = sized.select("key", "ctx", F.explode("salts").alias("salt"))
+    placed = marks.join(dealt, ["key", "ctx"]).join(shared, ["key", "ctx", "salt"])
+    moved = F.transform("found", lambda s: F.struct((F.col("lo") + s["start"]).alias("start"), (F.col("lo") + s["end"]).alias("end")))
+    spans = placed.select("node", "mark", moved.alias("found")).groupBy("node", "mark").agg(F.flatten(F.collect_set("found")).alias("spans"))
     return spans.select("node", "mark", _joined(F.array_sort("spans")).alias("spans"))
 
 
