@@ -39,3 +39,51 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     return now.toDF("id", "component").union(now.select("b", "b").distinct())
+
+
+def _changes(df: DataFrame) -> int:
+    return df.agg(F.count_if("changed")).first()[0]
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """`edges(src, dst)` without nodes that lack an edge in or out, until none is left."""
+    edges, before = checkpoint(edges), -1
+    while (now := edges.count()) != before:
+        before = now
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = checkpoint(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): strongly connected components of two nodes or more of `edges(src, dst)`, named by their least id.
+
+    Forward, each node gets the least id that reaches it; backward from the nodes
+    that got their own, those of the same mark that reach them are a component. What
+    is left between nodes of one mark goes on, without nodes that lack an edge in or
+    out. Rounds are bounded by path lengths; the driver sees counts.
+    """
+    edges, done = _trimmed(edges.where("src != dst").select("src", "dst").distinct()), None
+    while edges.limit(1).count():
+        marks = checkpoint(edges.select(F.col("src").alias("id")).distinct().withColumn("mark", F.col("id")))
+        while True:
+            least = edges.join(marks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("mark").alias("least"))
+            now = checkpoint(marks.join(least, "id").select("id", F.least("mark", "least").alias("mark"), (F.col("least") < F.col("mark")).alias("changed")))
+            marks = now.select("id", "mark")
+            if not _changes(now):
+                break
+        side = lambda c: marks.select(F.col("id").alias(c), F.col("mark").alias(f"{c}_mark"))  # noqa: B023, E731
+        inner = checkpoint(edges.join(side("src"), "src").join(side("dst"), "dst").where("src_mark = dst_mark").select("src", "dst"))
+        back = checkpoint(marks.where("id = mark").select("id"))
+        fresh = back
+        while fresh.limit(1).count():
+            fresh = checkpoint(inner.join(fresh.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(back, "id", "left_anti"))
+            back = checkpoint(back.union(fresh))
+        found = back.join(marks, "id").select("id", F.col("mark").alias("component"))
+        done = found if done is None else done.union(found)
+        left = lambda c: back.withColumnRenamed("id", c)  # noqa: B023, E731
+        edges = _trimmed(inner.join(left("src"), "src", "left_anti").join(left("dst"), "dst", "left_anti"))
+    if done is None:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("component"))
+    several = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return done.join(several, "component", "left_semi").select("id", "component")

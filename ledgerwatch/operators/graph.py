@@ -6,6 +6,12 @@ driver sees a count or a checksum a round and nothing else.
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,37 +52,227 @@ def _digits(x: Column, digits: int | None) -> Column:
     return x if digits is None else half_up(x, digits)
 
 
-def modularity_communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community, modularity): label propagation with the least label on ties, and the modularity of the result."""
-    links = pairs.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    both = checkpoint(links.union(links.select("b", "a")))
-    now = checkpoint(both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
+#: Gains below this share of all links are rounding.
+LEAST_GAIN = 1e-9
+
+
+def _quality(links: DataFrame, now: DataFrame, total: float) -> float:
+    """The modularity of `now(id, k, community)` but for links inside nodes, which no move changes."""
+    side = lambda c: now.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+    inside = links.join(side("a"), "a").join(side("b"), "b").where("ca = cb").agg(F.sum("w")).first()[0] or 0.0
+    squares = now.groupBy("community").agg(F.sum("k").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0
+    return inside / total - squares / total**2
+
+
+def _gains(links: DataFrame, now: DataFrame, total: float) -> DataFrame:
+    """(id, k, home, gain, to): the move of each node that gains most, if any does; the least community of equal ones."""
+    votes = links.join(now.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
+    sizes = now.groupBy("community").agg(F.sum("k").alias("s"))
+    own = now.join(sizes, "community").join(votes.select("id", "community", F.col("w").alias("w0")), ["id", "community"], "left").select("id", "k", F.col("community").alias("home"), F.col("s").alias("s0"), F.coalesce("w0", F.lit(0.0)).alias("w0"))
+    options = votes.join(own, "id").where("community != home").join(sizes, "community")
+    gain = (F.col("w") - F.col("w0")) - F.col("k") * (F.col("s") - F.col("s0") + F.col("k")) / total
+    options = options.withColumn("loss", F.round(-gain / total, 12)).where(F.col("loss") < -LEAST_GAIN)
+    best = options.groupBy("id").agg(F.min(F.struct("loss", "community", "k", "home")).alias("b"))
+    return best.select("id", "b.k", "b.home", (-F.col("b.loss")).alias("gain"), F.col("b.community").alias("to"))
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves of which no two touch the same community, each the best of all that touch one of its own: what they gain adds up."""
+    order = F.struct((-F.col("gain")).alias("loss"), "id")
+    best = moves.select("id", "gain", F.explode(F.array("home", "to")).alias("community")).groupBy("community").agg(F.min(order).alias("best"))
+    side = lambda c: best.select(F.col("community").alias(c), F.col("best.id").alias(f"{c}_best"))
+    return moves.join(side("home"), "home").join(side("to"), "to").where("home_best = id and to_best = id").drop("home_best", "to_best")
+
+
+def _local_moves(links: DataFrame, now: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """`now(id, k, community)` after rounds of moves, each of which raises the modularity, and whether any node moved.
+
+    A third of the nodes move at once; where that would not raise the modularity, as
+    when neighbours swap, moves that touch no community in common are made instead.
+    """
+    total = float(now.agg(F.sum("k")).first()[0] or 0.0)
+    if not total:
+        return now, False
+    value, moved = _quality(links, now, total), False
     for k in range(rounds):
-        votes = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("id").agg(F.max("n").alias("n")).join(votes, ["id", "n"]).groupBy("id").agg(F.min("community").alias("voted"))
-        # half of the nodes move at a time, or neighbours would swap labels for ever
-        turn = F.pmod(F.crc32("id"), F.lit(2)) == k % 2
-        now = checkpoint(now.join(best, "id").select("id", F.when(turn, F.col("voted")).otherwise(F.col("community")).alias("community")))
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d")).join(now, "id")
-    ends = links.join(now.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(now.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-    inside = ends.where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("inside"))
-    total = links.agg(F.count("*").alias("m"))
-    parts = degree.groupBy("community").agg(F.sum("d").alias("d")).join(inside, "community", "left").fillna(0).crossJoin(F.broadcast(total))  # one row
-    score = parts.agg(half_up(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), F.lit(2))), 4).alias("modularity"))
-    return now.crossJoin(F.broadcast(score))  # one row
+        moves = checkpoint(_gains(links, now, total))
+        if not moves.limit(1).count():
+            break
+        apply = lambda chosen: checkpoint(now.join(chosen.select("id", "to"), "id", "left").select("id", "k", F.coalesce("to", "community").alias("community")))  # noqa: B023, E731
+        tried = apply(moves.where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) == k % 3))
+        reached = _quality(links, tried, total)
+        if reached <= value:
+            tried = apply(_apart(moves))
+            reached = _quality(links, tried, total)
+            if reached <= value:  # what is left is rounding
+                break
+        now, value, moved = tried, reached, True
+    return now, moved
 
 
-def betweenness(pairs: DataFrame, sources: int | None = 30, digits: int | None = 4) -> DataFrame:
-    """(id, betweenness): shortest paths through each node from the sources, over the largest value or 1.
+def modularity(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """One row (modularity) of a partition `member(id, community)` of the undirected graph without weights."""
+    links = _undirected(pairs)
+    both = links.union(links.select("b", "a"))
+    total = both.agg(F.count("*").alias("m2"))
+    side = lambda c: member.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+    ends = both.join(side("a"), "a").join(side("b"), "b")
+    per = ends.groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("d"), F.count_if(F.col("ca") == F.col("cb")).alias("inside"))
+    share = F.col("inside") / F.col("m2") - F.pow(F.col("d") / F.col("m2"), F.lit(2))
+    return per.crossJoin(F.broadcast(total)).agg(half_up(F.coalesce(F.sum(share), F.lit(0.0)), 4).alias("modularity"))  # total: one row
+
 
-    Sources are those with the least MD5 sums of their ids (all if None). A state row is (source,
-    node, distance, paths); levels grow by joins, and what each node carries is
-    summed back level by level.
+def _undirected(pairs: DataFrame) -> DataFrame:
+    return pairs.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
+#: Graphs of so many directed links at most (communities as nodes, after the first levels) are settled by one task.
+SMALL = 1 << 18
+
+
+def _swept(near: dict, k: dict, member: dict) -> dict:
+    """`member` after single nodes have moved to where they gain most, until none gains."""
+    total, size = sum(k.values()), defaultdict(float)
+    for x, c in member.items():
+        size[c] += k[x]
+    again = True
+    while again:
+        again = False
+        for x in near:
+            home, votes = member[x], defaultdict(float)
+            for y, w in near[x].items():
+                votes[member[y]] += w
+            size[home] -= k[x]
+            gain = {c: w - k[x] * size[c] / total for c, w in votes.items()}
+            stay = gain.get(home, -k[x] * size[home] / total)
+            best = min(gain, key=lambda c: (-gain[c], c), default=home)
+            if best != home and gain[best] > stay + LEAST_GAIN * total:
+                member[x], again = best, True
+            size[member[x]] += k[x]
+    return member
+
+
+def _joined_up(near: dict, k: dict) -> dict:
+    """The greedy method: the two communities that gain most are joined, until none gain."""
+    total, k = sum(k.values()), dict(k)
+    near, member = {x: dict(n) for x, n in near.items()}, {x: [x] for x in near}
+    gain = lambda a, b: near[a][b] - k[a] * k[b] / total
+    heap = [(-gain(a, b), a, b) for a in near for b in near[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        loss, a, b = heapq.heappop(heap)
+        if a not in near or b not in near[a] or -loss != gain(a, b):
+            continue
+        if loss >= 0:
+            break
+        for y, w in near.pop(b).items():
+            del near[y][b]
+            if y != a:
+                near[a][y] = near[y][a] = near[a].get(y, 0.0) + w
+        k[a] += k.pop(b)
+        member[a] += member.pop(b)
+        for y in near[a]:
+            heapq.heappush(heap, (-gain(min(a, y), max(a, y)), min(a, y), max(a, y)))
+    return {x: c for c, own in member.items() for x in own}
+
+
+def _levels(near: dict, k: dict, member: dict) -> dict:
+    """`member` after moves of nodes, of their communities as nodes, and of nodes again."""
+    member = _swept(near, k, member)
+    if len(set(member.values())) < len(near):
+        links, sums = {c: defaultdict(float) for c in member.values()}, defaultdict(float)
+        for x, n in near.items():
+            sums[member[x]] += k[x]
+            for y, w in n.items():
+                if member[x] != member[y]:
+                    links[member[x]][member[y]] += w
+        links = {c: links[c] for c in sorted(links)}
+        outer = _levels(links, sums, {c: c for c in links})
+        member = _swept(near, k, {x: outer[c] for x, c in member.items()})
+    return member
+
+
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, community) of a small graph, given as links (a, b, w) and nodes (a, null, k).
+
+    The best of moves from single nodes and from what the greedy method joins, with
+    equal gains settled by the smaller names and by the larger ones.
     """
-    e = checkpoint(pairs.where("src != dst").select("src", "dst").distinct())
-    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    start = nodes if sources is None else nodes.orderBy(F.md5("id"), "id").limit(sources)
-    level = checkpoint(start.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths")))
+    rows = [r for batch in batches for r in batch.itertuples(index=False)]
+    names = sorted(r.a for r in rows if r.b is None)
+    total = sum(r.w for r in rows if r.b is None)
+
+    def value(near: dict, k: dict, member: dict) -> float:
+        sums = defaultdict(float)
+        for x, c in member.items():
+            sums[c] += k[x]
+        return sum(w for x, n in near.items() for y, w in n.items() if member[x] == member[y]) / total - sum(s * s for s in sums.values()) / total**2
+
+    best, found = -1.0, {}
+    for order in (names, names[::-1]):
+        at = {x: i for i, x in enumerate(order)}
+        k = dict(sorted((at[r.a], r.w) for r in rows if r.b is None))
+        near: dict = {x: {} for x in k}
+        for r in rows:
+            if r.b is not None:
+                near[at[r.a]][at[r.b]] = r.w
+        for start in ({x: x for x in k}, _joined_up(near, k)) if total else ():
+            member = _levels(near, k, start)
+            if (reached := value(near, k, member)) > best:
+                best, found = reached, {order[x]: order[c] for x, c in member.items()}
+    if found:
+        yield pd.DataFrame(list(found.items()), columns=["id", "community"])
+
+
+def modularity_communities(pairs: DataFrame, rounds: int = 20) -> DataFrame:
+    """(id, community, modularity): communities of high modularity of the undirected graph without weights, named by their least id.
+
+    Nodes move to the neighbouring community that gains most; communities then become
+    the nodes of a smaller graph, whose links are theirs summed up, and move in turn.
+    Every step raises the modularity. Links are joined and summed, never gathered,
+    until a graph has SMALL links at most, which one task settles; of a graph that is
+    so small from the start the result has no less modularity than the greedy method's.
+    """
+    links = _undirected(pairs)
+    base = checkpoint(links.union(links.select("b", "a")).withColumn("w", F.lit(1.0)))
+    nodes = checkpoint(base.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
+    level, now, member = base, nodes.withColumn("community", F.col("id")), None
+    while level.count() > SMALL:
+        now, moved = _local_moves(level, now, rounds)
+        if not moved:
+            break
+        side = lambda c: now.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))  # noqa: B023, E731
+        level = checkpoint(level.join(side("a"), "a").join(side("b"), "b").where("ca != cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        member = _composed(member, now)
+        now = checkpoint(now.groupBy(F.col("community").alias("id")).agg(F.sum("k").alias("k")).withColumn("community", F.col("id")))
+    else:
+        kind = links.schema["a"].dataType.simpleString()
+        rows = level.union(now.select("id", F.lit(None).cast(kind), "k"))
+        member = _composed(member, rows.coalesce(1).mapInPandas(_settled, schema=f"id {kind}, community {kind}"))
+    if member is None:  # no node of a large graph gains by moving
+        member = now.select("id", "community")
+    names = member.groupBy("community").agg(F.min("id").alias("name"))
+    member = checkpoint(member.join(names, "community").select("id", F.col("name").alias("community")))
+    return member.crossJoin(F.broadcast(modularity(pairs, member)))  # one row
+
+
+def _composed(member: DataFrame | None, outer: DataFrame) -> DataFrame:
+    """Where the nodes of the first graph are once their communities have moved as `outer(id, community)` says."""
+    if member is None:
+        return checkpoint(outer.select("id", "community"))
+    moved = outer.select(F.col("id").alias("community"), F.col("community").alias("to"))
+    return checkpoint(member.join(moved, "community").select("id", F.col("to").alias("community")))
+
+
+def _carried(e: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, b): what each node carries of the shortest paths from the sources `start(source, weight)`, sources themselves only for those folded into them.
+
+    A state row is (source, node, paths); levels grow by joins, and what each node
+    carries is summed back level by level. A source of weight 1 + w stands for w nodes
+    as well that reach it alone and are reached by none: their paths go on as its own do,
+    and all but the one to the source itself pass it.
+    """
+    level = checkpoint(start.select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths")))
     seen, levels = level.select("source", "node"), [level]
     while True:
         grown = level.join(e.withColumnRenamed("src", "node"), "node").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -92,15 +288,46 @@ def betweenness(pairs: DataFrame, sources: int | None = 30, digits: int | None =
         part = before.join(e.withColumnRenamed("src", "node"), "node").join(after, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("share") * F.col("paths")).alias("carried"))
         carried = checkpoint(before.join(part, ["source", "node"], "left").fillna(0.0, ["carried"]))
         summed.append(carried)
-    every = summed[0]
-    for part in summed[1:]:
-        every = every.unionByName(part)
-    per = every.where("source != node").groupBy(F.col("node").alias("id")).agg(F.sum("carried").alias("b"))
-    per = nodes.join(per, "id", "left").fillna(0.0)
+    # what a source carries of its own paths is the number of nodes that it reaches
+    share = F.col("carried") * F.when(F.col("source") == F.col("node"), F.col("weight") - 1).otherwise(F.col("weight"))
+    return reduce(DataFrame.unionByName, summed).join(start, "source").groupBy(F.col("node").alias("id")).agg(F.sum(share).alias("b"))
+
+
+def betweenness(pairs: DataFrame, sources: int | None = 30, digits: int | None = 4) -> DataFrame:
+    """(id, betweenness): shortest paths through each node from the sources, over the largest value or 1.
+
+    Sources are those with the least MD5 sums of their ids (all if None, but see `exact_betweenness`).
+    """
+    e = checkpoint(pairs.where("src != dst").select("src", "dst").distinct())
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    start = nodes if sources is None else nodes.orderBy(F.md5("id"), "id").limit(sources)
+    per = nodes.join(_carried(e, start.select(F.col("id").alias("source"), F.lit(1).alias("weight"))), "id", "left").fillna(0.0)
     most = per.agg(F.greatest(F.max("b"), F.lit(1.0)).alias("most"))
     return per.crossJoin(F.broadcast(most)).select("id", _digits(F.col("b") / F.col("most"), digits).alias("betweenness"))  # one row
 
 
+def exact_betweenness(pairs: DataFrame, batch: int = 256, digits: int | None = 4) -> DataFrame:
+    """(id, betweenness): the share of all ordered pairs of other nodes, (n - 1)(n - 2) of them, whose shortest paths pass each node.
+
+    Sources are worked on in batches of about `batch`, so the state is batch x n rows
+    and never n x n. Nodes without a way out are no sources, and nodes with one way
+    out and none in are folded into the node that they reach.
+    """
+    e = checkpoint(pairs.where("src != dst").select("src", "dst").distinct())
+    nodes = checkpoint(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
+    n = nodes.count()
+    entered = e.select(F.col("dst").alias("src")).distinct()
+    leaf = e.groupBy("src").agg(F.count("*").alias("o"), F.first("dst").alias("dst")).where("o = 1").join(entered, "src", "left_anti")
+    folded = leaf.groupBy(F.col("dst").alias("source")).agg(F.count("*").alias("folded"))
+    start = e.select(F.col("src").alias("source")).distinct().join(leaf.select(F.col("src").alias("source")), "source", "left_anti").join(folded, "source", "left")
+    parts = max(1, -(-n // batch))
+    start = checkpoint(start.select("source", (1 + F.coalesce("folded", F.lit(0))).alias("weight"), F.pmod(F.xxhash64("source"), F.lit(parts)).alias("part")))
+    total = nodes.withColumn("b", F.lit(0.0))
+    for k in range(parts):
+        total = checkpoint(total.union(_carried(e, start.where(F.col("part") == k).drop("part"))).groupBy("id").agg(F.sum("b").alias("b")))
+    return total.select("id", _digits(F.col("b") / ((n - 1) * (n - 2)) if n > 2 else F.lit(0.0), digits).alias("betweenness"))
+
+
 def pagerank_risk(pairs: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, digits: int | None = 4) -> DataFrame:
     """(id, pagerank): risk passed along payments, heavier from flagged payers, scaled to 0..1.
 

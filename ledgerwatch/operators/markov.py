@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import half_up
+from ..functions.scalars import half_up, millis
 
 STATES = ("legitimate", "suspicious", "confirmed_mule")
 #: Probability of the next state (columns) given the last (rows), in the order of STATES.
@@ -27,24 +27,49 @@ def transition_anomaly(before: Column, after: Column) -> Column:
     return half_up(1 - transition(before, after), 3)
 
 
+#: An account's observations within so many ms, or of so many sequence numbers where they have no time, are ordered by one task.
+SLICE, SEQUENCES = 6 * 3_600_000, 65_536
+
+
+def _place() -> Column:
+    """The order of an account's observations: oldest first, those without a time last."""
+    return F.struct(F.col("ts").isNull().alias("late"), "ts", "seq")
+
+
+def _sliced(history: DataFrame) -> DataFrame:
+    """`history` with its slice: no task orders more of an account than one."""
+    part = F.when(F.col("ts").isNull(), F.floor(F.col("seq") / SEQUENCES)).otherwise(F.floor(millis(F.col("ts")) / SLICE))
+    return history.withColumn("slice", F.struct(F.col("ts").isNull().alias("late"), part.alias("part")))
+
+
 def markov_states(history: DataFrame) -> DataFrame:
-    """(account_id, seq, state, probability, anomaly) for each observation, oldest first, those without a time last."""
-    order = Window.partitionBy("account_id").orderBy(F.col("ts").asc_nulls_last(), "seq")
-    rows = history.withColumn("state", state_of(F.col("risk_score"))).withColumn("before", F.lag("state").over(order))
+    """(account_id, seq, state, probability, anomaly) for each observation, oldest first, those without a time last.
+
+    Slices of time are ordered on their own; the last state of each is handed on to the next.
+    """
+    rows = _sliced(history).withColumn("state", state_of(F.col("risk_score")))
+    ends = rows.groupBy("account_id", "slice").agg(F.max_by("state", _place()).alias("last"))
+    handed = ends.select("account_id", "slice", F.lag("last").over(Window.partitionBy("account_id").orderBy("slice")).alias("handed"))
+    within = Window.partitionBy("account_id", "slice").orderBy(F.col("ts").asc_nulls_last(), "seq")
+    rows = rows.withColumn("before", F.lag("state").over(within)).join(handed, ["account_id", "slice"]).withColumn("before", F.coalesce("before", "handed"))
     first = F.col("before").isNull()
     return rows.select("account_id", "seq", "state", F.when(first, 1.0).otherwise(transition(F.col("before"), F.col("state"))).alias("probability"), F.when(first, 0.0).otherwise(transition_anomaly(F.col("before"), F.col("state"))).alias("anomaly"))
 
 
+def _ends(rows: DataFrame, span: int, last: bool) -> DataFrame:
+    """(account_id, mean): the mean score of each account's first or last `span` observations, found among those of every slice."""
+    keys = [F.col("ts").desc_nulls_first(), F.desc("seq")] if last else [F.col("ts").asc_nulls_last(), F.asc("seq")]
+    for by in (["account_id", "slice"], ["account_id"]):
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).where(F.col("k") <= span)
+    return rows.groupBy("account_id").agg(F.avg("risk_score").alias("late" if last else "early"))
+
+
 def risk_trend(history: DataFrame, span: int = 5) -> DataFrame:
     """(account_id, n, trend, days_to_suspicious, trajectory): the last observations against the first."""
-    up = Window.partitionBy("account_id").orderBy(F.col("ts").asc_nulls_last(), "seq")
-    whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = history.withColumns({"k": F.row_number().over(up), "n": F.count("*").over(whole), "state": state_of(F.col("risk_score"))})
+    rows = _sliced(history).withColumn("state", state_of(F.col("risk_score")))
     odd = F.col("state") != STATES[0]
-    per = rows.groupBy("account_id").agg(
-        F.max("n").alias("n"), F.avg(F.when(F.col("k") <= span, F.col("risk_score"))).alias("early"), F.avg(F.when(F.col("k") > F.col("n") - span, F.col("risk_score"))).alias("late"),
-        F.min("ts").alias("start"), F.min(F.when(odd, F.col("k"))).alias("first"), F.min(F.when(odd, F.struct("k", "ts"))).alias("odd"), F.max_by("state", "k").alias("last"),
-    )
+    per = rows.groupBy("account_id").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.min(F.when(odd, _place())).alias("odd"), F.max_by("state", _place()).alias("last"))
+    per = per.join(_ends(rows, span, False), "account_id").join(_ends(rows, span, True), "account_id")
     trend = F.when(F.col("n") == 1, "stable").when(F.col("late") > F.col("early") * 1.2, "escalating").when(F.col("late") < F.col("early") * 0.8, "de-escalating").otherwise("stable")
     per = per.withColumn("trend", trend)
     change = lambda a, b: half_up((a - b) / F.greatest(F.col("early"), F.lit(0.01)) * 100).cast("long").cast("string")

@@ -6,11 +6,13 @@ its measures. Nothing is cut off; `top_n` ranks findings if a report wants a few
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.components import strong_components
 from ..functions.lineage import checkpoint
 from ..functions.scalars import half_up, millis, ratio
 
@@ -146,32 +148,79 @@ def automated_timing(ledger: DataFrame, cv: float = 0.2, critical: float = 0.1)
     return found.select("account", "n", half_up(F.col("cv"), 4).alias("cv"), half_up((1 - F.col("cv")) * 100).alias("regularity"), F.when(F.col("cv") < critical, "critical").otherwise("high").alias("severity"))
 
 
+#: Payments of an account and slot, of one side, that a task compares with as many of the other.
+CELL = 4096
+
+
+def _grid(rows: DataFrame, sizes: DataFrame, mine: str, other: str) -> DataFrame:
+    """`rows` with (part_in, part_out): its own part of its side by hash, and a copy for each part of the other side."""
+    parts = lambda side: F.greatest(F.lit(1), F.ceil(F.col(f"n_{side}") / CELL)).cast("int")
+    rows = rows.join(sizes, ["account", "slot"])
+    own = F.pmod(F.xxhash64(f"{mine}_txn"), parts(mine)).cast("int")
+    return rows.withColumns({f"part_{mine}": own, f"part_{other}": F.explode(F.sequence(F.lit(0), parts(other) - 1))}).drop("n_in", "n_out")
+
+
 def rapid_movement(ledger: DataFrame, minutes: float = 30, forward_only: bool = False) -> DataFrame:
     """Money received and sent on by an account within minutes, other than back to where it came from.
 
     Both sides meet by account and time slot of the window's length; the paying
-    side looks into its own slot and the two beside it.
+    side looks into its own slot and the two beside it. A busy slot is a grid of
+    parts of both sides, so a task compares CELL payments with CELL at most; copies
+    are a CELL-th of the pairs found. `rapid_counts` counts pairs without making them.
     """
     width = int(minutes * MINUTE)
     slot = F.floor(F.col("ms") / width)
     rows = ledger.withColumn("ms", millis(F.col("ts")))
     came = rows.select(F.col("dst").alias("account"), F.col("src").alias("origin"), F.col("txn_id").alias("in_txn"), F.col("amount").alias("in_amount"), F.col("ms").alias("in_ms"), slot.alias("slot"))
     went = rows.select(F.col("src").alias("account"), F.col("dst").alias("target"), F.col("txn_id").alias("out_txn"), F.col("amount").alias("out_amount"), F.col("ms").alias("out_ms"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    count = lambda df, name: df.groupBy("account", "slot").agg(F.count("*").alias(name))
+    sizes = count(came, "n_in").join(count(went, "n_out"), ["account", "slot"])
     gap = F.col("out_ms") - F.col("in_ms")
-    near = came.join(went, ["account", "slot"]).where((F.abs(gap) <= width) & (F.col("origin") != F.col("target")) & (F.col("in_txn") != F.col("out_txn")))
+    near = _grid(came, sizes, "in", "out").join(_grid(went, sizes, "out", "in"), ["account", "slot", "part_in", "part_out"])
+    near = near.where((F.abs(gap) <= width) & (F.col("origin") != F.col("target")) & (F.col("in_txn") != F.col("out_txn")))
     if forward_only:
         near = near.where(gap >= 0)
     apart = F.abs(gap) / MINUTE
     return near.select("account", "in_txn", "out_txn", half_up(apart, 1).alias("minutes"), F.col("in_amount").cast("double").alias("in_amount"), F.col("out_amount").cast("double").alias("out_amount"), F.when(apart < 5, "critical").otherwise("high").alias("severity"))
 
 
+def _flow_pairs(events: DataFrame, by: list[str], reach: int) -> DataFrame:
+    """(by..., pairs): pairs of one incoming and one outgoing event of `events(by..., ms, inward, outward)` at most `reach` ms apart.
+
+    Time is cut into slices; what comes in within reach of a border is handed to the
+    slices beyond it, so slices are counted on their own, from a row for each moment.
+    """
+    width = max(SLICE, reach)
+    each = events.where("ms is not null").groupBy(*by, "ms").agg(F.sum("inward").alias("inward"), F.sum("outward").alias("outward"))
+    own = F.floor(F.col("ms") / width)
+    reached = F.sequence(F.floor((F.col("ms") - reach) / width), F.floor((F.col("ms") + reach) / width))
+    # what goes out is counted in its own slice alone
+    dealt = each.withColumn("home", own).withColumn("slice", F.explode(F.when(F.col("inward") > 0, reached).otherwise(F.array(own))))
+    near = Window.partitionBy(*by, "slice").orderBy("ms").rangeBetween(-reach, reach)
+    paired = dealt.withColumn("pairs", F.when(F.col("slice") == F.col("home"), F.col("outward")).otherwise(0) * F.sum("inward").over(near))
+    return paired.groupBy(*by).agg(F.sum("pairs").alias("pairs"))
+
+
+def _events(ledger: DataFrame) -> DataFrame:
+    """(account, other, ms, inward, outward): each payment as it leaves one account and reaches another."""
+    side = lambda at, other, inward: ledger.select(F.col(at).alias("account"), F.col(other).alias("other"), millis(F.col("ts")).alias("ms"), F.lit(int(inward)).alias("inward"), F.lit(int(not inward)).alias("outward"))
+    return side("dst", "src", True).union(side("src", "dst", False))
+
+
 def fast_flow_pairs(ledger: DataFrame, window_ms: int = 3_600_000) -> DataFrame:
-    """(account, pairs): how many (incoming, outgoing) pairs lie less than an hour apart, by a range frame and no join."""
-    event = lambda at, inward: ledger.select(F.col(at).alias("account"), millis(F.col("ts")).alias("ms"), F.lit(int(inward)).alias("inward"), F.lit(int(not inward)).alias("outward"))
-    each = event("dst", True).union(event("src", False)).groupBy("account", "ms").agg(F.sum("inward").alias("inward"), F.sum("outward").alias("outward"))
-    near = Window.partitionBy("account").orderBy("ms").rangeBetween(1 - window_ms, window_ms - 1)
-    each = each.withColumn("pairs", F.col("outward") * F.sum("inward").over(near))
-    return each.groupBy("account").agg(F.sum("pairs").alias("pairs"))
+    """(account, pairs): how many (incoming, outgoing) pairs lie less than an hour apart."""
+    return _flow_pairs(_events(ledger), ["account"], window_ms - 1)
+
+
+def rapid_counts(ledger: DataFrame, minutes: float = 30) -> DataFrame:
+    """(account, pairs): how many rows `rapid_movement` has for each account that has any, counted and not made."""
+    reach = int(minutes * MINUTE)
+    events = _events(ledger)
+    every = _flow_pairs(events, ["account"], reach)
+    # pairs back to where the money came from, a payment to oneself with itself among them
+    back = _flow_pairs(events, ["account", "other"], reach).groupBy("account").agg(F.sum("pairs").alias("back"))
+    both = every.join(back, "account").select("account", (F.col("pairs") - F.col("back")).alias("pairs"))
+    return both.where("pairs > 0")
 
 
 #: The detectors, in the order in which their findings are listed.
@@ -182,8 +231,8 @@ def findings(ledger: DataFrame, accounts: DataFrame, paths: DataFrame | None = N
     """Findings of all detectors: (pattern, account, severity, amount, accounts array, measures map).
 
     Cycles and chains are looked for in the edges `paths` (all of the ledger's
-    unless given: paths multiply with the degree, so a dense ledger is thinned
-    first). `graph(id, community, bridge)`, if given, adds the accounts of close
+    unless given). `loose` loosens or tightens detectors; `longest_cycle` bounds
+    cycles, whose number multiplies with the degree. `graph(id, community, bridge)`, if given, adds the accounts of close
     communities and the bridges between them.
     """
     paths = edges(ledger) if paths is None else paths
@@ -195,8 +244,8 @@ def findings(ledger: DataFrame, accounts: DataFrame, paths: DataFrame | None = N
         "rapid_movement": (rapid_movement(ledger, loose.get("rapid_minutes", 30)), F.col("in_amount"), none, ["minutes", "in_amount", "out_amount"]),
         "fan_in": (fan_in(ledger, list_cap=list_cap), F.col("total"), split("accounts", ","), ["partners", "total"]),
         "fan_out": (fan_out(ledger, list_cap=list_cap), F.col("total"), split("accounts", ","), ["partners", "total"]),
-        "circular_transfer": (first(cycles(paths)), F.col("total"), split("path", ">"), ["size", "total"]),
-        "layering_chain": (first(layering_chains(paths, deviation=loose.get("deviation", 0.3))), F.col("mean"), split("path", ">"), ["size", "mean", "deviation"]),
+        "circular_transfer": (first(cycles(paths, longest=loose.get("longest_cycle", 6), few=loose.get("few"))), F.col("total"), split("path", ">"), ["size", "total"]),
+        "layering_chain": (first(layering_chains(paths, deviation=loose.get("deviation", 0.3), few_in=loose.get("few_in", 1))), F.col("mean"), split("path", ">"), ["size", "mean", "deviation"]),
         "structuring": (structuring(ledger), F.col("total"), none, ["threshold", "n", "total", "mean"]),
         "night_owl": (night_owl(ledger, loose.get("night", 0.4)), F.lit(0.0), none, ["n", "night", "percent"]),
         "burst_activity": (burst_activity(ledger, burst).withColumn("window", F.lit(burst)), F.col("amount"), none, ["size", "amount", "window"]),
@@ -223,33 +272,90 @@ def top_n(patterns: DataFrame, n: int) -> DataFrame:
     return patterns.orderBy(rank, "pattern", "account", F.desc("amount")).limit(n)
 
 
-def cycles(pairs: DataFrame, longest: int = 6) -> DataFrame:
+def strong_edges(pairs: DataFrame) -> DataFrame:
+    """The edges (src, dst, amount_sum) inside strongly connected components, checkpointed: those that lie on any cycle."""
+    e = pairs.where("src != dst").select("src", "dst", "amount_sum")
+    member = strong_components(e.select("src", "dst"))
+    side = lambda c: member.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    return checkpoint(e.join(side("src"), "src").join(side("dst"), "dst").where("src_component = dst_component").select("src", "dst", "amount_sum"))
+
+
+def _halves(e: DataFrame, hops: int, back: bool) -> dict[int, DataFrame]:
+    """For 1 to `hops`: (a, b, inner array, total) of paths from a to b, or with `back` from b to a, over accounts that are all larger than a."""
+    near, far = ("dst", "src") if back else ("src", "dst")
+    now = e.where(F.col(far) > F.col(near)).select(F.col(near).alias("a"), F.col(far).alias("b"), F.array().cast(f"array<{e.schema['src'].dataType.simpleString()}>").alias("inner"), F.col("amount_sum").alias("total"))
+    hop = e.select(F.col(near).alias("b"), F.col(far).alias("next"), F.col("amount_sum").alias("leg"))
+    found = {1: now}
+    for k in range(2, hops + 1):
+        grown = found[k - 1].join(hop, "b").where((F.col("next") > F.col("a")) & (F.col("next") != F.col("b")) & ~F.array_contains("inner", F.col("next")))
+        inner = F.concat(F.array("b"), "inner") if back else F.concat("inner", F.array("b"))
+        found[k] = grown.select("a", F.col("next").alias("b"), inner.alias("inner"), (F.col("total") + F.col("leg")).alias("total"))
+        if k > 1 and hops > 2:
+            found[k] = checkpoint(found[k])
+    return found
+
+
+def _closed(e: DataFrame, sizes: range) -> list[DataFrame]:
+    """(path, size, total) of the simple cycles of each size, from its least account on: a half out and a half back that meet at both ends."""
+    out, home = _halves(e, (sizes[-1] + 1) // 2, back=False), _halves(e, sizes[-1] // 2, back=True)
+    found = []
+    for size in sizes:
+        there, back = out[(size + 1) // 2], home[size // 2].select("a", "b", F.col("inner").alias("later"), F.col("total").alias("rest"))
+        both = there.join(back, ["a", "b"]).where(~F.arrays_overlap("inner", "later"))
+        found.append(both.select(F.concat(F.array("a"), "inner", F.array("b"), "later").alias("path"), F.lit(size).alias("size"), (F.col("total") + F.col("rest")).cast("double").alias("total")))
+    return found
+
+
+def cycles(pairs: DataFrame, longest: int = 6, whole: int = 4, few: int | None = None) -> DataFrame:
     """Simple directed cycles of 2 to `longest` accounts, one for each set of accounts, the smallest path of the set.
 
-    Paths start at their smallest account and grow by a join a hop; nodes without
-    an edge in or out are trimmed first, until none is left.
+    Edges outside strongly connected components go first. A cycle is two halves of
+    three hops at most that meet by both ends, so tables of paths never have more
+    than the half of a cycle's hops. Cycles of up to `whole` accounts are looked for
+    among all edges. Longer ones multiply with the degree: with `few`, they are looked
+    for among edges of accounts that pay `few` others at most to accounts that `few`
+    others pay at most; `cycle_counts` counts them among all.
     """
-    e = pairs.where("src != dst").select("src", "dst", "amount_sum")
-    before = -1
-    while (now := e.count()) != before:
-        before = now
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        e = checkpoint(e.select("src", "dst", "amount_sum"))
-    hop = e.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("amount_sum").alias("leg"))
-    paths = e.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("amount_sum").alias("total"))
-    found = []
-    for size in range(2, longest + 1):
-        grown = paths.join(hop, "at")
-        first = F.element_at("path", 1)
-        found.append(grown.where(F.col("next") == first).select("path", F.lit(size).alias("size"), (F.col("total") + F.col("leg")).cast("double").alias("total")))
-        if size < longest:
-            grown = grown.where((F.col("next") > first) & ~F.array_contains("path", F.col("next")))
-            paths = checkpoint(grown.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"), (F.col("total") + F.col("leg")).alias("total")))
+    e = strong_edges(pairs)
+    found = _closed(e, range(2, min(whole, longest) + 1))
+    if longest > whole:
+        if few is not None:
+            side = lambda c: e.groupBy(c).agg(F.count("*").alias("d")).where(F.col("d") <= few).select(c)
+            e = strong_edges(e.join(side("src"), "src").join(side("dst"), "dst"))
+        found += _closed(e, range(whole + 1, longest + 1))
     every = reduce(DataFrame.union, found).withColumn("text", F.array_join("path", ">")).withColumn("members", F.array_join(F.array_sort("path"), ","))
     best = every.groupBy("members").agg(F.min(F.struct("path", "text", "size", "total")).alias("b"))
     return best.select("members", F.col("b.text").alias("path"), "b.size", "b.total", F.when(F.col("b.size") <= 2, "critical").when(F.col("b.size") <= 4, "high").otherwise("medium").alias("severity"))
 
 
+def _matchings(m: int, n: int) -> list[tuple[tuple[int, int], ...]]:
+    """The ways to pair up some of m places with some of n."""
+    if not m:
+        return [()]
+    rest = _matchings(m - 1, n)
+    return rest + [(*p, (m - 1, j)) for p in rest for j in range(n) if j not in {k for _, k in p}]
+
+
+def cycle_counts(pairs: DataFrame, longest: int = 6) -> DataFrame:
+    """(account, size, n): how many simple directed cycles of 2 to `longest` (at most 6) accounts have `account` as their least one.
+
+    Counted without being made: the pairs of halves that meet by both ends, less
+    those that share an inner account, plus those that share two, each a product of
+    counts by ends and shared accounts.
+    """
+    e = strong_edges(pairs)
+    out, home = _halves(e, (longest + 1) // 2, back=False), _halves(e, longest // 2, back=True)
+    terms = []
+    for size in range(2, longest + 1):
+        k1, k2 = (size + 1) // 2, size // 2
+        for match in _matchings(k1 - 1, k2 - 1):
+            shared = [f"v{k}" for k in range(len(match))]
+            side = lambda df, places, name: df.groupBy("a", "b", *[F.get("inner", F.lit(i)).alias(v) for i, v in zip(places, shared, strict=True)]).agg(F.count("*").alias(name))  # noqa: B023, E731
+            both = side(out[k1], [i for i, _ in match], "x").join(side(home[k2], [j for _, j in match], "y"), ["a", "b", *shared])
+            terms.append(both.groupBy(F.col("a").alias("account")).agg(F.sum(F.col("x") * F.col("y") * (-1) ** len(match)).alias("n")).select("account", F.lit(size).alias("size"), "n"))
+    return reduce(DataFrame.union, terms).groupBy("account", "size").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def triangles(ledger: DataFrame) -> DataFrame:
     """Loops of three accounts, one for each set, with the amount of the smallest path's first leg."""
     e = edges(ledger).where("src != dst").select("src", "dst", F.col("first_amount").cast("double").alias("amount"))
@@ -260,15 +366,32 @@ def triangles(ledger: DataFrame) -> DataFrame:
     return loops.groupBy("members").agg(F.min("b").alias("b")).select("members", "b.path", "b.amount")
 
 
-def layering_chains(pairs: DataFrame, longest: int = 6, mean: float = 1000, deviation: float = 0.3) -> DataFrame:
-    """Simple paths of 4 to `longest` accounts from a start that few pay into, with like amounts on every hop."""
+def layering_chains(pairs: DataFrame, longest: int = 6, mean: float = 1000, deviation: float = 0.3, few_in: int = 1) -> DataFrame:
+    """Simple paths of 4 to `longest` accounts from a start that `few_in` others pay at most, with like amounts on every hop; `pairs` are all edges.
+
+    Every leg is within `deviation` of the mean, so no two differ by more than
+    (1 + deviation) / (1 - deviation), and none is below (1 - deviation) * `mean`. A
+    path is given up at the first leg outside, so what is held are paths of like
+    amounts only. Legs are dealt by the logarithm of their amounts: a path looks into
+    the three bands at most that it can go on with, also at an account that pays all
+    the world.
+    """
+    if not 0 < deviation < 1:
+        raise ValueError("deviation must lie between 0 and 1")
+    slack = 1 + 1e-9  # bounds are never tighter than the test of whole paths
+    ratio = (1 + deviation) / (1 - deviation) * slack
     incoming = pairs.groupBy("dst").agg(F.count("*").alias("n_in")).withColumnRenamed("dst", "src")
-    starts = pairs.select("src").distinct().join(incoming, "src", "left").where("coalesce(n_in, 0) <= 1").select("src")
-    hop = pairs.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("first_amount").cast("double").alias("leg"))
-    paths = starts.select(F.array("src").alias("path"), F.col("src").alias("at"), F.array().cast("array<double>").alias("legs"))
+    leg = F.col("first_amount").cast("double")
+    band = lambda x: F.floor(F.log(x) / math.log(ratio)).cast("int")
+    hop = pairs.where(leg > mean * (1 - deviation) / slack).select(F.col("src").alias("at"), F.col("dst").alias("next"), leg.alias("leg"), band(leg).alias("band"))
+    starts = hop.join(incoming.withColumnRenamed("src", "at"), "at", "left").where(F.coalesce("n_in", F.lit(0)) <= few_in)
+    paths = starts.where("at != next").select(F.array("at", "next").alias("path"), F.col("next").alias("at"), F.array("leg").alias("legs"))
     found = []
-    for size in range(2, longest + 1):
-        grown = paths.join(hop, "at").where(~F.array_contains("path", F.col("next")))
+    for size in range(3, longest + 1):
+        low, high = F.array_min("legs"), F.array_max("legs")
+        reached = paths.withColumns({"low": high / ratio, "high": low * ratio})
+        reached = reached.withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))))
+        grown = reached.join(hop, ["at", "band"]).where((F.col("leg") >= F.col("low")) & (F.col("leg") <= F.col("high")) & ~F.array_contains("path", F.col("next")))
         paths = checkpoint(grown.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"), F.concat("legs", F.array("leg")).alias("legs")))
         if size >= 4:
             found.append(paths.select("path", "legs", F.lit(size).alias("size")))

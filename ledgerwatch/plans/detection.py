@@ -8,33 +8,79 @@ from .prelude import oracle
 from .prelude import rounded as r
 
 
-def _cycles(longest: int = 6) -> str:
-    parts, joins = [], ""
-    for size in range(2, longest + 1):
+#: Looser than by default, as events at random hold few patterns: no account is paid by one other alone, so chains start where few pay, with amounts more alike instead.
+LOOSE = {"night": 0.25, "burst_minutes": 360, "cv": 0.9, "deviation": 0.05, "few_in": 36, "longest_cycle": 3}
+
+
+def _cycles(table: str, sizes: range) -> str:
+    """(p, size, total): the simple cycles of each size among the edges of a table, from their least account on."""
+    parts = []
+    for size in sizes:
         nodes = ["e1.src"] + [f"e{k}.dst" for k in range(1, size)]
-        joins = "hv_edges e1 " + " ".join(f"JOIN hv_edges e{k} ON e{k}.src = e{k - 1}.dst" for k in range(2, size + 1))
+        joins = f"{table} e1 " + " ".join(f"JOIN {table} e{k} ON e{k}.src = e{k - 1}.dst" for k in range(2, size + 1))
         apart = " AND ".join(f"{nodes[j]} <> {nodes[i]}" for i in range(1, size) for j in range(1, i)) or "TRUE"
         least = " AND ".join(f"{x} > e1.src" for x in nodes[1:])
         total = " + ".join(f"e{k}.amount_sum" for k in range(1, size + 1))
         parts.append(f"SELECT [{', '.join(nodes)}] AS p, {size} AS size, CAST({total} AS DOUBLE) AS total FROM {joins} WHERE e{size}.dst = e1.src AND {least} AND {apart}")
+    return " UNION ALL ".join(parts)
+
+
+def _circular(every: str) -> str:
     return f"""
 SELECT members, arg_min(array_to_string(p, '>'), p) AS path, arg_min(size, p) AS size, arg_min(total, p) AS total,
   CASE WHEN arg_min(size, p) <= 2 THEN 'critical' WHEN arg_min(size, p) <= 4 THEN 'high' ELSE 'medium' END AS severity
-FROM (SELECT *, array_to_string(list_sort(p), ',') AS members FROM ({' UNION ALL '.join(parts)})) GROUP BY members"""
+FROM (SELECT *, array_to_string(list_sort(p), ',') AS members FROM ({every})) GROUP BY members"""
+
+
+#: Cycles of up to four accounts are looked for among all edges, longer ones among accounts of so few partners each way.
+FEW = 8
+_FEW_EDGES = f"""
+few_edges AS (
+  SELECT * FROM edges WHERE src <> dst AND src IN (SELECT src FROM edges WHERE src <> dst GROUP BY src HAVING count(*) <= {FEW}) AND dst IN (SELECT dst FROM edges WHERE src <> dst GROUP BY dst HAVING count(*) <= {FEW}))"""
+
+
+def _half(hops: int, back: bool) -> str:
+    """(a, b, x1...): paths of one direction over accounts larger than a."""
+    near, far = ("dst", "src") if back else ("src", "dst")
+    joins = "edges e1 " + " ".join(f"JOIN edges e{k} ON e{k}.{near} = e{k - 1}.{far}" for k in range(2, hops + 1))
+    nodes = [f"e{k}.{far}" for k in range(1, hops + 1)]
+    apart = " AND ".join([f"{x} > e1.{near}" for x in nodes] + [f"{nodes[i]} <> {nodes[j]}" for i in range(hops) for j in range(i)])
+    inner = ", ".join(f"{x} AS x{k}" for k, x in enumerate(nodes[:-1][:: -1 if back else 1], 1))
+    return f"SELECT e1.{near} AS a, {nodes[-1]} AS b{', ' if inner else ''}{inner} FROM {joins} WHERE {apart}"
+
+
+def _cycle_counts() -> str:
+    """Cycles of 5 and 6 from halves: all pairs less those that share accounts, with shared accounts summed by the places they have."""
+    direct = f"SELECT p[1] AS account, size, count(*) AS n FROM ({_cycles('edges', range(2, 5))}) GROUP BY 1, 2"
+
+    def met(out: str, home: str, on: list[tuple[str, str]], sign: int, size: int) -> str:
+        keys = lambda names: "".join(f", {x}" for x in names)
+        left, right = [x for x, _ in on], [y for _, y in on]
+        join = "".join(f" AND o.{x} = h.{y}" for x, y in on)
+        return f"SELECT o.a AS account, {size} AS size, {sign} * o.n * h.n AS n FROM (SELECT a, b{keys(left)}, count(*) AS n FROM {out} GROUP BY a, b{keys(left)}) o JOIN (SELECT a, b{keys(right)}, count(*) AS n FROM {home} GROUP BY a, b{keys(right)}) h ON o.a = h.a AND o.b = h.b{join}"
+
+    five = [met("out3", "home2", on, sign, 5) for on, sign in (([], 1), ([("x1", "x1")], -1), ([("x2", "x1")], -1))]
+    six = [met("out3", "home3", on, sign, 6) for on, sign in (([], 1), ([("x1", "x1")], -1), ([("x1", "x2")], -1), ([("x2", "x1")], -1), ([("x2", "x2")], -1), ([("x1", "x1"), ("x2", "x2")], 1), ([("x1", "x2"), ("x2", "x1")], 1))]
+    return f"SELECT account, size, CAST(sum(n) AS BIGINT) AS n FROM ({' UNION ALL '.join([direct, *five, *six])}) GROUP BY account, size HAVING sum(n) > 0"
+
+
+_HALVES = f"out3 AS MATERIALIZED ({_half(3, False)}), home2 AS MATERIALIZED ({_half(2, True)}), home3 AS MATERIALIZED ({_half(3, True)})"
 
 
 def _chains(longest: int = 6) -> str:
+    ratio = (1 + LOOSE["deviation"]) / (1 - LOOSE["deviation"]) * 1.000001  # legs further apart than that deviate by more from any mean
     parts = []
     for size in range(4, longest + 1):
         nodes = ["e1.src"] + [f"e{k}.dst" for k in range(1, size)]
-        joins = "starts JOIN hv_edges e1 ON e1.src = starts.src " + " ".join(f"JOIN hv_edges e{k} ON e{k}.src = e{k - 1}.dst" for k in range(2, size))
+        amounts = [f"CAST(e{k}.first_amount AS DOUBLE)" for k in range(1, size)]
+        like = lambda k: "".join(f" AND {amounts[k]} <= {ratio} * {amounts[j]} AND {amounts[j]} <= {ratio} * {amounts[k]}" for j in range(k))  # noqa: B023, E731
+        joins = "starts JOIN edges e1 ON e1.src = starts.src " + " ".join(f"JOIN edges e{k} ON e{k}.src = e{k - 1}.dst{like(k - 1)}" for k in range(2, size))
         apart = " AND ".join(f"{nodes[j]} <> {nodes[i]}" for i in range(size) for j in range(i))
-        legs = ", ".join(f"CAST(e{k}.first_amount AS DOUBLE)" for k in range(1, size))
-        parts.append(f"SELECT [{', '.join(nodes)}] AS p, {size} AS size, [{legs}] AS legs FROM {joins} WHERE {apart}")
+        parts.append(f"SELECT [{', '.join(nodes)}] AS p, {size} AS size, [{', '.join(amounts)}] AS legs FROM {joins} WHERE {apart}")
     return f"""
 SELECT array_to_string(p, '>') AS path, size, {r('mean')} AS mean, {r('deviation * 100')} AS deviation, CASE WHEN size >= 5 THEN 'critical' ELSE 'high' END AS severity
 FROM (SELECT *, list_max(list_transform(legs, lambda x: abs(x - mean))) / mean AS deviation FROM (SELECT *, list_sum(legs) / len(legs) AS mean FROM ({' UNION ALL '.join(parts)})))
-WHERE mean > 1000 AND deviation < 0.5"""
+WHERE mean > 1000 AND deviation < {LOOSE["deviation"]}"""
 
 
 _RUNS = """
@@ -93,7 +139,7 @@ SELECT members, arg_min(path, path) AS path, arg_min(amount, path) AS amount FRO
   FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src AND c.dst = a.src
   WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst) GROUP BY members"""
 
-_STARTS = "starts AS (SELECT DISTINCT src FROM hv_edges WHERE src NOT IN (SELECT dst FROM hv_edges GROUP BY dst HAVING count(*) > 1))"
+_STARTS = f"starts AS (SELECT DISTINCT src FROM edges WHERE src NOT IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) > {LOOSE['few_in']}))"
 
 
 def _whole(x: str) -> str:
@@ -112,7 +158,7 @@ _PARTS = (
     ("rapid_movement", _RAPID, "account", "in_amount", "[account]", "'Account ' || account || ' received and forwarded funds within ' || format('{:.1f}', minutes) || ' minutes.'"),
     ("fan_in", _FAN_IN, "account", "total", "string_split(accounts, ',')", f"{_whole('partners')} || ' distinct accounts transferred funds to ' || account || ', totaling ' || {_lakhs('total')} || '.'"),
     ("fan_out", _FAN_OUT, "account", "total", "string_split(accounts, ',')", f"account || ' distributed funds to ' || {_whole('partners')} || ' accounts.'"),
-    ("circular_transfer", _cycles(), _HEAD, "total", "string_split(path, '>')", f"'Funds traced through ' || {_CHAIN} || ' loop totaling ' || {_lakhs('total')} || '.'"),
+    ("circular_transfer", _circular(_cycles("edges", range(2, LOOSE["longest_cycle"] + 1))), _HEAD, "total", "string_split(path, '>')", f"'Funds traced through ' || {_CHAIN} || ' loop totaling ' || {_lakhs('total')} || '.'"),
     ("layering_chain", _chains(), _HEAD, "mean", "string_split(path, '>')", f"'Money passed through ' || {_whole('size')} || ' intermediate accounts in chain: ' || {_CHAIN} || '.'"),
     ("structuring", _STRUCTURING, "account", "total", "[account]", f"'Account ' || account || ' made ' || {_whole('n')} || ' transactions just below ₹' || {_whole('threshold // 1000')} || 'K threshold.'"),
     ("night_owl", _NIGHT, "account", "0.0", "[account]", f"'Account ' || account || ' conducted ' || {_whole('night')} || ' transactions between 00:00-05:00 (' || {_whole('percent')} || '% of total).'"),
@@ -124,14 +170,11 @@ _PARTS = (
 FOUND = f"""{_STARTS},
 found AS MATERIALIZED ({" UNION ALL ".join(f"SELECT '{name}' AS pattern, {account} AS account, severity, CAST({amount} AS DOUBLE) AS amount, {listed} AS listed, {text} AS description FROM ({sql})" for name, sql, account, amount, listed, text in _PARTS)})"""
 
-#: Looser than by default, as events at random hold few patterns.
-LOOSE = {"night": 0.25, "burst_minutes": 360, "cv": 0.9, "deviation": 0.5}
-
 
 def found(s, d, ledger=None, accounts=None):
-    """All findings; paths multiply with the degree, so cycles and chains are looked for among the large purchases."""
+    """All findings in the whole ledger; cycles of up to three accounts (`circular_transfer` has longer ones)."""
     ledger, accounts = ledger if ledger is not None else T.ledger(s, d), accounts if accounts is not None else T.accounts(s, d)
-    return P.findings(ledger, accounts, P.edges(T.high_value(s, d)), **LOOSE)
+    return P.findings(ledger, accounts, **LOOSE)
 
 
 def _raw(spark, d):
@@ -160,9 +203,12 @@ QUERIES = {
     "rapid_movement": lambda s, d: P.rapid_movement(T.ledger(s, d)),
     "fast_flow_pairs": lambda s, d: P.fast_flow_pairs(T.ledger(s, d)),
     "all_patterns": lambda s, d: found(s, d).select("pattern", "account", "severity", "amount"),
-    "circular_transfer": lambda s, d: P.cycles(P.edges(T.high_value(s, d))),
+    "circular_transfer": lambda s, d: P.cycles(P.edges(T.ledger(s, d)), few=FEW),
+    "circular_high_value": lambda s, d: P.cycles(P.edges(T.high_value(s, d))),
+    "cycle_counts": lambda s, d: P.cycle_counts(P.edges(T.ledger(s, d))),
+    "rapid_counts": lambda s, d: P.rapid_counts(T.ledger(s, d)),
     "triangles3": lambda s, d: P.triangles(T.ledger(s, d)),
-    "layering_chain": lambda s, d: P.layering_chains(P.edges(T.high_value(s, d)), deviation=0.5),
+    "layering_chain": lambda s, d: P.layering_chains(P.edges(T.ledger(s, d)), deviation=LOOSE["deviation"], few_in=LOOSE["few_in"]),
 }
 
 ORACLES = {
@@ -181,7 +227,10 @@ WHERE k % 4 <> 3 AND k % 8 <> 2 AND src IN (SELECT id FROM accounts WHERE risk <
     "rapid_movement": oracle(_RAPID),
     "fast_flow_pairs": oracle(_FAST),
     "all_patterns": oracle("SELECT pattern, account, severity, amount FROM found", FOUND),
-    "circular_transfer": oracle(_cycles()),
+    "circular_transfer": oracle(_circular(f"{_cycles('edges', range(2, 5))} UNION ALL {_cycles('few_edges', range(5, 7))}"), _FEW_EDGES),
+    "circular_high_value": oracle(_circular(_cycles("hv_edges", range(2, 7)))),
+    "cycle_counts": oracle(_cycle_counts(), _HALVES),
+    "rapid_counts": oracle(f"SELECT account, count(*) AS pairs FROM ({_RAPID}) GROUP BY account"),
     "triangles3": oracle(_TRIANGLES),
     "layering_chain": oracle(_chains(), _STARTS),
 }

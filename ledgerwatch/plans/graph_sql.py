@@ -38,10 +38,10 @@ RANK = PAGERANK + """,
 rank AS (SELECT id, CASE WHEN high > low THEN (score - low) / (high - low) ELSE 0 END AS pagerank FROM p20, (SELECT min(score) AS low, max(score) AS high FROM p20))"""
 
 
-def _betweenness(levels: int = 8, sources: int = 30) -> str:
+def _betweenness(levels: int = 8, sources: int | None = 30) -> str:
     """Paths from the sources level by level, and what their nodes carry back; no shortest path of the given tables is longer than that."""
     parts = ["e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)", "nodes AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"]
-    parts.append(f"l0 AS MATERIALIZED (SELECT id AS source, id AS node, 1.0::DOUBLE AS paths FROM nodes ORDER BY md5(id), id LIMIT {sources})")
+    parts.append(f"l0 AS MATERIALIZED (SELECT id AS source, id AS node, 1.0::DOUBLE AS paths FROM nodes{f' ORDER BY md5(id), id LIMIT {sources}' if sources else ''})")
     for k in range(1, levels + 1):
         seen = " UNION ALL ".join(f"SELECT source, node FROM l{j}" for j in range(k))
         parts.append(f"l{k} AS MATERIALIZED (SELECT g.* FROM (SELECT source, e.dst AS node, sum(paths) AS paths FROM l{k - 1} JOIN e ON e.src = node GROUP BY 1, 2) g LEFT JOIN ({seen}) s ON s.source = g.source AND s.node = g.node WHERE s.node IS NULL)")
@@ -56,3 +56,4 @@ def _betweenness(levels: int = 8, sources: int = 30) -> str:
 
 
 BETWEENNESS = _betweenness()
+EXACT_BETWEENNESS = _betweenness(sources=None)

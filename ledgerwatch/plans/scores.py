@@ -140,6 +140,7 @@ QUERIES = {
     "communities": lambda s, d: G.communities(T.ledger(s, d), P.edges(T.ledger(s, d))),
     "modularity_communities": lambda s, d: G.modularity_communities(P.edges(T.ledger(s, d))),
     "betweenness": lambda s, d: G.betweenness(P.edges(T.ledger(s, d))),
+    "exact_betweenness": lambda s, d: G.exact_betweenness(P.edges(T.ledger(s, d))),
     "pagerank_risk": lambda s, d: G.pagerank_risk(P.edges(T.ledger(s, d)), T.accounts(s, d)),
     "degree_centrality": lambda s, d: G.degree_centrality(P.edges(T.ledger(s, d)), T.accounts(s, d)),
     "clustering": lambda s, d: G.neighbourhoods(P.edges(T.ledger(s, d))).drop("ego_density"),
@@ -213,6 +214,7 @@ ORACLES = {
     "components": oracle("SELECT * FROM comp", Q.COMPONENTS, recursive=True),
     "communities": oracle(f"SELECT component, size, {r('density', 4)} AS density, {r('score', 4)} AS score FROM close", f"{Q.COMPONENTS}, {Q.COMMUNITIES}", recursive=True),
     "betweenness": oracle(f"SELECT id, {r('bridge', 4)} AS betweenness FROM between_", Q.BETWEENNESS),
+    "exact_betweenness": oracle(f"SELECT id, {r('b / ((n - 1) * (n - 2))', 4)} AS betweenness FROM between_raw, (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes)", Q.EXACT_BETWEENNESS),
     "pagerank_risk": oracle(f"SELECT id, {r('pagerank', 4)} AS pagerank FROM rank", Q.RANK),
     "degree_centrality": oracle(f"SELECT id, {r('CASE WHEN size > 1 THEN least(1.0::DOUBLE, (in_degree + out_degree) / (size * 0.5::DOUBLE)) ELSE 0 END', 4)} AS centrality FROM profile", _PROFILE),
     "clustering": oracle("SELECT id, k AS neighbours, clustering FROM hood", Q.HOOD),
