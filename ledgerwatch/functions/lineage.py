@@ -1,22 +1,27 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs, and where tables that jobs hand on are kept."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` from files in the shared folder that the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all executors share; a temporary one on one machine where that is unset."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
 
-    Only where that is unset (one machine, tests) a temporary folder is made.
-    """
+def checkpoint(df: DataFrame) -> DataFrame:
+    """`df` from files in the shared folder, where its lineage begins anew."""
     spark = df.sparkSession
     context = spark.sparkContext
     folder, now = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
-    if folder and not (now or "").removeprefix("file:").startswith(folder.removeprefix("file://")):
-        context.setCheckpointDir(folder)
-    elif not folder and now is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    within = lambda path: path.split("://", 1)[-1].removeprefix("file:")  # noqa: E731  without scheme
+    if now is None or (folder and within(folder).rstrip("/") not in within(now)):
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

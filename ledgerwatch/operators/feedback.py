@@ -56,10 +56,3 @@ def upsert(base: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
         else:
             columns.append(F.col(f"b.{name}"))
     return both.select(*columns)
-
-
-def write_version(df: DataFrame, path: str, version: int, key: str = "id", buckets: int = 16) -> str:
-    """Write a table as a new version, partitioned by a hash of its key; a rerun overwrites only itself."""
-    target = f"{path}/version={version}"
-    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(target)
-    return target

@@ -42,16 +42,25 @@ def _sliced(history: DataFrame) -> DataFrame:
     return history.withColumn("slice", F.struct(F.col("ts").isNull().alias("late"), part.alias("part")))
 
 
-def markov_states(history: DataFrame) -> DataFrame:
-    """(account_id, seq, state, probability, anomaly) for each observation, oldest first, those without a time last.
+def with_before(history: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """`history` with the state of each observation and the one before it, oldest first, those without a time last.
 
-    Slices of time are ordered on their own; the last state of each is handed on to the next.
+    Slices of time are ordered on their own; the last state of each is handed on to
+    the next. `known(account_id, last)` are states before the first ones, if there are any.
     """
     rows = _sliced(history).withColumn("state", state_of(F.col("risk_score")))
     ends = rows.groupBy("account_id", "slice").agg(F.max_by("state", _place()).alias("last"))
     handed = ends.select("account_id", "slice", F.lag("last").over(Window.partitionBy("account_id").orderBy("slice")).alias("handed"))
     within = Window.partitionBy("account_id", "slice").orderBy(F.col("ts").asc_nulls_last(), "seq")
-    rows = rows.withColumn("before", F.lag("state").over(within)).join(handed, ["account_id", "slice"]).withColumn("before", F.coalesce("before", "handed"))
+    rows = rows.withColumn("before", F.lag("state").over(within)).join(handed, ["account_id", "slice"]).withColumn("before", F.coalesce("before", "handed")).drop("slice", "handed")
+    if known is None:
+        return rows
+    return rows.join(known.select("account_id", "last"), "account_id", "left").withColumn("before", F.coalesce("before", "last")).drop("last")
+
+
+def markov_states(history: DataFrame) -> DataFrame:
+    """(account_id, seq, state, probability, anomaly) for each observation."""
+    rows = with_before(history)
     first = F.col("before").isNull()
     return rows.select("account_id", "seq", "state", F.when(first, 1.0).otherwise(transition(F.col("before"), F.col("state"))).alias("probability"), F.when(first, 0.0).otherwise(transition_anomaly(F.col("before"), F.col("state"))).alias("anomaly"))
 

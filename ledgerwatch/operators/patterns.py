@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.components import strong_components
@@ -344,26 +344,59 @@ def cycle_counts(pairs: DataFrame, longest: int = 6) -> DataFrame:
     counts by ends and shared accounts.
     """
     e = strong_edges(pairs)
+    # numbers in the order of the names join and group faster
+    ids = checkpoint(e.select(F.col("src").alias("id")).distinct().orderBy("id").withColumn("number", F.monotonically_increasing_id()))
+    side = lambda c: ids.select(F.col("id").alias(c), F.col("number").alias(f"{c}_number"))
+    e = checkpoint(e.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_number").alias("src"), F.col("dst_number").alias("dst"), F.lit(0).alias("amount_sum")))
     out, home = _halves(e, (longest + 1) // 2, back=False), _halves(e, longest // 2, back=True)
+    made: dict = {}
+
+    def counts(back: bool, hops: int, places: tuple[int, ...]) -> DataFrame:
+        """(a, b, places..., n): the halves by ends and inner accounts; each table is made once, from the one with more of these."""
+        if (back, hops, places) not in made:
+            half = (home if back else out)[hops]
+            if len(places) == hops - 1:
+                made[back, hops, places] = half.select("a", "b", *[F.get("inner", F.lit(i)).alias(f"x{i}") for i in places], F.lit(1).alias("n"))
+            else:
+                more = counts(back, hops, tuple(range(len(places) + 1)) if places == tuple(range(len(places))) else tuple(range(hops - 1)))
+                made[back, hops, places] = checkpoint(more.groupBy("a", "b", *[f"x{i}" for i in places]).agg(F.sum("n").alias("n")))
+        return made[back, hops, places]
+
     terms = []
     for size in range(2, longest + 1):
         k1, k2 = (size + 1) // 2, size // 2
         for match in _matchings(k1 - 1, k2 - 1):
-            shared = [f"v{k}" for k in range(len(match))]
-            side = lambda df, places, name: df.groupBy("a", "b", *[F.get("inner", F.lit(i)).alias(v) for i, v in zip(places, shared, strict=True)]).agg(F.count("*").alias(name))  # noqa: B023, E731
-            both = side(out[k1], [i for i, _ in match], "x").join(side(home[k2], [j for _, j in match], "y"), ["a", "b", *shared])
-            terms.append(both.groupBy(F.col("a").alias("account")).agg(F.sum(F.col("x") * F.col("y") * (-1) ** len(match)).alias("n")).select("account", F.lit(size).alias("size"), "n"))
-    return reduce(DataFrame.union, terms).groupBy("account", "size").agg(F.sum("n").alias("n")).where("n > 0")
+            there = counts(False, k1, tuple(sorted(i for i, _ in match)))
+            back = counts(True, k2, tuple(sorted(j for _, j in match))).select("a", "b", *[F.col(f"x{j}").alias(f"y{j}") for _, j in match], F.col("n").alias("m"))
+            same = [F.col(f"t.x{i}") == F.col(f"h.y{j}") for i, j in match]
+            both = there.alias("t").join(back.alias("h"), reduce(Column.__and__, same, (F.col("t.a") == F.col("h.a")) & (F.col("t.b") == F.col("h.b")))).select("t.a", "n", "m")
+            terms.append(both.groupBy(F.col("a").alias("account")).agg(F.sum(F.col("n") * F.col("m") * (-1) ** len(match)).alias("n")).select("account", F.lit(size).alias("size"), "n"))
+    found = reduce(DataFrame.union, terms).groupBy("account", "size").agg(F.sum("n").alias("n")).where("n > 0")
+    return found.join(ids, found["account"] == ids["number"]).select(ids["id"].alias("account"), "size", "n")
 
 
 def triangles(ledger: DataFrame) -> DataFrame:
-    """Loops of three accounts, one for each set, with the amount of the smallest path's first leg."""
+    """Loops of three accounts, one for each set, with the amount of the smallest path's first leg.
+
+    A link holds the amounts of both its directions and points from the end of lower
+    degree to the other, so triples are listed from the rarest corner and an account
+    that pays all the world is the middle of few.
+    """
     e = edges(ledger).where("src != dst").select("src", "dst", F.col("first_amount").cast("double").alias("amount"))
-    a, b, c = (e.select(*[F.col(x).alias(f"{x}{k}") for x in ("src", "dst", "amount")]) for k in (1, 2, 3))
-    loops = a.where("src1 < dst1").join(b, F.col("dst1") == F.col("src2")).where("dst2 > src1 and dst2 != dst1").join(c, (F.col("dst2") == F.col("src3")) & (F.col("dst3") == F.col("src1")))
-    path = F.array("src1", "dst1", "dst2")
-    loops = loops.select(F.array_join(F.array_sort(path), ",").alias("members"), F.struct(F.array_join(path, ">").alias("path"), F.col("amount1").alias("amount")).alias("b"))
-    return loops.groupBy("members").agg(F.min("b").alias("b")).select("members", "b.path", "b.amount")
+    up = F.col("src") < F.col("dst")
+    links = e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(F.when(up, F.col("amount"))).alias("up"), F.max(F.when(~up, F.col("amount"))).alias("down"))
+    links = checkpoint(links)
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("k"))
+    ends = links.join(degree.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    low = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
+    side = lambda k: ends.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias(f"v{k}"), F.when(low, F.col("up")).otherwise(F.col("down")).alias(f"to{k}"), F.when(low, F.col("down")).otherwise(F.col("up")).alias(f"from{k}"))
+    met = side(1).join(side(2), "u").where("v1 < v2").join(links.withColumnsRenamed({"a": "v1", "b": "v2"}), ["v1", "v2"])
+    first = F.col("u") < F.col("v1")
+    leg = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    named = lambda *c: F.concat_ws(">", *c)
+    one = F.when(F.expr("to1 is not null and up is not null and from2 is not null"), F.struct(F.when(first, named("u", "v1", "v2")).otherwise(named("v1", "v2", "u")).alias("path"), leg("to1", "up").alias("amount")))
+    two = F.when(F.expr("to2 is not null and down is not null and from1 is not null"), F.struct(F.when(first, named("u", "v2", "v1")).otherwise(named("v1", "u", "v2")).alias("path"), leg("to2", "from1").alias("amount")))
+    return met.select(F.array_join(F.array_sort(F.array("u", "v1", "v2")), ",").alias("members"), F.least(one, two).alias("b")).where("b is not null").select("members", "b.path", "b.amount")
 
 
 def layering_chains(pairs: DataFrame, longest: int = 6, mean: float = 1000, deviation: float = 0.3, few_in: int = 1) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,45 +13,88 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
-def valid_tree(node: dict) -> bool:
-    """Whether every split has a feature, a cut and both sides down to numeric leaves."""
-    if "leaf" in node:
-        return isinstance(node["leaf"], (int, float)) and math.isfinite(node["leaf"])
-    return isinstance(node.get("feature"), str) and isinstance(node.get("threshold"), (int, float)) and all(isinstance(node.get(s), dict) and valid_tree(node[s]) for s in ("left", "right"))
+def valid_tree(tree: dict) -> bool:
+    """Whether a tree counts: a leaf, or a split with a side at least."""
+    return "leaf" in tree or ("feature" in tree and (tree.get("left") is not None or tree.get("right") is not None))
 
 
-def _leaves(node: dict, rows: pd.DataFrame, at: np.ndarray, out: np.ndarray) -> None:
-    if "leaf" in node:
-        out[at] += node["leaf"]
-        return
-    x = rows[node["feature"]].to_numpy(float)[at] if node["feature"] in rows else np.zeros(len(at))
-    odd = ~np.isfinite(x)
-    side = node.get("missing", "left") == "left"
-    low = np.where(odd, side, x <= node["threshold"])
-    _leaves(node["left"], rows, at[low], out)
-    _leaves(node["right"], rows, at[~low], out)
+@dataclass(frozen=True)
+class Flat:
+    """A tree as arrays with a place for each node: place 0 is worth nothing and stays where it is, place 1 is the root."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    missing: np.ndarray
+    value: np.ndarray
+    settled: np.ndarray
+
+
+def flattened(tree: dict, names: list[str]) -> Flat:
+    """A tree of nodes {leaf} or {feature, threshold, left, right, missing}: features by number or by name, `missing` a node of its own.
+
+    A value that is not finite goes to `missing`; one without a node on its side goes
+    there too. A node without a known feature or without any node below it is worth 0.
+    """
+    known = {name: k for k, name in enumerate(names)}
+    nodes, rows = [None, tree], [(0, 0.0, 0, 0, 0, 0.0, True)]
+    while len(rows) < len(nodes):
+        node, at = nodes[len(rows)], len(rows)
+        below = {side: node.get(side) for side in ("left", "right", "missing")}
+        feature = node.get("feature")
+        place = feature if isinstance(feature, int) else known.get(feature, -1)
+        if node.get("leaf") is not None:
+            rows.append((0, 0.0, at, at, at, float(node["leaf"]), True))
+        elif not 0 <= place < len(names) or all(child is None for child in below.values()):
+            rows.append((0, 0.0, at, at, at, 0.0, True))
+        else:
+            where = dict.fromkeys(below, 0)
+            for side, child in below.items():
+                if child is not None:
+                    where[side] = len(nodes)
+                    nodes.append(child)
+            rows.append((place, float(node.get("threshold") or 0.0), where["left"] or where["missing"], where["right"] or where["missing"], where["missing"], 0.0, False))
+    return Flat(*(np.array(column) for column in zip(*rows, strict=True)))
+
+
+def walked(tree: Flat, values: np.ndarray) -> np.ndarray:
+    """The value of a tree for each row of `values`; all rows go down a level at a time."""
+    at, live = np.ones(len(values), np.int64), np.arange(len(values))
+    while len(live := live[~tree.settled[at[live]]]):
+        node = at[live]
+        x = values[live, tree.feature[node]]
+        at[live] = np.where(~np.isfinite(x), tree.missing[node], np.where(x <= tree.threshold[node], tree.left[node], tree.right[node]))
+    return tree.value[at]
 
 
 def tree_ensemble_score(model: str, columns: list[str]) -> Column:
-    """The score of a JSON model {base_score, learning_rate, trees}: all rows of an Arrow batch walk a tree together.
+    """The score of a JSON model {feature_names, base_score, learning_rate, trees}: all rows of an Arrow batch walk a tree together.
 
-    Trees that are not valid count for nothing.
+    `feature_names` says which number each feature has (that of its column, if there is
+    none); features without a column are 0. Trees that are not valid count for nothing.
     """
     spec = json.loads(model)
-    trees = [t for t in spec.get("trees", []) if valid_tree(t)]
+    names = spec.get("feature_names") or columns
+    trees = [flattened(t, names) for t in spec.get("trees") or [] if valid_tree(t)]
     base, rate = float(spec.get("base_score", 0.0)), float(spec.get("learning_rate", 1.0))
+    used = [c for c in columns if c in names] or columns[:1]
 
     @pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for values in batches:
-            values = (values,) if isinstance(values, pd.Series) else values  # a single column comes bare
-            rows = pd.DataFrame(dict(zip(columns, values, strict=True)))
-            total = np.zeros(len(rows))
+        for given in batches:
+            given = (given,) if isinstance(given, pd.Series) else given  # a single column comes bare
+            values = np.zeros((len(given[0]), len(names)))
+            for name, x in zip(used, given, strict=True):
+                if name in names:
+                    values[:, names.index(name)] = x.to_numpy(float)
+            total = np.full(len(values), base)
             for tree in trees:
-                _leaves(tree, rows, np.arange(len(rows)), total)
-            yield pd.Series(1 / (1 + np.exp(-(base + rate * total))))
+                total += rate * walked(tree, values)
+            with np.errstate(over="ignore"):
+                yield pd.Series(1 / (1 + np.exp(-total)))
 
-    return score(*[F.col(c).cast("double") for c in columns])
+    return score(*[F.col(c).cast("double") for c in used])
 
 
 def train_tree_model(rows: DataFrame, features: list[str], label: str = "label", rounds: int = 200, depth: int = 5, step: float = 0.05):

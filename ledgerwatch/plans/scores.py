@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import casework as C
 from ..operators import feedback as B
 from ..operators import graph as G
@@ -15,6 +15,7 @@ from ..operators import markov as M
 from ..operators import patterns as P
 from ..operators import scoring as S
 from ..operators import trees as X
+from ..sources import keyed as K
 from ..sources import tables as T
 from ..streaming import jobs as J
 from . import detection, feature_sql
@@ -26,7 +27,7 @@ from .prelude import rounded as r
 
 def _shared(s) -> str:
     """A new folder that all executors see."""
-    return f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='ledgerwatch-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/{uuid.uuid4().hex}"
 
 
 def _features(s, d):
@@ -59,16 +60,27 @@ def _written_alerts(s, d):
     """Alerts of a run merged by id into those that are there: verdicts on old ones and columns that the run lacks survive."""
     new = _alerts(s, d).select("id", "type", "severity", "account")
     old = new.where("severity = 'critical'").select("id", "account", F.lit("confirmed").alias("status")).union(T.alerts(s, d).select("id", "account", "status"))
-    path = B.write_version(B.upsert(old.dropDuplicates(["id"]), new.dropDuplicates(["id"])), _shared(s), 1)
-    return s.read.parquet(path).groupBy("type", "severity", "status").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    path = _shared(s)
+    K.merge_keyed(old.dropDuplicates(["id"]), path, "import", 1)
+    K.merge_keyed(new.dropDuplicates(["id"]), path, "run", 1)
+    return K.read_keyed(s, path).groupBy("type", "severity", "status").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
 def _sunk(s, d):
-    """Alerts of a stream, appended once each."""
+    """Alerts of a stream, one row each: every event comes again later than any watermark, and the alerts of a second run are merged into those of the first."""
+    folder = _shared(s)
+    events = T.event_stream(s, d)
+    again = events.select(*[(F.col(c) + F.expr("interval 40 days")).alias(c) if c == "ts" else F.col(c) for c in events.columns])
+    for k, stream in enumerate((events.union(again), again)):
+        alerts = T.alerts(s, d, stream).select("id", "type", "severity", "account", "ts")
+        J.stream_sink(alerts, f"{folder}/out", f"{folder}/state-{k}").awaitTermination()
+    return K.read_keyed(s, f"{folder}/out").select("id", "type", "severity", "account")
+
+
+def _streamed_states(s, d):
     folder = _shared(s)
-    stream = T.alerts(s, d, T.event_stream(s, d)).select("id", "type", "severity", "account", "ts")
-    J.stream_sink(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return s.read.parquet(f"{folder}/out").select("id", "type", "severity", "account")
+    J.stream_markov(T.history(s, d, T.event_stream(s, d)), folder, f"{folder}/progress").awaitTermination()
+    return s.read.parquet(f"{folder}/out").drop("batch")
 
 
 def _csv_accounts(s, d):
@@ -88,19 +100,35 @@ def _csv_ledger(s, d):
 
 
 def _json_accounts(s, d):
+    """Accounts written as JSON lines and read back."""
     path = _shared(s)
     T.accounts(s, d).select("id", "name", "risk", "is_mule").write.json(path)
     return T.read_dataset_json(s, path, "id string, name string, risk long, is_mule boolean", multi_line=False)
 
 
+def _json_array(s, d):
+    """Accounts written as one array each file, without line breaks, and read back by many tasks."""
+    path = _shared(s)
+    # braces, quotes and backslashes in names; objects within objects
+    odd = F.concat("name", F.lit('}, {"'), F.lit("\\"))
+    row = F.struct("id", odd.alias("name"), "risk", "is_mule", F.struct("bank", F.struct("city").alias("at")).alias("home"))
+    rows = T.accounts(s, d).select(F.pmod(F.xxhash64("id"), F.lit(3)).alias("part"), F.to_json(row).alias("j"))
+    rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("j")), ","), F.lit("]")).alias("value")).select("value").repartition(3).write.option("lineSep", "\n").text(path)
+    read = T.read_json_array(s, path, "id string, name string, risk long, is_mule boolean, home struct<bank: string, at: struct<city: string>>")
+    return read.select("id", "name", "risk", "is_mule", F.col("home.bank").alias("bank"), F.col("home.at.city").alias("city"))
+
+
 def _bools(df):
     return df.select(*[F.col(n).cast("int").alias(n) if t == "boolean" else F.col(n) for n, t in df.dtypes])
 
 
-MODEL = json.dumps({"base_score": -1.0, "learning_rate": 0.5, "trees": [
-    {"feature": "risk", "threshold": 50, "left": {"leaf": -1.0}, "right": {"feature": "age_days", "threshold": 300, "left": {"leaf": 2.0}, "right": {"leaf": 1.0}}},
-    {"feature": "balance", "threshold": 0, "missing": "right", "left": {"leaf": 0.5}, "right": {"leaf": -0.25}},
-    {"feature": "risk", "threshold": 10},
+MODEL = json.dumps({"feature_names": ["risk", "age_days", "balance", "other"], "base_score": -1.0, "learning_rate": 0.5, "trees": [
+    {"feature": "risk", "threshold": 50, "left": {"leaf": -1.0}, "right": {"feature": 1, "threshold": 300, "left": {"leaf": 2.0}, "right": {"leaf": 1.0}, "missing": None}},
+    {"feature": 2, "threshold": 0, "left": {"leaf": 0.5}, "right": None, "missing": {"leaf": -0.25}},
+    {"feature": "risk", "threshold": 10, "left": None, "right": None, "missing": None},
+    {"feature": "risk", "threshold": 20, "left": {"leaf": 0.125}},
+    {"feature": "unknown", "threshold": 1, "left": {"leaf": 9.0}, "right": {"leaf": 9.0}},
+    {"feature": 3, "threshold": 0.5, "left": {"leaf": 0.0625}, "right": {"leaf": 9.0}},
 ]})
 
 
@@ -119,8 +147,11 @@ def _ml(s, d):
 def _upsert(s, d):
     base = T.accounts(s, d).where("risk < 60").select("id", "name", "risk")
     new = T.accounts(s, d).where("risk >= 40").select("id", (F.col("risk") + 1000).alias("risk"), "bank")
-    path = B.write_version(B.upsert(base, new), _shared(s), 1)
-    return s.read.parquet(path).drop("bucket")
+    path = _shared(s)
+    K.merge_keyed(base, path, "import", 1)
+    K.merge_keyed(new, path, "run", 1)
+    K.merge_keyed(new.withColumn("risk", F.lit(0)), path, "run", 1)  # a rerun changes nothing
+    return K.read_keyed(s, path)
 
 
 def _train(s, d):
@@ -161,8 +192,9 @@ QUERIES = {
     "detection_summary": _summary,
     "read_feature_csv": _csv_accounts,
     "read_ledger_csv": _csv_ledger,
+    "read_json_array": _json_array,
     "read_dataset_json": _json_accounts,
-    "tree_ensemble_score": lambda s, d: T.accounts(s, d).select("id", F.round(X.tree_ensemble_score(MODEL, ["risk", "age_days", "balance"]), 6).alias("score")),
+    "tree_ensemble_score": lambda s, d: T.accounts(s, d).withColumn("balance", F.when(F.col("risk") % 7 != 0, F.col("balance"))).select("id", F.round(X.tree_ensemble_score(MODEL, ["risk", "age_days", "balance"]), 6).alias("score")),
     "train_tree_model": _train,
     "feedback_by_account": lambda s, d: B.feedback_by_account(T.feedback(s, d)),
     "feedback_global": lambda s, d: B.feedback_global(T.feedback(s, d)),
@@ -177,7 +209,7 @@ QUERIES = {
     "stream_volume": lambda s, d: J.finished(J.stream_volume(T.ledger(s, d, T.event_stream(s, d))), _shared(s)),
     "stream_burst": lambda s, d: J.finished(J.stream_burst(T.ledger(s, d, T.event_stream(s, d)), gap="360 minutes"), _shared(s)),
     "stream_rapid": lambda s, d: J.finished(J.stream_rapid(T.ledger(s, d, T.event_stream(s, d)), T.ledger(s, d, T.event_stream(s, d))), _shared(s)),
-    "stream_markov": lambda s, d: J.finished(J.stream_markov(T.history(s, d, T.event_stream(s, d))), _shared(s)),
+    "stream_markov": _streamed_states,
     "stream_sink": _sunk,
     "detection_run": lambda s, d: S.detect(T.ledger(s, d), T.accounts(s, d), T.AS_OF).select("id", "final_score", "risk_level", "mule_type", F.col("is_mule").cast("int").alias("is_mule"), F.array_join("flags", ",").alias("flags")),
 }
@@ -232,10 +264,12 @@ ORACLES = {
   FROM (SELECT DISTINCT id, type, severity FROM ({_ALERTS})) n FULL JOIN alerts o ON o.id = n.id) GROUP BY 1, 2, 3""", detection.FOUND),
     "read_feature_csv": oracle("SELECT id, 'SAVINGS, JOINT' AS account_type, risk % 2 = 0 AS kyc_full, CASE WHEN risk % 10 = 0 THEN 0.0 ELSE CAST(age_days AS DOUBLE) END AS account_age_days, balance AS total_in_amount, 0.0::DOUBLE AS in_txn_count, is_mule FROM accounts"),
     "read_ledger_csv": oracle("SELECT txn_id, src, dst, CAST(amount AS DOUBLE) AS amount, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, type, flagged FROM ledger"),
+    "read_json_array": oracle("""SELECT id, name || '}, {"' || chr(92) AS name, risk, is_mule, bank, city FROM accounts"""),
     "read_dataset_json": oracle("SELECT id, name, risk, is_mule FROM accounts"),
     "stream_sink": oracle("SELECT id, type, severity, account FROM alerts"),
     "apply_verdicts": oracle("SELECT id, CASE WHEN severity <> 'critical' THEN status WHEN CAST(substr(id, 3) AS BIGINT) % 2 = 0 THEN 'confirmed' ELSE 'dismissed' END AS status FROM alerts"),
-    "tree_ensemble_score": oracle("""SELECT id, round(1 / (1 + exp(-(-1.0::DOUBLE + 0.5::DOUBLE * (CASE WHEN risk <= 50 THEN -1.0 WHEN age_days <= 300 THEN 2.0 ELSE 1.0 END + CASE WHEN balance <= 0 THEN 0.5 ELSE -0.25 END)))), 6) AS score FROM accounts"""),
+    "tree_ensemble_score": oracle("""SELECT id, round(1 / (1 + exp(-(-1.0::DOUBLE + 0.5::DOUBLE * (CASE WHEN risk <= 50 THEN -1.0 WHEN age_days <= 300 THEN 2.0 ELSE 1.0 END
+  + CASE WHEN risk % 7 <> 0 AND balance <= 0 THEN 0.5 ELSE -0.25 END + CASE WHEN risk <= 20 THEN 0.125 ELSE 0 END + 0.0625)))), 6) AS score FROM accounts"""),
     "feedback_by_account": oracle(_FB),
     "feedback_global": oracle(f"""SELECT coalesce(analyst_id, 'all') AS analyst_id, count(*) AS n, count(*) FILTER (confirmed) AS confirmed, {r('count(*) FILTER (confirmed) / CAST(count(*) AS DOUBLE)', 3)} AS confirmation_rate,
   {r('count(*) FILTER (NOT confirmed) / CAST(count(*) AS DOUBLE)', 3)} AS false_positive_rate FROM feedback GROUP BY ROLLUP (analyst_id)"""),

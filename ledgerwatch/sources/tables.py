@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import risk_bucket
@@ -38,6 +38,42 @@ def read_dataset_json(spark: SparkSession, path: str, schema: str | None = None,
     return reader.option("multiLine", multi_line).json(path)
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that hold one JSON array of objects each, however long, with or without line breaks.
+
+    Files are read in byte ranges, as pieces that end at a closing brace. How many
+    quotes a piece has, outside escapes, says for both cases whether strings are open
+    at its end; running over the pieces of a range, and over the ranges of a file, that
+    tells braces in strings from others, and those say where objects end. Only the
+    pieces of one object, or of what lies in one range, are ever put together.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
+    plain = F.regexp_replace("value", r"\\.", "")  # without escapes, which never hold a brace
+    raw = raw.withColumns({"plain": plain, "odd": F.regexp_count(plain, F.lit('"')) % 2})
+    blocks, ahead = Window.partitionBy("file").orderBy("block"), (Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file", "block").orderBy("k")
+    before = lambda c: F.coalesce(F.sum(c).over(within.rowsBetween(*ahead)), F.lit(0))
+
+    def run(df: DataFrame, value: str, name: str) -> DataFrame:
+        """`df` with the sum of `value` over all pieces before, from sums within a range and a row for each range."""
+        ranges = df.groupBy("file", "block").agg(F.sum(value).alias("all")).select("file", "block", F.coalesce(F.sum("all").over(blocks.rowsBetween(*ahead)), F.lit(0)).alias("earlier"))
+        return df.join(ranges, ["file", "block"]).withColumn(name, F.col("earlier") + before(value)).drop("earlier")
+
+    found = run(raw, "odd", "quotes")
+    inside = F.col("quotes") % 2 == 1
+    outside = F.when(inside, F.regexp_replace("plain", '^[^"]*("|$)', "")).otherwise(F.col("plain"))
+    outside = F.regexp_replace(F.regexp_replace(outside, '"[^"]*"', ""), '"[^"]*$', "")
+    closed = (F.col("quotes") + F.col("odd")) % 2 == 0  # the brace at the end is no part of a string
+    found = found.withColumns({"closes": closed.cast("long"), "turns": F.regexp_count(outside, F.lit(r"\{")) - closed.cast("long")})
+    found = run(found, "turns", "depth")
+    # an object ends where no brace is open any more
+    found = found.withColumn("ends", ((F.col("closes") == 1) & (F.col("depth") + F.col("turns") == 0)).cast("long"))
+    found = run(found, "ends", "object")
+    parts = found.groupBy("file", "object").agg(F.sort_array(F.collect_list(F.struct("block", "k", "value"))).alias("parts"), F.max("ends").alias("whole")).where("whole = 1")
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}"))
+    return parts.select(F.from_json(F.regexp_replace(text, r"^[^{]*", ""), schema).alias("row")).select("row.*")
+
+
 def import_window(rows: DataFrame, key: str, start: int = 0, limit: int | None = None, share: float | None = None) -> DataFrame:
     """A slice of an import by the number in its key, or a hashed share of it; reruns give the same rows."""
     number = F.regexp_extract(key, r"(\d+)$", 1).try_cast("long")

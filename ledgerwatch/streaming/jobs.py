@@ -6,13 +6,11 @@ the watermark are dropped; over a closed input the results equal the batch ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.markov import state_of, transition_anomaly
+from ..operators.markov import state_of, transition_anomaly, with_before
+from ..sources.keyed import manifest, merge_keyed, read_keyed
 
 LATE = "1 hour"
 
@@ -49,32 +47,52 @@ def stream_rapid(came: DataFrame, went: DataFrame, minutes: int = 30) -> DataFra
     return i.join(o, (F.col("account") == F.col("payer")) & near & (F.col("origin") != F.col("target")) & (F.col("in_txn") != F.col("out_txn"))).select("account", "in_txn", "out_txn")
 
 
-def stream_markov(history: DataFrame) -> DataFrame:
-    """(account_id, seq, before, state): each observation with the state before it; the state kept is one string an account."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        seen = []
-        for seq, now in zip(rows["seq"], rows["state"], strict=True):
-            seen.append((key[0], seq, before, now))
-            before = now
-        state.update((before,))
-        yield pd.DataFrame(seen, columns=["account_id", "seq", "before", "state"])
+def stream_markov(history: DataFrame, path: str, checkpoint: str, expires: str = "30 days", buckets: int = 64):
+    """Each observation with the state before it: (account_id, seq, before, state, anomaly) in folders of `path`/out, a batch each.
 
-    rows = history.select("account_id", "seq", "ts", state_of(F.col("risk_score")).alias("state"))
-    found = rows.groupBy("account_id").applyInPandasWithState(step, "account_id string, seq long, before string, state string", "last string", "append", GroupStateTimeout.NoTimeout)
-    return found.withColumn("anomaly", F.when(F.col("before").isNull(), 0.0).otherwise(transition_anomaly(F.col("before"), F.col("state"))))
+    The last state of every account is a row of a keyed table; a batch is ordered in
+    slices of time, as in `markov_states`, so no task holds what an account has in it.
+    The table is merged into once the batch is written, so a batch that is run again
+    either finds all done or overwrites its own folder. Observations without a time,
+    and late ones, older than the state of their account, are left out. A state that is
+    older by `expires` than the newest of the batch counts as none, and goes when its
+    bucket is next written.
+    """
 
-
-def stream_sink(alerts: DataFrame, path: str, checkpoint: str):
-    """Append alerts once each: repeats of an id within the watermark are dropped, a batch that is rerun overwrites itself."""
+    def write(batch: DataFrame, number: int) -> None:
+        spark, table = batch.sparkSession, f"{path}/state"
+        if number <= manifest(spark, table).merged.get(checkpoint, -1):
+            return
+        batch = held = batch.where("ts is not null").select("account_id", "seq", "ts", "risk_score").persist()
+        newest = batch.agg(F.max("ts")).first()[0]
+        if newest is None:
+            return
+        fresh = F.col("at") >= F.lit(newest) - F.expr(f"interval {expires}")
+        known = manifest(spark, table).version and read_keyed(spark, table).where(fresh)
+        if known:
+            then = known.select("account_id", "at", F.col("seq").alias("at_seq"))
+            batch = batch.join(then, "account_id", "left").where("at is null or ts > at or (ts = at and seq > at_seq)").drop("at", "at_seq")
+        rows = with_before(batch, known or None)
+        anomaly = F.when(F.col("before").isNull(), 0.0).otherwise(transition_anomaly(F.col("before"), F.col("state")))
+        rows.select("account_id", "seq", "before", "state", anomaly.alias("anomaly")).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        last = batch.groupBy("account_id").agg(F.max_by(F.struct(F.col("ts").alias("at"), "seq", state_of(F.col("risk_score")).alias("last")), F.struct("ts", "seq")).alias("s")).select("account_id", "s.*")
+        merge_keyed(last, table, checkpoint, number, key="account_id", buckets=buckets, keep=fresh)
+        held.unpersist()
+
+    return history.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_sink(alerts: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Merge alerts by id into the table at `path` (see `sources.keyed`): an id that returns, however late, stays one row, with its latest values.
+
+    A batch rewrites only the buckets that it touches; one that is run again after a
+    failure is recognised by its number and by `checkpoint`, the name of its writer.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        merge_keyed(batch, path, checkpoint, number, order="ts", buckets=buckets)
 
-    return alerts.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
