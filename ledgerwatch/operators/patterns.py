@@ -36,29 +36,42 @@ def edges(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("src", "dst").agg(F.count("*").alias("n_txn"), F.sum("amount").alias("amount_sum"), F.count_if("flagged").alias("n_flagged"), first.alias("first_amount"))
 
 
-def _fan(ledger: DataFrame, at: str, other: str, least: int, critical: int, list_cap: int | None) -> DataFrame:
+#: Partners that a finding lists by name; its counts are of all, and `fan_partners` has all as rows.
+LISTED = 100
+
+
+def _fan(ledger: DataFrame, at: str, other: str, least: int, critical: int, list_cap: int) -> DataFrame:
     # distinct pairs first, so a busy account is summed from as many parts as it has partners
     pairs = ledger.groupBy(at, other).agg(F.sum("amount").alias("amount"))
     total = [F.count("*").alias("partners"), F.sum("amount").cast("double").alias("total")]
     named = lambda rows: F.array_join(F.sort_array(F.collect_list(rows)), ",").alias("accounts")
-    if list_cap is None:
-        found = pairs.groupBy(F.col(at).alias("account")).agg(*total, named(other))
-    else:
-        # the first partners by name alone are listed, which Spark cuts off before the shuffle; the counts are of all
-        few = pairs.withColumn("k", F.row_number().over(Window.partitionBy(at).orderBy(other))).where(F.col("k") <= list_cap)
-        found = pairs.groupBy(F.col(at).alias("account")).agg(*total).join(few.groupBy(F.col(at).alias("account")).agg(named(other)), "account")
+    # the first partners by name alone are listed, which Spark cuts off before the shuffle; the counts are of all
+    few = pairs.withColumn("k", F.row_number().over(Window.partitionBy(at).orderBy(other))).where(F.col("k") <= list_cap)
+    found = pairs.groupBy(F.col(at).alias("account")).agg(*total).join(few.groupBy(F.col(at).alias("account")).agg(named(other)), "account")
     return found.where(F.col("partners") >= least).withColumn("severity", F.when(F.col("partners") >= critical, "critical").otherwise("high"))
 
 
-def fan_in(ledger: DataFrame, least: int = 3, critical: int = 7, list_cap: int | None = None) -> DataFrame:
-    """Receivers of payments from several senders; with `list_cap` only so many of these are listed, for receivers that all the world pays."""
+def fan_in(ledger: DataFrame, least: int = 3, critical: int = 7, list_cap: int = LISTED) -> DataFrame:
+    """Receivers of payments from several senders, of whom the first `list_cap` by name are listed."""
     return _fan(ledger, "dst", "src", least, critical, list_cap)
 
 
-def fan_out(ledger: DataFrame, least: int = 3, critical: int = 8, list_cap: int | None = None) -> DataFrame:
+def fan_out(ledger: DataFrame, least: int = 3, critical: int = 8, list_cap: int = LISTED) -> DataFrame:
+    """Senders of payments to several receivers, of whom the first `list_cap` by name are listed."""
     return _fan(ledger, "src", "dst", least, critical, list_cap)
 
 
+def fan_partners(ledger: DataFrame, least: int = 3) -> DataFrame:
+    """(account, direction, partner, n, amount): every partner of the accounts that `fan_in` and `fan_out` find, a row each."""
+    pairs = ledger.groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+    def side(at: str, other: str, direction: str) -> DataFrame:
+        many = pairs.groupBy(at).agg(F.count("*").alias("partners")).where(F.col("partners") >= least).select(at)
+        return pairs.join(many, at).select(F.col(at).alias("account"), F.lit(direction).alias("direction"), F.col(other).alias("partner"), "n", "amount")
+
+    return side("dst", "src", "in").union(side("src", "dst", "out"))
+
+
 def degrees(ledger: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(account, in_degree, out_degree, n_in, n_out, amount_in, amount_out); `pairs` are the edges, if they are there already."""
     pairs = edges(ledger) if pairs is None else pairs
@@ -227,7 +240,7 @@ def rapid_counts(ledger: DataFrame, minutes: float = 30) -> DataFrame:
 ORDER = ("rapid_movement", "fan_in", "fan_out", "circular_transfer", "layering_chain", "structuring", "night_owl", "burst_activity", "automated_timing", "pass_through", "community_cluster", "bridge_account")
 
 
-def findings(ledger: DataFrame, accounts: DataFrame, paths: DataFrame | None = None, graph: DataFrame | None = None, list_cap: int | None = None, **loose: float) -> DataFrame:
+def findings(ledger: DataFrame, accounts: DataFrame, paths: DataFrame | None = None, graph: DataFrame | None = None, list_cap: int = LISTED, **loose: float) -> DataFrame:
     """Findings of all detectors: (pattern, account, severity, amount, accounts array, measures map).
 
     Cycles and chains are looked for in the edges `paths` (all of the ledger's

@@ -72,7 +72,8 @@ def tree_ensemble_score(model: str, columns: list[str]) -> Column:
     """The score of a JSON model {feature_names, base_score, learning_rate, trees}: all rows of an Arrow batch walk a tree together.
 
     `feature_names` says which number each feature has (that of its column, if there is
-    none); features without a column are 0. Trees that are not valid count for nothing.
+    none); features without a column are 0. Columns in its `categories` are numbered by
+    the orders there. Trees that are not valid count for nothing.
     """
     spec = json.loads(model)
     names = spec.get("feature_names") or columns
@@ -94,7 +95,37 @@ def tree_ensemble_score(model: str, columns: list[str]) -> Column:
             with np.errstate(over="ignore"):
                 yield pd.Series(1 / (1 + np.exp(-total)))
 
-    return score(*[F.col(c).cast("double") for c in used])
+    orders = spec.get("categories") or {}
+    return score(*[category_number(F.col(c), orders[c]) if c in orders else F.col(c).cast("double") for c in used])
+
+
+#: A column with more values than this is no category.
+MOST_CATEGORIES = 4096
+
+
+def category_orders(rows: DataFrame, columns: list[str], label: str = "label") -> dict[str, list[str]]:
+    """The values of each column from the least mean label to the greatest, ties by name: cut by a threshold, that order parts them as well as any sets could."""
+    found = {}
+    for c in columns:
+        per = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.avg(F.col(label).cast("double")).alias("mean"))
+        values = per.orderBy("mean", "v").limit(MOST_CATEGORIES + 1).collect()
+        if len(values) > MOST_CATEGORIES:
+            raise ValueError(f"{c} has more than {MOST_CATEGORIES} values")
+        found[c] = [r["v"] for r in values]
+    return found
+
+
+def category_number(column: Column, order: list[str]) -> Column:
+    """The place of a value in its order; -1 for a null or a value that is not in it."""
+    if not order:
+        return F.lit(-1.0)
+    places = F.create_map(*[F.lit(x) for k, v in enumerate(order) for x in (v, float(k))])
+    return F.coalesce(F.try_element_at(places, column.cast("string")), F.lit(-1.0))
+
+
+def numbered(rows: DataFrame, orders: dict[str, list[str]]) -> DataFrame:
+    """`rows` with the columns of `orders` as places in them."""
+    return rows.withColumns({c: category_number(F.col(c), order) for c, order in orders.items()})
 
 
 def train_tree_model(rows: DataFrame, features: list[str], label: str = "label", rounds: int = 200, depth: int = 5, step: float = 0.05):
@@ -114,8 +145,17 @@ def train_tree_model(rows: DataFrame, features: list[str], label: str = "label",
     return model, BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(data.where("test")))
 
 
-def exported(model, features: list[str]) -> str:
-    """A trained model as the JSON that `tree_ensemble_score` reads; its scores are the model's probabilities."""
+def probabilities(model, rows: DataFrame, features: list[str]) -> DataFrame:
+    """`rows` with the model's own `probability` of the label 1."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(rows))
+    return scored.withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
+
+
+def exported(model, features: list[str], categories: dict[str, list[str]] | None = None) -> str:
+    """A trained model as the JSON that `tree_ensemble_score` reads; its scores are the model's probabilities. `categories` are the orders of columns that were numbered."""
 
     def node(n, weight: float) -> dict:
         if n.numDescendants() == 0:
@@ -124,4 +164,4 @@ def exported(model, features: list[str]) -> str:
         return {"feature": features[split.featureIndex()], "threshold": split.threshold(), "left": node(n.leftChild(), weight), "right": node(n.rightChild(), weight)}
 
     trees = [node(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
-    return json.dumps({"base_score": 0.0, "learning_rate": 1.0, "trees": trees})
+    return json.dumps({"feature_names": features, "num_features": len(features), "num_trees": len(trees), "base_score": 0.0, "learning_rate": 1.0, "categories": categories or {}, "trees": trees})

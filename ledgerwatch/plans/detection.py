@@ -88,7 +88,7 @@ SELECT account, sum(fresh) OVER (PARTITION BY account ORDER BY ms, txn_id ROWS U
   SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY account ORDER BY ms, txn_id) {test} THEN 0 ELSE 1 END AS fresh FROM {rows})"""
 
 _FAN = """
-SELECT account, count(*) AS partners, CAST(sum(amount) AS DOUBLE) AS total, array_to_string(list_sort(list(other)), ',') AS accounts,
+SELECT account, count(*) AS partners, CAST(sum(amount) AS DOUBLE) AS total, array_to_string(list_sort(list(other))[:100], ',') AS accounts,
   CASE WHEN count(*) >= {critical} THEN 'critical' ELSE 'high' END AS severity
 FROM (SELECT {at} AS account, {other} AS other, sum(amount) AS amount FROM {rows} GROUP BY 1, 2) GROUP BY account HAVING count(*) >= 3"""
 
@@ -194,6 +194,7 @@ QUERIES = {
     "degrees": lambda s, d: P.degrees(T.ledger(s, d)),
     "fan_in": lambda s, d: P.fan_in(T.ledger(s, d)),
     "fan_out": lambda s, d: P.fan_out(T.ledger(s, d)),
+    "fan_partners": lambda s, d: P.fan_partners(T.ledger(s, d)),
     "structuring": lambda s, d: P.structuring(T.ledger(s, d)),
     "pass_through": lambda s, d: P.pass_through(T.ledger(s, d), T.accounts(s, d)),
     "night_owl": lambda s, d: P.night_owl(T.ledger(s, d), share=0.25),
@@ -218,6 +219,9 @@ WHERE k % 4 <> 3 AND k % 8 <> 2 AND src IN (SELECT id FROM accounts WHERE risk <
     "degrees": oracle(_DEGREES),
     "fan_in": oracle(_FAN_IN),
     "fan_out": oracle(_FAN_OUT),
+    "fan_partners": oracle("""
+SELECT dst AS account, 'in' AS direction, src AS partner, n_txn AS n, CAST(amount_sum AS DOUBLE) AS amount FROM edges WHERE dst IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) >= 3)
+UNION ALL SELECT src, 'out', dst, n_txn, CAST(amount_sum AS DOUBLE) FROM edges WHERE src IN (SELECT src FROM edges GROUP BY src HAVING count(*) >= 3)"""),
     "structuring": oracle(_STRUCTURING),
     "pass_through": oracle(_PASS),
     "night_owl": oracle(_NIGHT),

@@ -155,11 +155,14 @@ def _upsert(s, d):
 
 
 def _train(s, d):
-    rows = T.accounts(s, d).select("balance", "age_days", "turnover", (F.col("risk") >= 60).cast("int").alias("label"))
-    names = ["balance", "age_days", "turnover"]
-    model, area = X.train_tree_model(rows, names, rounds=20)
-    own = [r[0] for r in rows.select(X.tree_ensemble_score(X.exported(model, names), names)).collect()[:1]]
-    return s.createDataFrame([(model.getNumTrees, float(area), own[0] if own else None)], "trees int, area_under_curve double, first_score double")
+    """A model of numbers and categories, and how far the scores of its export are from its own probabilities at most."""
+    kyc = F.when(F.col("risk") % 3 == 0, "FULL").when(F.col("risk") % 3 == 1, "MIN")
+    rows = T.accounts(s, d).select("balance", "age_days", "turnover", kyc.alias("kyc_status"), F.col("bank").alias("account_type"), (F.col("risk") >= 60).cast("int").alias("label"))
+    names = ["balance", "age_days", "turnover", "kyc_status", "account_type"]
+    orders = X.category_orders(rows, names[3:])
+    model, area = X.train_tree_model(X.numbered(rows, orders), names, rounds=20)
+    given = rows.withColumn("score", X.tree_ensemble_score(X.exported(model, names, orders), names))
+    return X.numbered(given, orders).transform(lambda df: X.probabilities(model, df, names)).agg(F.lit(model.getNumTrees).alias("trees"), F.lit(float(area)).alias("area_under_curve"), F.round(F.max(F.abs(F.col("score") - F.col("probability"))), 6).alias("furthest"), F.count("*").alias("n"))
 
 
 def _verdicts(s, d):

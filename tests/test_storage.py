@@ -153,3 +153,31 @@ def test_trees_of_any_shape_score_as_a_walk_does(spark):
     for _ in range(3000):
         deep = {"feature": 0, "threshold": 0.0, "left": deep}
     assert X.walked(X.flattened(deep, ["a"]), __import__("numpy").zeros((2, 1))).tolist() == [1.0, 1.0]
+
+
+def test_categories_are_carried_through_the_export(spark):
+    kinds = ["SAVINGS", "CURRENT", "JOINT", None]
+    data = [(float(k % 13), kinds[k % 4], "FULL" if k % 3 else "MIN", int(kinds[k % 4] in ("CURRENT", None) or (k % 3 == 0 and k % 13 > 6))) for k in range(260)]
+    table = spark.createDataFrame(data, "x double, account_type string, kyc_status string, label int")
+    names = ["x", "account_type", "kyc_status"]
+    orders = X.category_orders(table, names[1:])
+    assert orders["account_type"][-1] == "CURRENT" and set(orders["account_type"]) == {"SAVINGS", "CURRENT", "JOINT"} and orders["kyc_status"] == ["FULL", "MIN"]
+    model, area = X.train_tree_model(X.numbered(table, orders), names, rounds=8, depth=3)
+    text = X.exported(model, names, orders)
+    assert area > 0.9 and '"account_type"' in json.dumps(json.loads(text)["trees"])
+    scored = table.select("*", X.tree_ensemble_score(text, names).alias("score"))
+    both = X.probabilities(model, X.numbered(scored, orders), names)
+    assert both.where(F.abs(F.col("score") - F.col("probability")) > 1e-9).count() == 0 and both.count() == 260
+    unseen = spark.createDataFrame([(1.0, "OTHER", None)], "x double, account_type string, kyc_status string")
+    assert 0 < unseen.select(X.tree_ensemble_score(text, names)).first()[0] < 1
+
+
+def test_partners_of_fans_as_rows(spark):
+    from ledgerwatch.operators import patterns as P
+
+    data = [(f"s{k}", "hub", 2.0) for k in range(150)] + [("s0", "hub", 3.0), ("a", "b", 1.0), ("a", "c", 1.0)]
+    table = spark.createDataFrame(data, "src string, dst string, amount double")
+    found = P.fan_partners(table)
+    assert found.count() == 150 and rows(found.where("partner = 's0'"), "account", "direction", "n", "amount") == [("hub", "in", 2, 5.0)]
+    listed = P.fan_in(table).first()
+    assert listed["partners"] == 150 and len(listed["accounts"].split(",")) == 100
