@@ -16,9 +16,14 @@ from . import patterns as P
 DEFAULT_AGE = 365
 
 
-def account_features(ledger: DataFrame, accounts: DataFrame, as_of: str, graph: DataFrame | None = None) -> DataFrame:
-    """The features of every account, with `pagerank` unrounded besides; `graph(id, pagerank, community, bridge)` holds graph scores, 0 without it."""
-    ledger, pairs = checkpoint(ledger), checkpoint(P.edges(ledger))
+def account_features(ledger: DataFrame, accounts: DataFrame, as_of: str, graph: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """The features of every account, with `pagerank` unrounded besides; `graph(id, pagerank, community, bridge)` holds graph scores, 0 without it.
+
+    `pairs` are the edges, if they are there already; the ledger then is too.
+    """
+    if pairs is None:
+        ledger = checkpoint(ledger)
+        pairs = checkpoint(P.edges(ledger))
     by = lambda df: df.withColumnRenamed("account", "id")
     f = accounts.select("id", "balance", "turnover", "age_days")
     for part in (
@@ -46,9 +51,9 @@ def account_features(ledger: DataFrame, accounts: DataFrame, as_of: str, graph:
     )
 
 
-def graph_scores(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(id, pagerank, community, bridge, cluster_size), unrounded; an account outside of all close communities has a cluster of 1."""
-    pairs = checkpoint(P.edges(ledger))
+def graph_scores(ledger: DataFrame, accounts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(id, pagerank, community, bridge, cluster_size), unrounded; an account outside of all close communities has a cluster of 1. `pairs` are the edges, if they are there already."""
+    pairs = checkpoint(P.edges(ledger)) if pairs is None else pairs
     member = G.components(pairs)
     close = G.communities(ledger, pairs, member=member, digits=None).select("component", F.col("score").alias("community"), F.col("size").alias("cluster_size"))
     member = member.join(close, "component").select("id", "community", "cluster_size")
@@ -206,6 +211,8 @@ def classify_accounts(scored: DataFrame, pass_through_counts: bool = False) -> D
 
 def detect(ledger: DataFrame, accounts: DataFrame, as_of: str, graph: DataFrame | None = None) -> DataFrame:
     """The whole detection: features with graph scores, fused, calibrated and classified."""
-    graph = graph_scores(ledger, accounts) if graph is None else graph
-    f = account_features(ledger, accounts, as_of, graph.drop("cluster_size")).join(graph.select("id", "cluster_size"), "id", "left").fillna(1, ["cluster_size"])
+    ledger = checkpoint(ledger)
+    pairs = checkpoint(P.edges(ledger))  # once, for graph and features
+    graph = graph_scores(ledger, accounts, pairs) if graph is None else graph
+    f = account_features(ledger, accounts, as_of, graph.drop("cluster_size"), pairs).join(graph.select("id", "cluster_size"), "id", "left").fillna(1, ["cluster_size"])
     return classify_accounts(score_accounts(f))

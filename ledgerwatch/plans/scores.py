@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import checkpoint, shared_folder
 from ..operators import casework as C
 from ..operators import feedback as B
 from ..operators import graph as G
@@ -32,7 +32,9 @@ def _shared(s) -> str:
 
 def _features(s, d):
     ledger, accounts = T.ledger(s, d), T.accounts(s, d)
-    return S.account_features(ledger, accounts, T.AS_OF, S.graph_scores(ledger, accounts).drop("cluster_size"))
+    ledger = checkpoint(ledger)
+    pairs = checkpoint(P.edges(ledger))
+    return S.account_features(ledger, accounts, T.AS_OF, S.graph_scores(ledger, accounts, pairs).drop("cluster_size"), pairs)
 
 
 def _explained(s, d):
