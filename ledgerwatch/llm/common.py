@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.components import components
-from ..functions.lineage import checkpoint
+from ..functions.lineage import checkpoint, shared_folder
 
 __all__ = ["GAP", "WORD", "checkpoint", "components", "in_blocks", "let", "local_roots", "read", "running_sums", "stored", "whole_groups", "words"]
 
@@ -27,13 +26,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` from a Parquet table in the shared folder that the session names in spark.checkpoint.dir, in a temporary one where that is unset.
-
-    Smaller than a checkpoint; goes with the folder.
-    """
+    """`df` from a Parquet table in the shared folder; smaller than a checkpoint, and there as long as the folder is."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stored-")
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
