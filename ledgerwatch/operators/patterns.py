@@ -322,14 +322,15 @@ def _closed(e: DataFrame, sizes: range) -> list[DataFrame]:
 def cycles(pairs: DataFrame, longest: int = 6, whole: int = 4, few: int | None = None) -> DataFrame:
     """Simple directed cycles of 2 to `longest` accounts, one for each set of accounts, the smallest path of the set.
 
-    Edges outside strongly connected components go first. A cycle is two halves of
+    Edges outside strongly connected components go first, unless only cycles of up to
+    three are asked for, which two joins find at once. A cycle is two halves of
     three hops at most that meet by both ends, so tables of paths never have more
     than the half of a cycle's hops. Cycles of up to `whole` accounts are looked for
     among all edges. Longer ones multiply with the degree: with `few`, they are looked
     for among edges of accounts that pay `few` others at most to accounts that `few`
     others pay at most; `cycle_counts` counts them among all.
     """
-    e = strong_edges(pairs)
+    e = strong_edges(pairs) if longest > 3 else checkpoint(pairs.where("src != dst").select("src", "dst", "amount_sum"))
     found = _closed(e, range(2, min(whole, longest) + 1))
     if longest > whole:
         if few is not None:

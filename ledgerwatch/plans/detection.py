@@ -32,7 +32,7 @@ SELECT members, arg_min(array_to_string(p, '>'), p) AS path, arg_min(size, p) AS
 FROM (SELECT *, array_to_string(list_sort(p), ',') AS members FROM ({every})) GROUP BY members"""
 
 
-#: Cycles of up to four accounts are looked for among all edges, longer ones among accounts of so few partners each way.
+#: Cycles of up to three accounts are listed from all edges, longer ones from accounts of so few partners each way; those of four are listed from all and summed up.
 FEW = 8
 _FEW_EDGES = f"""
 few_edges AS (
@@ -177,6 +177,14 @@ def found(s, d, ledger=None, accounts=None):
     return P.findings(ledger, accounts, **LOOSE)
 
 
+def _fours(s, d):
+    """The cycles of four accounts among all payments, summed up by their least account."""
+    from pyspark.sql import functions as F
+
+    found = P.cycles(P.edges(T.ledger(s, d)), longest=4).where("size = 4")
+    return found.groupBy(F.substring_index("path", ">", 1).alias("account")).agg(F.count("*").alias("sets"), F.sum("total").alias("total"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+
+
 def _raw(spark, d):
     """The ledger with the three spellings of its parties, some blank and some unknown."""
     from pyspark.sql import functions as F
@@ -204,7 +212,8 @@ QUERIES = {
     "rapid_movement": lambda s, d: P.rapid_movement(T.ledger(s, d)),
     "fast_flow_pairs": lambda s, d: P.fast_flow_pairs(T.ledger(s, d)),
     "all_patterns": lambda s, d: found(s, d).select("pattern", "account", "severity", "amount"),
-    "circular_transfer": lambda s, d: P.cycles(P.edges(T.ledger(s, d)), few=FEW),
+    "circular_transfer": lambda s, d: P.cycles(P.edges(T.ledger(s, d)), whole=3, few=FEW),
+    "circular_of_four": _fours,
     "circular_high_value": lambda s, d: P.cycles(P.edges(T.high_value(s, d))),
     "cycle_counts": lambda s, d: P.cycle_counts(P.edges(T.ledger(s, d))),
     "rapid_counts": lambda s, d: P.rapid_counts(T.ledger(s, d)),
@@ -231,7 +240,9 @@ UNION ALL SELECT src, 'out', dst, n_txn, CAST(amount_sum AS DOUBLE) FROM edges W
     "rapid_movement": oracle(_RAPID),
     "fast_flow_pairs": oracle(_FAST),
     "all_patterns": oracle("SELECT pattern, account, severity, amount FROM found", FOUND),
-    "circular_transfer": oracle(_circular(f"{_cycles('edges', range(2, 5))} UNION ALL {_cycles('few_edges', range(5, 7))}"), _FEW_EDGES),
+    "circular_transfer": oracle(_circular(f"{_cycles('edges', range(2, 4))} UNION ALL {_cycles('few_edges', range(4, 7))}"), _FEW_EDGES),
+    "circular_of_four": oracle(f"""
+SELECT split_part(path, '>', 1) AS account, count(*) AS sets, sum(total) AS total, min(path) AS first_path, max(path) AS last_path FROM ({_circular(_cycles("edges", range(2, 5)))}) WHERE size = 4 GROUP BY 1"""),
     "circular_high_value": oracle(_circular(_cycles("hv_edges", range(2, 7)))),
     "cycle_counts": oracle(_cycle_counts(), _HALVES),
     "rapid_counts": oracle(f"SELECT account, count(*) AS pairs FROM ({_RAPID}) GROUP BY account"),

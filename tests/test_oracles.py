@@ -16,7 +16,7 @@ def test_same_as_sql(spark, name):
     assert_same(QUERIES[name](spark, SF), ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"train_tree_model"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
