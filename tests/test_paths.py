@@ -44,7 +44,7 @@ def as_pairs(spark, edges, amount=lambda a, b: 1.0):
     return spark.createDataFrame(rows, "src string, dst string, n_txn long, amount_sum decimal(18,2), n_flagged long, first_amount decimal(18,2)")
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_cycles_against_plain_search(spark, seed):
     edges = graph(seed)
     weight = {e: k + 1 for k, e in enumerate(edges)}
@@ -57,6 +57,8 @@ def test_cycles_against_plain_search(spark, seed):
     expected = sorted((",".join(sorted(p)), ">".join(p), len(p), total(p)) for p in best.values())
     found = sorted((r["members"], r["path"], r["size"], r["total"]) for r in P.cycles(pairs).collect())
     assert found == expected and len(expected) > 30
+    short = {r["members"] for r in P.cycles(pairs, longest=3).collect()}
+    assert short == {m for m, *_ in expected if m.count(",") < 3}
     counted = {(r["account"], r["size"]): r["n"] for r in P.cycle_counts(pairs).collect()}
     assert counted == Counter((p[0], len(p)) for p in every)
 
@@ -69,7 +71,7 @@ def test_long_cycles_within_a_degree(spark):
     assert sum(m.count(",") == 3 for m in found) == 15  # every four of six
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_strong_components_against_reachability(spark, seed):
     rng = random.Random(seed)
     edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(55)})
@@ -115,7 +117,7 @@ def plain_chains(amount, few_in, deviation, least=1000, longest=6):
     return sorted(found)
 
 
-@pytest.mark.parametrize("seed,few_in,deviation", [(0, 1, 0.3), (1, 2, 0.5), (2, 1, 0.9), (3, 3, 0.05)])
+@pytest.mark.parametrize("seed,few_in,deviation", [(0, 1, 0.3), (2, 1, 0.9), (3, 3, 0.05)])
 def test_chains_against_plain_search(spark, seed, few_in, deviation):
     rng = random.Random(seed)
     edges = graph(seed) + [(f"s{k}", f"n{k:02}") for k in range(4)]
