@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -207,6 +208,40 @@ def test_added_spans_come_from_format_and_context(docs, documents):
     assert "checked" not in pii.FEATURES
 
 
+def test_trees_decide_by_context(docs, documents, monkeypatch):
+    said = ["please call 646-555-7788 today", "order no. 646-555-7788 today", "ssn 321-45-6789", "part no. 321-45-6789", "call 555-7788 now", "from 1950-1975 on", "password=1q2w3e4r5t6y7u8i9o", "password=zzzzzzzzzzzzzzzzzzzz"]
+    rows = documents.select("doc_id", "text").union(docs(*[(-1 - k, x) for k, x in enumerate(said)]).select("doc_id", "text"))
+
+    def spans():
+        found = {r["doc_id"]: r["spans"] for r in pii.find(rows).where("doc_id < 0").select("doc_id", pii.written(F.col("spans")).alias("spans")).collect()}
+        return [found[-1 - k] for k in range(len(said))]
+
+    assert spans() == ["local_phone:12:24", "", "digits:4:15", "", "local_phone:5:13", "", "secret:0:27", ""]
+    # every candidate with its score worked out tree by tree
+    found = common.checkpoint(pii.described(rows))
+    model = pii.fitted(found)
+    assert {name for a, _, b, _, _ in model.trees for name in (a, b)} >= {"cue", "other"}
+    want = {}
+    for r in found.collect():
+        base = [c for c in r["candidates"] if c["kind"] in pii.PATTERNS and c["label"] == 1]
+        want[r["doc_id"]] = {(c["kind"], c["start"], c["end"]) for c in base}
+        for c in r["candidates"]:
+            total = model.start + sum(leaves[2 * (c["f"][a] >= x) + (c["f"][b] >= y)] for a, x, b, y, leaves in model.trees)
+            score = 1 / (1 + math.exp(-(total * model.slope + model.offset)))
+            if c["kind"] in pii.ADDED and score >= model.threshold and not any(b["start"] < c["end"] and c["start"] < b["end"] for b in base):
+                want[r["doc_id"]].add((c["kind"], c["start"], c["end"]))
+    assert {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["spans"]} for r in pii.find(rows).collect()} == want
+    # without trees nothing is added
+    monkeypatch.setattr(pii, "train", lambda table: pii.Trees(0.0, [], 1.0, 0.0, 2.0))
+    assert spans() == [""] * len(said)
+
+
+def test_pii_without_a_corpus(docs):
+    rows = docs((1, "call 646-555-7788 today"), (2, "order no. 646-555-7788 today"), (3, "john [at] mail [dot] com"), (4, None))
+    found = {r["doc_id"]: r["spans"] for r in pii.find(rows).select("doc_id", pii.written(F.col("spans")).alias("spans")).collect()}
+    assert found == {1: "local_phone:5:17", 2: "", 3: "spelt_email:0:24", 4: ""}
+
+
 def test_redaction(docs):
     row = pii.redact(docs((1, "mail a@b.cd or 1.2.3.4"), (2, "clean words"))).orderBy("doc_id").collect()
     assert [r["text"] for r in row] == ["mail [email] or [ip]", "clean words"]
