@@ -5,19 +5,18 @@ letters with a space for every run of anything else. Each n-gram hashes to a row
 of an embedding table; the mean of the rows goes through a linear softmax.
 Embeddings and output weights are trained together by stochastic gradient
 descent in numpy. The training texts are a bounded sample, `SAMPLE` for each
-language: they reach the driver as counts over the hash rows, so that a long
-text is no more than any other. A part of the sample is kept back to calibrate a
-temperature for the scores. A prediction is rejected below the score that only
-`LOST` of the right ones stay under, among labelled texts outside the sample or,
-where these are few, by the tail of the kept-back ones.
+language and about `TEXTS` of all: they reach the driver as counts over the hash
+rows, so that a long text is no more than any other. A part of the sample is kept
+back to calibrate a temperature for the scores. A prediction is rejected below the
+score that only `LOST` of the right ones stay under, among labelled texts that the
+model did not learn from: those kept back, and a draw from outside the sample.
 
-Prediction needs the table times the weights only: one row of logits for each
-hash row, averaged over the text.
+Tasks get the table and the weights, which grow by `WIDTH` numbers a language.
 
 Nulls and edge cases: a text that is null or has no letter is `und` with score
 0 and rejected; rows with a null language are never learned from; with no
-language to learn, every text is `und`; beyond `LANGUAGES` only the commonest are
-learned; ties of score go to the first language by name; texts of any length are
+language to learn, every text is `und`; every language is learned, and more than
+`LANGUAGES` values are an error, as `lang` is no language then; ties of score go to the first language by name; texts of any length are
 read whole, in pieces that change nothing; repeated rows give repeated results;
 other columns are kept, but for any named lang_pred, score or rejected, which give
 way; an empty table gives no rows.
@@ -39,15 +38,19 @@ from .common import read
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 WIDTH = 16
-#: Training texts at most for each language, and languages at most.
-SAMPLE, LANGUAGES = 250, 256
+#: Training texts at most for each language, and of all languages (one of each at least).
+SAMPLE, TEXTS = 250, 64_000
+#: More values of `lang` than there are languages.
+LANGUAGES = 10_000
 EPOCHS, RATE = 12, 8.0
-#: Share of the right predictions of the kept-back texts that rejection may cost.
+#: Share of the right predictions that rejection may cost.
 LOST = 0.001
-#: Loss that calibration may cost; n-grams that count as few; share of the least scores that the tail is read from.
-SLACK, FEW, TAIL = 0.01, 10, 0.2
-#: Texts outside the sample that rejection is calibrated on: so many at most, and kept-back texts instead if there are fewer than so many.
-CALIBRATE, ENOUGH = 10_000, 1000
+#: Loss that calibration may cost; n-grams that count as few.
+SLACK, FEW = 0.01, 10
+#: The tail of the least scores: so many of them, but this share at most.
+LEAST, TAIL = 50, 0.2
+#: Texts outside the sample that rejection is calibrated on, about so many.
+CALIBRATE = 10_000
 UNKNOWN = "und"
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
@@ -82,38 +85,47 @@ def softmax(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     labels: list[str]
-    logits: np.ndarray  # of each hash row
+    table: np.ndarray  # BUCKETS x WIDTH
+    out: np.ndarray  # WIDTH x languages
     temperature: float
     threshold: float
+    kept_back: np.ndarray  # scores of the right predictions among the texts kept back
+
+    @property
+    def logits(self) -> np.ndarray:
+        """Of each hash row."""
+        return self.table @ self.out
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated score, and whether the score is too low to trust."""
         if not self.labels or not has_letter(text):
             return UNKNOWN, 0.0, True
-        total, n = np.zeros(len(self.labels)), 0
+        total, n = np.zeros(WIDTH), 0
         for rows in ngram_rows(text):
-            total += np.bincount(rows, minlength=BUCKETS) @ self.logits if len(rows) > BUCKETS else self.logits[rows].sum(axis=0)
+            total += np.bincount(rows, minlength=BUCKETS) @ self.table if len(rows) > BUCKETS else self.table[rows].sum(axis=0)
             n += len(rows)
         # few n-grams are little evidence: their mean is drawn towards even odds
-        p = softmax(total / (n + FEW) / self.temperature)
+        p = softmax(total @ self.out / (n + FEW) / self.temperature)
         best = int(p.argmax())
         return self.labels[best], float(p[best]), bool(p[best] < self.threshold)
 
 
-def _known(labelled: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """The texts that can be learned from, and how many there are of each language, LANGUAGES at most."""
+def _known(labelled: DataFrame, per_language: int) -> tuple[DataFrame, dict[str, int], float]:
+    """The texts that can be learned from, how many there are of each language, and how many of each to learn."""
     known = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    return known.where(F.col("lang").isin(list(sizes))), sizes
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
+    return known, sizes, max(1, min(per_language, TEXTS / max(1, len(sizes))))
 
 
 def _uniform(key: str, name: str) -> F.Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(name)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _drawn(key: str, sizes: dict[str, int], per_language: int) -> F.Column:
+def _drawn(key: str, sizes: dict[str, int], per_language: float) -> F.Column:
     """Whether a text is in the sample."""
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)]), F.col("lang"))
+    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, per_language / n)]), F.col("lang"))
     return _uniform(key, "sample") < rate
 
 
@@ -123,7 +135,7 @@ def sample(labelled: DataFrame, key: str = "doc_id", per_language: int = SAMPLE)
     Texts are drawn by a hash of `key` at the rate that leaves about so many, so
     no language is ever sorted or gathered as a whole.
     """
-    known, sizes = _known(labelled)
+    known, sizes, per_language = _known(labelled, per_language)
     if not sizes:
         return pd.DataFrame({"lang": [], "rows": [], "counts": []})
     picked = known.where(_drawn(key, sizes, per_language)).select("lang", "text")
@@ -141,7 +153,7 @@ def sample(labelled: DataFrame, key: str = "doc_id", per_language: int = SAMPLE)
 
     found = picked.mapInPandas(run, schema="lang string, rows array<int>, counts array<float>")
     # twice the expected number is beyond what the draw gives (rows of one key are drawn together); it bounds what the driver holds
-    found = found.orderBy(F.xxhash64("lang", "rows", "counts")).limit(2 * per_language * len(sizes)).toPandas()
+    found = found.orderBy(F.xxhash64("lang", "rows", "counts")).limit(int(2 * per_language * len(sizes))).toPandas()
     found["order"] = [hash_of(r, c) for r, c in zip(found["rows"], found["counts"], strict=True)]
     return found.sort_values(["order", "lang"], kind="stable").drop(columns="order").reset_index(drop=True)
 
@@ -155,7 +167,7 @@ def train(texts: pd.DataFrame, seed: int = 0) -> Model:
     """Stochastic gradient descent over the sample, then temperature and threshold on every fifth text."""
     labels = sorted(texts["lang"].unique())
     if not labels:
-        return Model([], np.zeros((BUCKETS, 0)), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, WIDTH)), np.zeros((WIDTH, 0)), 1.0, 0.0, np.zeros(0))
     rng = np.random.default_rng(seed)
     table, out = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)), np.zeros((WIDTH, len(labels)))
     want = texts["lang"].map(labels.index).to_numpy()
@@ -183,31 +195,31 @@ def train(texts: pd.DataFrame, seed: int = 0) -> Model:
     # texts that are told apart without error would let any low temperature do: take the mildest that is as good
     temperature = float(max(t for t, x in zip(grid, loss, strict=True) if x <= min(loss) + SLACK))
     p = softmax(scores / temperature)
-    return Model(labels, logits.astype(np.float32), temperature, low_quantile(p.max(axis=1)[p.argmax(axis=1) == truth], LOST))
+    right = p.max(axis=1)[p.argmax(axis=1) == truth]
+    return Model(labels, table.astype(np.float32), out.astype(np.float32), temperature, low_quantile(right, LOST), right)
 
 
 def low_quantile(scores: np.ndarray, share: float) -> float:
     """The score that `share` of texts like these stay below, 0 without any.
 
     A few hundred texts hold no quantile as low as LOST: their least score is one
-    of a few in a thousand. Below the share TAIL the log odds of the scores are
-    taken to fall off exponentially, at the mean rate of the texts there.
+    of a few in a thousand. So the log odds of the scores are taken to fall off
+    exponentially below the `LEAST` least ones (a share TAIL of them at most), at
+    the mean rate of the texts there; with `LEAST / share` scores and more this is
+    the quantile itself.
     """
     if not len(scores):
         return 0.0
     odds = np.sort(np.log(np.clip(scores, 1e-9, 1 - 1e-9)) - np.log1p(-np.clip(scores, 1e-9, 1 - 1e-9)))
-    if share * len(odds) >= 10:
-        at = float(np.quantile(odds, share))
-    else:
-        k = max(1, int(TAIL * len(odds)))
-        edge = odds[min(k, len(odds) - 1)]
-        at = float(edge - (edge - odds[:k]).mean() * np.log(max(1.0, k / (share * len(odds)))))
+    k = int(max(1, share * len(odds), min(LEAST, TAIL * len(odds))))
+    edge = odds[min(k, len(odds) - 1)]
+    at = float(edge - (edge - odds[:k]).mean() * np.log(max(1.0, k / (share * len(odds)))))
     return float(1 / (1 + np.exp(-at)))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred, score and rejected (in place of columns so named); it reads nothing but the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + LANGUAGES) x WIDTH numbers at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,14 +232,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def calibrated(model: Model, labelled: DataFrame, key: str = "doc_id", per_language: int = SAMPLE) -> Model:
-    """`model` with its threshold from labelled texts that were not in its sample, if there are enough of them."""
-    known, sizes = _known(labelled)
-    if sum(sizes.values()) - sum(min(n, per_language) for n in sizes.values()) < ENOUGH:
+    """`model` with its threshold from labelled texts outside its sample and those it kept back."""
+    known, sizes, per_language = _known(labelled, per_language)
+    if not sizes:
         return model
     others = known.where(~_drawn(key, sizes, per_language)).where(_uniform(key, "calibrate") < CALIBRATE / sum(sizes.values()))
-    right = predict(others.select("lang", "text"), model).where("lang_pred = lang")
-    n, least = right.agg(F.count("*"), F.percentile_approx("score", LOST, 100_000)).first()
-    return replace(model, threshold=least) if n >= ENOUGH else model
+    right = predict(others.select("lang", "text"), model).where("lang_pred = lang").select("score")
+    # as in the sample, twice the expected number bounds what the driver holds
+    scores = right.orderBy(F.xxhash64("score")).limit(2 * CALIBRATE).toPandas()["score"].to_numpy()
+    return replace(model, threshold=low_quantile(np.concatenate([scores, model.kept_back]), LOST))
 
 
 def held_out() -> F.Column:

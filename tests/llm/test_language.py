@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 import regex
 
@@ -51,3 +53,36 @@ def test_predictions_against_a_plain_version(spark):
         lang, score, rejected = plain_prediction(model, text)
         assert (found[doc_id]["lang_pred"], found[doc_id]["rejected"]) == (lang, rejected)
         assert found[doc_id]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """Three hundred languages, the rarest too, each of letters of its own."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(300):
+        own = [chr(0x4E00 + 20 * k + j) for j in range(20)]
+        rows += [(len(rows) + j, "".join(rng.choice(own, 40)), f"l{k:03d}") for j in range(3 + 5 * (k % 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.calibrated(language.train(language.sample(docs)), docs)
+    assert model.labels == sorted({r[2] for r in rows}) and model.out.shape == (language.WIDTH, 300)
+
+
+def test_more_values_than_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, "abc", f"l{k}") for k in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        language.sample(docs)
+    assert len(language.sample(docs.where("doc_id < 2"))) == 2
+
+
+def test_low_quantile_is_one_rule_at_every_size():
+    odds = pd.Series(np.random.default_rng(1).logistic(6, 1, 200_000))
+    scores = (1 / (1 + np.exp(-odds))).to_numpy()
+    want = np.quantile(scores, language.LOST)
+    assert language.low_quantile(scores, language.LOST) == pytest.approx(want, abs=1e-3)
+    logit = lambda p: math.log(p / (1 - p))
+    for n in (300, 3_000, 9_000, 11_000, 49_000, 51_000):
+        assert abs(logit(language.low_quantile(scores[:n], language.LOST)) - logit(want)) < 2
+    near = [logit(language.low_quantile(scores[:n], language.LOST)) for n in (9_900, 10_100)]
+    assert abs(near[0] - near[1]) < 0.2
+    assert language.low_quantile(np.zeros(0), language.LOST) == 0.0
