@@ -32,8 +32,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Operator 9: documents whose language the classifier rejects go."""
     docs = docs.select(*COLUMNS)
     labelled = docs.where(~language.held_out())
-    model = language.calibrated(language.train(language.sample(labelled)), labelled)
-    return language.predict(docs, model).where("not rejected").select(*COLUMNS)
+    return language.predict(docs, language.learn(labelled)).where("not rejected").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
