@@ -35,7 +35,6 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import cache
 from itertools import chain, islice
 
 import numpy as np
@@ -43,7 +42,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import kept, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Transitions at most in the table of one Python worker (about 250 bytes each with their states), and pre-tokens in each half of its memo.
@@ -340,12 +339,14 @@ def at_work(path: str | None = None, pattern: str | None = None) -> Iterator[Cod
             gc.enable()
 
 
-@cache
 def codec(path: str | None = None, pattern: str | None = None) -> Codec:
-    """The codec of this Python worker; by default the public multilingual vocabulary."""
+    """The codec of this Python worker, until tasks of another operator run there; by default the public multilingual vocabulary."""
     import public_tokenizers
 
-    return Codec(path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
+    mine = kept("bpe")
+    if (path, pattern) not in mine:
+        mine[path, pattern] = Codec(path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
+    return mine[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

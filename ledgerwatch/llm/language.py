@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read
+from .common import checkpoint, kept, read
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -162,6 +162,7 @@ def sample(labelled: DataFrame, key: str = "doc_id", per_language: int = SAMPLE)
     picked = known.where(_drawn(key, sizes, per_language)).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("language")
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 if not has_letter(text):
@@ -253,6 +254,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + LANGUAGES) x WIDTH numbers at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("language")
         for batch in batches:
             found = [shared.value.predict(x) for x in batch["text"]]
             yield batch.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found], rejected=[f[2] for f in found])
@@ -304,6 +306,7 @@ def descended(model: Model, learned: DataFrame) -> Model:
     shared = learned.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("language")
         start, n = shared.value, 0
         number, table, out = {x: k for k, x in enumerate(start.labels)}, start.table.copy(), start.out.copy()
         for batch in batches:
@@ -346,16 +349,19 @@ def judged(model: Model, texts: DataFrame) -> Model:
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("language")
         model = shared.value
         number = {x: k for k, x in enumerate(model.labels)}
         for batch in batches:
-            rows = []
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                if lang in number and has_letter(text):
-                    logits = model.evidence(text)
-                    p, best = softmax(logits / TEMPERATURES[:, None]), int(logits.argmax())
-                    rows.append((best == number[lang], p[:, best], -np.log(p[:, number[lang]] + 1e-12)))
-            yield pd.DataFrame(rows, columns=["right", "scores", "losses"])
+            for at in range(0, len(batch), 1000):
+                rows, some = [], batch.iloc[at : at + 1000]
+                for lang, text in zip(some["lang"], some["text"], strict=True):
+                    if lang in number and has_letter(text):
+                        logits = model.evidence(text)
+                        p, best = softmax(logits / TEMPERATURES[:, None]), int(logits.argmax())
+                        # copies, as a row or column of p would keep all of it
+                        rows.append((best == number[lang], p[:, best].copy(), -np.log(p[:, number[lang]] + 1e-12)))
+                yield pd.DataFrame(rows, columns=["right", "scores", "losses"])
 
     scored = checkpoint(texts.select("lang", "text").mapInPandas(run, schema="right boolean, scores array<double>, losses array<double>"))
     *losses, n, right = scored.agg(*[F.sum(F.get("losses", F.lit(k))) for k in range(len(TEMPERATURES))], F.count("*"), F.count_if("right")).first()

@@ -125,3 +125,12 @@ def test_nothing_to_learn_or_one_text(spark):
     none = spark.createDataFrame([(1, "abc", None), (2, None, "a")], "doc_id long, text string, lang string")
     assert language.learn(none).labels == []
     assert language.learn(none.union(spark.createDataFrame([(3, "abc", "b")], none.schema))).labels == ["b"]
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    from ledgerwatch.llm import bpe, common
+
+    made = bpe.codec()
+    assert bpe.codec() is made and common.kept("bpe")
+    common.kept("language")
+    assert list(common._KEPT) == ["language"] and bpe.codec() is not made
