@@ -578,3 +578,16 @@ def test_blocks_give_the_same_links(spark, docs, monkeypatch):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 101)], "a long, b long")
     assert {(r["id"], r["component"]) for r in common.components(edges).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_components_take_no_step_without_need(spark, monkeypatch):
+    """Every step costs the driver threads and plans: stars take none, and a step that leaves stars is the last."""
+    from ledgerwatch.functions import components as module
+
+    steps, step = [], module._with_least
+    monkeypatch.setattr(module, "_with_least", lambda edges: steps.append(1) or step(edges))
+    found = lambda rows: {(r["id"], r["component"]) for r in module.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert found([(k, k % 3) for k in range(3, 30)] + [(1, 1), (0, 3), (4, 1)]) == {(k, k % 3) for k in range(30)}
+    assert not steps
+    assert found([(1, 2), (2, 3), (3, 1)]) == {(1, 1), (2, 1), (3, 1)}
+    assert len(steps) == 2  # a large and a small star
