@@ -35,10 +35,12 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -379,27 +381,43 @@ def slices(batch: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame
         yield rows
 
 
+def arrow_slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """`slices` of an Arrow batch with a column text: what is not at work yet stays in Arrow's bytes."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // chars)) + 1
+    for at, end in pairwise([0, *cuts.tolist(), len(batch)]):
+        if at < end:
+            yield batch.slice(at, end - at)
+
+
+def _digested(made: Codec, part: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
+    rows = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
+    for value in part.column("text"):
+        ids = made.encode(value.as_py() or "")
+        read_back = hashlib.sha256()
+        for piece in made.decode(ids):
+            read_back.update(piece.encode())
+        rows["n_tokens"].append(len(ids))
+        rows["ids_sha256"].append(hashlib.sha256(",".join(map(made.names.__getitem__, ids)).encode()).hexdigest())
+        rows["decoded_sha256"].append(read_back.hexdigest())
+        if with_ids:
+            rows["ids"].append(np.array(ids, np.int32))
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+    columns = [pa.array(x, kind) for x, kind in zip(rows.values(), kinds, strict=False)]
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", *rows])
+
+
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, and decoded again from its ids; `with_ids` adds ids array<int>."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with at_work(path, pattern) as made:
-            for batch in batches:
-                for part in slices(batch):
-                    rows = []
-                    for text in part["text"]:
-                        ids = made.encode(text or "")
-                        read_back = hashlib.sha256()
-                        for piece in made.decode(ids):
-                            read_back.update(piece.encode())
-                        row = (len(ids), hashlib.sha256(",".join(map(made.names.__getitem__, ids)).encode()).hexdigest(), read_back.hexdigest())
-                        rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
-                    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-                    yield pd.concat([part[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names if with_ids else names[:3])], axis=1)
+            # no name here holds on to a batch while the next one is read
+            yield from map(lambda part: _digested(made, part, with_ids), chain.from_iterable(map(arrow_slices, batches)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInPandas(run, schema=schema + (", ids array<int>" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(run, schema=schema + (", ids array<int>" if with_ids else ""))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

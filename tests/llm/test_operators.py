@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -591,3 +592,16 @@ def test_components_take_no_step_without_need(spark, monkeypatch):
     assert not steps
     assert found([(1, 2), (2, 3), (3, 1)]) == {(1, 1), (2, 1), (3, 1)}
     assert len(steps) == 2  # a large and a small star
+
+
+def test_bpe_lets_go_of_a_batch_before_the_next(docs):
+    """Texts stay in Arrow's bytes but for those at work, and nobody holds a batch while the next one is read."""
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k, k + 1, k + 2], "text": ["aé 漢", None, "b" * k]}) for k in range(3)]
+    for batch in batches:
+        for chars in (1, 2, 5, 100):
+            parts = list(bpe.arrow_slices(batch, chars))
+            assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+            assert all(len(part) for part in parts)
+    assert list(bpe.arrow_slices(batches[0].slice(0, 0))) == []
+    assert bpe.digests(docs((1, "a b"), (2, None))).select("doc_id").count() == 2
+    assert "MapInArrow" in bpe.digests(docs((1, "a")))._jdf.queryExecution().executedPlan().toString()
