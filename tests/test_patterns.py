@@ -1,6 +1,8 @@
 """Detectors on small ledgers: boundaries, empty input, invariants."""
 
+import math
 from datetime import datetime, timedelta
+from functools import reduce
 from itertools import permutations
 
 import pytest
@@ -236,6 +238,20 @@ def test_reports_with_trends(detected):
     assert row["t"] == "escalating" and row["recommendations"][0]["action"] in ("freeze", "escalate", "investigate", "monitor") and all(0.5 <= x["confidence"] <= 0.95 for x in row["evidence_chain"])
 
 
+def test_trends_add_the_oldest_first(spark):
+    values = {"up": (0.42, 3.89, 12.14, 17.7, 4.57, 37.22, 5.65, 95.54, 2.44, 42.99, 12.83, 8.23, 7.69, 21.19, 22.66), "down": (88.6, 29.71, 7.65, 37.48, 0.56, 0.72, 17.56, 8.77, 18.43, 86.21, 50.28, 11.01, 60.38, 51.32, 36.11)}
+    history = [(name, k, START + timedelta(days=k), x / 100) for name, each in values.items() for k, x in enumerate(each)]
+    found = M.risk_trend(spark.createDataFrame(history, "account_id string, seq long, ts timestamp, risk_score double"))
+
+    def percent(each):
+        # one after the other: Python's sum makes up for what is rounded off
+        early, late = (reduce(float.__add__, (x / 100 for x in part)) / 5 for part in (each[:5], each[-5:]))
+        return f"Risk up {math.floor((late - early) / early * 100 + 0.5)}%"
+
+    # halves that go the other way if the last five are added from the newest on
+    assert got(found, "account_id", "trajectory") == [(name, percent(values[name])) for name in ("down", "up")] == [("down", "Risk up 27%"), ("up", "Risk up 88%")]
+
+
 def test_advice_freezes_every_mule(spark, detected):
     classified, found, _, _ = detected
     made = classified.withColumns({"is_mule": F.lit(True), "risk_level": F.lit("high")})
