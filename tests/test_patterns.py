@@ -16,6 +16,7 @@ from ledgerwatch.operators import markov as M
 from ledgerwatch.operators import patterns as P
 from ledgerwatch.operators import scoring as S
 from ledgerwatch.operators import trees as X
+from ledgerwatch.plans import detection, scores
 from ledgerwatch.plans.detection import LOOSE
 from ledgerwatch.sources import tables as T
 
@@ -280,6 +281,26 @@ def test_alerts_of_every_kind(spark):
     assert made["automated_timing"]["description"].endswith("(CV: 0.050).") and all(r["title"] and r["id"].startswith("ALT-") for r in made.values())
 
 
+FOUND = "pattern string, account string, severity string, amount double, accounts array<string>, measures map<string,double>"
+
+
+def test_alerts_that_share_an_id_stay_apart(spark):
+    # the hash takes Aa for BB
+    found = spark.createDataFrame([("circular_transfer", "A", "critical", 1.0, ["A", x], {"size": 2.0, "total": 1.0}) for x in ("Aa", "BB", "BB")], FOUND)
+    made = C.make_alerts(found).collect()
+    assert len({r["id"] for r in made}) == 1 and sorted(r["accounts"] for r in made) == [["A", "Aa"], ["A", "BB"]]
+    made = C.make_alerts(found, spark.createDataFrame([("A",), ("BB",)], "id string")).collect()
+    assert sorted(r["accounts"] for r in made) == [["A"], ["A", "BB"]]
+
+
+def test_written_alerts_that_share_an_id_stay_apart(spark, monkeypatch):
+    found = spark.createDataFrame([("circular_transfer", "A", severity, 1.0, ["A", x], {"size": 2.0, "total": 1.0}) for x, severity in (("qdYzrAV", "critical"), ("hUJWcOn", "high"))], FOUND)
+    assert len({r["id"] for r in C.make_alerts(found).collect()}) == 1
+    monkeypatch.setattr(detection, "found", lambda *_, **__: found)
+    written = scores.QUERIES["write_alerts"](spark, "/root/testdata/sf0.001").where("type is not null")
+    assert got(written, "severity", "status", "n") == [("critical", "confirmed", 1), ("high", None, 1)]
+
+
 def test_close_communities_and_bridges_are_found_if_asked_for(spark, ledger):
     graph = spark.createDataFrame([("a", 0.9, 0.1), ("b", 0.1, 0.5), ("c", 0.5, 0.3)], "id string, community double, bridge double")
     accounts = spark.createDataFrame([("a", 1.0)], "id string, balance double")
