@@ -1,5 +1,6 @@
 """Cycles, chains and flows in time against plain search, with accounts that hold a third of all payments."""
 
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -63,6 +64,21 @@ def test_cycles_against_plain_search(spark, seed):
     assert counted == Counter((p[0], len(p)) for p in every)
 
 
+@pytest.mark.parametrize("kind", ["all", "dense"])
+def test_cycles_are_counted_without_paths(spark, monkeypatch, kind):
+    rng = random.Random(5)
+    nodes = [f"n{k:02}" for k in range(24 if kind == "all" else 9)]
+    edges = [(a, b) for a in nodes for b in nodes if a != b and (kind == "all" or rng.random() < 0.6)]
+    monkeypatch.setattr(P, "_halves", None)
+    counted = {(r["account"], r["size"]): r["n"] for r in P.cycle_counts(as_pairs(spark, edges)).collect()}
+    if kind == "all":  # each larger account may come next
+        assert counted == {(a, k): math.perm(23 - i, k - 1) for i, a in enumerate(nodes) for k in range(2, 7) if 23 - i >= k - 1}
+    else:
+        assert counted == Counter((p[0], len(p)) for p in plain_cycles(edges, 6))
+        short = {(r["account"], r["size"]): r["n"] for r in P.cycle_counts(as_pairs(spark, edges), longest=5).collect()}
+        assert short == {k: n for k, n in counted.items() if k[1] < 6}
+
+
 def test_long_cycles_within_a_degree(spark):
     ring = [(f"r{k}", f"r{(k + 1) % 5}") for k in range(5)]
     dense = [(f"d{a}", f"d{b}") for a in range(6) for b in range(6) if a != b]
