@@ -5,6 +5,7 @@ from collections import Counter, deque
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 
 from ledgerwatch.operators import graph as G
@@ -126,6 +127,30 @@ def test_exact_betweenness_against_brute_force(spark, edges, batch):
     assert found == pytest.approx(plain_betweenness(edges), abs=6e-5)
 
 
+@pytest.mark.parametrize("path", ["walks", "walks in pieces", "joins"])
+def test_exact_betweenness_by_walks_and_by_joins(spark, monkeypatch, path):
+    edges = sparse(7, 60) | {(f"leaf{k}", f"v{k % 3:02}") for k in range(5)} | {("v00", f"v{k:02}") for k in range(1, 9)}
+    if path == "joins":
+        monkeypatch.setattr(G, "WALKED", 0)
+    else:
+        monkeypatch.setattr(G, "_carried", None)  # no state of sources x nodes
+        monkeypatch.setattr(G, "AT_ONCE", 3 if path == "walks in pieces" else G.AT_ONCE)
+    found = {r["id"]: r["betweenness"] for r in G.exact_betweenness(as_pairs(spark, edges), 8, digits=None).collect()}
+    assert found == pytest.approx(plain_betweenness(edges), abs=1e-12)
+
+
+def test_steps_of_a_level_are_cut_into_pieces(monkeypatch):
+    edges = sorted(sparse(3, 80))
+    ids = sorted({x for e in edges for x in e})
+    at = {x: i for i, x in enumerate(ids)}
+    to = np.array([at[b] for _, b in edges], dtype=np.int32)
+    ways = np.bincount([at[a] for a, _ in edges], minlength=len(ids))
+    whole = sum(G._passed(np.cumsum(ways) - ways, ways, to, s) for s in range(len(ids)))
+    monkeypatch.setattr(G, "AT_ONCE", 2)
+    pieces = sum(G._passed(np.cumsum(ways) - ways, ways, to, s) for s in range(len(ids)))
+    assert pieces == pytest.approx(whole) and whole.max() > 0
+
+
 def test_history_of_a_busy_account_in_slices(spark, monkeypatch):
     rng = random.Random(1)
     rows = []
