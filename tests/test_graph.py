@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerwatch.operators import graph as G
@@ -71,6 +72,27 @@ def test_planted_groups_are_found(spark, monkeypatch):
     assert G.modularity_communities(as_pairs(spark, {("x", "x")})).count() == 0
 
 
+def test_graphs_too_large_for_the_greedy_method_are_settled_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(G, "_local_moves", None)
+    side = spark.range(740).selectExpr("id", "id % 2 AS half")
+    pairs = side.alias("a").join(side.alias("b"), "half").where("a.id < b.id").selectExpr("concat('v', a.id) AS src", "concat('v', b.id) AS dst")
+    assert 2 * pairs.count() > G.GREEDY
+    found = {r["id"]: r["community"] for r in G.modularity_communities(pairs).collect()}
+    assert found == {f"v{k}": f"v{k % 2}" for k in range(740)}
+
+
+@pytest.mark.parametrize("edges", [planted(0), sparse(2)])
+def test_settled_without_the_greedy_method(monkeypatch, edges):
+    monkeypatch.setattr(G, "GREEDY", 0)
+    monkeypatch.setattr(G, "_joined_up", None)
+    links = {frozenset(e) for e in edges if e[0] != e[1]}
+    degree = Counter(x for e in links for x in e)
+    rows = [(x, y, 1.0) for e in links for x, y in (sorted(e), sorted(e)[::-1])] + [(x, None, float(k)) for x, k in degree.items()]
+    (found,) = G._settled(iter([pd.DataFrame(rows[:20], columns=["a", "b", "w"]), pd.DataFrame(rows[20:], columns=["a", "b", "w"])]))
+    member = dict(zip(found["id"], found["community"], strict=True))
+    assert set(member) == set(degree) and quality(edges, member) >= 0.9 * greedy(edges)
+
+
 def test_modularity_of_the_ledger_as_sql_has_it(spark):
     sf = "/root/testdata/sf0.001"
     rows = scores.QUERIES["modularity_communities"](spark, sf).toPandas()
